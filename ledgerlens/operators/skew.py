@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.session import is_written, materialize, row_count
+
 # A key is hot when it holds more than one row in HOT_SHARE, so there are fewer than
 # HOT_SHARE hot keys whatever the table size: that bounds the broadcast side below.
 HOT_SHARE = 10_000
@@ -17,19 +19,28 @@ def join_key_stats(
     keys: list[str],
     weight: str,
     hot_rows: int = HOT_ROWS,
+    size: int | None = None,
 ) -> DataFrame:
     """Inner join of rows to statistics that have one line per key.
 
-    `weight` names the statistic that counts the rows of a key. Keys above both
-    limits go through a broadcast of at most HOT_SHARE lines and never meet in one
-    task; all other keys are joined by shuffle. Rows with a NULL key match nothing.
+    `weight` names the statistic that counts the rows of a key. The statistics are
+    written once; if any key is above both limits, those keys go through a broadcast
+    of fewer than HOT_SHARE lines and never meet in one task, and the other keys are
+    joined by shuffle. Without a hot key it is a plain join, and rows too few to hold one
+    (`size`, or the count of a written frame) are not even checked. NULL keys match nothing.
     """
-    everything = stats.agg(F.sum(weight).alias("w")).scalar()
-    is_hot = (F.col(weight) > hot_rows) & (F.col(weight) * HOT_SHARE > everything)
-    hot = F.broadcast(stats.filter(is_hot))
-    cold = stats.filter(~is_hot)
+    size = row_count(rows) if size is None else size
+    if size is not None and size <= hot_rows:
+        return rows.join(stats, keys, "inner")
+    if not is_written(stats):
+        stats = materialize(stats, "key-stats")
+    everything, heaviest = stats.agg(F.sum(weight), F.max(weight)).first()
+    limit = max(hot_rows, (everything or 0) / HOT_SHARE)
+    if heaviest is None or heaviest <= limit:
+        return rows.join(stats, keys, "inner")
+    hot = F.broadcast(stats.filter(F.col(weight) > limit))
     via_broadcast = rows.join(hot, keys, "inner")
-    via_shuffle = rows.join(F.broadcast(stats.filter(is_hot).select(*keys)), keys, "left_anti").join(
-        cold, keys, "inner"
+    via_shuffle = rows.join(hot.select(*keys), keys, "left_anti").join(
+        stats.filter(F.col(weight) <= limit), keys, "inner"
     )
     return via_broadcast.unionByName(via_shuffle)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _FALLBACK_DIRS: dict[str, str] = {}
 
@@ -44,16 +45,29 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a frame once as Parquet in the shared folder and read it back.
 
     The written table survives executor loss, cuts lineage, and gives the
-    planner a real size, so later joins are chosen from facts.
+    planner a real size, so later joins are chosen from facts. The number of rows is
+    observed while writing and kept for row_count().
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
-    written._written_path = path  # read by discard()
+    written._written_path = path
+    written._written_rows = seen.get["rows"]
     return written
 
 
+def row_count(df: DataFrame) -> int | None:
+    """Rows of a frame made by materialize(), None for any other frame."""
+    return getattr(df, "_written_rows", None)
+
+
+def is_written(df: DataFrame) -> bool:
+    """Whether this very frame is a table made by materialize()."""
+    return getattr(df, "_written_path", None) is not None
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by materialize() that no plan refers to any more."""
     path = getattr(df, "_written_path", None)
