@@ -119,7 +119,7 @@ def long_pairs(sets: DataFrame, threshold: float, min_shared: int, hot_rows: int
         F.col("prefix").alias("prefix2"), "token",
     )
     shared = F.size(F.array_intersect("tokens", "tokens2"))
-    first_common = F.element_at(F.array_intersect("prefix", "prefix2"), 1)["token"]
+    first_common = F.get(F.array_intersect("prefix", "prefix2"), F.lit(0))["token"]
     return (
         left.join(right, "token")
         .filter(F.col("gid") < F.col("other"))

@@ -34,62 +34,93 @@ def number_rows(df: DataFrame, name: str = "_row_num", start: int = 1) -> DataFr
     return numbered.select(position.alias(name), *[ref(c) for c in df.columns])
 
 
+class OrderedValues:
+    """Several numeric columns counted by value and range-partitioned, ready for rank lookups.
+
+    Values are counted first, the (column, value) pairs are range-partitioned, and a
+    lookup scans only the partitions that hold a wanted rank with a running sum.
+    """
+
+    def __init__(self, df: DataFrame, columns: list[str]):
+        pairs = F.array(
+            *[F.struct(F.lit(c).alias("name"), ref(c).cast("double").alias("value")) for c in columns]
+        )
+        counts = (
+            df.select(F.inline(pairs))
+            .filter(F.col("value").isNotNull())
+            .groupBy("name", "value")
+            .agg(F.count("*").alias("n"))
+        )
+        self.table = materialize(
+            counts.repartitionByRange("name", "value").withColumn("part", F.spark_partition_id()), "ordered"
+        )
+        self.spread: dict[str, list] = {c: [] for c in columns}
+        # one line per column and partition
+        for row in self.table.groupBy("name", "part").agg(F.sum("n").alias("n")).orderBy("name", "part").collect():
+            self.spread[row["name"]].append((row["part"], row["n"]))
+
+    def count(self, column: str) -> int:
+        return sum(n for _, n in self.spread[column])
+
+    def at(self, wanted: list[tuple[str, int]]) -> dict[tuple[str, int], float]:
+        """Values at 0-based ascending ranks, as {(column, rank): value}."""
+        targets = []
+        for name, rank in dict.fromkeys(wanted):
+            ends = list(accumulate(n for _, n in self.spread[name]))
+            spot = next(i for i, end in enumerate(ends) if rank < end)
+            targets.append((name, self.spread[name][spot][0], rank, rank - (ends[spot - 1] if spot else 0)))
+        if not targets:
+            return {}
+        ranks = self.table.sparkSession.createDataFrame(targets, "name string, part int, rank long, local long")
+        held = ranks.select("name", "part").distinct()
+        running = Window.partitionBy("name", "part").orderBy("value")
+        located = (
+            self.table.join(F.broadcast(held), ["name", "part"], "left_semi")
+            .withColumn("upto", F.sum("n").over(running))
+            .join(F.broadcast(ranks), ["name", "part"])
+            .filter((F.col("local") < F.col("upto")) & (F.col("local") >= F.col("upto") - F.col("n")))
+        )
+        return {(r["name"], r["rank"]): r["value"] for r in located.select("name", "rank", "value").collect()}
+
+
 def order_statistics(df: DataFrame, columns: list[str], quantiles: dict[str, float], method: str) -> dict:
-    """Exact quantiles of several numeric columns at once.
+    """Exact quantiles of several numeric columns, {column: {label: value or None}}.
 
-    Values are counted first, the (column, value) pairs are range-partitioned, and
-    only the partitions that hold a wanted rank are scanned with a running sum.
     `method` is "nearest" (the value at the rounded rank) or "linear" (interpolated
-    between neighbours). Returns {column: {label: value or None}}.
+    between neighbours).
     """
-    pairs = F.array(*[F.struct(F.lit(c).alias("name"), ref(c).cast("double").alias("value")) for c in columns])
-    counts = (
-        df.select(F.inline(pairs))
-        .filter(F.col("value").isNotNull())
-        .groupBy("name", "value")
-        .agg(F.count("*").alias("n"))
-    )
-    ordered = materialize(
-        counts.repartitionByRange("name", "value").withColumn("part", F.spark_partition_id()), "ordered"
-    )
-    spread: dict[str, list] = {}
-    for row in ordered.groupBy("name", "part").agg(F.sum("n").alias("n")).orderBy("name", "part").collect():
-        spread.setdefault(row["name"], []).append((row["part"], row["n"]))
-
-    wanted = []  # (column, label, rank, weight of the rank)
-    for name, parts in spread.items():
-        last = sum(n for _, n in parts) - 1
+    ordered = OrderedValues(df, columns)
+    plan: dict[tuple[str, str], list[tuple[int, float]]] = {}
+    for name in columns:
+        last = ordered.count(name) - 1
+        if last < 0:
+            continue
         for label, q in quantiles.items():
             at = q * last
-            if method == "nearest":
-                wanted.append((name, label, int(at + 0.5), 1.0))
-            else:
-                low = int(at)
-                wanted.append((name, label, low, 1.0 - (at - low)))
-                if at > low:
-                    wanted.append((name, label, low + 1, at - low))
-
-    targets = []  # rank made local to the partition that holds it
-    for name, label, rank, weight in wanted:
-        ends = list(accumulate(n for _, n in spread[name]))
-        at = next(i for i, end in enumerate(ends) if rank < end)
-        local = rank - (ends[at - 1] if at else 0)
-        targets.append((name, spread[name][at][0], local, label, weight))
-
+            low = int(at + 0.5) if method == "nearest" else int(at)
+            part = 0.0 if method == "nearest" else at - low
+            plan[name, label] = [(low, 1.0 - part)] + ([(low + 1, part)] if part else [])
+    values = ordered.at([(name, rank) for (name, _), ranks in plan.items() for rank, _ in ranks])
     result: dict = {c: {label: None for label in quantiles} for c in columns}
-    if not targets:
-        return result
-    schema = "name string, part int, local long, label string, weight double"
-    ranks = df.sparkSession.createDataFrame(targets, schema)
-    running = Window.partitionBy("name", "part").orderBy("value")
-    needed = ordered.join(F.broadcast(ranks.select("name", "part").distinct()), ["name", "part"], "left_semi")
-    located = (
-        needed.withColumn("upto", F.sum("n").over(running))
-        .join(F.broadcast(ranks), ["name", "part"])
-        .filter((F.col("local") < F.col("upto")) & (F.col("local") >= F.col("upto") - F.col("n")))
-        .groupBy("name", "label")
-        .agg(F.sum(F.col("value") * F.col("weight")).alias("value"))
-    )
-    for row in located.collect():
-        result[row["name"]][row["label"]] = row["value"]
+    for (name, label), ranks in plan.items():
+        result[name][label] = sum(values[name, rank] * weight for rank, weight in ranks)
     return result
+
+
+def top_k(df: DataFrame, column: str, k: int, tiebreak: str, sort_limit: int = 100_000) -> DataFrame:
+    """The k rows with the largest values of a double column, ties by the smaller tiebreak.
+
+    A small k is one ordered limit. A large one, which may be a share of the table, is
+    cut at the exact k-th value instead, so no task has to hold k rows.
+    """
+    if k <= sort_limit:
+        return df.orderBy(F.desc(column), tiebreak).limit(max(k, 0))
+    ordered = OrderedValues(df, [column])
+    rows = ordered.count(column)
+    if k >= rows:
+        return df.filter(ref(column).isNotNull())
+    rank = rows - k
+    cut = ordered.at([(column, rank)])[column, rank]
+    above = df.filter(ref(column) > cut)
+    missing = k - above.count()
+    return above.unionByName(df.filter(ref(column) == cut).orderBy(tiebreak).limit(missing))

@@ -302,11 +302,12 @@ def with_pin_lookup(df: DataFrame, pin_master: DataFrame | None) -> DataFrame:
     """Attach the master's state and district for each row's PIN, once for all three PIN rules.
 
     The master is reduced to one line per six-digit code, so at most a million short
-    lines are broadcast whatever is passed in.
+    lines are broadcast whatever is passed in. Without a master only the format of a
+    PIN is judged.
     """
     if pin_master is None:
         none = F.lit(None).cast("string")
-        return df.withColumns({PIN_STATE: none, PIN_DISTRICT: none, PIN_KNOWN: F.lit(None).cast("boolean")})
+        return df.withColumns({PIN_STATE: none, PIN_DISTRICT: none, PIN_KNOWN: F.lit(True)})
     place = F.struct(F.col("state_name").alias("s"), F.col("district").alias("d"))
     order = F.col("_row_num") if "_row_num" in pin_master.columns else place
     lines = (
