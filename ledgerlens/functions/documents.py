@@ -65,15 +65,18 @@ def _checksum_tables() -> tuple[list[int], list[int]]:
 _PRODUCT, _POWERS = _checksum_tables()
 
 
-def checksum_ok(digits: Column) -> Column:
-    """Verhoeff check of a 12-digit text, unrolled so that it compiles into the scan stage."""
-    product = F.array(*[F.lit(v) for v in _PRODUCT])
-    powers = F.array(*[F.lit(v) for v in _POWERS])
-    check = F.lit(0)
+def checksum_ok(column: str) -> Column:
+    """Verhoeff check of a 12-digit text column, unrolled so that it compiles into the scan stage.
+
+    The tables are texts of one digit per entry, which keeps the expression small.
+    """
+    product, powers = "".join(map(str, _PRODUCT)), "".join(map(str, _POWERS))
+    check = "0"
     for i in range(12):
-        digit = F.ascii(F.substring(digits, 12 - i, 1)) - 48
-        check = F.get(product, check * 10 + F.get(powers, digit + 10 * (i % 8)))
-    return F.coalesce(check == 0, F.lit(False))
+        digit = f"(ascii(substr({column}, {12 - i}, 1)) - 48)"
+        power = f"(ascii(substr('{powers}', {digit} + {10 * (i % 8) + 1}, 1)) - 48)"
+        check = f"(ascii(substr('{product}', {check} * 10 + {power} + 1, 1)) - 48)"
+    return F.expr(f"{check} = 0")
 
 
 _AADHAAR_NAME = re.compile(r"aadha?ar", re.IGNORECASE)

@@ -17,6 +17,7 @@ from ledgerlens.plans.addresses import AddressBook
 from ledgerlens.plans.duplicates import ADDRESS_RULE, DUPLICATE_RULES, address_findings, duplicate_findings
 from ledgerlens.plans.identity import beneficiary_columns, ucid_columns, unique_customers
 from ledgerlens.plans.row_rules import FINDING, PIN_RULES, ROW_RULES, Fields, row_findings, with_pin_lookup
+from ledgerlens.session import materialize
 
 # category -> (label, rules)
 CATEGORIES = {
@@ -136,7 +137,7 @@ def run_rules(
     heavy_rows: int | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Every row with an `exceptions` array of the findings of the selected rules.
+    """Every row with an `exceptions` array of the findings of the selected rules, written once.
 
     Row rules are columns of one select. Cross-row rules work on narrow key tables and
     come back through one join on the row number. With `ucid` selected the result also
@@ -176,20 +177,20 @@ def run_rules(
 
     if any(r in PIN_RULES for r in chosen):
         table = with_pin_lookup(table, pin_master)
+    fields = Fields(table, as_of)
     order = {r: i for i, r in enumerate([*RULE_ORDER, *_USER_RULES])}
     cuts = [order["bank_account_invalid_length"], order["email_company_generic_domain"]]
     early = [r for r in chosen if r in ROW_RULES and order[r] <= cuts[0]]
     late = [r for r in chosen if r in ROW_RULES and order[r] >= cuts[1]]
     if early:
-        parts.append((early[0], row_findings(table, early, as_of)))
+        parts.append((early[0], row_findings(fields, early)))
     if late:
-        parts.append((late[0], row_findings(table, late, as_of)))
+        parts.append((late[0], row_findings(fields, late)))
     for r in _USER_RULES.values():
         if r.rule_id in chosen:
-            parts.append((r.rule_id, _one(r.build(Fields(table, as_of)))))
+            parts.append((r.rule_id, _one(r.build(fields))))
 
     parts.sort(key=lambda p: order[p[0]])
     arrays = [p[1] for p in parts] or [F.array().cast(f"array<{FINDING}>")]
     exceptions = F.concat(*arrays) if len(arrays) > 1 else arrays[0]
-    result = table.withColumn("exceptions", exceptions)
-    return result.drop(*[c for c in result.columns if c.startswith("__")])
+    return materialize(Fields.unstage(fields.table.withColumn("exceptions", exceptions)), "checked")

@@ -48,8 +48,8 @@ def long_exceptions(checked: DataFrame) -> DataFrame:
     fired = checked.select(
         row_num.alias("_row_num"), text(checked, "customer_id").alias("customer_id") if "customer_id" not in checked.columns
         else F.col("customer_id").cast("string").alias("customer_id"),
-        F.explode("exceptions").alias("e"),
-    )
+        F.explode_outer("exceptions").alias("e"),  # no filter on the array is inferred below it
+    ).filter(F.col("e").isNotNull())
     return fired.select(
         "_row_num", "customer_id", F.col("e.rule_id").alias("rule_id"), F.col("e.status").alias("status"),
         F.col("e.code").alias("exception_code"), F.col("e.desc").alias("exception_description"),
@@ -157,13 +157,13 @@ def reconciliation(ingested: DataFrame, wide: DataFrame) -> DataFrame:
     """Rows ingested and analysed, status percentages and the exception rate on one line."""
     counts = wide.agg(
         F.count("*").alias("analysed"),
-        *[F.count_if(F.col("overall_status") == s).alias(s.lower()) for s in STATUSES],
+        *[F.count_if(F.col("overall_status") == s).alias(f"{s.lower()}_rows") for s in STATUSES],
     ).withColumn("ingested", ingested.agg(F.count("*")).scalar())
-    exceptions = F.col("analysed") - F.col("ok")
+    exceptions = F.col("analysed") - F.col("ok_rows")
     return counts.select(
         "ingested", "analysed", (F.col("ingested") - F.col("analysed")).alias("difference"),
-        *[F.col(s.lower()) for s in STATUSES],
-        *[share(F.col(s.lower()), F.col("analysed"), 1).alias(f"{s.lower()}_pct") for s in STATUSES],
+        *[F.col(f"{s.lower()}_rows") for s in STATUSES],
+        *[share(F.col(f"{s.lower()}_rows"), F.col("analysed"), 1).alias(f"{s.lower()}_pct") for s in STATUSES],
         exceptions.alias("exception_rows"), share(exceptions, F.col("analysed"), 1).alias("exception_pct"),
     )
 

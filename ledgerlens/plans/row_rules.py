@@ -26,20 +26,60 @@ PIN_STATE, PIN_DISTRICT, PIN_KNOWN = "__pin_state", "__pin_district", "__pin_kno
 FINDING = "struct<rule_id:string,status:string,code:string,desc:string>"
 
 
+def email_domain(address: Column) -> Column:
+    """Text after the first @, '' without one."""
+    at = F.instr(address, "@")
+    return F.when(at > 0, F.substr(address, at + 1)).otherwise("")
+
+
 class Fields:
-    """The stripped text views of one frame, with the date the run is judged by."""
+    """A frame with every normal form the rules test staged as a column of its own.
+
+    Rules mention a form several times (test, age, message). Staging keeps the rule
+    expressions small and each form is computed once per row; unused ones are pruned.
+    """
+
+    TEXTS = (
+        "pan aadhaar voter_id mobile email dob pincode passport driving_licence bank_account"
+        " address_line1 city state"
+    ).split()
 
     def __init__(self, df: DataFrame, as_of: datetime.date | None = None):
-        self.df = df
+        self.source = df
         self.as_of = F.lit(as_of) if as_of else F.current_date()
+        stripped = df.withColumns({f"__{c}": strip(text(df, c)) for c in self.TEXTS})
+        district = text(df, "district")
+        formed = stripped.withColumns(
+            {
+                "__pan": F.upper("__pan"),
+                "__aadhaar": without(F.col("__aadhaar"), " -"),
+                "__voter_id": F.upper("__voter_id"),
+                "__passport": F.upper("__passport"),
+                "__driving_licence": without(F.upper("__driving_licence"), "- "),
+                "__phone": F.regexp_replace(without(F.col("__mobile"), " -"), r"^\+91", ""),
+                "__born": parse_date(F.col("__dob")),
+                "__digits": F.length(F.regexp_replace("__bank_account", "[^0-9]", "")),
+                "__domain": email_domain(F.lower("__email")),
+                "__stated_state": F.lower("__state"),
+                "__stated_place": F.lower(strip(F.when(district == "", text(df, "city")).otherwise(district))),
+            }
+        )
+        self.table = formed.withColumn("__age", calendar_age(F.col("__born"), self.as_of))
 
     def raw(self, name: str) -> Column:
-        return text(self.df, name)
+        return text(self.source, name)
 
     def get(self, name: str, drop: str = "") -> Column:
-        value = strip(self.raw(name))
+        value = F.col(f"__{name}") if name in self.TEXTS else strip(self.raw(name))
         return without(value, drop) if drop else value
 
+    def form(self, name: str) -> Column:
+        return F.col(f"__{name}")
+
+    @staticmethod
+    def unstage(df: DataFrame) -> DataFrame:
+        return df.drop(*[c for c in df.columns if c.startswith("__")])
+
 
 def found(rule_id: str, status: str, code: str, desc: Column | str) -> Column:
     desc = F.lit(desc) if isinstance(desc, str) else desc
@@ -89,7 +129,7 @@ def address_completeness(f: Fields) -> Column:
 
 
 def pan_format(f: Fields) -> Column:
-    pan = doc.pan_key(f.df)
+    pan = f.form("pan")
     entity = F.substring(pan, 4, 1)
     return (
         _Cases("pan_format")
@@ -107,7 +147,7 @@ def pan_format(f: Fields) -> Column:
 
 
 def aadhaar_format(f: Fields) -> Column:
-    digits = doc.aadhaar_digits(f.df)
+    digits = f.form("aadhaar")
     given = digits != ""
     return (
         _Cases("aadhaar_format")
@@ -115,7 +155,7 @@ def aadhaar_format(f: Fields) -> Column:
               "Aadhaar must be exactly 12 digits")
         .case(given & digits.rlike("^[01]"), "ERROR", "AADHAAR_INVALID_PREFIX",
               "Aadhaar cannot start with 0 or 1")
-        .case(given & ~doc.checksum_ok(digits), "ERROR", "AADHAAR_CHECKSUM_FAIL",
+        .case(given & ~doc.checksum_ok("__aadhaar"), "ERROR", "AADHAAR_CHECKSUM_FAIL",
               "Aadhaar Verhoeff checksum validation failed")
         .column()
     )
@@ -134,7 +174,7 @@ def _pattern(rule_id, code, pattern, key, message) -> Callable[[Fields], Column]
 
 
 def dl_format(f: Fields) -> Column:
-    licence = without(F.upper(f.get("driving_licence")), "- ")
+    licence = f.form("driving_licence")
     state = F.substring(licence, 1, 2)
     return (
         _Cases("dl_format")
@@ -146,14 +186,9 @@ def dl_format(f: Fields) -> Column:
     )
 
 
-def _mobile(f: Fields) -> Column:
-    return F.regexp_replace(doc.mobile_key(f.df), r"^\+91", "")
-
-
 def dob_validity(f: Fields) -> Column:
     raw = f.get("dob")
-    born = parse_date(raw)
-    age = calendar_age(born, f.as_of)
+    born, age = f.form("born"), f.form("age")
     given = raw != ""
     return (
         _Cases("dob_validity")
@@ -168,8 +203,7 @@ def dob_validity(f: Fields) -> Column:
 
 
 def dob_age_range(f: Fields) -> Column:
-    born = parse_date(f.get("dob"))
-    age = calendar_age(born, f.as_of)
+    born, age = f.form("born"), f.form("age")
     past = born < f.as_of
     shown = age.cast("string")
     return (
@@ -183,8 +217,7 @@ def dob_age_range(f: Fields) -> Column:
 
 
 def bank_account_invalid_length(f: Fields) -> Column:
-    account = doc.account_key(f.df)
-    digits = F.length(F.regexp_replace(account, "[^0-9]", ""))
+    account, digits = f.get("bank_account"), f.form("digits")
     return (
         _Cases("bank_account_invalid_length")
         .case((account != "") & ~digits.between(9, 18), "ERROR", "BANK_ACCOUNT_INVALID_LENGTH",
@@ -193,14 +226,8 @@ def bank_account_invalid_length(f: Fields) -> Column:
     )
 
 
-def email_domain(address: Column) -> Column:
-    """Text after the first @, '' without one."""
-    at = F.instr(address, "@")
-    return F.when(at > 0, F.substr(address, at + 1)).otherwise("")
-
-
 def email_company_generic_domain(f: Fields) -> Column:
-    domain = email_domain(F.lower(f.get("email")))
+    domain = f.form("domain")
     return (
         _Cases("email_company_generic_domain")
         .case(domain.isin(*FREE_EMAIL_DOMAINS), "WARN", "EMAIL_COMPANY_GENERIC_DOMAIN",
@@ -222,7 +249,7 @@ def pincode_exists(f: Fields) -> Column:
 
 
 def state_pin_match(f: Fields) -> Column:
-    stated = F.lower(f.get("state"))
+    stated = f.form("stated_state")
     master = F.col(PIN_STATE)
     return (
         _Cases("state_pin_match")
@@ -234,8 +261,7 @@ def state_pin_match(f: Fields) -> Column:
 
 
 def district_pin_match(f: Fields) -> Column:
-    district = f.raw("district")
-    stated = F.lower(strip(F.when(district == "", f.raw("city")).otherwise(district)))
+    stated = f.form("stated_place")
     master = F.col(PIN_DISTRICT)
     apart = ~F.contains(stated, master) & ~F.contains(master, stated)
     return (
@@ -265,17 +291,17 @@ ROW_RULES: dict[str, tuple[str, Callable[[Fields], Column]]] = {
     "voter_id_format": (
         "Voter ID (EPIC) format: 3 letters + 7 digits",
         _pattern("voter_id_format", "VOTER_ID_INVALID_FORMAT", "^[A-Z]{3}[0-9]{7}$",
-                 lambda f: doc.voter_key(f.df),
+                 lambda f: f.form("voter_id"),
                  "Voter ID '%s' must match pattern AAA9999999 (3 letters + 7 digits)")),
     "passport_format": (
         "Indian passport format: letter (not Q/X/Z) + 7 digits",
         _pattern("passport_format", "PASSPORT_INVALID_FORMAT", "^[A-PR-WY][0-9]{7}$",
-                 lambda f: F.upper(f.get("passport")),
+                 lambda f: f.form("passport"),
                  "Passport '%s' must be 1 letter (A-PR-WY) followed by 7 digits")),
     "dl_format": ("Driving licence: state code + RTO + year + sequence", dl_format),
     "mobile_format": (
         "Mobile number: 10 digits starting 6-9",
-        _pattern("mobile_format", "MOBILE_INVALID_FORMAT", r"^[6-9]\d{9}$", _mobile,
+        _pattern("mobile_format", "MOBILE_INVALID_FORMAT", r"^[6-9]\d{9}$", lambda f: f.form("phone"),
                  "Mobile '%s' must be 10 digits starting with 6-9")),
     "email_format": (
         "Email address basic format validation",
@@ -321,9 +347,8 @@ def with_pin_lookup(df: DataFrame, pin_master: DataFrame | None) -> DataFrame:
     return df.join(F.broadcast(lines), pin == F.col("__pin"), "left").drop("__pin")
 
 
-def row_findings(df: DataFrame, rule_ids, as_of=None) -> Column:
-    """Array of the findings of the chosen row rules, in the given order."""
-    fields = Fields(df, as_of)
+def row_findings(fields: Fields, rule_ids) -> Column:
+    """Array of the findings of the chosen row rules, in the given order; for fields.table."""
     columns = [ROW_RULES[r][1](fields) for r in rule_ids]
     if not columns:
         return F.array().cast(f"array<{FINDING}>")
@@ -333,8 +358,13 @@ def row_findings(df: DataFrame, rule_ids, as_of=None) -> Column:
 def apply_row_rules(
     df: DataFrame, rule_ids=None, pin_master: DataFrame | None = None, as_of=None, column: str = "exceptions"
 ) -> DataFrame:
-    """All chosen row rules in one pass; adds one array column. Works on batch and streaming frames."""
-    chosen = [r for r in ROW_RULES if rule_ids is None or r in rule_ids]
-    looked_up = with_pin_lookup(df, pin_master)
-    checked = looked_up.withColumn(column, row_findings(looked_up, chosen, as_of))
-    return checked.drop(PIN_STATE, PIN_DISTRICT, PIN_KNOWN)
+    """The chosen row rules (all by default) in one pass, as one array column.
+
+    Findings come in the order of rule_ids. Works on batch and streaming frames. Write
+    the result before deriving several tables from it: filters on those would otherwise
+    be pushed down through every rule expression.
+    """
+    chosen = list(ROW_RULES) if rule_ids is None else list(rule_ids)
+    looked_up = with_pin_lookup(df, pin_master) if set(chosen) & set(PIN_RULES) else df
+    fields = Fields(looked_up, as_of)
+    return Fields.unstage(fields.table.withColumn(column, row_findings(fields, chosen)))

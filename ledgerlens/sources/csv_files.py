@@ -17,6 +17,7 @@ from ledgerlens.sources.mapping import DEFAULT_THRESHOLD, normalize
 
 CORRUPT = "_corrupt_record"
 SOURCE = "_source_file"
+SOURCE_PATH = "_source_path"
 DELIMITERS = ",;|\t"
 
 
@@ -31,7 +32,7 @@ def header_of(spark: SparkSession, path: str) -> tuple[list[str], str]:
 @dataclass
 class CsvData:
     accepted: DataFrame
-    rejected: DataFrame  # _reject_reason, _raw, _source_file
+    rejected: DataFrame  # _reject_reason, _raw, _source_file, _source_path
 
 
 def read_csv(
@@ -51,11 +52,11 @@ def read_csv(
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
         .option("multiLine", multi_line).option("columnPruning", False)
         .csv(paths)
-        .withColumn(SOURCE, F.col("_metadata.file_name"))
+        .withColumns({SOURCE: F.col("_metadata.file_name"), SOURCE_PATH: F.col("_metadata.file_path")})
     )
     accepted = raw.filter(ref(CORRUPT).isNull()).drop(CORRUPT)
     rejected = raw.filter(ref(CORRUPT).isNotNull()).select(
-        F.lit("row does not fit the header").alias("_reject_reason"), ref(CORRUPT).alias("_raw"), SOURCE
+        F.lit("row does not fit the header").alias("_reject_reason"), ref(CORRUPT).alias("_raw"), SOURCE, SOURCE_PATH
     )
     return CsvData(accepted, rejected)
 
@@ -69,7 +70,7 @@ def ingest_csv(
 ) -> CsvData:
     """Read, map to canonical columns and number the rows; write with sinks.write_parquet."""
     data = read_csv(spark, paths, multi_line)
-    canonical = normalize(data.accepted.drop(SOURCE), report_type, mapping)
+    canonical = normalize(data.accepted.drop(SOURCE, SOURCE_PATH), report_type, mapping)
     return CsvData(number_rows(canonical), data.rejected)
 
 
@@ -124,7 +125,7 @@ def consolidate(
     threshold: float = DEFAULT_THRESHOLD,
     multi_line: bool = False,
 ) -> DataFrame:
-    """Files of several layouts as one table with their origin in _source_file.
+    """Files of several layouts as one table, their origin in _source_file and _source_path.
 
     Each layout is one reader over all its files; `alignment` maps a layout signature to
     {unified column: header}. Columns that no layout feeds are left out.
@@ -139,6 +140,6 @@ def consolidate(
     merged = None
     for sig, (_, files) in layouts.items():
         source = read_csv(spark, files, multi_line).accepted
-        part = source.select(*[ref(chosen[sig][c]).alias(c) for c in fed if chosen[sig].get(c)], SOURCE)
+        part = source.select(*[ref(chosen[sig][c]).alias(c) for c in fed if chosen[sig].get(c)], SOURCE, SOURCE_PATH)
         merged = part if merged is None else merged.unionByName(part, allowMissingColumns=True)
-    return merged.select(*[ref(c) for c in fed], SOURCE)
+    return merged.select(*[ref(c) for c in fed], SOURCE, SOURCE_PATH)
