@@ -84,28 +84,33 @@ def iso_date(df: DataFrame, name: str) -> Column:
     return F.when(raw.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), raw.try_cast("date"))
 
 
-# Accepted birth-date layouts, first match wins (guard pattern, parse pattern).
-DATE_LAYOUTS = (
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-    (r"^\d{8}$", "ddMMyyyy"),
-)
-
-# Layouts tried for snapshot-month labels.
-MONTH_LAYOUTS = (
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-)
-
-
-def parse_date(c: Column, layouts=DATE_LAYOUTS) -> Column:
+def _day_first(value: Column, mark: str, order: tuple[int, int, int]) -> Column:
+    """Date of a text such as 31-12-1990, its parts given as year, month, day positions."""
+    year, month, day = (F.split_part(value, F.lit(mark), F.lit(i)) for i in order)
+    return F.concat_ws("-", year, month, day).try_cast("date")
+
+
+def parse_date(c: Column) -> Column:
+    """Date from yyyy-m-d, d-m-yyyy, d/m/yyyy, yyyy/m/d or eight digits ddmmyyyy; NULL otherwise.
+
+    The guards exclude each other, and the parts are rearranged to one form whose cast
+    is native; pattern-driven parsing costs several times as much per row.
+    """
+    value = strip(c)
+    dashed = F.translate(value, "/", "-")
+    digits = F.concat_ws("-", F.substring(value, 5, 4), F.substring(value, 3, 2), F.substring(value, 1, 2))
+    return (
+        F.when(value.rlike(r"^\d{4}([-/])\d{1,2}\1\d{1,2}$"), dashed.try_cast("date"))
+        .when(value.rlike(r"^\d{1,2}([-/])\d{1,2}\1\d{4}$"), _day_first(dashed, "-", (3, 2, 1)))
+        .when(value.rlike(r"^\d{8}$"), digits.try_cast("date"))
+    )
+
+
+def parse_snapshot_date(c: Column) -> Column:
+    """parse_date() for month labels: no bare digits, and m/d/yyyy where d/m/yyyy is no date."""
     value = strip(c)
-    return F.coalesce(*[F.when(value.rlike(guard), F.try_to_date(value, fmt)) for guard, fmt in layouts])
+    american = F.when(value.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), _day_first(value, "/", (3, 1, 2)))
+    return F.when(~value.rlike(r"^\d+$"), F.coalesce(parse_date(value), american))
 
 
 def calendar_age(born: Column, as_of: Column) -> Column:

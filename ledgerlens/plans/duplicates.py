@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.values import text
 from ledgerlens.operators.skew import HOT_ROWS, join_key_stats
 from ledgerlens.plans.link_keys import link_table
-from ledgerlens.plans.row_rules import found
+from ledgerlens.plans.row_rules import found, say
 from ledgerlens.session import materialize, row_count
 
 # rule id -> (kind of key, exception code, description, message)
@@ -175,9 +175,9 @@ def _message(rule_id: str) -> Column:
     kind, _, _, pattern = DUPLICATE_RULES[rule_id]
     names = F.array_join("ids", ", ")
     if kind == "aadhaar":
-        return F.format_string(pattern, names)
+        return say(pattern, names)
     key = F.regexp_replace("key", r"^([^|]*)\|", "$1 / ") if kind == "name_dob" else F.col("key")
-    return F.format_string(pattern, key, names)
+    return say(pattern, key, names)
 
 
 def duplicate_findings(

@@ -16,7 +16,7 @@ from ledgerlens.operators.skew import HOT_ROWS
 from ledgerlens.plans.addresses import AddressBook
 from ledgerlens.plans.duplicates import ADDRESS_RULE, DUPLICATE_RULES, address_findings, duplicate_findings
 from ledgerlens.plans.identity import beneficiary_columns, ucid_columns, unique_customers
-from ledgerlens.plans.row_rules import FINDING, PIN_RULES, ROW_RULES, Fields, row_findings, with_pin_lookup
+from ledgerlens.plans.row_rules import PIN_RULES, ROW_RULES, Fields, no_findings, row_findings, with_pin_lookup
 from ledgerlens.session import materialize
 
 # category -> (label, rules)
@@ -121,8 +121,8 @@ def coerce_text(df: DataFrame) -> DataFrame:
     )
 
 
-def _one(column: Column) -> Column:
-    return F.array_compact(F.array(column))
+def _one(finding: Column) -> Column:
+    return F.when(finding.isNull(), no_findings()).otherwise(F.array(finding))
 
 
 def run_rules(
@@ -172,8 +172,7 @@ def run_rules(
         listed = F.array_sort(F.collect_list(F.struct(spot[F.col("finding.rule_id")].alias("at"), "finding")))
         per_row = findings.groupBy("_row_num").agg(listed["finding"].alias("__shared_findings"))
         table = table.join(per_row, "_row_num", "left")
-        empty = F.array().cast(f"array<{FINDING}>")
-        parts.append(("pan_duplicate", F.coalesce("__shared_findings", empty)))
+        parts.append(("pan_duplicate", F.coalesce("__shared_findings", no_findings())))
 
     if any(r in PIN_RULES for r in chosen):
         table = with_pin_lookup(table, pin_master)
@@ -191,6 +190,5 @@ def run_rules(
             parts.append((r.rule_id, _one(r.build(fields))))
 
     parts.sort(key=lambda p: order[p[0]])
-    arrays = [p[1] for p in parts] or [F.array().cast(f"array<{FINDING}>")]
-    exceptions = F.concat(*arrays) if len(arrays) > 1 else arrays[0]
+    exceptions = F.concat(no_findings(), *[p[1] for p in parts])
     return materialize(Fields.unstage(fields.table.withColumn("exceptions", exceptions)), "checked")

@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions.values import (
-    MONTH_LAYOUTS,
     amount,
     distinct_with_null,
     is_blank_raw,
     iso_date,
-    parse_date,
+    parse_snapshot_date,
     percent,
     ref,
     rounded,
@@ -489,7 +488,7 @@ def snapshot_months(df: DataFrame, column: str = "business_date") -> DataFrame:
     """Distinct snapshot months as labels such as 'Mar 2001', oldest first."""
     require(df, column)
     raw = strip(text(df, column))
-    day = parse_date(raw, MONTH_LAYOUTS)
+    day = parse_snapshot_date(raw)
     month = F.coalesce(F.date_format(day, "yyyy-MM"), F.substring(raw, 1, 7)).alias("month_key")
     label = F.coalesce(F.date_format(day, "MMM yyyy"), raw).alias("label")
     seen = df.filter(ref(column).isNotNull()).select(month, day.isNotNull().alias("dated"), label)

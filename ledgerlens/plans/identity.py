@@ -11,7 +11,7 @@ from ledgerlens.operators.components import connected_components
 from ledgerlens.operators.skew import HOT_ROWS, join_key_stats
 from ledgerlens.plans.addresses import AddressBook
 from ledgerlens.plans.link_keys import PERSON_KINDS, link_table
-from ledgerlens.plans.row_rules import found
+from ledgerlens.plans.row_rules import found, say
 from ledgerlens.session import materialize
 
 # Groups up to this size are named by the hash of all their member positions.
@@ -116,7 +116,7 @@ def ucid_columns(df: DataFrame, grouped: DataFrame) -> DataFrame:
     """Adds ucid, ucid_size and the ucid finding; a row outside every group is its own."""
     joined = df.drop("ucid", "ucid_size").join(grouped, "_row_num", "left")
     ucid = F.coalesce(F.col("ucid"), hex_hash(_position(), 16))
-    said = F.format_string(
+    said = say(
         "UCID %s has conflicting KYC data (PAN, Aadhaar, Voter ID, email, mobile, state, or pincode)", ucid
     )
     return joined.withColumns(
