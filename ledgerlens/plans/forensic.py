@@ -157,7 +157,7 @@ def name_pair_candidates(profiles: DataFrame, threshold: float) -> DataFrame:
         "block", low.alias("a"), high.alias("b"),
         F.when(ahead, F.col("name_a")).otherwise(F.col("name_b")).alias("name_a"),
         F.when(ahead, F.col("name_b")).otherwise(F.col("name_a")).alias("name_b"),
-    ).filter(F.col("name_a") != F.col("name_b")).distinct()
+    ).filter(F.col("name_a") != F.col("name_b"))
 
 
 def name_similarity(
@@ -188,7 +188,10 @@ def name_similarity(
     )
     # names are compared once however many spellings and PANs share them
     names = profiles.groupBy("block", "name").agg(F.min("pid").alias("pid"))
-    pairs = name_pair_candidates(names, threshold).filter(
+    # one exchange serves both the removal of repeats and an even spread of the scoring
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    candidates = name_pair_candidates(names, threshold).repartition(tasks, "a", "b").dropDuplicates(["a", "b"])
+    pairs = candidates.filter(
         2.0 * _common_letters(F.col("name_a"), F.col("name_b"))
         / (F.length("name_a") + F.length("name_b")) >= threshold
     )
