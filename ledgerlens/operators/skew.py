@@ -10,7 +10,7 @@ from ledgerlens.session import is_written, materialize, row_count
 # A key is hot when it holds more than one row in HOT_SHARE, so there are fewer than
 # HOT_SHARE hot keys whatever the table size: that bounds the broadcast side below.
 HOT_SHARE = 10_000
-HOT_ROWS = 200_000
+HOT_ROWS = 2_000_000
 
 
 def join_key_stats(

@@ -32,7 +32,7 @@ def components_by_hand(edges):
     return {n: find(n) for n in parent}
 
 
-@pytest.mark.parametrize("hot_rows", [200_000, 3])
+@pytest.mark.parametrize("hot_rows", [2_000_000, 3])
 def test_components_match_union_find(spark, hot_rows):
     rng = random.Random(5)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)]
@@ -109,7 +109,7 @@ def allowed_by_hand(row, sharers, scope):
     return len(set(lans)) == len(lans)
 
 
-@pytest.mark.parametrize("scope,hot_rows", [("person", 200_000), ("observed", 200_000), ("person", 2), ("observed", 2)])
+@pytest.mark.parametrize("scope,hot_rows", [("person", 2_000_000), ("observed", 2_000_000), ("person", 2), ("observed", 2)])
 def test_scopes_match_the_row_by_row_statement(spark, scope, hot_rows):
     rng = random.Random(11)
     rows, keys = [], defaultdict(list)
@@ -165,7 +165,7 @@ def test_near_addresses_match_all_pairs(spark, heavy):
         [(i + 1, cids[i], lines[i]) for i in range(len(lines))], "_row_num long, customer_id string, address_line1 string"
     )
     pairs = [(i, j) for i in range(len(lines)) for j in range(i) if near(lines[i], lines[j], heavy, counts)]
-    for hot_rows in (200_000, 2):
+    for hot_rows in (2_000_000, 2):
         book = AddressBook(df, heavy_rows=heavy, hot_rows=hot_rows)
         wanted = {i + 1 for p in pairs for i in p if cids[p[0]] != cids[p[1]]}
         assert {r["_row_num"] for r in book.duplicate_rows().collect()} == wanted
