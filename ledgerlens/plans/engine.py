@@ -154,7 +154,8 @@ def run_rules(
     if "address_line1" in base.columns and ("ucid" in chosen or ADDRESS_RULE[0] in chosen):
         addresses = AddressBook(base, heavy_rows, hot_rows)
     if "ucid" in chosen:
-        table = ucid_columns(table, unique_customers(base, salt, addresses, hot_rows))
+        grouped = materialize(unique_customers(base, salt, addresses, hot_rows), "ucids")  # read twice below
+        table = ucid_columns(table, grouped)
         parts.append(("ucid", _one(F.col("__ucid_finding"))))
     if "beneficiary_tagging" in chosen:
         table = beneficiary_columns(table, salt)
