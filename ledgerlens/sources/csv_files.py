@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ledgerlens.functions.values import ref
 from ledgerlens.operators.ordering import number_rows
+from ledgerlens.session import materialize
 from ledgerlens.sources.mapping import DEFAULT_THRESHOLD, normalize
 
 CORRUPT = "_corrupt_record"
@@ -54,6 +55,7 @@ def read_csv(
         .csv(paths)
         .withColumns({SOURCE: F.col("_metadata.file_name"), SOURCE_PATH: F.col("_metadata.file_path")})
     )
+    raw = materialize(raw, "parsed")  # both sides below read the text once
     accepted = raw.filter(ref(CORRUPT).isNull()).drop(CORRUPT)
     rejected = raw.filter(ref(CORRUPT).isNotNull()).select(
         F.lit("row does not fit the header").alias("_reject_reason"), ref(CORRUPT).alias("_raw"), SOURCE, SOURCE_PATH
