@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import byte_bpe, language_id, mixing, neighbours, quality, simhash, suffix_dedup, token_files, url_lists, warc
 from ledgerlens.llm.common import table
@@ -51,7 +52,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_lists.screen(*url_lists.derived(table(spark, sf_dir, "pages")))
+    found = url_lists.screen(*url_lists.derived(table(spark, sf_dir, "pages")))
+    return found.withColumns({c: F.col(c).cast("string") for c in ("fetched_on", "listed_since")})
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

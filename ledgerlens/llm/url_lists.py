@@ -101,6 +101,6 @@ listed AS (SELECT kind, key, list_name, listed_on, until FROM history WHERE acti
 hits AS (SELECT k.page_id, l.kind, l.key, l.list_name, l.listed_on, row_number() OVER (PARTITION BY k.page_id ORDER BY
   CASE l.kind WHEN 'prefix' THEN 1 WHEN 'host' THEN 2 WHEN 'domain3' THEN 3 ELSE 4 END) AS place
   FROM keys k JOIN keyed d ON d.page_id = k.page_id JOIN listed l ON l.kind = k.kind AND l.key = k.key AND l.listed_on <= d.fetched_on AND (l.until IS NULL OR d.fetched_on < l.until))
-SELECT d.page_id, d.url, d.fetched_on, h.kind IS NOT NULL AS blocked, h.kind AS matched_kind, h.key AS matched_key, h.list_name, h.listed_on AS listed_since
+SELECT d.page_id, d.url, CAST(d.fetched_on AS VARCHAR) AS fetched_on, h.kind IS NOT NULL AS blocked, h.kind AS matched_kind, h.key AS matched_key, h.list_name, CAST(h.listed_on AS VARCHAR) AS listed_since
 FROM keyed d LEFT JOIN hits h ON h.page_id = d.page_id AND h.place = 1
 """
