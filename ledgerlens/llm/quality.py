@@ -5,8 +5,8 @@ of all vote patterns (at most 3 ** number of rules, whatever the table) estimate
 right on good and on bad documents and what share is good; a document is kept if its posterior probability of
 being good reaches THRESHOLD and the two hard base rules hold. Nothing is asked of all rules at once, and no labels are used.
 
-The model is started from rules that are right more often than not and kept on that side (FLOOR), so good
-and bad cannot change places. Counts cover all documents.
+The model starts from rules that seldom speak against good documents and is kept there (FLOOR_GOOD), so good and bad
+cannot change places. Counts cover all documents.
 
 Defined cases: null, empty and blank texts have no words, fail the base rules and are not kept; repeated rows and ids are
 judged one by one; an empty table gives an empty result; a posterior equal to THRESHOLD is kept. Other columns pass through.
@@ -26,7 +26,8 @@ from ledgerlens.session import materialize
 
 MIN_WORDS, MAX_REPEAT_PCT, THRESHOLD = 50, 50, 0.5
 SYMBOLS = b"#*$%&|<>"
-FLOOR, CEILING, ROUNDS, PRIOR_START = 0.6, 0.999, 100, 0.8
+#: Share of good documents, and rules' shares of right votes on good and bad ones, that EM starts from; bounds of these shares.
+START, FLOOR_GOOD, FLOOR_BAD, CEILING, ROUNDS = (0.5, 0.98, 0.15), 0.9, 0.02, 0.999, 100
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_digits long, n_letters long"
 
 
@@ -82,7 +83,7 @@ def votes() -> dict[str, Column]:
         "symbols": _vote(50 * F.col("n_symbols") <= words, 10 * F.col("n_symbols") > words),
         "lines": _vote(lined & (10 * F.col("n_dup_lines") <= F.col("n_lines")), lined & (2 * F.col("n_dup_lines") > F.col("n_lines"))),
         "repeats": _vote(some & (10 * F.col("n_repeat_words") <= words), 2 * F.col("n_repeat_words") > words),
-        "digits": _vote(some & (20 * F.col("n_digits") <= chars), 5 * F.col("n_digits") > chars),
+        "digits": _vote(some & (20 * F.col("n_digits") <= chars), 2 * F.col("n_digits") > chars),
         "letters": _vote(some & (10 * F.col("n_letters") >= 9 * chars), some & (10 * F.col("n_letters") < 7 * chars)),
     }
 
@@ -93,22 +94,23 @@ def base_failed() -> Column:
 
 
 def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[float, np.ndarray, np.ndarray]:
-    """EM for conditionally independent rules.
+    """EM for conditionally independent rules; abstentions say nothing.
 
     patterns: (n, rules) of 1, 0 and 2. Returns the share of good documents, and each rule's
-    probability of voting right on good and on bad documents when it votes.
+    probability of voting right on good and on bad documents when it votes. A rule may see few of the bad
+    documents, as there are many ways to be bad, but it seldom speaks against a good one (FLOOR_GOOD).
     """
     rules = patterns.shape[1]
-    prior, right = PRIOR_START, np.full((2, rules), 0.8)  # rows: bad, good
+    prior, right = START[0], np.stack([np.full(rules, START[2]), np.full(rules, START[1])])  # rows: bad, good
     voted = patterns != 2
     for _ in range(rounds):
         weight = posterior(patterns, prior, right[1], right[0]) * counts
         rest = counts - weight
         prior = float(np.clip((weight.sum() + 1) / (counts.sum() + 2), 0.02, 0.98))
-        for row, (w, vote) in enumerate(((rest, 0), (weight, 1))):
+        for row, (w, vote, floor) in enumerate(((rest, 0, FLOOR_BAD), (weight, 1, FLOOR_GOOD))):
             hit = ((patterns == vote) * w[:, None]).sum(axis=0)
             seen = (voted * w[:, None]).sum(axis=0)
-            right[row] = np.clip((hit + 8) / (seen + 10), FLOOR, CEILING)
+            right[row] = np.clip((hit + START[2 - row]) / (seen + 1), floor, CEILING)
     return prior, right[1], right[0]
 
 
