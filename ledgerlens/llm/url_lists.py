@@ -28,7 +28,7 @@ def keys_of(url: Column) -> dict[str, Column]:
     """The key that each kind looks up; null where a url has none."""
     host = host_of(url)
     filled = lambda c: F.when(c != "", c)
-    segment = F.regexp_extract(url, r"^[A-Za-z]+://[^/?#:@]+(/[^/?#]+)", 1)
+    segment = F.regexp_extract(url, r"^[A-Za-z]+://[^/?#:@]+(?::[0-9]*)?(/[^/?#]+)", 1)
     return {
         "prefix": F.when(segment != "", F.concat(host, segment)),
         "host": filled(host),
@@ -88,7 +88,7 @@ def derived(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 #: The same over tables registered by name, from first principles: a window over the history of every key, then the first kind that holds.
 ORACLE_SQL = """
 WITH hosts AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:@]+)', 1)) AS host,
-  regexp_extract(url, '^[A-Za-z]+://[^/?#:@]+(/[^/?#]+)', 1) AS segment, CAST(DATE '2023-01-01' + CAST(page_id * 37 % 1000 AS INT) AS DATE) AS fetched_on FROM pages),
+  regexp_extract(url, '^[A-Za-z]+://[^/?#:@]+(?::[0-9]*)?(/[^/?#]+)', 1) AS segment, CAST(DATE '2023-01-01' + CAST(page_id * 37 % 1000 AS INT) AS DATE) AS fetched_on FROM pages),
 keyed AS (SELECT page_id, url, fetched_on, CASE WHEN segment <> '' THEN concat(host, segment) END AS prefix, CASE WHEN host <> '' THEN host END AS host,
   CASE WHEN regexp_extract(host, '([^.]+\\.[^.]+\\.[^.]+)$', 1) <> '' THEN regexp_extract(host, '([^.]+\\.[^.]+\\.[^.]+)$', 1) END AS domain3,
   CASE WHEN regexp_extract(host, '([^.]+\\.[^.]+)$', 1) <> '' THEN regexp_extract(host, '([^.]+\\.[^.]+)$', 1) END AS domain2 FROM hosts),

@@ -122,7 +122,7 @@ def test_tree_quotas_add_up(spark, monkeypatch):
             assert own == {s: sum(h.get(s, 0) for h in halves) for s in own}
             assert abs(sum(halves[0].values()) - sum(halves[1].values())) <= 1
     totals = plan.digest().groupBy("target", "source_size").agg({"taken": "sum"}).collect()
-    assert all(abs(r["sum(taken)"] - r["target"]) <= 6 for r in totals)
+    assert all(abs(r["sum(taken)"] - r["target"]) <= 11 for r in totals)
 
 
 def test_tokens_equal_the_tokenizer_library(hard_docs, hard_texts, reference_encoding):
