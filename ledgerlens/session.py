@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,12 +32,14 @@ def build_session(app_name: str = "ledgerlens", master: str | None = None, **con
 def work_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir.
 
-    A private temporary folder stands in only where the setting is absent,
-    which is the case in local tests.
+    On one machine a private temporary folder stands in where the setting is absent. On a cluster that
+    would leave every executor with files of its own, so there the setting is required.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors and the driver share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK_DIRS:
         _FALLBACK_DIRS[app] = tempfile.mkdtemp(prefix="ledgerlens-")

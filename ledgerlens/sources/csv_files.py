@@ -1,4 +1,4 @@
-"""CSV extracts: text-typed reading with quarantine, numbering, and merging of layouts."""
+"""CSV extracts: text-typed reading with quarantine, numbering in file order, and merging of layouts."""
 
 from __future__ import annotations
 
@@ -7,62 +7,142 @@ from dataclasses import dataclass
 from difflib import SequenceMatcher
 from hashlib import sha256
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions.values import ref
-from ledgerlens.operators.ordering import number_rows
 from ledgerlens.session import materialize
 from ledgerlens.sources.mapping import DEFAULT_THRESHOLD, normalize
 
 CORRUPT = "_corrupt_record"
 SOURCE = "_source_file"
 SOURCE_PATH = "_source_path"
+BLOCK = "_source_block"
 DELIMITERS = ",;|\t"
 
 
-def header_of(spark: SparkSession, path: str) -> tuple[list[str], str]:
-    """(headers, delimiter) from the first line of a file; the commonest known delimiter wins."""
-    line = spark.read.text(path).first()
-    text = (line[0] if line else "").lstrip("﻿")
-    delimiter = max(DELIMITERS, key=text.count)
-    return (next(csv.reader([text], delimiter=delimiter)) if text else []), delimiter
+@dataclass(frozen=True)
+class Layout:
+    """The ordered headers and the delimiter that some files share."""
+
+    headers: tuple[str, ...]
+    delimiter: str
 
 
 @dataclass
 class CsvData:
     accepted: DataFrame
-    rejected: DataFrame  # _reject_reason, _raw, _source_file, _source_path
+    rejected: DataFrame  # _reject_reason, _raw, _parsed (the fields as read, JSON), _source_file, _source_path
+
+
+def list_files(spark: SparkSession, paths: list[str]) -> list[tuple[str, str]]:
+    """(path, the same as _metadata.file_path has it) of all files, folders listed by name, in the given order."""
+    found: dict[str, str] = {}
+    for path in paths:
+        files = spark.read.format("binaryFile").load(path).select("path", "_metadata.file_path")  # contents are not read
+        found |= dict(sorted((r[0], r[1]) for r in files.collect()))
+    return list(found.items())
+
+
+def _first_line(spark: SparkSession, path: str) -> str:
+    """The first line of a file, through the file system that Spark uses, decompressed by its extension."""
+    jvm = spark._jvm
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(target)
+    stream = target.getFileSystem(conf).open(target)
+    try:
+        plain = codec.createInputStream(stream) if codec is not None else stream
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, "UTF-8")).readLine() or ""
+    finally:
+        stream.close()
+
+
+def header_of(spark: SparkSession, path: str, delimiter: str | None = None) -> Layout:
+    """Headers and delimiter from the first line of a file; the commonest known delimiter wins."""
+    text = _first_line(spark, path).lstrip("\ufeff")
+    delimiter = delimiter or max(DELIMITERS, key=text.count)
+    return Layout(tuple(next(csv.reader([text], delimiter=delimiter))) if text else (), delimiter)
+
+
+def layouts_of(spark: SparkSession, files: list[tuple[str, str]], delimiter: str | None = None) -> dict[Layout, list[str]]:
+    """{layout: files} in first-seen order; files without a header line have no rows and are left out."""
+    groups: dict[Layout, list[str]] = {}
+    for path, _ in files:
+        layout = header_of(spark, path, delimiter)
+        if layout.headers:
+            groups.setdefault(layout, []).append(path)
+    return groups
 
 
-def read_csv(
-    spark: SparkSession, paths: str | list[str], multi_line: bool = False, delimiter: str | None = None
-) -> CsvData:
-    """All columns as text, rows that do not fit the header kept apart.
-
-    Nothing is inferred, so long account numbers keep every digit. Files stay splittable;
-    multi_line reads quoted line breaks as well, at the price of one task per file.
-    """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    headers, found = header_of(spark, paths[0])
-    fields = [T.StructField(h, T.StringType()) for h in headers] + [T.StructField(CORRUPT, T.StringType())]
+def _read_layout(spark: SparkSession, layout: Layout, files: list[str], multi_line: bool) -> CsvData:
+    """Files of one layout: rows that fit the header, with their place, and the others."""
+    fields = [T.StructField(h, T.StringType()) for h in (*layout.headers, CORRUPT)]
     raw = (
         spark.read.schema(T.StructType(fields))
-        .option("header", True).option("sep", delimiter or found).option("quote", '"').option("escape", '"')
+        .option("header", True).option("sep", layout.delimiter).option("quote", '"').option("escape", '"')
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
         .option("multiLine", multi_line).option("columnPruning", False)
-        .csv(paths)
-        .withColumns({SOURCE: F.col("_metadata.file_name"), SOURCE_PATH: F.col("_metadata.file_path")})
+        .csv(files)
+        .withColumns({SOURCE: F.col("_metadata.file_name"), SOURCE_PATH: F.col("_metadata.file_path"), BLOCK: F.col("_metadata.file_block_start")})
     )
-    raw = materialize(raw, "parsed")  # both sides below read the text once
-    accepted = raw.filter(ref(CORRUPT).isNull()).drop(CORRUPT)
-    rejected = raw.filter(ref(CORRUPT).isNotNull()).select(
-        F.lit("row does not fit the header").alias("_reject_reason"), ref(CORRUPT).alias("_raw"), SOURCE, SOURCE_PATH
+    # Spark refuses to read the marker alone, as a mere count would
+    parsed = F.coalesce(F.length(ref(layout.headers[0])), F.lit(0)) >= 0
+    accepted = raw.filter(ref(CORRUPT).isNull() & parsed).drop(CORRUPT)
+    rejected = raw.filter(ref(CORRUPT).isNotNull() & parsed).select(
+        F.lit("row does not fit the header").alias("_reject_reason"), ref(CORRUPT).alias("_raw"),
+        F.to_json(F.struct(*[ref(h) for h in layout.headers])).alias("_parsed"), SOURCE, SOURCE_PATH,
     )
     return CsvData(accepted, rejected)
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    merged = frames[0]
+    for frame in frames[1:]:
+        merged = merged.unionByName(frame, allowMissingColumns=True)
+    return merged
+
+
+def _read(spark, files, multi_line, delimiter) -> CsvData:
+    groups = layouts_of(spark, files, delimiter)
+    if not groups:
+        raise ValueError("none of the files has a header line")
+    parts = [_read_layout(spark, layout, held, multi_line) for layout, held in groups.items()]
+    return CsvData(_union([p.accepted for p in parts]), _union([p.rejected for p in parts]))
+
+
+def read_csv(
+    spark: SparkSession, paths: str | list[str], multi_line: bool = False, delimiter: str | None = None
+) -> CsvData:
+    """All columns as text, rows that do not fit the header of their file kept apart.
+
+    Every file is read by its own header and delimiter, files of one layout together; columns meet
+    by name, and a column that a file lacks is NULL there. Nothing is inferred, so long account numbers keep
+    every digit. Files stay splittable; multi_line reads quoted line breaks as well, at the price of one task per file.
+    """
+    files = list_files(spark, [paths] if isinstance(paths, str) else list(paths))
+    data = _read(spark, files, multi_line, delimiter)
+    return CsvData(data.accepted.drop(BLOCK), data.rejected)
+
+
+def number_in_file_order(rows: DataFrame, files: list[tuple[str, str]], name: str = "_row_num") -> DataFrame:
+    """Consecutive numbers over the files in their order and the lines in theirs, however Spark packs the splits.
+
+    Rows have SOURCE_PATH and BLOCK (the start of their split). They are written once; a split's rows are read in
+    order by one task, so counting the splits before turns the place in a split into a number, without a sort.
+    """
+    stored = materialize(rows.withColumn("__at", F.monotonically_increasing_id()), "parsed")
+    splits = stored.groupBy(SOURCE_PATH, BLOCK).agg(F.count("*").alias("size"), F.min("__at").alias("__first"))
+    order = rows.sparkSession.createDataFrame([(p, i) for i, (_, p) in enumerate(files)], f"{SOURCE_PATH} string, __file int")
+    before = Window.orderBy("__file", BLOCK).rowsBetween(Window.unboundedPreceding, -1)  # one line per split
+    starts = splits.join(order, SOURCE_PATH).select(
+        SOURCE_PATH, BLOCK, "__first", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("__before"))
+    numbered = stored.join(starts, [SOURCE_PATH, BLOCK])
+    position = (F.col("__before") + F.col("__at") - F.col("__first") + 1).cast("long")
+    return numbered.select(position.alias(name), *[ref(c) for c in rows.columns if c != BLOCK])
+
+
 def ingest_csv(
     spark: SparkSession,
     paths: str | list[str],
@@ -70,10 +150,11 @@ def ingest_csv(
     mapping: dict[str, str] | None = None,
     multi_line: bool = False,
 ) -> CsvData:
-    """Read, map to canonical columns and number the rows; write with sinks.write_parquet."""
-    data = read_csv(spark, paths, multi_line)
-    canonical = normalize(data.accepted.drop(SOURCE, SOURCE_PATH), report_type, mapping)
-    return CsvData(number_rows(canonical), data.rejected)
+    """Read, map to canonical columns and number the rows in file order; write with sinks.write_parquet."""
+    files = list_files(spark, [paths] if isinstance(paths, str) else list(paths))
+    data = _read(spark, files, multi_line, None)
+    canonical = normalize(data.accepted.drop(SOURCE), report_type, mapping)
+    return CsvData(number_in_file_order(canonical, files).drop(SOURCE_PATH), data.rejected)
 
 
 # --- Merging files of different layouts ----------------------------------------------------------
@@ -83,14 +164,6 @@ def header_signature(headers: list[str]) -> str:
     return sha256("\x1f".join(sorted(headers)).encode()).hexdigest()
 
 
-def group_layouts(headers_by_file: dict[str, list[str]]) -> dict[str, tuple[list[str], list[str]]]:
-    """{signature: (headers of the first file, files)} in first-seen order."""
-    groups: dict[str, tuple[list[str], list[str]]] = {}
-    for path, headers in headers_by_file.items():
-        groups.setdefault(header_signature(headers), (list(headers), []))[1].append(path)
-    return groups
-
-
 def unified_columns(layouts: list[list[str]]) -> list[str]:
     """Union of all headers in first-seen order, names differing only in case being one."""
     seen: dict[str, str] = {}
@@ -126,22 +199,26 @@ def consolidate(
     alignment: dict[str, dict[str, str | None]] | None = None,
     threshold: float = DEFAULT_THRESHOLD,
     multi_line: bool = False,
-) -> DataFrame:
-    """Files of several layouts as one table, their origin in _source_file and _source_path.
+) -> CsvData:
+    """Files and folders of several layouts as one table, their origin in _source_file and _source_path.
 
-    Each layout is one reader over all its files; `alignment` maps a layout signature to
-    {unified column: header}. Columns that no layout feeds are left out.
+    Every file is read by its own ordered header and delimiter, files that share both by one reader. `alignment`
+    maps a header signature (the same for any order of the headers) to {unified column: header}. Columns that no layout feeds are left
+    out, and rows that do not fit their header are in `rejected`.
     """
-    layouts = group_layouts({p: header_of(spark, p)[0] for p in paths})
-    unified = unified_columns([headers for headers, _ in layouts.values()])
+    layouts = layouts_of(spark, list_files(spark, list(paths)))
+    if not layouts:
+        raise ValueError("none of the files has a header line")
+    unified = unified_columns([list(layout.headers) for layout in layouts])
     chosen = {
-        sig: (alignment or {}).get(sig) or align(headers, unified, threshold)
-        for sig, (headers, _) in layouts.items()
+        layout: (alignment or {}).get(header_signature(list(layout.headers))) or align(list(layout.headers), unified, threshold)
+        for layout in layouts
     }
-    fed = [c for c in unified if any(chosen[sig].get(c) for sig in layouts)]
-    merged = None
-    for sig, (_, files) in layouts.items():
-        source = read_csv(spark, files, multi_line).accepted
-        part = source.select(*[ref(chosen[sig][c]).alias(c) for c in fed if chosen[sig].get(c)], SOURCE, SOURCE_PATH)
-        merged = part if merged is None else merged.unionByName(part, allowMissingColumns=True)
-    return merged.select(*[ref(c) for c in fed], SOURCE, SOURCE_PATH)
+    fed = [c for c in unified if any(chosen[layout].get(c) for layout in layouts)]
+    accepted, rejected = [], []
+    for layout, files in layouts.items():
+        data = _read_layout(spark, layout, files, multi_line)
+        own = chosen[layout]
+        accepted.append(data.accepted.select(*[ref(own[c]).alias(c) for c in fed if own.get(c)], SOURCE, SOURCE_PATH))
+        rejected.append(data.rejected)
+    return CsvData(_union(accepted).select(*[ref(c) for c in fed], SOURCE, SOURCE_PATH), _union(rejected))

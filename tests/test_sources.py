@@ -52,7 +52,7 @@ def test_validate(spark):
 def test_consolidate_aligns_layouts(spark, tmp_path):
     a = write(tmp_path / "a.csv", "id,name,city\n1,ann,Pune\n")
     b = write(tmp_path / "b.csv", "Name,naam2,id\nbob,zz,2\n")
-    merged = csv_files.consolidate(spark, [a, b])
+    merged = csv_files.consolidate(spark, [a, b]).accepted
     got = {r["id"]: (r["name"], r["city"], r["_source_file"]) for r in merged.collect()}
     assert got == {"1": ("ann", "Pune", "a.csv"), "2": ("bob", None, "b.csv")}
     assert csv_files.align(["naam"], ["name"], 0.6) == {"name": "naam"}
@@ -61,6 +61,46 @@ def test_consolidate_aligns_layouts(spark, tmp_path):
     assert csv_files.header_signature(["x", "y"]) == csv_files.header_signature(["y", "x"])
 
 
+def test_every_file_is_read_by_its_own_header(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    write(folder / "a.csv", "customer_id,full_name\nC1,ANN\nC9,x,y\n")
+    write(folder / "b.csv", "full_name,customer_id\nBOB,C2\n")
+    write(folder / "c.csv", "customer_id;full_name\nC3;CAT\n")
+    write(folder / "d.csv", "full_name,city\nDAN,Pune\n")
+    write(folder / "e.csv", "")
+    want = {("C1", "ANN", None), ("C2", "BOB", None), ("C3", "CAT", None), (None, "DAN", "Pune")}
+    for data in (csv_files.consolidate(spark, [str(folder)]), csv_files.read_csv(spark, str(folder))):
+        assert {(r["customer_id"], r["full_name"], r["city"]) for r in data.accepted.collect()} == want
+        [reject] = data.rejected.collect()
+        assert (reject["_raw"], reject["_source_file"]) == ("C9,x,y", "a.csv")
+    numbered = csv_files.ingest_csv(spark, str(folder), "customer_master").accepted.orderBy("_row_num").collect()
+    assert [(r["_row_num"], r["full_name"]) for r in numbered] == [(1, "ANN"), (2, "BOB"), (3, "CAT"), (4, "DAN")]
+    with pytest.raises(ValueError):
+        csv_files.read_csv(spark, str(folder / "e.csv"))
+
+
+@pytest.mark.parametrize("split", ["20000", "128m"])
+def test_rows_are_numbered_in_file_order(spark, tmp_path, split):
+    paths, line = [], 0
+    for name, rows in (("z", 3000), ("a", 10), ("m", 5000)):
+        text = ["lan,full_name"]
+        for i in range(rows):
+            line += 1
+            text.append(f"{line}," + "x" * (line % 97))
+            if i % 500 == 7:
+                text.append("one,two,three")
+        paths.append(write(tmp_path / f"{name}.csv", "\n".join(text) + "\n"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        data = csv_files.ingest_csv(spark, paths, "customer_master")
+        assert data.accepted.count() == line and data.accepted.filter("_row_num <> CAST(lan AS LONG)").count() == 0
+        assert data.rejected.count() == 6 + 1 + 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_every_sink_masks(spark, tmp_path):
     df = spark.createDataFrame([("2341 2341 2346", ["a", "b"])], "Aadhar_No string, tags array<string>")
     sinks.write_csv(df, str(tmp_path / "c"))
