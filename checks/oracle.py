@@ -427,6 +427,11 @@ def _outputs() -> dict[str, str]:
     q = {
         "exc_long": "SELECT _row_num, customer_id, rule_id, status, exception_code, exception_description FROM long",
         "exc_wide": wide_masked,
+        "exception_sinks": (
+            "SELECT coalesce(w._row_num, l._row_num) AS _row_num, w.n AS wide_rows, l.n AS long_rows"
+            " FROM (SELECT _row_num, count(*) AS n FROM wide GROUP BY _row_num) w"
+            " FULL JOIN (SELECT _row_num, count(*) AS n FROM long GROUP BY _row_num) l ON l._row_num = w._row_num"
+        ),
         "exc_status": " UNION ALL ".join(
             f"SELECT '{s}' AS status, {status.format(s)} AS count FROM wide" for s in ("OK", "WARN", "ERROR")
         ),
@@ -894,22 +899,47 @@ SELECT class, ROW_ID, place FROM p WHERE place <= 160""",
     return {k: _with(["loan_book"], v) for k, v in q.items()}
 
 
+MASTER_COLUMNS = (
+    "customer_id full_name dob gender mobile email pan aadhaar voter_id passport driving_licence address_line1 city district state pincode"
+    " bank_account ifsc lan coapplicant_mobile income branch_code dsa_code onboarding_date"
+).split()
+
+
+EXPOSURE_COLUMNS = (
+    "loan_id scheme_id scheme_name sbu sub_sbu state loan_status stage dpd_bucket disbursement_date business_date ead outstanding_principal"
+    " sanction_amount disbursed_amount collateral_value covered_portion uncovered_portion existing_provision additional_provision total_provision"
+    " written_off FVTPL ucid"
+).split()
+EXPOSURE_NUMBERS = EXPOSURE_COLUMNS[11:21]
+
+
 def _sources() -> dict[str, str]:
-    cm = ["customer_master"]
+    cm, columns = ["customer_master"], MASTER_COLUMNS
+    texts = ", ".join(f"nullif({c}, '') AS {c}" for c in columns)
+    mask = "CASE WHEN length(aadhaar) >= 5 THEN 'XXXXXXXX' || right(aadhaar, 4) ELSE aadhaar END"
+    masked = f"{mask} AS aadhaar"
     return {
-        "ingest_roundtrip": _with(cm, """
-SELECT nullif(customer_id, '') AS customer_id, nullif(full_name, '') AS full_name, nullif(bank_account, '') AS bank_account,
- nullif(lan, '') AS lan, count(*) AS rows FROM customer_master GROUP BY ALL"""),
-        "normalize_ead": _with(["exposure"], f"""
-SELECT loan_id, stage, CAST(ead AS DOUBLE) AS ead, written_off, CAST(sanction_amount AS DOUBLE) AS sanction_amount FROM exposure"""),
-        "consolidate": _with(cm, """
-SELECT 'a' AS layout, count(*) AS rows, count(nullif(customer_id, '')) AS ids, count(nullif(full_name, '')) AS names,
- count(nullif(mobile, '')) AS mobiles FROM customer_master WHERE _row_num % 2 = 0
-UNION ALL SELECT 'b', count(*), count(nullif(customer_id, '')), count(nullif(full_name, '')), 0 FROM customer_master WHERE _row_num % 2 = 1"""),
+        "ingest_roundtrip": _with(cm, f"""
+SELECT row_number() OVER (ORDER BY _row_num) AS _row_num, {texts} FROM customer_master"""),
+        "normalize_ead": _with(["exposure"], "SELECT " + ", ".join(
+            f"CAST({c} AS DOUBLE) AS {c}" if c in EXPOSURE_NUMBERS else c for c in EXPOSURE_COLUMNS) + " FROM exposure"),
+        "consolidate": _with(cm, f"""
+SELECT CASE _row_num % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS layout, {texts} FROM customer_master
+WHERE NOT (_row_num % 3 = 2 AND _row_num % 15 = 2)"""),
+        "consolidate_rejects": _with(cm, f"""
+SELECT 'c' AS layout, concat({" || ',' || ".join(f"coalesce({c}, '')" for c in columns)}, ',one,two') AS _raw, 'row does not fit the header' AS _reject_reason
+FROM customer_master WHERE _row_num % 3 = 2 AND _row_num % 15 = 2"""),
         "null_counts": _with(cm, " UNION ALL ".join([
-            f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS nulls FROM customer_master"
-            for c in ("customer_id", "full_name", "lan", "coapplicant_mobile")
+            f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS nulls FROM customer_master" for c in ["_row_num", *columns]
         ])),
+        "pin_build": _with(["pin_master"], """
+SELECT row_number() OVER (ORDER BY CAST(pincode AS BIGINT)) AS _row_num, pincode, district, state_name FROM pin_master WHERE length(pincode) = 6"""),
+        "written_parquet": _with(cm, f"SELECT _row_num, {', '.join(masked if c == 'aadhaar' else c for c in columns)} FROM customer_master"),
+        "dataset_csv": _with(cm, f"""
+SELECT CAST(_row_num AS VARCHAR) AS _row_num, {', '.join(f"nullif({mask if c == 'aadhaar' else c}, '') AS {c}" for c in columns)},
+ CAST((SELECT count(*) FROM customer_master) AS INTEGER) AS saved_rows FROM customer_master"""),
+        "preview": _with(cm, f"""
+SELECT CAST(_row_num AS VARCHAR) AS _row_num, {', '.join(masked if c == 'aadhaar' else c for c in columns)} FROM customer_master WHERE _row_num % 1000 = 1"""),
         "pin_lookup": _with(["customer_master", "pin_master"], MASTER + """
 SELECT _row_num, m_state AS state_name, m_district AS district FROM located WHERE m_pin IS NOT NULL"""),
     }

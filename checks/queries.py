@@ -15,7 +15,7 @@ from ledgerlens.plans import customer, duplicates, engine, exposure, forensic, i
 from ledgerlens.plans import row_rules, sampling
 from ledgerlens.plans.addresses import AddressBook
 from ledgerlens.session import materialize, work_dir
-from ledgerlens.sources import csv_files, mapping
+from ledgerlens.sources import csv_files, mapping, pin_master, sinks
 
 AS_OF = datetime.date(2024, 12, 31)
 Query = Callable[[SparkSession, str], DataFrame]
@@ -222,40 +222,93 @@ def _source_queries() -> dict[str, Query]:
     def export(df: DataFrame, path: str) -> None:
         df.write.mode("overwrite").option("header", True).csv(path)
 
+    def spread(df: DataFrame, path: str, **options) -> None:
+        """Several files whose names follow the order of the rows."""
+        df.repartitionByRange(5, "_row_num").sortWithinPartitions("_row_num").drop("_row_num").write.mode("overwrite").options(
+            header=True, **options).csv(path)
+
     def ingest_roundtrip(spark, sf):
+        """All columns and the numbers, which follow the files whatever their splits."""
         path = folder(spark, "ingest")
-        renamed = view(spark, sf, "customer_master").select(
-            F.col("customer_id").alias("Cust_ID"), F.col("full_name").alias("Borrower_Name"),
-            F.col("bank_account").alias("Account_No"), F.col("lan").alias("Loan_Account_No"),
-        )
-        export(renamed, path)
-        rows = csv_files.ingest_csv(spark, path, "customer_master").accepted
-        return rows.groupBy("customer_id", "full_name", "bank_account", "lan").agg(F.count("*").alias("rows"))
+        names = {"customer_id": "Cust_ID", "full_name": "Borrower_Name", "bank_account": "Account_No", "lan": "Loan_Account_No"}
+        spread(view(spark, sf, "customer_master").withColumnsRenamed(names), path)
+        before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "400k")  # many splits a file, packed by size
+        try:
+            # the plan is made here, with these splits
+            return materialize(csv_files.ingest_csv(spark, path, "customer_master").accepted, "ingested")
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
     def normalize_ead(spark, sf):
-        book = view(spark, sf, "exposure").select(
-            F.col("loan_id").alias("AgreementNo"), F.col("stage").alias("ECL_Stage"),
-            F.col("ead").cast("string").alias("Exposure"), F.col("written_off").alias("WrittenOff"),
-            F.col("sanction_amount").cast("string").alias("Sanctioned_Amount"),
-        )
-        return mapping.normalize(book, "ead_files")
+        """Every column as text, some by another accepted name."""
+        book = view(spark, sf, "exposure")
+        names = {"loan_id": "AgreementNo", "stage": "ECL_Stage", "ead": "Exposure", "written_off": "WrittenOff", "sanction_amount": "Sanctioned_Amount"}
+        texts = book.select(*[F.col(c).cast("string").alias(names.get(c, c)) for c in book.columns])
+        return mapping.normalize(texts, "ead_files")
 
-    def consolidate(spark, sf):
+    def layouts(spark, sf) -> csv_files.CsvData:
+        """The customer master in three layouts: headers in another order, another delimiter, and one with broken lines."""
         master = view(spark, sf, "customer_master")
-        a, b = folder(spark, "layout-a"), folder(spark, "layout-b")
-        export(master.filter("_row_num % 2 = 0").select("customer_id", "full_name", "mobile"), a)
-        export(master.filter("_row_num % 2 = 1").select(F.col("full_name").alias("full_nam"), "customer_id"), b)
-        merged = csv_files.consolidate(spark, [a, b])
-        layout = F.when(F.col("_source_path").contains("/layout-a/"), "a").otherwise("b").alias("layout")
-        return merged.groupBy(layout).agg(
-            F.count("*").alias("rows"), F.count("customer_id").alias("ids"), F.count("full_name").alias("names"),
-            F.count("mobile").alias("mobiles"),
-        )
+        columns = [c for c in master.columns if c != "_row_num"]
+        a, b, c = (folder(spark, f"layout-{x}") for x in "abc")
+        spread(master.filter("_row_num % 3 = 0"), a)
+        spread(master.filter("_row_num % 3 = 1").select("_row_num", *reversed(columns)), b, sep=";")
+        line = F.concat_ws(",", *[F.coalesce(F.col(n), F.lit("")) for n in columns])
+        broken = F.when(F.col("_row_num") % 15 == 2, F.concat(line, F.lit(",one,two"))).otherwise(line)
+        lines = master.filter("_row_num % 3 = 2").select("_row_num", broken.alias("value"))
+        header = spark.createDataFrame([(-1, ",".join(columns))], lines.schema)
+        # one file, header first
+        header.unionByName(lines).repartition(1).sortWithinPartitions("_row_num").select("value").write.mode("overwrite").text(c)
+        return csv_files.consolidate(spark, [a, b, c])
+
+    layout = F.regexp_extract("_source_path", "/layout-([abc])/", 1).alias("layout")
+
+    def consolidate(spark, sf):
+        merged = layouts(spark, sf).accepted
+        return merged.select("*", layout).drop("_source_file", "_source_path")
+
+    def consolidate_rejects(spark, sf):
+        return layouts(spark, sf).rejected.select(layout, "_raw", "_reject_reason")
 
     def null_counts(spark, sf):
         facts = mapping.validate(view(spark, sf, "customer_master"), "customer_master")
-        wanted = ("customer_id", "full_name", "lan", "coapplicant_mobile")
-        return spark.createDataFrame([(c, facts.nulls[c]) for c in wanted], "column string, nulls long")
+        return spark.createDataFrame(list(facts.nulls.items()), "column string, nulls long")
+
+    def pin_build(spark, sf):
+        """The directory from its CSV form, in file order."""
+        path = folder(spark, "pins")
+        pins = view(spark, sf, "pin_master").select(
+            F.col("pincode").alias("Pincode"), F.concat(F.lit("  "), F.upper("district")).alias("District"),
+            F.upper("state_name").alias("StateName"), F.col("pincode").cast("long").alias("_row_num"))
+        spread(pins, path)
+        return pin_master.build_pin_master(spark, path)
+
+    def written_parquet(spark, sf):
+        path = folder(spark, "canonical")
+        sinks.write_parquet(view(spark, sf, "customer_master"), path)
+        return sinks.read_parquet(spark, path)
+
+    def dataset_csv(spark, sf):
+        """A named dataset saved, exported as CSV and dropped."""
+        name, path = "ledgerlens_check_dataset", folder(spark, "dataset")
+        sinks.save_dataset(view(spark, sf, "customer_master"), name)
+        sinks.export_dataset(spark, name, path)
+        rows = sinks.load_dataset(spark, name).count()
+        sinks.drop_dataset(spark, name)
+        return spark.read.option("header", True).csv(path).withColumn("saved_rows", F.lit(rows))
+
+    def exception_sinks(spark, sf):
+        """Both exception tables written and read back."""
+        path = folder(spark, "exceptions")
+        checked = _checked(spark, sf)
+        sinks.write_exceptions(outputs.wide_exceptions(checked), outputs.long_exceptions(checked), path)
+        wide, long = (sinks.read_parquet(spark, f"{path}/{part}") for part in ("wide", "long"))
+        counted = [t.groupBy("_row_num").agg(F.count("*").alias(n)) for t, n in ((wide, "wide_rows"), (long, "long_rows"))]
+        return counted[0].join(counted[1], "_row_num", "full")
+
+    def preview(spark, sf):
+        return sinks.preview(view(spark, sf, "customer_master").filter("_row_num % 1000 = 1"), 10_000_000)
 
     def pin_lookup(spark, sf):
         located = row_rules.with_pin_lookup(view(spark, sf, "customer_master"), view(spark, sf, "pin_master"))
@@ -267,6 +320,12 @@ def _source_queries() -> dict[str, Query]:
         "ingest_roundtrip": ingest_roundtrip,
         "normalize_ead": normalize_ead,
         "consolidate": consolidate,
+        "consolidate_rejects": consolidate_rejects,
+        "pin_build": pin_build,
+        "written_parquet": written_parquet,
+        "dataset_csv": dataset_csv,
+        "exception_sinks": exception_sinks,
+        "preview": preview,
         "null_counts": null_counts,
         "pin_lookup": pin_lookup,
     }
