@@ -112,7 +112,7 @@ def _exposure() -> dict[str, str]:
     ).split()
     dims = [d for d in exposure.PIVOT_DIMENSIONS if d in columns]
     measures = {
-        t: "count(TRY_CAST(loan_id AS DOUBLE))" if c == "loan_id" else _sum(c)
+        t: "count(loan_id)" if c == "loan_id" else _sum(c)
         for c, t in exposure.PIVOT_MEASURES.items() if c in columns
     }
     q["pivot"] = _grouped("exposure", {d: d for d in dims}, measures)
@@ -462,7 +462,7 @@ SELECT (SELECT count(*) FROM customer_master) AS ingested, analysed,
  analysed - ok AS exception_rows, {_pct('analysed - ok', 'analysed', 1)} AS exception_pct FROM c""",
         "detailed": f"""
 SELECT CAST(row_number() OVER (ORDER BY _row_num) AS INTEGER) AS "Ref #", * FROM ({wide_masked})
-WHERE overall_status <> 'OK' ORDER BY _row_num LIMIT 50000""",
+WHERE overall_status <> 'OK' ORDER BY _row_num""",
         "completeness": " UNION ALL ".join(
             f"""SELECT '{c}' AS "Field", count({c}) AS "Present", count(*) - count({c}) AS "Missing",
  {_pct(f'count(*) - count({c})', 'count(*)')} AS "% Missing" FROM wide""" for c in fields
@@ -543,7 +543,11 @@ SHARED = """, listed AS (
  FROM keys a),
 shared AS (SELECT l.* FROM listed l SEMI JOIN (SELECT kind, key FROM listed WHERE in_list) d ON d.kind = l.kind AND d.key = l.key),
 ids AS (SELECT kind, key, list_sort(list(DISTINCT cid)) AS ids FROM shared WHERE cid <> '' GROUP BY ALL)"""
-SHOWN = "list_filter(ids, lambda i: i <> coalesce(cid, ''))[1:5]"
+OTHERS = "list_filter(ids, lambda i: i <> coalesce(cid, ''))"
+SHOWN = (
+    f"array_to_string({OTHERS}[1:5], ', ') || CASE WHEN len({OTHERS}) > 5"
+    f" THEN ' and ' || CAST(len({OTHERS}) - 5 AS VARCHAR) || ' more' ELSE '' END"
+)
 
 
 def _duplicate(rule: str) -> str:
@@ -552,7 +556,7 @@ def _duplicate(rule: str) -> str:
     kind, code, _, message = DUPLICATE_RULES[rule]
     key = "replace(key, '|', ' / ')" if kind == "name_dob" else "key"
     text = "'" + message.replace("'", "''") + "'"
-    args = ["array_to_string(" + SHOWN + ", ', ')"]
+    args = [SHOWN]
     if kind != "aadhaar":
         args.insert(0, key)
     for a in args:
@@ -766,7 +770,7 @@ SELECT 'Multiple Primary Links' AS "Concentration Type", p AS "Primary_Applicant
  WHERE length(coapplicant_mobile) > 0 GROUP BY 1) WHERE p > 1""",
         "bank_account_anomalies": flags("Anomaly Type", {
             "Invalid Account Length": "length(bank_account) NOT BETWEEN 9 AND 18",
-            "Invalid IFSC Format": "NOT regexp_matches(upper(ifsc), '^[A-Z]{4}0[A-Z0-9]{4}$')",
+            "Invalid IFSC Format": "NOT regexp_matches(upper(ifsc), '^[A-Z]{4}0[A-Z0-9]{6}$')",
             "IFSC State Mismatch": "substr(upper(ifsc), 5, 2) <> substr(upper(state), 1, 2)",
         }),
     }
@@ -779,7 +783,7 @@ SELECT 'Multiple Primary Links' AS "Concentration Type", p AS "Primary_Applicant
         " '[^a-z0-9]+', ' ', 'g'))"
     )
     q["address_clustering"] = f"""
-SELECT substr(a, 1, 80) AS "Address (normalized)", n AS "Distinct Customers", l AS "Loan Accounts",
+SELECT a AS "Address (normalized)", n AS "Distinct Customers", l AS "Loan Accounts",
  CASE WHEN n > 2 THEN 'CRITICAL' ELSE 'HIGH' END AS "Risk" FROM (
  SELECT {address} AS a, count(DISTINCT nullif(trim(customer_id), '')) AS n, count(DISTINCT nullif(trim(lan), '')) AS l
  FROM customer_master GROUP BY 1) WHERE a <> '' AND n > 1"""
@@ -804,8 +808,8 @@ steps AS (SELECT *, CASE WHEN n - lag(n) OVER (PARTITION BY doc ORDER BY n, _row
 islands AS (SELECT *, sum(fresh) OVER (PARTITION BY doc ORDER BY n, _row_num) AS island FROM steps),
 ends AS (SELECT doc, count(*) AS len, arg_min(v, n) AS f, arg_max(v, n) AS l FROM islands GROUP BY doc, island HAVING count(*) >= 3)
 SELECT doc AS "Document Type", len AS "Sequence Length",
- CASE WHEN doc = 'Aadhaar' THEN 'XXXXXXXX' || right(f, 4) ELSE substr(f, 1, 24) END AS "First Value",
- CASE WHEN doc = 'Aadhaar' THEN 'XXXXXXXX' || right(l, 4) ELSE substr(l, 1, 24) END AS "Last Value",
+ CASE WHEN doc = 'Aadhaar' THEN 'XXXXXXXX' || right(f, 4) ELSE f END AS "First Value",
+ CASE WHEN doc = 'Aadhaar' THEN 'XXXXXXXX' || right(l, 4) ELSE l END AS "Last Value",
  CASE WHEN len >= 5 THEN 'CRITICAL' ELSE 'HIGH' END AS "Risk" FROM ends"""
     shares = ", ".join(f"({d + 1}, CAST({s} AS DOUBLE))" for d, s in enumerate(forensic.BENFORD_SHARES))
     q["income_benford"] = f"""
@@ -834,7 +838,7 @@ SELECT seg AS "Segment", n AS "Records", {_round('100.0 * (CAST(b AS DOUBLE) / (
 s AS (SELECT seg, avg(n) AS m, stddev_pop(n) AS sd FROM d GROUP BY seg)
 SELECT seg AS "Segment", day AS "Date", n AS "New Customers", {_round('m', 2)} AS "Segment Mean",
  {_round('m + 3 * sd', 2)} AS "Threshold", 'HIGH' AS "Risk"
-FROM d JOIN s USING (seg) WHERE n > m + 3 * sd AND n >= 3 ORDER BY n DESC, seg, day LIMIT 200"""
+FROM d JOIN s USING (seg) WHERE n > m + 3 * sd AND n >= 3 ORDER BY n DESC, seg, day"""
     return {f"cm_{k}": _with(["customer_master"], v) for k, v in q.items()}
 
 

@@ -40,7 +40,7 @@ SELECT o_orderkey + 1 AS _row_num,
  CASE WHEN c_custkey % 73 = 0 THEN '999999' WHEN c_custkey % 79 = 0 THEN '11000' WHEN c_custkey % 103 = 0 THEN ''
    ELSE CAST(110001 + c_nationkey * 1000 + c_custkey % 40 AS STRING) END AS pincode,
  CASE WHEN c_custkey % 83 = 0 THEN '12345' ELSE CAST(100000000000 + pk * 104729 AS STRING) END AS bank_account,
- concat('SBIN0', lpad(CAST(c_nationkey AS STRING), 4, '0')) AS ifsc,
+ CASE WHEN c_custkey % 87 = 5 THEN 'SBIN01234' ELSE concat('SBIN0', lpad(CAST(c_nationkey AS STRING), 6, '0')) END AS ifsc,
  concat('LN', lpad(CAST(o_orderkey - CASE WHEN o_orderkey % 400 = 1 THEN 1 ELSE 0 END AS STRING), 10, '0')) AS lan,
  CASE WHEN o_orderkey % 10 = 0 THEN CAST(9000000000 + o_orderkey % 300 AS STRING) ELSE NULL END AS coapplicant_mobile,
  CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) AS income,

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators.skew import HOT_ROWS, join_key_stats
 
-SHORT = 19
+SHORT = 26  # up to three deletions, at most 2952 signatures of one line
 EPS = 1e-9
 
 
@@ -44,21 +44,28 @@ def light_tokens(sets: DataFrame, min_length: int, heavy_rows: int | None, hot_r
 
 
 def _subsets(deletions: int) -> Column:
-    """All token arrays with exactly this many tokens removed (0, 1 or 2)."""
+    """All token arrays with exactly this many tokens removed (0 to 3)."""
     tokens = F.col("tokens")
     spots = F.sequence(F.lit(0), F.size(tokens) - 1)
     if deletions == 0:
         return F.array(tokens)
     if deletions == 1:
         return F.transform(spots, lambda i: F.filter(tokens, lambda _, k: k != i))
-    return F.flatten(
-        F.transform(
-            spots,
-            lambda i: F.transform(
-                F.filter(spots, lambda j: j > i), lambda j: F.filter(tokens, lambda _, k: (k != i) & (k != j))
-            ),
+    if deletions == 2:
+        return F.flatten(
+            F.transform(
+                spots,
+                lambda i: F.transform(
+                    F.filter(spots, lambda j: j > i), lambda j: F.filter(tokens, lambda _, k: (k != i) & (k != j))
+                ),
+            )
         )
-    )
+    return F.flatten(F.transform(spots, lambda h: F.flatten(F.transform(
+        F.filter(spots, lambda i: i > h),
+        lambda i: F.transform(
+            F.filter(spots, lambda j: j > i), lambda j: F.filter(tokens, lambda _, k: (k != h) & (k != i) & (k != j))
+        ),
+    ))))
 
 
 def signatures(sets: DataFrame, threshold: float, min_shared: int) -> DataFrame:
@@ -67,7 +74,7 @@ def signatures(sets: DataFrame, threshold: float, min_shared: int) -> DataFrame:
     budget = F.floor((1 - threshold) * F.size("tokens") + EPS)
     levels = []
     for d in range(int((1 - threshold) * SHORT + EPS) + 1):
-        if d > 2:
+        if d > 3:
             raise ValueError("threshold too low for deletion signatures")
         empty = F.array().cast("array<array<string>>")
         levels.append(F.when(budget >= d, _subsets(d)).otherwise(empty))
@@ -82,7 +89,7 @@ def signatures(sets: DataFrame, threshold: float, min_shared: int) -> DataFrame:
         "size",
         F.size("part").alias("sig_size"),
         (F.col("size") - F.size("part")).alias("extra"),
-        F.sha2(F.array_join("part", " "), 256).alias("sig"),
+        F.unhex(F.md5(F.array_join("part", " "))).alias("sig"),
     )
 
 

@@ -77,7 +77,7 @@ def shared_rows(df: DataFrame, kinds, salt: str, hot_rows: int = HOT_ROWS) -> Da
 
 
 def _other_ids(shared: DataFrame) -> DataFrame:
-    """(kind, key, ids): the few smallest ids of a key, enough to name SHOWN others.
+    """(kind, key, ids, n_ids): the few smallest ids of a key, enough to name SHOWN others, and how many it has.
 
     The rank filter is applied before the shuffle as well, so a hot key sends at most
     SHOWN + 1 ids from each task.
@@ -85,7 +85,8 @@ def _other_ids(shared: DataFrame) -> DataFrame:
     ids = shared.filter(F.col("cid") != "").select("kind", "key", "cid").distinct()
     place = F.row_number().over(Window.partitionBy("kind", "key").orderBy("cid"))
     few = ids.withColumn("place", place).filter(F.col("place") <= SHOWN + 1)
-    return few.groupBy("kind", "key").agg(F.array_sort(F.collect_list("cid")).alias("ids"))
+    named = few.groupBy("kind", "key").agg(F.array_sort(F.collect_list("cid")).alias("ids"))
+    return named.join(ids.groupBy("kind", "key").agg(F.count("*").alias("n_ids")), ["kind", "key"])
 
 
 def _lan_clashes(shared: DataFrame, group: list[str], hot_rows: int, size: int) -> DataFrame:
@@ -138,7 +139,7 @@ def _lan_clashes(shared: DataFrame, group: list[str], hot_rows: int, size: int)
 def flagged_rows(
     df: DataFrame, kinds, salt: str, scope: str = "person", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """(_row_num, kind, key, ids) of the rows to report.
+    """(_row_num, kind, key, ids, others) of the rows to report: a few other customers and how many there are.
 
     scope="none"      every row of a shared key;
     scope="person"    a key is excused where all its rows belong to one UCID and no loan
@@ -168,12 +169,14 @@ def flagged_rows(
     return met.select(
         "_row_num", "kind", "key",
         F.slice(F.filter("ids", lambda i: i != F.coalesce("cid", F.lit(""))), 1, SHOWN).alias("ids"),
+        (F.col("n_ids") - (F.coalesce("cid", F.lit("")) != "").cast("long")).alias("others"),
     )
 
 
 def _message(rule_id: str) -> Column:
     kind, _, _, pattern = DUPLICATE_RULES[rule_id]
-    names = F.array_join("ids", ", ")
+    more = F.when(F.col("others") > SHOWN, F.concat(F.lit(" and "), (F.col("others") - SHOWN).cast("string"), F.lit(" more")))
+    names = F.concat(F.array_join("ids", ", "), F.coalesce(more, F.lit("")))
     if kind == "aadhaar":
         return say(pattern, names)
     key = F.regexp_replace("key", r"^([^|]*)\|", "$1 / ") if kind == "name_dob" else F.col("key")

@@ -261,13 +261,16 @@ def disbursement(df: DataFrame, period_from: str | None = None, period_to: str |
     return result.orderBy(*asc(*keys.values()))
 
 
-def pivot(df: DataFrame) -> DataFrame:
-    """Every present dimension against every present measure; text loan ids count as 0."""
+def pivot(df: DataFrame, numeric_ids_only: bool = False) -> DataFrame:
+    """Every present dimension against every present measure.
+
+    Loan ids are counted whatever they look like; earlier reports counted only those that are numbers.
+    """
     dims = [d for d in PIVOT_DIMENSIONS if d in df.columns]
     columns = []
     for source, title in PIVOT_MEASURES.items():
         if source in df.columns:
-            value = F.count(amount(df, source)) if source == "loan_id" else total(df, source)
+            value = F.count(amount(df, source) if numeric_ids_only else ref(source)) if source == "loan_id" else total(df, source)
             columns.append(value.alias(title))
     columns += [total(df, c).alias(f"Sum({c})") for c in PIVOT_RAW_MEASURES if c in df.columns]
     if not columns:

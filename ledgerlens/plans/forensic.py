@@ -60,7 +60,7 @@ def address_clustering(df: DataFrame, threshold: int = 5) -> DataFrame:
     )
     risk = F.when(F.col("Distinct Customers") > 2 * threshold, "CRITICAL").otherwise("HIGH")
     return grouped.orderBy(*desc("Distinct Customers"), "__address").select(
-        F.substring("__address", 1, 80).alias("Address (normalized)"), "Distinct Customers", "Loan Accounts",
+        F.col("__address").alias("Address (normalized)"), "Distinct Customers", "Loan Accounts",
         risk.alias("Risk"),
     )
 
@@ -72,6 +72,9 @@ def name_key(df: DataFrame) -> Column:
     return F.trim(F.regexp_replace(F.lower(_value(df, "full_name")), "[^a-z]+", " "))
 
 
+CLOSE_EDITS = 3
+
+
 @F.pandas_udf(T.DoubleType())
 def _name_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Matching-block ratio of two names; the one measure without a built-in form."""
@@ -93,9 +96,53 @@ def _edits(length_sum: Column, threshold: float) -> Column:
     return F.floor(length_sum * (1 - threshold) + 1e-9).cast("int")
 
 
+def _without(text: Column, deletions: int) -> Column:
+    """All texts with exactly this many characters taken out (0 to 3)."""
+    size = F.length(text)
+
+    def cut(t: Column, i: Column) -> Column:
+        return F.concat(F.substr(t, F.lit(1), i), F.substr(t, i + 2))
+
+    if deletions == 0:
+        return F.array(text)
+    spots = F.sequence(F.lit(0), size - 1)
+    one = F.transform(spots, lambda i: F.struct(i.alias("at"), cut(text, i).alias("t")))
+    for _ in range(deletions - 1):  # further characters are taken from what precedes the last one
+        one = F.flatten(F.transform(one, lambda x: F.transform(
+            F.when(x["at"] > 0, F.sequence(F.lit(0), x["at"] - 1)).otherwise(F.array().cast("array<int>")),
+            lambda i: F.struct(i.alias("at"), cut(x["t"], i).alias("t")))))
+    return F.array_distinct(F.transform(one, lambda x: x["t"]))
+
+
+def close_name_pairs(profiles: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of names that may differ by up to CLOSE_EDITS insertions and deletions and can reach the ratio.
+
+    The matched characters of a pair are left when each name loses its unmatched ones, so names meet on what is left after up to
+    CLOSE_EDITS deletions. Only pairs that are that near meet: a first name that half of a block bears makes no pairs.
+    """
+    size = F.length("name")
+    longest = F.floor(size * ((2 - threshold) / threshold) + 1e-9).cast("int")
+    budget = F.least(F.lit(CLOSE_EDITS), _edits(size + F.greatest(longest, size), threshold), size - 1)
+    none = F.array().cast("array<string>")
+    levels = [F.when(budget >= d, _without(F.col("name"), d)).otherwise(none) for d in range(CLOSE_EDITS + 1)]
+    # two names of a pair cannot both be too long for their common budget
+    usable = profiles.filter(_edits(2 * F.ceil(size * (threshold / (2 - threshold)) - 1e-9), threshold) <= CLOSE_EDITS)
+    rests = usable.select("block", "pid", "name", F.explode(F.flatten(F.array(*levels))).alias("rest"))
+    held = rests.groupBy("block", "rest").count().filter("count > 1").select("block", "rest")
+    met = rests.join(held, ["block", "rest"])  # most are met by nobody
+    other = met.select("block", "rest", F.col("pid").alias("b"), F.col("name").alias("name_b"))
+    both = F.length("name") + F.length("name_b")
+    unmatched = both - 2 * F.length("rest")
+    pairs = met.join(other, ["block", "rest"]).filter(
+        (F.col("pid") < F.col("b")) & (F.col("name") != F.col("name_b"))
+        & (unmatched <= _edits(both, threshold)) & (_edits(both, threshold) <= CLOSE_EDITS))
+    return pairs.select("block", F.col("pid").alias("a"), "b", F.col("name").alias("name_a"), "name_b")
+
+
 def name_pair_candidates(profiles: DataFrame, threshold: float) -> DataFrame:
     """Pairs of profiles of one block that can reach the ratio; complete by construction.
 
+    Pairs that may differ by up to CLOSE_EDITS come from close_name_pairs; longer ones as follows.
     A ratio of t leaves at most D = (1 - t) * (|a| + |b|) unmatched characters. The
     shorter name is cut into D + 1 pieces, of which at least one appears unchanged in the
     longer name, shifted by at most D places. Names meet on equal pieces of equal place.
@@ -113,7 +160,7 @@ def name_pair_candidates(profiles: DataFrame, threshold: float) -> DataFrame:
     )
     short = profiles.select(
         "block", F.col("pid").alias("a"), F.col("name").alias("name_a"), F.explode(budgets).alias("budget")
-    )
+    ).filter(F.col("budget") > CLOSE_EDITS)
     short_size = F.length("name_a")
     count = pieces(short_size, F.col("budget"))
 
@@ -135,7 +182,7 @@ def name_pair_candidates(profiles: DataFrame, threshold: float) -> DataFrame:
     probe = profiles.select(
         "block", F.col("pid").alias("b"), F.col("name").alias("name_b"),
         F.explode(F.sequence(F.greatest(least, F.lit(1)), size)).alias("len_a"),
-    ).withColumn("budget", _edits(F.col("len_a") + F.length("name_b"), threshold))
+    ).withColumn("budget", _edits(F.col("len_a") + F.length("name_b"), threshold)).filter(F.col("budget") > CLOSE_EDITS)
     n = pieces(F.col("len_a"), F.col("budget"))
     probe = probe.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("piece"), n.alias("n"))
     begin = start(F.col("piece"), F.col("n"), F.col("len_a"))
@@ -153,15 +200,16 @@ def name_pair_candidates(profiles: DataFrame, threshold: float) -> DataFrame:
     met = indexed.join(probe, ["block", "len_a", "budget", "piece", "text"]).filter(F.col("a") != F.col("b"))
     low, high = F.least("a", "b"), F.greatest("a", "b")
     ahead = F.col("a") < F.col("b")
-    return met.select(
+    far = met.select(
         "block", low.alias("a"), high.alias("b"),
         F.when(ahead, F.col("name_a")).otherwise(F.col("name_b")).alias("name_a"),
         F.when(ahead, F.col("name_b")).otherwise(F.col("name_a")).alias("name_b"),
     ).filter(F.col("name_a") != F.col("name_b"))
+    return far.unionByName(close_name_pairs(profiles, threshold))
 
 
 def name_similarity(
-    df: DataFrame, threshold: float = 0.92, block_cap: int | None = None, top_n: int | None = 500
+    df: DataFrame, threshold: float = 0.92, block_cap: int | None = None, top_n: int | None = None
 ) -> DataFrame:
     """Near-equal names inside one pincode whose PANs do not prove them the same person.
 
@@ -219,8 +267,8 @@ def name_similarity(
     shown_a = F.when(ahead, F.col("sa")).otherwise(F.col("sb"))
     shown_b = F.when(ahead, F.col("sb")).otherwise(F.col("sa"))
     result = lines.filter((score >= threshold) & ~same_person).select(
-        F.substring(shown_a, 1, 40).alias("Name A"),
-        F.substring(shown_b, 1, 40).alias("Name B"),
+        shown_a.alias("Name A"),
+        shown_b.alias("Name B"),
         F.round(score.cast("decimal(20,12)"), 3).cast("double").alias("Similarity"),
         F.when(F.col("block") == "_ALL_", "").otherwise(F.col("block")).alias("Pincode"),
         pans.cast("int").alias("Distinct PAN"),
@@ -255,13 +303,23 @@ def email_domain_anomalies(df: DataFrame, shared_threshold: int = 10) -> DataFra
 
 
 def _longest_digits(value: Column) -> Column:
-    """The first of the longest runs of three or more digits, as an exact number."""
+    """The first of the longest runs of three or more digits, without leading zeros; any length."""
     runs = F.regexp_extract_all(value, F.lit(r"(\d{3,})"))
     longest = F.array_max(F.transform(runs, lambda r: F.length(r)))
-    return F.get(F.filter(runs, lambda r: F.length(r) == longest), F.lit(0)).try_cast("decimal(38,0)")
+    first = F.get(F.filter(runs, lambda r: F.length(r) == longest), F.lit(0))
+    return F.regexp_replace(first, "^0+(?=.)", "")
 
 
-def sequential_documents(df: DataFrame, span: int = 100_000) -> DataFrame:
+def _successor(digits: Column) -> Column:
+    """The number after this one, both as digits without leading zeros; null stays null."""
+    nines = F.length(F.regexp_extract(digits, "(9*)$", 1))
+    head = F.substr(digits, F.lit(1), F.length(digits) - nines)
+    last = F.coalesce(F.right(head, F.lit(1)).try_cast("int"), F.lit(0)) + 1
+    kept = F.substr(head, F.lit(1), F.greatest(F.length(head) - 1, F.lit(0)))
+    return F.when(digits.isNotNull(), F.concat(kept, last.cast("string"), F.repeat(F.lit("0"), nines)))
+
+
+def sequential_documents(df: DataFrame) -> DataFrame:
     """Runs of three or more document numbers that follow each other by one.
 
     Walking the rows in number order, a run goes on while the next row is exactly one
@@ -287,11 +345,11 @@ def sequential_documents(df: DataFrame, span: int = 100_000) -> DataFrame:
     rows = numbers.select(
         "doc", "n", F.inline(F.when(F.col("held") > 1, F.array(first, last)).otherwise(F.array(first)))
     )
-    runs = _consecutive_runs(rows, span).filter("length >= 3")
+    runs = _consecutive_runs(rows).filter("length >= 3")
 
     def shown(name: str) -> Column:
         masked = F.concat(F.lit("XXXXXXXX"), F.right(name, F.lit(4)))
-        return F.when(F.col("doc") == DOCUMENTS["aadhaar"], masked).otherwise(F.substring(name, 1, 24))
+        return F.when(F.col("doc") == DOCUMENTS["aadhaar"], masked).otherwise(F.col(name))
 
     return runs.select(
         F.col("doc").alias("Document Type"), F.col("length").alias("Sequence Length"),
@@ -300,16 +358,20 @@ def sequential_documents(df: DataFrame, span: int = 100_000) -> DataFrame:
     ).orderBy(*desc("Sequence Length"), *asc("Document Type", "First Value"))
 
 
-def _consecutive_runs(rows: DataFrame, span: int) -> DataFrame:
-    """(doc, length, first, last) of the runs in (doc, n, copy, value) rows.
+STRETCH_DIGITS = 5
+
+
+def _consecutive_runs(rows: DataFrame) -> DataFrame:
+    """(doc, length, first, last) of the runs in (doc, n, copy, value) rows; n holds digits of any length.
 
-    The number line is cut into stretches of `span`, so a window never holds more than
-    2 * span rows. Runs that touch a stretch border are then chained by a window over
-    at most two lines per stretch.
+    The number line is cut into stretches that share all but the last STRETCH_DIGITS digits, so a window never
+    holds more than twice 10 ** STRETCH_DIGITS rows. Only runs that touch a stretch border are then chained, stretch
+    to stretch: two lines per stretch at most.
     """
-    stretch = (F.col("n") - F.pmod("n", F.lit(span).cast("decimal(38,0)"))).cast("decimal(38,0)")
+    span, long = 10**STRETCH_DIGITS, F.length("n") > STRETCH_DIGITS
+    head = F.when(long, F.substr("n", F.lit(1), F.length("n") - STRETCH_DIGITS)).otherwise("0")
+    cut = rows.select("doc", "copy", "value", head.alias("stretch"), F.right("n", F.lit(STRETCH_DIGITS)).cast("int").alias("n"))
     inside = Window.partitionBy("doc", "stretch").orderBy("n", "copy")
-    cut = rows.withColumn("stretch", stretch)
     fresh = F.coalesce(F.lag("n").over(inside) != F.col("n") - 1, F.lit(True)).cast("int")
     numbered = cut.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(inside))
     at = F.struct("n", "copy")
@@ -317,19 +379,20 @@ def _consecutive_runs(rows: DataFrame, span: int) -> DataFrame:
         F.count("*").alias("length"), F.min("n").alias("low"), F.max("n").alias("high"),
         F.min_by("copy", at).alias("low_copy"), F.min_by("value", at).alias("first"), F.max_by("value", at).alias("last"),
     ).withColumn("last_run", F.max("run").over(Window.partitionBy("doc", "stretch")) == F.col("run"))
-    left = (F.col("low") == F.col("stretch")) & (F.col("low_copy") == 0)
-    right = (F.col("high") == F.col("stretch") + (span - 1)) & F.col("last_run")
+    left = (F.col("low") == 0) & (F.col("low_copy") == 0)
+    right = (F.col("high") == span - 1) & F.col("last_run")
     pieces = pieces.withColumn("left", left).withColumn("right", right)
     closed = pieces.filter(~F.col("left") & ~F.col("right")).select("doc", "length", "first", "last")
 
-    along = Window.partitionBy("doc").orderBy("low", "high")
-    goes_on = F.col("left") & F.lag("right").over(along) & (F.lag("high").over(along) == F.col("low") - 1)
+    place = F.struct(F.length("stretch"), "stretch", "low", "high")
+    along = Window.partitionBy("doc").orderBy(place)
+    goes_on = F.col("left") & F.lag("right").over(along) & (_successor(F.lag("stretch").over(along)) == F.col("stretch"))
     chained = (
         pieces.filter(F.col("left") | F.col("right"))
         .withColumn("fresh", (~F.coalesce(goes_on, F.lit(False))).cast("int"))
         .withColumn("chain", F.sum("fresh").over(along))
         .groupBy("doc", "chain")
-        .agg(F.sum("length").alias("length"), F.min_by("first", "low").alias("first"), F.max_by("last", "high").alias("last"))
+        .agg(F.sum("length").alias("length"), F.min_by("first", place).alias("first"), F.max_by("last", place).alias("last"))
         .drop("chain")
     )
     return closed.unionByName(chained)
@@ -397,7 +460,7 @@ def kyc_by_branch(df: DataFrame) -> DataFrame:
     ).orderBy(*desc("Avg KYC Null %"), *asc("Segment"))
 
 
-def onboarding_velocity(df: DataFrame, top_n: int | None = 200) -> DataFrame:
+def onboarding_velocity(df: DataFrame, top_n: int | None = None) -> DataFrame:
     """Segment-days above the segment's mean plus three population deviations.
 
     Days are counted first and the moments are taken from the counts by aggregation,

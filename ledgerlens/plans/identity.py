@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import documents as doc
@@ -14,7 +14,8 @@ from ledgerlens.plans.link_keys import PERSON_KINDS, link_table
 from ledgerlens.plans.row_rules import found, say
 from ledgerlens.session import materialize
 
-# Groups up to this size are named by the hash of all their member positions.
+# A group's positions, in order, are hashed in blocks of so many. One block's hash is the group's name; the hashes
+# of several blocks are hashed together.
 LISTED_MEMBERS = 50_000
 
 
@@ -54,26 +55,32 @@ def _position(row_num: str = "_row_num") -> Column:
 
 
 def _listed_name() -> Column:
-    """Name of a group from all its sorted positions; only for groups of bounded size."""
+    """Name of one block of sorted positions."""
     positions = F.array_sort(F.collect_list(F.col("node") - 1))
     return hex_hash(F.array_join(positions.cast("array<string>"), ","), 16)
 
 
-def _summed_name() -> Column:
-    """Name of a group too large to list: order-free totals over its members."""
-    mark = F.conv(hex_hash(_position("node"), 15), 16, 10).cast("decimal(38,0)")
-    totals = F.concat_ws(
-        ",", F.min("node").cast("string"), F.max("node").cast("string"),
-        F.count("*").cast("string"), F.sum(mark).cast("string"),
-    )
-    return hex_hash(totals, 16)
+def _block_names(members: DataFrame, block: int) -> DataFrame:
+    """(component, ucid) of groups of more than one block.
+
+    The place of a member in its group comes from counts per range of positions, so no window holds a whole group.
+    """
+    cut = members.withColumn("range", F.floor((F.col("node") - 1) / block))
+    before = Window.partitionBy("component").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.groupBy("component", "range").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    within = Window.partitionBy("component", "range").orderBy("node")
+    placed = cut.join(counts, ["component", "range"]).withColumn("place", F.col("before") + F.row_number().over(within) - 1)
+    names = placed.groupBy("component", F.floor(F.col("place") / block).alias("at")).agg(_listed_name().alias("name"))
+    in_order = F.array_sort(F.collect_list(F.struct("at", "name")))  # one line per block
+    joined = F.array_join(F.transform(in_order, lambda b: b["name"]), ",")
+    return names.groupBy("component").agg(hex_hash(joined, 16).alias("ucid"))
 
 
 def _name_groups(members: DataFrame, groups: DataFrame, listed: int, hot_rows: int) -> DataFrame:
-    """Adds ucid where some group is too large to list."""
+    """Adds ucid where some group has more than one block."""
     sized = join_key_stats(members, groups, ["component"], "ucid_size", hot_rows)
     small = sized.filter(F.col("ucid_size") <= listed).groupBy("component").agg(_listed_name().alias("ucid"))
-    large = sized.filter(F.col("ucid_size") > listed).groupBy("component").agg(_summed_name().alias("ucid"))
+    large = _block_names(sized.filter(F.col("ucid_size") > listed).select("component", "node"), listed)
     return groups.join(small.unionByName(large), "component")
 
 

@@ -13,6 +13,7 @@ from ledgerlens.functions.severity import (
     severity_rank,
 )
 from ledgerlens.functions.values import is_blank_raw, percent, ref, share, text, unpivot
+from ledgerlens.operators.ordering import number_rows
 from ledgerlens.plans.engine import CATEGORIES, category_of, describe_rules
 from ledgerlens.plans.exposure import field_fill
 from ledgerlens.plans.report import NotAvailable, asc, desc, require
@@ -168,22 +169,25 @@ def reconciliation(ingested: DataFrame, wide: DataFrame) -> DataFrame:
     )
 
 
-def detailed_exceptions(wide: DataFrame, max_rows: int = 50_000) -> DataFrame:
-    """The first rows that are not OK, masked and numbered; the long table has them all."""
-    first = mask_sensitive(wide.filter("overall_status <> 'OK'")).orderBy("_row_num").limit(max_rows)
+def detailed_exceptions(wide: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """All rows that are not OK (or the first max_rows), masked and numbered in order."""
+    rows = mask_sensitive(wide.filter("overall_status <> 'OK'")).orderBy("_row_num")
+    if max_rows is None:
+        return number_rows(rows, "Ref #").select(F.col("Ref #").cast("int").alias("Ref #"), *[ref(c) for c in rows.columns])
+    first = rows.limit(max_rows)
     numbered = F.row_number().over(Window.orderBy("_row_num"))  # over max_rows rows
     return first.select(numbered.alias("Ref #"), *[ref(c) for c in first.columns])
 
 
-def control_tests(sample: DataFrame, wide: DataFrame, max_rows: int = 5_000) -> DataFrame:
-    """Sampled rows with their customer, loan and the control each one tests."""
+def control_tests(sample: DataFrame, wide: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Sampled rows (or the first max_rows) with their customer, loan and the control each one tests."""
     level, codes = F.col("criticality"), F.col("exception_codes")
     doubled = codes.contains("DUP")
     gaps = codes.contains("MISSING") | codes.contains("INCOMPLETE")
-    first = sample.orderBy("sample_no").limit(max_rows)
+    first = sample if max_rows is None else sample.orderBy("sample_no").limit(max_rows)
     who = wide.select(
         "_row_num", *[text(wide, c).alias(c) for c in ("customer_id", "full_name", "lan")]
-    ).join(F.broadcast(first.select("_row_num")), "_row_num", "left_semi")  # at most max_rows row numbers
+    )
     return first.join(who, "_row_num", "left").select(
         F.col("sample_no").alias("Sample#"),
         F.col("customer_id").alias("Customer_ID"),

@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.operators.components import connected_components
 from ledgerlens.operators.skew import join_key_stats
@@ -80,6 +81,21 @@ def test_large_groups_are_named_without_listing(spark):
     grouped = unique_customers(df, "s", None, listed_members=3)
     got = ucid_columns(df, grouped).collect()
     assert len({r["ucid"] for r in got}) == 2 and {r["ucid_size"] for r in got} == {8, 1}
+    mark = lambda text: hashlib.sha256(text.encode()).hexdigest()[:16]
+    assert got[0]["ucid"] == mark(",".join([mark("0,1,2"), mark("3,4,5"), mark("6,7")]))
+    whole = unique_customers(df, "s", None).collect()
+    assert {r["ucid"] for r in whole} == {mark("0,1,2,3,4,5,6,7")}
+
+
+def test_long_template_addresses_make_few_edges(spark):
+    words, counts = [f"street{chr(97 + i)}" for i in range(21)], []
+    for n in (100, 200, 400):
+        rows_ = [(i, f"C{i}", "", "", "", "", "KA", f"L{i}") for i in range(1, n + 1)]
+        df = people(spark, rows_).withColumn("address_line1", F.concat(F.lit(" ".join(words) + " plot"), F.col("_row_num").cast("string")))
+        edges = AddressBook(df).edges()
+        counts.append(edges.count())
+    print(counts)
+    assert counts[2] < 4.5 * counts[0]
 
 
 def test_distinct_loans_of_one_person_are_no_duplicate(spark):

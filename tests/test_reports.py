@@ -70,8 +70,9 @@ def test_period_ignores_bad_bounds(book):
     assert exposure.disbursement(book).count() == 3
 
 
-def test_pivot_counts_text_ids_as_zero(book):
-    assert {r["Count(AGREEMENTID_R)"] for r in exposure.report(book, "pivot").collect()} == {0}
+def test_pivot_counts_loan_ids_of_any_form(book):
+    assert sum(r["Count(AGREEMENTID_R)"] for r in exposure.report(book, "pivot").collect()) == book.filter("loan_id IS NOT NULL").count()
+    assert {r["Count(AGREEMENTID_R)"] for r in exposure.pivot(book, numeric_ids_only=True).collect()} == {0}
 
 
 def test_all_reports_plan_or_explain(spark, book):
@@ -127,12 +128,13 @@ def runs_by_hand(numbers):
     return sorted(n for n in [*out, len(run)] if n >= 3)
 
 
-@pytest.mark.parametrize("span", [3, 10, 100_000])
-def test_document_runs_break_at_ties(spark, span):
-    rng = random.Random(span)
+@pytest.mark.parametrize("digits", [1, 2, 5])
+def test_document_runs_break_at_ties(spark, monkeypatch, digits):
+    monkeypatch.setattr(forensic, "STRETCH_DIGITS", digits)
+    rng = random.Random(digits)
     numbers = sorted(rng.choice(range(100, 190)) for _ in range(90))
     df = spark.createDataFrame([(i, f"ab{n}c") for i, n in enumerate(numbers)], "_row_num long, pan string")
-    got = sorted(r["Sequence Length"] for r in forensic.sequential_documents(df, span).collect())
+    got = sorted(r["Sequence Length"] for r in forensic.sequential_documents(df).collect())
     assert got == runs_by_hand(numbers)
 
 
@@ -167,7 +169,7 @@ def test_similar_names_match_all_pairs(spark):
             if pin == pin2 and key(a) and key(b) and key(a) != key(b) and not (pa and pa == pb):
                 score = SequenceMatcher(None, key(a), key(b)).ratio()
                 if score >= 0.92:
-                    wanted.add((a[:40], b[:40], pin, round(score, 3)))
+                    wanted.add((a, b, pin, round(score, 3)))
     assert got == wanted and wanted
 
 
@@ -193,3 +195,21 @@ def test_shared_addresses_and_domains(spark):
     assert (a[0], a["Distinct Customers"], a["Risk"]) == ("12 main road pune", 11, "CRITICAL")
     [d] = forensic.email_domain_anomalies(df).collect()
     assert d["Anomaly Type"] == "Disposable + Shared"
+
+
+def test_template_names_make_few_candidates(spark):
+    rng, counts = random.Random(3), []
+    for n in (250, 500, 1000):
+        rows_ = [(i, "", "rajesh kumar " + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))) for i in range(n)]
+        names = spark.createDataFrame(rows_, "pid long, block string, name string")
+        counts.append(forensic.name_pair_candidates(names, 0.92).count())
+    print(counts)
+    assert counts[2] < 1000
+
+
+def test_document_runs_of_any_length(spark):
+    base = int("9" * 38 + "99997")
+    values = [str(base + i) for i in range(7)] + [f"X{100 + i:05d}" for i in (0, 1, 2, 5)] + ["0099999", "0100000", "0100001"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "_row_num long, voter_id string")
+    got = {(r["Sequence Length"], r["First Value"], r["Last Value"]) for r in forensic.sequential_documents(df).collect()}
+    assert got == {(7, str(base), str(base + 6)), (3, "X00100", "X00102"), (3, "0099999", "0100001")}
