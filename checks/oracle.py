@@ -949,7 +949,26 @@ SELECT _row_num, m_state AS state_name, m_district AS district FROM located WHER
     }
 
 
-def oracle_sql() -> dict[str, str]:
+def _counted(name: str, parts: dict[str, str], extra: str = "") -> str:
+    """Rows of each named text, one line per name."""
+    return " UNION ALL ".join(f"SELECT '{k}' AS {name}{extra}, count(*) AS rows FROM ({sql}) part" for k, sql in parts.items())
+
+
+def _runners(texts: dict[str, str]) -> dict[str, str]:
+    from ledgerlens.plans.duplicates import DUPLICATE_RULES
+
+    codes = " ".join(f"WHEN '{kind}' THEN '{code}'" for kind, code, *_ in DUPLICATE_RULES.values())
+    keys = _keys([kind for kind, *_ in DUPLICATE_RULES.values()])
     return {
+        "ead_run_all": _counted("report", {k: texts[f"ead_{k}"] for k in exposure.REPORTS}, ", true AS ran"),
+        "screens_run_all": _counted("screen", {k: texts[f"cm_{k}"] for k in forensic.SCREENS if f"cm_{k}" in texts}),
+        "duplicate_breakdown": _with(["customer_master"], keys + SHARED + f"""
+SELECT CASE kind {codes} END AS exception_code, count(*) AS count FROM shared JOIN ids USING (kind, key) GROUP BY 1"""),
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    texts = {
         **_exposure(), **_row_rule_queries(), **_outputs(), **_identity(), **_customer(), **_book(), **_sources()
     }
+    return {**texts, **_runners(texts)}

@@ -41,6 +41,19 @@ def _exposure_queries() -> dict[str, Query]:
             F.count("loan_id").alias("loans"), F.sum("ead").cast("double").alias("Total EAD")
         )
 
+    def run_all(spark, sf):
+        """Every report through the runner: its rows, or the note why it has none."""
+        results = exposure.run_exposure_reports(view(spark, sf, "exposure"), None, "1996-04-01", "1997-03-31")
+        counted = [
+            r.as_frame(spark).agg(F.count("*").alias("rows")).select(F.lit(k).alias("report"), F.lit(r.df is not None).alias("ran"), "rows")
+            for k, r in results.items()
+        ]
+        merged = counted[0]
+        for frame in counted[1:]:
+            merged = merged.unionByName(frame)
+        return merged
+
+    q["ead_run_all"] = run_all
     q["ead_stats"] = _on("exposure", exposure.summary_stats)
     q["ead_months"] = _on("exposure", exposure.snapshot_months)
     q["ead_dates"] = _on("exposure", exposure.snapshot_dates)
@@ -176,6 +189,24 @@ def _customer_queries() -> dict[str, Query]:
         return customer.duplication_summary(rows.select("finding.rule_id", "finding.status"))
 
     q["cm_duplication_summary"] = duplication
+
+    def breakdown(spark, sf):
+        """Rows per duplicate code of the whole master."""
+        checked = engine.run_rules(view(spark, sf, "customer_master"), SALT, list(duplicates.DUPLICATE_RULES), scope="none")
+        return outputs.duplicate_breakdown(outputs.wide_exceptions(checked))
+
+    q["duplicate_breakdown"] = breakdown
+
+    def screens(spark, sf):
+        """Every screen through the runner, counted."""
+        results = forensic.run_screens(view(spark, sf, "customer_master"), [k for k in forensic.SCREENS if k != "name_similarity"])
+        merged = None
+        for k, r in results.items():
+            one = r.as_frame(spark).agg(F.count("*").alias("rows")).select(F.lit(k).alias("screen"), "rows")
+            merged = one if merged is None else merged.unionByName(one)
+        return merged
+
+    q["screens_run_all"] = screens
     return q
 
 

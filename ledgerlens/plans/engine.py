@@ -16,8 +16,8 @@ from ledgerlens.operators.skew import HOT_ROWS
 from ledgerlens.plans.addresses import AddressBook
 from ledgerlens.plans.duplicates import ADDRESS_RULE, DUPLICATE_RULES, address_findings, duplicate_findings
 from ledgerlens.plans.identity import beneficiary_columns, ucid_columns, unique_customers
-from ledgerlens.plans.row_rules import PIN_RULES, ROW_RULES, Fields, no_findings, row_findings, with_pin_lookup
-from ledgerlens.session import materialize
+from ledgerlens.plans.row_rules import FINDING, PIN_RULES, ROW_RULES, Fields, no_findings, row_findings, with_pin_lookup
+from ledgerlens.session import materialize, scratch
 
 # category -> (label, rules)
 CATEGORIES = {
@@ -56,7 +56,8 @@ NUMERIC_COLUMNS = (
 class UserRule:
     rule_id: str
     description: str
-    build: Callable[[Fields], Column]
+    build: Callable
+    whole_table: bool = False
 
 
 _USER_RULES: dict[str, UserRule] = {}
@@ -69,6 +70,13 @@ def register_rule(rule_id: str, description: str, build: Callable[[Fields], Colu
     _USER_RULES[rule_id] = UserRule(rule_id, description, build)
 
 
+def register_table_rule(rule_id: str, description: str, build: Callable[[DataFrame], DataFrame]) -> None:
+    """Add a rule over the whole table: from the rows to (_row_num, finding), one line per row that fails."""
+    if rule_id in RULE_ORDER or rule_id in _USER_RULES:
+        raise ValueError(f"rule {rule_id!r} exists already")
+    _USER_RULES[rule_id] = UserRule(rule_id, description, build, whole_table=True)
+
+
 def unregister_rule(rule_id: str) -> None:
     _USER_RULES.pop(rule_id, None)
 
@@ -125,7 +133,16 @@ def _one(finding: Column) -> Column:
     return F.when(finding.isNull(), no_findings()).otherwise(F.array(finding))
 
 
-def run_rules(
+def run_rules(df: DataFrame, salt: str, *args, progress: Callable[[str], None] | None = None, **options) -> DataFrame:
+    """Every row with an `exceptions` array of the findings of the selected rules, written once; see _run_rules for the options.
+
+    Tables that were written on the way are deleted. `progress` is told each step as it begins.
+    """
+    with scratch() as keep:
+        return keep(_run_rules(df, salt, *args, progress=progress or (lambda step: None), **options))
+
+
+def _run_rules(
     df: DataFrame,
     salt: str,
     rules=None,
@@ -136,8 +153,10 @@ def run_rules(
     scope: str = "person",
     heavy_rows: int | None = None,
     hot_rows: int = HOT_ROWS,
+    *,
+    progress: Callable[[str], None],
 ) -> DataFrame:
-    """Every row with an `exceptions` array of the findings of the selected rules, written once.
+    """Every row with its findings.
 
     Row rules are columns of one select. Cross-row rules work on narrow key tables and
     come back through one join on the row number. With `ucid` selected the result also
@@ -151,9 +170,11 @@ def run_rules(
     parts: list[tuple[str, Column]] = []  # (rule the part is placed at, array of findings)
 
     addresses = None
+    progress("addresses")
     if "address_line1" in base.columns and ("ucid" in chosen or ADDRESS_RULE[0] in chosen):
         addresses = AddressBook(base, heavy_rows, hot_rows)
     if "ucid" in chosen:
+        progress("ucid")
         grouped = materialize(unique_customers(base, salt, addresses, hot_rows), "ucids")  # read twice below
         table = ucid_columns(table, grouped)
         parts.append(("ucid", _one(F.col("__ucid_finding"))))
@@ -163,12 +184,17 @@ def run_rules(
     findings = None
     exact = [r for r in DUPLICATE_RULES if r in chosen]
     if exact:
+        progress("duplicates")
         findings = duplicate_findings(table, exact, salt, scope, hot_rows)
     if ADDRESS_RULE[0] in chosen and addresses is not None:
         near = address_findings(addresses.duplicate_rows())
         findings = near if findings is None else findings.unionByName(near)
+    for r in [u for u in _USER_RULES.values() if u.whole_table and u.rule_id in chosen]:
+        own = r.build(table).select("_row_num", F.col("finding").cast(FINDING).alias("finding")).filter("finding IS NOT NULL")
+        own = own.withColumn("finding", F.col("finding").withField("rule_id", F.lit(r.rule_id)))
+        findings = own if findings is None else findings.unionByName(own)
     if findings is not None:
-        place = {r: i for i, r in enumerate([*DUPLICATE_RULES, ADDRESS_RULE[0]])}
+        place = {r: i for i, r in enumerate([*DUPLICATE_RULES, ADDRESS_RULE[0], *_USER_RULES])}
         spot = F.create_map(*[F.lit(v) for pair in place.items() for v in pair])
         listed = F.array_sort(F.collect_list(F.struct(spot[F.col("finding.rule_id")].alias("at"), "finding")))
         per_row = findings.groupBy("_row_num").agg(listed["finding"].alias("__shared_findings"))
@@ -187,9 +213,10 @@ def run_rules(
     if late:
         parts.append((late[0], row_findings(fields, late)))
     for r in _USER_RULES.values():
-        if r.rule_id in chosen:
+        if r.rule_id in chosen and not r.whole_table:
             parts.append((r.rule_id, _one(r.build(fields))))
 
+    progress("rows")
     parts.sort(key=lambda p: order[p[0]])
     exceptions = F.concat(no_findings(), *[p[1] for p in parts])
     return materialize(Fields.unstage(fields.table.withColumn("exceptions", exceptions)), "checked")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,22 +104,19 @@ def is_closed(status: Column) -> Column:
 def last_snapshot(df: DataFrame) -> DataFrame:
     """Rows of the latest business_date; the frame itself when there is no usable date.
 
-    The maximum is an uncorrelated scalar subquery over one column, so there is no
-    join, and a date-typed partition column is pruned by plain equality.
+    The texts (or the date) that mean the latest day are found first, by a small job over that one column, so what
+    is left is a plain IN that prunes partitions and reaches the scan. One day has few spellings.
     """
     if "business_date" not in df.columns:
         return df
     raw = ref("business_date")
-    if isinstance(df.schema["business_date"].dataType, T.DateType):
-        return df.filter(raw == df.agg(F.max(raw)).scalar())
-    day = iso_date(df, "business_date")
-    latest = df.agg(F.struct(F.max(day).alias("day"), F.max(raw).alias("raw")).alias("latest")).scalar()
-    chosen = (
-        F.when(latest["day"].isNotNull(), day == latest["day"])
-        .when(latest["raw"].isNotNull(), raw == latest["raw"])
-        .otherwise(True)
-    )
-    return df.filter(chosen)
+    seen = df.select(raw.alias("raw")).filter("raw IS NOT NULL").distinct()
+    dated = isinstance(df.schema["business_date"].dataType, T.DateType)
+    days = seen.groupBy((F.col("raw") if dated else iso_date(seen, "raw")).alias("day")).agg(F.collect_set("raw").alias("texts"), F.max("raw").alias("last"))
+    latest = days.agg(F.max_by(F.struct("day", "texts"), "day").alias("dated"), F.max("last").alias("last")).first()
+    if latest["dated"] is not None and latest["dated"]["day"] is not None:
+        return df.filter(raw.isin(*latest["dated"]["texts"]))
+    return df if latest["last"] is None else df.filter(raw == latest["last"])
 
 
 @dataclass
@@ -215,13 +214,14 @@ def _ordered(result: DataFrame, order, keys) -> DataFrame:
     return result.orderBy(*[(desc if way == "desc" else asc)(n)[0] for n, way in named])
 
 
-def grouped_report(df: DataFrame, key: str) -> DataFrame:
+def grouped_report(df: DataFrame, key: str, latest: Callable[[DataFrame], DataFrame] = last_snapshot) -> DataFrame:
+    """A report that is one group-by; `latest` gives the rows of the last snapshot."""
     spec = GROUPINGS[key]
     require(df, *spec.needs)
     keys = {k: t for k, t in spec.keys.items() if k in df.columns}
     if len(keys) < spec.min_keys:
         raise NotAvailable(f"{' / '.join(spec.keys)} columns not available")
-    source = last_snapshot(df) if spec.latest_only else df
+    source = latest(df) if spec.latest_only else df
     result = _summarise(source, keys, spec.measures, "Loan Count")
     if spec.coverage and set(spec.coverage[:2]) <= set(result.columns):
         part, whole, title = spec.coverage
@@ -453,7 +453,7 @@ def report(df: DataFrame, key: str, **options) -> DataFrame:
     """One report by key; raises NotAvailable when its columns are absent."""
     if key not in REPORTS:
         raise KeyError(key)
-    return grouped_report(df, key) if key in GROUPINGS else globals()[key](df, **options)
+    return grouped_report(df, key, **options) if key in GROUPINGS else globals()[key](df, **options)
 
 
 def run_exposure_reports(
@@ -462,11 +462,14 @@ def run_exposure_reports(
     period_from: str | None = None,
     period_to: str | None = None,
 ) -> dict[str, ReportResult]:
-    """All selected reports as lazy plans over one frame; persist the frame before acting on many."""
+    """All selected reports as lazy plans over one frame, whose last snapshot is found once."""
     chosen = [k for k in REPORTS if keys is None or k in keys]
     results = {}
+    latest = cache(lambda: last_snapshot(df))
     for key in chosen:
         options = {"period_from": period_from, "period_to": period_to} if key == "disbursement" else {}
+        if key in GROUPINGS:
+            options = {"latest": lambda _: latest()}
         results[key] = plan_report(key, lambda frame, key=key, **o: report(frame, key, **o), df, **options)
     return results
 

@@ -5,11 +5,15 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK_DIRS: dict[str, str] = {}
+_OWNED: ContextVar[list[DataFrame] | None] = ContextVar("owned", default=None)
 
 
 def build_session(app_name: str = "ledgerlens", master: str | None = None, **conf) -> SparkSession:
@@ -60,9 +64,37 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     written = spark.read.schema(df.schema).parquet(path)
     written._written_path = path
     written._written_rows = seen.get["rows"]
+    if _OWNED.get() is not None:
+        _OWNED.get().append(written)
     return written
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Owns the tables that materialize() writes inside and deletes them at the end, but for those that are passed to what it yields.
+
+    Use it where the result is written inside, so that no plan refers to the other tables any more.
+    """
+    owned: list[DataFrame] = []
+    token = _OWNED.set(owned)
+    kept: set[str | None] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(getattr(df, "_written_path", None))
+        return df
+
+    try:
+        yield keep
+    finally:
+        _OWNED.reset(token)
+        outer = _OWNED.get()
+        for df in owned:
+            if df._written_path not in kept:
+                discard(df)
+            elif outer is not None:
+                outer.append(df)
+
+
 def row_count(df: DataFrame) -> int | None:
     """Rows of a frame made by materialize(), None for any other frame."""
     return getattr(df, "_written_rows", None)

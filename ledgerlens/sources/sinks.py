@@ -9,10 +9,20 @@ from ledgerlens.functions.documents import mask_sensitive
 from ledgerlens.functions.values import ref
 from ledgerlens.plans.report import ReportResult
 
+FILES_PER_FOLDER = 16
 
-def write_parquet(df: DataFrame, path: str, masked: bool = True) -> None:
-    """ZSTD Parquet. Canonical datasets that rules will read again are written with masked=False."""
-    (mask_sensitive(df) if masked else df).write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+def write_parquet(df: DataFrame, path: str, masked: bool = True, partition_by: tuple[str, ...] = ()) -> None:
+    """ZSTD Parquet. Canonical datasets that rules will read again are written with masked=False.
+
+    Partitioning exposure by business_date lets the last-snapshot reports read one folder. A partitioned table is dealt by
+    those columns and by row hash first, so a folder gets few files and none comes from one task alone.
+    """
+    out = mask_sensitive(df) if masked else df
+    if partition_by:
+        spread = F.pmod(F.xxhash64(*[ref(c) for c in out.columns]), F.lit(FILES_PER_FOLDER))
+        out = out.repartition(*[ref(c) for c in partition_by], spread)
+    out.write.mode("overwrite").option("compression", "zstd").partitionBy(*partition_by).parquet(path)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

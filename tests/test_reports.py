@@ -7,6 +7,7 @@ import pytest
 
 from ledgerlens.plans import customer, exposure, forensic
 from ledgerlens.plans.report import NotAvailable
+from ledgerlens.sources import sinks
 
 AS_OF = datetime.date(2024, 12, 31)
 
@@ -213,3 +214,14 @@ def test_document_runs_of_any_length(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "_row_num long, voter_id string")
     got = {(r["Sequence Length"], r["First Value"], r["Last Value"]) for r in forensic.sequential_documents(df).collect()}
     assert got == {(7, str(base), str(base + 6)), (3, "X00100", "X00102"), (3, "0099999", "0100001")}
+
+
+def test_last_snapshot_prunes(spark, book, tmp_path):
+    sinks.write_parquet(book, str(tmp_path / "book"), partition_by=("business_date",))
+    back = spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").parquet(str(tmp_path / "book"))
+    plan = exposure.last_snapshot(back)._jdf.queryExecution().executedPlan().toString()
+    assert "business_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    flat = str(tmp_path / "flat")
+    sinks.write_parquet(book, flat)
+    plan = exposure.report(spark.read.parquet(flat), "product_stage_dpd")._jdf.queryExecution().executedPlan().toString()
+    assert "business_date" in plan.split("PushedFilters: [")[1].split("ReadSchema")[0]

@@ -1,8 +1,10 @@
 import datetime
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens.session import work_dir
 from ledgerlens.plans import engine, outputs
 from ledgerlens.plans.row_rules import ROW_RULES, apply_row_rules
 
@@ -156,3 +158,43 @@ def test_row_rules_on_a_stream(spark, frame, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.sql("select sum(size(exceptions)) from checked_rows").first()[0] == 1
+
+
+def test_a_run_leaves_only_its_result(spark):
+    folder = os.path.join(work_dir(spark), spark.sparkContext.applicationId)
+    df = spark.createDataFrame(
+        [(i, f"C{i}", "ABCPK1234A" if i < 3 else "", "12 Long Street Near Temple", f"L{i}") for i in range(1, 6)],
+        "_row_num long, customer_id string, pan string, address_line1 string, lan string")
+    before, steps = set(os.listdir(folder)) if os.path.isdir(folder) else set(), []
+    checked = engine.run_rules(df, "s", rules=["ucid", "pan_duplicate", "address_duplicate", "pan_format"], progress=steps.append)
+    assert len(set(os.listdir(folder)) - before) == 1 and checked.count() == 5
+    assert steps == ["addresses", "ucid", "duplicates", "rows"]
+
+
+def test_table_rules_see_all_rows(spark):
+    def repeated(rows):
+        many = rows.groupBy("city").count().filter("count > 1").select("city")
+        said = F.struct(F.lit("").alias("rule_id"), F.lit("WARN").alias("status"), F.lit("CITY").alias("code"), F.lit("shared city").alias("desc"))
+        return rows.join(many, "city").select("_row_num", said.alias("finding"))
+
+    df = spark.createDataFrame([(1, "A"), (2, "B"), (3, "A")], "_row_num long, city string")
+    engine.register_table_rule("city_shared", "cities with several rows", repeated)
+    try:
+        got = {r["_row_num"]: [(e["rule_id"], e["code"]) for e in r["exceptions"]] for r in engine.run_rules(df, "s", rules=["city_shared", "pan_missing"]).collect()}
+    finally:
+        engine.unregister_rule("city_shared")
+    assert [("city_shared", "CITY") in got[i] for i in (1, 2, 3)] == [True, False, True]
+
+
+def test_work_folder_is_required_on_a_cluster():
+    class Context:
+        master, applicationId = "yarn", "x"
+
+    class Conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class Session:
+        sparkContext, conf = Context, Conf
+
+    with pytest.raises(ValueError):
+        work_dir(Session)
