@@ -9,12 +9,12 @@ from ledgerlens.session import materialize
 CUSTOMER_MASTER = """
 SELECT o_orderkey + 1 AS _row_num,
  CASE WHEN c_custkey % 101 = 7 THEN NULL ELSE concat('C', lpad(CAST(c_custkey AS STRING), 8, '0')) END AS customer_id,
- translate(c_name, '0123456789', 'abcdefghij') AS full_name,
- CASE c_custkey % 12 WHEN 0 THEN '' WHEN 1 THEN 'not-a-date'
-   WHEN 2 THEN concat('15-06-', CAST(1940 + c_custkey % 75 AS STRING))
-   WHEN 3 THEN concat('15/06/', CAST(1940 + c_custkey % 75 AS STRING))
+ translate(concat('Customer#', lpad(CAST(pk AS STRING), 9, '0')), '0123456789', 'abcdefghij') AS full_name,
+ CASE pk % 12 WHEN 0 THEN '' WHEN 1 THEN 'not-a-date'
+   WHEN 2 THEN concat('15-06-', CAST(1940 + pk % 75 AS STRING))
+   WHEN 3 THEN concat('15/06/', CAST(1940 + pk % 75 AS STRING))
    WHEN 4 THEN '2099-01-01' WHEN 5 THEN '1880-01-01' WHEN 6 THEN '2024-11-30'
-   ELSE concat(CAST(1940 + c_custkey % 75 AS STRING), '-06-15') END AS dob,
+   ELSE concat(CAST(1940 + pk % 75 AS STRING), '-06-15') END AS dob,
  CASE c_custkey % 3 WHEN 0 THEN 'M' WHEN 1 THEN 'F' ELSE 'O' END AS gender,
  CASE WHEN c_custkey % 41 = 0 THEN '' WHEN c_custkey % 43 = 0 THEN '5123456789'
    WHEN c_custkey % 7 = 0 THEN concat('+91', CAST(9000000000 + pk AS STRING))
@@ -33,11 +33,12 @@ SELECT o_orderkey + 1 AS _row_num,
    ELSE concat('A', lpad(CAST(c_custkey AS STRING), 7, '0')) END AS passport,
  CASE WHEN c_custkey % 5 < 2 THEN '' WHEN c_custkey % 53 = 0 THEN 'ZZ0120100000001' WHEN c_custkey % 89 = 0 THEN 'MH-1'
    ELSE concat('MH12', '2011', lpad(CAST(c_custkey AS STRING), 7, '0')) END AS driving_licence,
- concat('PLOT', CAST(pk AS STRING), ' TOWER', CAST(pk % 997 AS STRING), ' LANE', CAST(pk % 499 AS STRING), ' MAIN STREET') AS address_line1,
- CASE WHEN c_custkey % 47 = 0 THEN '' ELSE r_name END AS city,
+ CASE WHEN c_custkey % 60 = 2 THEN concat('FLAT', CAST(pk AS STRING), ' ', {long_line}) ELSE
+   concat('PLOT', CAST(pk AS STRING), ' TOWER', CAST(pk % 997 AS STRING), ' LANE', CAST(pk % 499 AS STRING), ' MAIN STREET') END AS address_line1,
+ CASE WHEN c_custkey % 100 IN (50, 51) THEN 'TWIN TOWN' WHEN c_custkey % 47 = 0 THEN '' ELSE r_name END AS city,
  CASE WHEN c_custkey % 71 = 0 THEN 'ELSEWHERE' ELSE lower(r_name) END AS district,
  CASE WHEN c_custkey % 67 = 0 THEN 'wrongstate' ELSE lower(n_name) END AS state,
- CASE WHEN c_custkey % 73 = 0 THEN '999999' WHEN c_custkey % 79 = 0 THEN '11000' WHEN c_custkey % 103 = 0 THEN ''
+ CASE WHEN c_custkey % 100 IN (50, 51) THEN CAST(110001 + pk % 40 AS STRING) WHEN c_custkey % 73 = 0 THEN '999999' WHEN c_custkey % 79 = 0 THEN '11000' WHEN c_custkey % 103 = 0 THEN ''
    ELSE CAST(110001 + c_nationkey * 1000 + c_custkey % 40 AS STRING) END AS pincode,
  CASE WHEN c_custkey % 83 = 0 THEN '12345' ELSE CAST(100000000000 + pk * 104729 AS STRING) END AS bank_account,
  CASE WHEN c_custkey % 87 = 5 THEN 'SBIN01234' ELSE concat('SBIN0', lpad(CAST(c_nationkey AS STRING), 6, '0')) END AS ifsc,
@@ -53,6 +54,10 @@ JOIN {nation} ON n_nationkey = c_nationkey
 JOIN {region} ON r_regionkey = n_regionkey
 """
 
+# twenty words that many lines share; they differ in the flat alone
+CUSTOMER_MASTER = CUSTOMER_MASTER.replace("{long_line}", "'" + " ".join(
+    f"{word}{part}" for word in ("NORTH", "GARDEN", "TEMPLE", "BRIDGE", "CANAL") for part in ("GATE", "WING", "ROAD", "VIEW")) + "'")
+
 PIN_MASTER = """
 SELECT DISTINCT CAST(110001 + c_nationkey * 1000 + c_custkey % 40 AS STRING) AS pincode,
  lower(r_name) AS district, lower(n_name) AS state_name

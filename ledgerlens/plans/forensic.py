@@ -121,8 +121,13 @@ def close_name_pairs(profiles: DataFrame, threshold: float) -> DataFrame:
     CLOSE_EDITS deletions. Only pairs that are that near meet: a first name that half of a block bears makes no pairs.
     """
     size = F.length("name")
-    longest = F.floor(size * ((2 - threshold) / threshold) + 1e-9).cast("int")
-    budget = F.least(F.lit(CLOSE_EDITS), _edits(size + F.greatest(longest, size), threshold), size - 1)
+
+    def lost(shorter_by: int) -> Column:
+        """Characters that a name can lose to a partner that is so much shorter."""
+        both = _edits(2 * size - shorter_by, threshold)
+        return F.when(both >= shorter_by, F.floor((F.least(both, F.lit(CLOSE_EDITS)) + shorter_by) / 2).cast("int")).otherwise(0)
+
+    budget = F.least(F.greatest(*[lost(k) for k in range(CLOSE_EDITS + 1)]), size - 1)
     none = F.array().cast("array<string>")
     levels = [F.when(budget >= d, _without(F.col("name"), d)).otherwise(none) for d in range(CLOSE_EDITS + 1)]
     # two names of a pair cannot both be too long for their common budget
