@@ -19,7 +19,7 @@ from ledgerlens.plans.identity import beneficiary_columns, ucid_columns, unique_
 from ledgerlens.plans.row_rules import FINDING, PIN_RULES, ROW_RULES, Fields, no_findings, row_findings, with_pin_lookup
 from ledgerlens.session import materialize, scratch
 
-# category -> (label, rules)
+# Category -> (label, rules); users select by these names.
 CATEGORIES = {
     "missing_data": (
         "Missing Data",
@@ -36,7 +36,7 @@ CATEGORIES = {
     "identity_grouping": ("Identity Grouping (UCID + Beneficiary)", ["ucid", "beneficiary_tagging"]),
 }
 
-# Order of findings within a row; ucid comes first because the duplicate rules read it.
+# Order of findings within a row; ucid comes first because the duplicate rules read it.
 RULE_ORDER = (
     "ucid bank_account_invalid_length beneficiary_tagging pan_duplicate aadhaar_duplicate mobile_duplicate"
     " bank_account_duplicate name_dob_duplicate voter_id_duplicate address_duplicate"
@@ -83,8 +83,8 @@ def unregister_rule(rule_id: str) -> None:
 
 def describe_rules() -> dict[str, str]:
     texts = {
-        "ucid": "UCID grouping and KYC consistency check",
-        "beneficiary_tagging": "Assign stable customer key and beneficiary group id",
+        "ucid": "rows of one person are grouped and agree in their documents",
+        "beneficiary_tagging": "every row gets a customer key and a beneficiary group",
         ADDRESS_RULE[0]: ADDRESS_RULE[2],
         **{r: d for r, (d, _) in ROW_RULES.items()},
         **{r: d for r, (_, _, d, _) in DUPLICATE_RULES.items()},
