@@ -198,3 +198,15 @@ def test_work_folder_is_required_on_a_cluster():
 
     with pytest.raises(ValueError):
         work_dir(Session)
+
+
+def test_findings_of_a_stream_are_appended_once(spark, frame, tmp_path):
+    from ledgerlens.streaming import start_exceptions
+
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    for pans in (["bad", "ABCPK1234A"], ["worse"]):
+        frame({"pan": pans, "customer_id": ["C"] * len(pans)}).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("pan string, customer_id string").parquet(source)
+        start_exceptions(stream, folder, ["pan_format"], availableNow=True).awaitTermination()
+    got = spark.read.parquet(f"{folder}/exceptions").collect()
+    assert sorted(r["exception_code"] for r in got) == ["PAN_INVALID_FORMAT"] * 2
