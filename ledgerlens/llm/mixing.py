@@ -26,7 +26,7 @@ from ledgerlens.llm.common import WORD
 from ledgerlens.session import materialize
 
 WEIGHTS, MAX_EPOCHS = (1, 2, 3), 3
-BLOCK_ROWS, SHARD_BLOCKS, RANK_BITS = 256, 64, 10
+BLOCK_ROWS, SHARD_BLOCKS, RANK_BITS = 256, 16, 10
 FILL_PASSES = 4
 SEED = 20
 
