@@ -66,11 +66,12 @@ def screen(captures: DataFrame, entries: DataFrame, url: str = "url", fetched_on
 
 #: A dated list derived from the pages, for the query and its second engine: keys of their urls are listed, taken off and listed again. {day} gives the date of a number of days.
 HISTORY_SQL = """
+WITH named AS (SELECT kind, key, min(page_id) AS first_id FROM {keys} WHERE key IS NOT NULL GROUP BY kind, key)
 SELECT kind, key, CASE WHEN first_id % 3 = 0 THEN 'ads' WHEN first_id % 3 = 1 THEN 'adult' ELSE 'malware' END AS list_name,
  {day} AS listed_on, CASE WHEN step % 2 = 0 THEN 'add' ELSE 'remove' END AS action
 FROM (SELECT kind, key, step, first_id, first_id % 300 + step * (40 + first_id % 90) AS days
- FROM (SELECT kind, key, min(page_id) AS first_id FROM {keys} WHERE key IS NOT NULL GROUP BY kind, key) named
- JOIN (SELECT 0 AS step UNION ALL SELECT 1 AS step UNION ALL SELECT 2 AS step) steps ON step <= first_id % 4) dated
+ FROM (SELECT kind, key, first_id, 0 AS step FROM named UNION ALL SELECT kind, key, first_id, 1 AS step FROM named WHERE first_id % 4 >= 1
+  UNION ALL SELECT kind, key, first_id, 2 AS step FROM named WHERE first_id % 4 >= 2) steps) dated
 WHERE (kind = 'domain2' AND first_id % 7 = 1) OR (kind = 'domain3' AND first_id % 5 = 2) OR (kind = 'host' AND first_id % 3 = 0)
  OR (kind = 'prefix' AND first_id % 11 = 4)
 """
