@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.oracle import ENGAGEMENT, RUN, SALT
@@ -293,14 +293,15 @@ def _source_queries() -> dict[str, Query]:
         header.unionByName(lines).repartition(1).sortWithinPartitions("_row_num").select("value").write.mode("overwrite").text(c)
         return csv_files.consolidate(spark, [a, b, c])
 
-    layout = F.regexp_extract("_source_path", "/layout-([abc])/", 1).alias("layout")
+    def layout() -> Column:
+        return F.regexp_extract("_source_path", "/layout-([abc])/", 1).alias("layout")
 
     def consolidate(spark, sf):
         merged = layouts(spark, sf).accepted
-        return merged.select("*", layout).drop("_source_file", "_source_path")
+        return merged.select("*", layout()).drop("_source_file", "_source_path")
 
     def consolidate_rejects(spark, sf):
-        return layouts(spark, sf).rejected.select(layout, "_raw", "_reject_reason")
+        return layouts(spark, sf).rejected.select(layout(), "_raw", "_reject_reason")
 
     def null_counts(spark, sf):
         facts = mapping.validate(view(spark, sf, "customer_master"), "customer_master")
