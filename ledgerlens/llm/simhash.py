@@ -54,15 +54,16 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row of (doc_id, text)."""
+    """(doc_id, text_hash, fp) of every row of (doc_id, text)."""
 
     def run(batches):
         for batch in batches:
             found = [fingerprint(t.as_py()) for t in batch.column("text")]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array(found, pa.int64())], ["doc_id", "text_hash", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes("text").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    text = as_bytes("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
@@ -100,7 +101,10 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row: documents within RADIUS bits share a component, transitively."""
+    """(doc_id, fingerprint, component_id, group, text_hash) of every row: documents within RADIUS bits share a component, transitively.
+
+    group is the smallest fingerprint of the component, which also names components without an id.
+    """
     rows = materialize(fingerprints(docs), "fingerprints")
     groups = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     members, _ = connected_components(links(groups.select("fp"), bucket))
@@ -108,24 +112,31 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     linked = joined.filter("component IS NOT NULL")
     roots = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = materialize(
-        linked.join(roots, "component").select("fp", "component_id")
-        .unionByName(joined.filter("component IS NULL").select("fp", F.col("first_id").alias("component_id"))),
+        linked.join(roots, "component").select("fp", "component_id", F.col("component").alias("group"))
+        .unionByName(joined.filter("component IS NULL").select("fp", F.col("first_id").alias("component_id"), F.col("fp").alias("group"))),
         "fingerprint-components",
     )
     return rows.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group", "text_hash")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of one document of each near-duplicate group: the one that names it. Columns stay as they are.
 
-    Where an id is repeated, one of its rows stays. Rows without an id name no group and stay only if no member has an id.
+    Where an id is repeated or null, one row of the group stays, of the text with the smallest hash. The copies are
+    fewer than the documents, so it is their ids that meet the texts.
     """
     found = near_duplicates(docs)
-    keepers = materialize(
-        found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy(F.col("doc_id").alias("__keep_id")).agg(F.count("*").alias("__keep_rows")), "kept-documents")
-    kept = docs.join(keepers, F.col("doc_id").eqNullSafe(F.col("__keep_id")))
-    single = kept.filter("__keep_rows = 1")
-    again = kept.filter("__keep_rows > 1").dropDuplicates(["doc_id"])
-    return single.unionByName(again).drop("__keep_id", "__keep_rows")
+    odd = materialize(found.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("__odd_id")), "repeated-ids")
+    is_odd = F.col("doc_id").eqNullSafe(F.col("__odd_id"))
+    copies = found.join(odd, is_odd, "left_anti").filter(F.col("doc_id") != F.col("component_id"))
+    copies = materialize(copies.select(F.col("doc_id").alias("__copy_id")), "copies")
+    is_copy = F.col("doc_id") == F.col("__copy_id")
+    if odd.isEmpty():
+        return docs.join(copies, is_copy, "left_anti")
+    chosen = (
+        found.join(odd, is_odd, "left_semi").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .groupBy("group", F.col("doc_id").alias("__kept_id")).agg(F.min("text_hash").alias("__kept_hash")).drop("group"))
+    is_chosen = F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (F.xxhash64(as_bytes("text")) == F.col("__kept_hash"))
+    again = docs.join(chosen, is_chosen).dropDuplicates(["__kept_id", "__kept_hash"]).drop("__kept_id", "__kept_hash")
+    return docs.join(odd, is_odd, "left_anti").join(copies, is_copy, "left_anti").unionByName(again)

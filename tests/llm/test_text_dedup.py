@@ -77,7 +77,9 @@ def test_near_prints_are_linked_in_full_buckets(spark):
 def test_one_document_of_a_group_stays(hard_docs, hard_texts):
     kept = [r["doc_id"] for r in simhash.keep_one(hard_docs).collect()]
     component = _components({i: _fingerprint(t) for i, t in hard_texts.items()})
-    assert sorted(kept) == sorted(set(component.values()))
+    assert sorted(i for i in kept if i is not None) == sorted(set(component.values())) and None not in kept
+    nameless = hard_docs.filter("doc_id IN (0, 4, 66) OR doc_id IS NULL").selectExpr("CASE WHEN doc_id = 4 THEN doc_id END AS doc_id", "text")
+    assert simhash.keep_one(nameless).count() == 4  # texts 0, 4 and 5 and the empty ones
     assert simhash.keep_one(hard_docs).columns == hard_docs.columns
 
 
