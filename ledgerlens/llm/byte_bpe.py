@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import pieces
 
-MATRIX_BYTES, REMEMBERED, PIECE_BYTES = 128, 400_000, 1 << 20
+MATRIX_BYTES, REMEMBERED, PIECE_BYTES = 128, 200_000, 1 << 20
 NONE = np.int32(2**31 - 1)
 
 
@@ -169,6 +169,14 @@ class ByteBPE:
         known.update(zip(fresh, self.encode_pieces([x.encode("utf-8") for x in fresh])))
         return [list(chain.from_iterable(map(known.__getitem__, parts))) for parts in cut]
 
+    def encode_each(self, batches, column: str):
+        """(batch, ids of each text) for pieces of Arrow batches; the dictionary lives as long as a task, as Python workers are used again."""
+        try:
+            for batch in pieces(batches, column, PIECE_BYTES):
+                yield batch, self.encode(batch.column(column).to_pylist())
+        finally:
+            self.known.clear()
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -187,8 +195,7 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         bpe = tokenizer(path, pattern)
-        for batch in pieces(batches, "text", PIECE_BYTES):
-            found = bpe.encode(batch.column("text").to_pylist())
+        for batch, found in bpe.encode_each(batches, "text"):
             yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return _rows(docs).mapInArrow(run, "doc_id long, ids array<int>")
@@ -211,8 +218,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         bpe = tokenizer(path, pattern)
-        for batch in pieces(batches, "text", PIECE_BYTES):
-            found = bpe.encode(batch.column("text").to_pylist())
+        for batch, found in bpe.encode_each(batches, "text"):
             yield pa.record_batch(
                 [batch.column("doc_id"), pa.array([len(ids) for ids in found], pa.int64()),
                  pa.array([hashlib.sha256(bpe.joined(ids).encode()).hexdigest() for ids in found], pa.string()),

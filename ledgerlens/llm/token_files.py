@@ -22,10 +22,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.byte_bpe import tokenizer
-from ledgerlens.llm.common import pieces
 from ledgerlens.session import work_dir
 
-BLOCK_BYTES, PIECE_BYTES = 1 << 16, 1 << 20
+BLOCK_BYTES = 1 << 16
 END, FILL, FILL_TEXT = 0xC480, 0xC481, "ā"  # FILL_TEXT in UTF-8 is FILL in big-endian order
 HEAD, DIGIT_BITS = 6, 13
 
@@ -51,8 +50,8 @@ def write(docs: DataFrame, folder: str, path: str, pattern: str) -> None:
 
     def run(batches):
         bpe, held = tokenizer(path, pattern), np.zeros(0, np.uint16)
-        for batch in pieces(batches, "text", PIECE_BYTES):
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), bpe.encode(batch.column("text").to_pylist())):
+        for batch, found in bpe.encode_each(batches, "text"):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), found):
                 held = np.concatenate([held, np.array([*head_ids(doc_id), *ids, END], np.uint16)])
                 whole = len(held) // room * room
                 if whole:
