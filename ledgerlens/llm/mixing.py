@@ -3,15 +3,17 @@
 1. Targets: the words of all documents are shared among sources by weight; a source stops at MAX_EPOCHS times its own
    words and the excess is shared again by weight (solved in closed form, sources in order of cap by weight).
 2. Blocks: a hash deals the documents of a source to disjoint blocks of about BLOCK_ROWS. A source is drawn
-   in whole passes plus, for the rest, its first blocks; only the block in which the rest ends is walked document by
-   document. Which blocks come first is random, as blocks are random sets.
+   in whole passes plus, for the rest, in rounds. A round sees the undrawn documents of at most the rest: its first blocks are
+   drawn whole and the block in which the rest ends is walked document by document, up to the first that does not fit. Rounds go on until no
+   undrawn document fits, so a source misses its target by less than its smallest undrawn document. Each draws one document
+   at least; as the order is random, about log(rows) are needed. Which blocks come first is random, as blocks are random sets.
 3. Tree: the quotas of blocks of all sources are split in halves, again and again, until a leaf is an output
    shard. One seeded random order of all block draws is cut at the middle of every node: given the node's quotas, the
    left part of such a cut is a multivariate-hypergeometric draw, exactly and with exact totals. tree() shows the quotas at every node.
 4. Each shard is shuffled by itself.
 
-The only windows are over the sources, over the block totals of a source, over a bounded number of hash buckets of block draws and
-over one block. Documents are never shuffled to be counted or drawn.
+The only windows are over the sources, over the block totals of a source, over a bounded number of hash buckets of block draws,
+over one block and over equal rows. Documents are never shuffled to be counted or drawn.
 
 Defined cases: null text has size 0; a document without words is never drawn (taken 0); a null source comes after all
 others; repeated rows are drawn one by one; an empty table gives an empty result; other columns, whatever their names, pass through mix().
@@ -23,11 +25,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import WORD
-from ledgerlens.session import materialize
+from ledgerlens.session import materialize, row_count
 
 WEIGHTS, MAX_EPOCHS = (1, 2, 3), 3
 BLOCK_ROWS, SHARD_BLOCKS, RANK_BITS = 256, 16, 10
-FILL_PASSES = 4
 SEED = 20
 
 
@@ -66,47 +67,57 @@ class Mix:
                 "blocks": F.ceil(F.col("rows") / BLOCK_ROWS),
                 "passes": F.when(F.col("source_size") > 0, F.least(F.lit(MAX_EPOCHS), F.floor(F.col("target") / F.col("source_size")))).otherwise(0),
             }).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")), "mix-sources")
-        placed = self._placed(self.sized)
-        totals = placed.groupBy("source", "block").agg(F.sum("size").alias("words"))
-        in_order = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        to = F.sum("words").over(in_order)
-        per_source = self.sources.select(F.col("source").alias("s"), "passes", "rest")
-        drawn = totals.withColumn("to", to).join(per_source, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-        # a block is drawn once more as a whole, in part, or not
-        extra = F.when(F.col("rest") >= F.col("to"), 2).when(F.col("rest") > F.col("to") - F.col("words"), 1).otherwise(0)
-        self.blocks = materialize(drawn.select(
-            "source", "block", "passes", extra.alias("extra"), (F.col("rest") - F.col("to") + F.col("words")).alias("left_over")), "mix-blocks")
-
-    def _placed(self, rows: DataFrame) -> DataFrame:
-        """Rows with their block and their place in it: functions of the row alone."""
-        counts = self.sources.select(F.col("source").alias("s"), "blocks", "source_size", "target")
+        self.filled = self._fill()
+        self.blocks = materialize(
+            self.drawn(self.sized).groupBy("source", "block").agg(F.max("copies").alias("draws")).filter("draws > 0"), "mix-blocks")
+
+    def _placed(self, rows: DataFrame, sources: DataFrame) -> DataFrame:
+        """Rows with their source's line, their block and their place in it, and what the rounds so far say of them: functions of the row and that line."""
         row = F.xxhash64(F.lit(self.seed), "doc_id", "hash")
-        return rows.join(counts, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumns(
+        met = rows.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumns(
             {"block": F.pmod(row, "blocks"), "place": F.xxhash64(F.lit(self.seed + 1), "doc_id", "hash")})
+        key, size, block = F.struct("place", "doc_id", "hash"), F.col("size"), F.col("block")
+        before = F.exists("rounds", lambda r: (size <= r["left"]) & ((block < r["block"]) | ((block == r["block"]) & F.coalesce(key < r["cut"], F.lit(False)))))
+        last = F.filter("rounds", lambda r: (size <= r["left"]) & (block == r["block"]) & F.coalesce(key == r["cut"], F.lit(False)))
+        # drawn once more; equal rows are, up to a number, where a round ended among them
+        return met.withColumns({"more": before.cast("int"), "ties": F.when(~before, F.get(last, F.lit(0))["ties"])})
+
+    def _fill(self) -> DataFrame:
+        """The sources with what is left of their rest and the rounds that filled it: (left before, block and key of the last row drawn, equal rows of it drawn)."""
+        doc_id = self.sized.schema["doc_id"].dataType.simpleString()
+        rounds = f"array<struct<left:double,block:bigint,cut:struct<place:bigint,doc_id:{doc_id},hash:bigint>,ties:bigint>>"
+        state = self.sources.select("source", "source_size", "target", "blocks", "passes", F.col("rest").alias("left"), F.array().cast(rounds).alias("rounds"))
+        while True:
+            fits = self._placed(self.sized, state).filter("size > 0 AND size <= left AND more = 0 AND ties IS NULL")
+            to = F.sum("words").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+            totals = fits.groupBy("source", "block", "left").agg(F.sum("size").alias("words")).withColumn("to", to)
+            split = F.min(F.when(F.col("to") > F.col("left"), F.struct("block", (F.col("to") - F.col("words")).alias("before"))))
+            ends = materialize(totals.groupBy(F.col("source").alias("s")).agg(split.alias("split"), F.sum("words").alias("words")), "mix-ends")
+            if not row_count(ends):
+                return state
+            in_block = Window.partitionBy("source").orderBy("place", "doc_id", "hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            walked = fits.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("split.block"))).withColumn(
+                "up_to", F.sum("size").over(in_block)).filter(F.col("up_to") <= F.col("left") - F.col("split.before"))
+            walked = walked.groupBy("source", F.struct("place", "doc_id", "hash").alias("cut")).agg(F.count("*").alias("ties"), F.sum("size").alias("size"))
+            walked = walked.groupBy(F.col("source").alias("w")).agg(F.max(F.struct("cut", "ties")).alias("last"), F.sum("size").alias("walked"))
+            used = F.when(F.col("split").isNull(), F.col("words")).otherwise(F.col("split.before") + F.coalesce("walked", F.lit(0)))
+            this = F.struct("left", F.coalesce("split.block", "blocks").alias("block"), F.col("last.cut").alias("cut"), F.col("last.ties").alias("ties"))
+            met = state.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").join(walked, F.col("source").eqNullSafe(F.col("w")), "left")
+            state = materialize(met.withColumns({
+                "rounds": F.when(F.col("words").isNull(), F.col("rounds")).otherwise(F.concat("rounds", F.array(this).cast(rounds))),
+                "left": F.col("left") - F.coalesce(used, F.lit(0))}).select(*state.columns), "mix-rounds")
 
     def drawn(self, rows: DataFrame) -> DataFrame:
         """Rows (doc_id, source, hash, size, ...) with block and copies, how often each is taken."""
-        blocks = self.blocks.select(F.col("source").alias("s"), F.col("block").alias("b"), "passes", "extra", "left_over")
-        met = self._placed(rows).join(blocks, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).drop("s", "b")
-        # the one split block of a source, filled pass by pass with documents that still fit
-        in_block = Window.partitionBy("source").orderBy("place", "doc_id", "hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        block = Window.partitionBy("source")
-        split = met.filter("extra = 1").withColumn("more", F.lit(0))
-        for _ in range(FILL_PASSES):
-            fits = (F.col("more") == 0) & (F.col("size") <= F.col("left_over"))
-            up_to = F.sum(F.when(fits, F.col("size")).otherwise(0)).over(in_block)
-            split = split.withColumn("now", (fits & (up_to <= F.col("left_over"))).cast("int"))
-            split = split.withColumns({
-                "left_over": F.col("left_over") - F.sum(F.col("now") * F.col("size")).over(block), "more": F.col("more") + F.col("now")})
-        split = split.drop("now")
-        whole = met.filter("extra <> 1").withColumn("more", (F.col("extra") / 2).cast("int"))
+        met = self._placed(rows, self.filled)
+        equal = Window.partitionBy("source", "place", "doc_id", "hash")
+        tied = met.filter("ties IS NOT NULL").withColumn("more", (F.row_number().over(equal.orderBy("block")) <= F.col("ties")).cast("int"))
         copies = F.when(F.col("size") > 0, F.col("passes") + F.col("more")).otherwise(0).cast("int")
-        return whole.unionByName(split).withColumn("copies", copies).drop("passes", "extra", "left_over", "more", "blocks", "place")
+        return met.filter("ties IS NULL").unionByName(tied).withColumn("copies", copies).drop("passes", "left", "rounds", "more", "ties", "blocks", "place")
 
     def shards(self) -> DataFrame:
         """(source, block, copy, shard): the leaf of every block draw; copy counts from 1."""
-        most = F.col("passes") + (F.col("extra") > 0).cast("int")
-        draws = self.blocks.filter(most > 0).select("source", "block", F.explode(F.sequence(F.lit(1), most.cast("int"))).alias("copy"))
+        draws = self.blocks.select("source", "block", F.explode(F.sequence(F.lit(1), "draws")).alias("copy"))
         key = F.xxhash64(F.lit(self.seed + 2), "source", "block", "copy")
         draws = draws.withColumn("key", key).withColumn("bucket", F.shiftrightunsigned("key", 64 - RANK_BITS))
         counts = draws.groupBy("bucket").count()

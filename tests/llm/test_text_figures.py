@@ -125,6 +125,37 @@ def test_tree_quotas_add_up(spark, monkeypatch):
     assert all(abs(r["sum(taken)"] - r["target"]) <= 11 for r in totals)
 
 
+def _short_by(plan, source):
+    """Words that each source misses, after a check that no undrawn document fits them."""
+    rows = plan.digest().collect()
+    short = {}
+    for r in rows:
+        short[source[r["doc_id"]]] = short.get(source[r["doc_id"]], r["target"]) - r["taken"]
+    for r in rows:
+        own = short[source[r["doc_id"]]]
+        assert own > -1e-6
+        if r["size"] and r["taken"] <= r["size"] * int(r["target"] // r["source_size"]) < 3 * r["size"]:
+            assert r["size"] > own, "an undrawn document fits what is missing"
+    return short
+
+
+def test_mix_draws_until_nothing_fits(hard_docs):
+    source = {r["doc_id"]: r["source"] for r in hard_docs.filter("doc_id IS NOT NULL").collect()}
+    short = _short_by(mixing.Mix(hard_docs.filter("doc_id IS NOT NULL")), source)
+    # src2 has one document of 30,000 words, more than its rest, and all others are drawn
+    assert max(abs(v) for s, v in short.items() if s != "src2") <= 120
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mix_fills_behind_a_very_long_document(spark, seed):
+    # very long documents in several blocks of a source whose short ones can fill its rest; and equal rows
+    rows = [(i, "w " * (100 + i % 4), f"s{i % 2}") for i in range(2400)] + [(5000 + i, "w " * 20_000, "s0") for i in range(4)]
+    rows += [(9000, "w " * 77, "s1")] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    short = _short_by(mixing.Mix(docs, seed), {r[0]: r[2] for r in rows})
+    assert max(map(abs, short.values())) <= 104
+
+
 def test_tokens_equal_the_tokenizer_library(hard_docs, hard_texts, reference_encoding):
     for r in byte_bpe.round_trip(hard_docs, PATH, PATTERN).collect():
         if r["doc_id"] is None:
