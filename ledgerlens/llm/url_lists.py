@@ -1,13 +1,14 @@
 """URL filters against dated lists: validity intervals and an as-of join. DataFrame functions only.
 
 A list is a history of entries (kind, key, listed_on, action, list_name): kind 'prefix' (host and first path segment), 'host' or 'domain' (the last
-three or two labels of a host), action 'add' or 'remove'. validity() turns the history of every (kind, key) into disjoint intervals [valid_from, valid_to)
-in which the key is listed: each entry holds until the next one of its key. screen() joins every capture with the intervals that hold on its day of
+three or two labels of a host), action 'add' or 'remove'. Each entry holds until the next one of its key on its list. validity() merges the lists of every
+(kind, key) into disjoint intervals [valid_from, valid_to) in which the key is on the same lists, with the names of all of them; list_name and listed_since are those of the
+latest 'add' among them. screen() joins every capture with the intervals that hold on its day of
 fetching, one equality join per kind, so each join finds at most one interval, no capture is multiplied, and none is grouped; a host with much of the captures
 only makes a large probe side, which Spark broadcasts against or splits. The most specific listing wins: prefix, host, three labels, two labels.
 
-Defined cases: a null or malformed url, or a null day, is on no list; entries with a null kind, key or day are ignored; of entries of one key on one day the last
-by (action, list_name) holds, so 'remove' beats 'add'; an interval holds on its first day and not on its last; repeated rows come back one by one; other columns of the captures pass through
+Defined cases: a null or malformed url, or a null day, is on no list; entries with a null kind, key or day are ignored; of entries of one key of one list on one day the last
+by action holds, so 'remove' beats 'add' of the same list only; entries with a null list_name are a list of their own, without a name in list_names; of lists added on one day list_name is the last by name; an interval holds on its first day and not on its last; repeated rows come back one by one; other columns of the captures pass through
 (result columns of the same name are replaced); empty tables give empty results or no listing.
 """
 
@@ -17,18 +18,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KINDS = ("prefix", "host", "domain3", "domain2")
-RESULT = ("blocked", "matched_kind", "matched_key", "list_name", "listed_since")
+RESULT = ("blocked", "matched_kind", "matched_key", "list_name", "listed_since", "list_names")
+
+
+START = r"^[A-Za-z]+://(?:[^/?#]*@)?"
 
 
 def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z]+://([^/?#:@]+)", 1))
+    """The host behind a user's name and password, if there are any."""
+    return F.lower(F.regexp_extract(url, START + r"([^/?#:@]+)", 1))
 
 
 def keys_of(url: Column) -> dict[str, Column]:
     """The key that each kind looks up; null where a url has none."""
     host = host_of(url)
     filled = lambda c: F.when(c != "", c)
-    segment = F.regexp_extract(url, r"^[A-Za-z]+://[^/?#:@]+(?::[0-9]*)?(/[^/?#]+)", 1)
+    segment = F.regexp_extract(url, START + r"[^/?#:@]+(?::[0-9]*)?(/[^/?#]+)", 1)
     return {
         "prefix": F.when(segment != "", F.concat(host, segment)),
         "host": filled(host),
@@ -38,16 +43,25 @@ def keys_of(url: Column) -> dict[str, Column]:
 
 
 def validity(entries: DataFrame) -> DataFrame:
-    """(kind, key, valid_from, valid_to, list_name); valid_to is null while a listing holds."""
+    """(kind, key, valid_from, valid_to, list_name, listed_since, list_names); valid_to is null while nothing changes any more."""
     known = entries.filter("kind IS NOT NULL AND key IS NOT NULL AND listed_on IS NOT NULL")
-    daily = known.groupBy("kind", "key", F.col("listed_on").alias("valid_from")).agg(F.max(F.struct("action", "list_name")).alias("last"))
-    history = Window.partitionBy("kind", "key").orderBy("valid_from")
-    return daily.withColumn("valid_to", F.lead("valid_from").over(history)).filter(F.col("last.action") == "add").select(
-        "kind", "key", "valid_from", "valid_to", F.col("last.list_name").alias("list_name"))
+    daily = known.groupBy("kind", "key", "list_name", F.col("listed_on").alias("day")).agg(F.max("action").alias("action"))
+    of_key = Window.partitionBy("kind", "key")
+    of_list = Window.partitionBy("kind", "key", "list_name").orderBy("day")
+    # the days on which a key changes are numbered; an entry holds over the numbers up to the next entry of its list
+    numbered = daily.withColumn("step", F.dense_rank().over(of_key.orderBy("day")))
+    numbered = numbered.withColumns({"days": F.sort_array(F.collect_set("day").over(of_key)), "until": F.lead("step").over(of_list)})
+    steps = F.sequence("step", F.coalesce(F.col("until") - 1, F.size("days")))
+    held = numbered.filter("action = 'add'").select("kind", "key", "list_name", "day", "days", F.explode(steps).alias("step"))
+    merged = held.groupBy("kind", "key", "step").agg(
+        F.first("days").alias("days"), F.max(F.struct("day", "list_name")).alias("last"), F.sort_array(F.collect_set("list_name")).alias("list_names"))
+    return merged.select(
+        "kind", "key", F.get("days", F.col("step") - 1).alias("valid_from"), F.get("days", F.col("step")).alias("valid_to"),
+        F.col("last.list_name").alias("list_name"), F.col("last.day").alias("listed_since"), "list_names")
 
 
 def screen(captures: DataFrame, entries: DataFrame, url: str = "url", fetched_on: str = "fetched_on") -> DataFrame:
-    """The captures with blocked, matched_kind, matched_key, list_name and listed_since."""
+    """The captures with blocked, matched_kind, matched_key, list_name, listed_since and list_names, all lists that the key is on."""
     intervals = validity(entries)
     kept = [c for c in captures.columns if c not in RESULT]
     rows = captures.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{fetched_on}`").alias("day"), *[
@@ -55,13 +69,14 @@ def screen(captures: DataFrame, entries: DataFrame, url: str = "url", fetched_on
     for kind in KINDS:
         own = intervals.filter(F.col("kind") == kind).select(
             F.col("key").alias("k"), F.col("valid_from").alias("f"), F.col("valid_to").alias("t"),
-            F.struct(F.lit(kind).alias("kind"), "key", "list_name", "valid_from").alias(f"hit_{kind}"))
+            F.struct(F.lit(kind).alias("kind"), "key", "list_name", "listed_since", "list_names").alias(f"hit_{kind}"))
         holds = (F.col("f") <= F.col("day")) & (F.col("t").isNull() | (F.col("day") < F.col("t")))
         rows = rows.join(own, (F.col(f"key_{kind}") == F.col("k")) & holds, "left").drop("k", "f", "t")
     hit = F.coalesce(*[F.col(f"hit_{kind}") for kind in KINDS])
     return rows.withColumn("hit", hit).select(
         *[F.col("row")[c].alias(c) for c in kept], F.col("hit").isNotNull().alias("blocked"), F.col("hit.kind").alias("matched_kind"),
-        F.col("hit.key").alias("matched_key"), F.col("hit.list_name").alias("list_name"), F.col("hit.valid_from").alias("listed_since"))
+        F.col("hit.key").alias("matched_key"), F.col("hit.list_name").alias("list_name"), F.col("hit.listed_since").alias("listed_since"),
+        F.col("hit.list_names").alias("list_names"))
 
 
 #: A dated list derived from the pages, for the query and its second engine: keys of their urls are listed, taken off and listed again. {day} gives the date of a number of days.

@@ -99,6 +99,34 @@ def test_listing_holds_from_its_day_to_the_next_entry(spark):
     assert not url_lists.screen(frame, listed.limit(0)).filter("blocked").count() and url_lists.screen(frame.limit(0), listed).count() == 0
 
 
+def test_lists_hold_independently_of_each_other(spark):
+    day = lambda n: datetime.date(2024, 1, n)
+    rng = np.random.default_rng(2)
+    entries = [("host", "two.org", day(1), "add", "ads"), ("host", "two.org", day(2), "add", "malware"), ("host", "two.org", day(3), "remove", "ads")]
+    entries += [("host", f"h{rng.integers(4)}.org", day(int(rng.integers(1, 25))), str(rng.choice(["add", "remove"])), str(rng.choice(["ads", "adult", "malware"]))) for _ in range(60)]
+    listed = spark.createDataFrame(entries, "kind string, key string, listed_on date, action string, list_name string")
+    hosts = ["two.org", *(f"h{i}.org" for i in range(4))]
+    captures = spark.createDataFrame([(f"http://{h}/x", day(n)) for h in hosts for n in range(1, 29)], "url string, fetched_on date")
+    got = url_lists.screen(captures, listed).collect()
+    assert len(got) == captures.count()
+    for r in got:
+        active = {}
+        for name in ("ads", "adult", "malware"):
+            own = [(e[2], e[3]) for e in entries if (e[1], e[4]) == (r["url"][7:-2], name) and e[2] <= r["fetched_on"]]
+            if own and max(own)[1] == "add":
+                active[name] = max(own)[0]
+        assert r["blocked"] == bool(active) and (r["list_names"] or []) == sorted(active), r
+        if active:
+            assert (r["listed_since"], r["list_name"]) == max((d, n) for n, d in active.items())
+    assert [r["list_names"] for r in got if r["url"] == "http://two.org/x" and r["fetched_on"] == day(3)] == [["malware"]]
+
+
+def test_host_is_found_behind_a_user(spark):
+    urls = spark.createDataFrame([("http://me:pw@Bad.org:80/p/x",), ("http://me@bad.org",), ("http://bad.org/p@q",), ("http://bad.org?m=a@b.c",)], "url string")
+    keys = url_lists.keys_of(urls["url"])
+    assert [r[:] for r in urls.select(keys["host"], keys["prefix"]).collect()] == [("bad.org", "bad.org/p"), ("bad.org", None), ("bad.org", "bad.org/p@q"), ("bad.org", None)]
+
+
 def test_pipeline_stages_take_effect(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     held = {r["doc_id"]: r for r in docs.collect()}
