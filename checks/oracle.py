@@ -944,6 +944,8 @@ SELECT CAST(_row_num AS VARCHAR) AS _row_num, {', '.join(f"nullif({mask if c ==
  CAST((SELECT count(*) FROM customer_master) AS INTEGER) AS saved_rows FROM customer_master"""),
         "preview": _with(cm, f"""
 SELECT CAST(_row_num AS VARCHAR) AS _row_num, {', '.join(masked if c == 'aadhaar' else c for c in columns)} FROM customer_master WHERE _row_num % 1000 = 1"""),
+        "preview_first": _with(cm, f"""
+SELECT CAST(_row_num AS VARCHAR) AS _row_num, {', '.join(masked if c == 'aadhaar' else c for c in columns)} FROM customer_master ORDER BY customer_master._row_num LIMIT 500"""),
         "pin_lookup": _with(["customer_master", "pin_master"], MASTER + """
 SELECT _row_num, m_state AS state_name, m_district AS district FROM located WHERE m_pin IS NOT NULL"""),
     }

@@ -197,16 +197,23 @@ def _customer_queries() -> dict[str, Query]:
 
     q["duplicate_breakdown"] = breakdown
 
-    def screens(spark, sf):
-        """Every screen through the runner, counted."""
-        results = forensic.run_screens(view(spark, sf, "customer_master"), [k for k in forensic.SCREENS if k != "name_similarity"])
+    def counted(results, spark):
         merged = None
         for k, r in results.items():
             one = r.as_frame(spark).agg(F.count("*").alias("rows")).select(F.lit(k).alias("screen"), "rows")
             merged = one if merged is None else merged.unionByName(one)
         return merged
 
+    def screens(spark, sf):
+        """The screens whose counts have SQL through the runner, counted: all but name_similarity."""
+        return counted(forensic.run_screens(view(spark, sf, "customer_master"), [k for k in forensic.SCREENS if k != "name_similarity"]), spark)
+
+    def every_screen(spark, sf):
+        """Every screen through the runner, counted; no SQL, as name_similarity has none."""
+        return counted(forensic.run_screens(view(spark, sf, "customer_master")), spark)
+
     q["screens_run_all"] = screens
+    q["screens_run_every"] = every_screen
     return q
 
 
@@ -342,6 +349,10 @@ def _source_queries() -> dict[str, Query]:
     def preview(spark, sf):
         return sinks.preview(view(spark, sf, "customer_master").filter("_row_num % 1000 = 1"), 10_000_000)
 
+    def preview_first(spark, sf):
+        """The operator's own number of rows, of the whole view."""
+        return sinks.preview(view(spark, sf, "customer_master").orderBy("_row_num"))
+
     def pin_lookup(spark, sf):
         located = row_rules.with_pin_lookup(view(spark, sf, "customer_master"), view(spark, sf, "pin_master"))
         return located.filter(F.col(row_rules.PIN_KNOWN)).select(
@@ -358,6 +369,7 @@ def _source_queries() -> dict[str, Query]:
         "dataset_csv": dataset_csv,
         "exception_sinks": exception_sinks,
         "preview": preview,
+        "preview_first": preview_first,
         "null_counts": null_counts,
         "pin_lookup": pin_lookup,
     }

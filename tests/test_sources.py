@@ -1,6 +1,7 @@
 import pytest
 
-from ledgerlens.plans import exposure
+from checks import queries
+from ledgerlens.plans import exposure, forensic
 from ledgerlens.sources import csv_files, mapping, pin_master, sinks
 from ledgerlens.sources.schemas import REPORT_TYPES, struct_type
 
@@ -122,3 +123,18 @@ def test_pin_master(spark, tmp_path):
     path = write(tmp_path / "pins.csv", "Pincode,OfficeName,District,StateName,CircleName\n110001,GPO, Central Delhi ,DELHI,Delhi\n1100,x,y,z,w\n")
     [row] = pin_master.build_pin_master(spark, path).collect()
     assert (row["pincode"], row["district"], row["state_name"]) == ("110001", "central delhi", "delhi")
+
+
+def test_preview_query_shows_the_first_rows_of_the_whole_view(spark, monkeypatch):
+    view = spark.range(1, 1201).selectExpr("1201 - id AS _row_num", "'234123412346' AS aadhaar").repartition(7)
+    monkeypatch.setattr(queries, "view", lambda *_: view)
+    got = queries.queries()["preview_first"](spark, "").collect()
+    assert sorted(int(r["_row_num"]) for r in got) == list(range(1, 501)) and {r["aadhaar"] for r in got} == {"XXXXXXXX2346"}
+
+
+def test_every_screen_is_run_and_counted(spark, monkeypatch):
+    people = [(i, name, "560001", f"P{i}") for i, name in enumerate(["Anita Sharma", "Anita Sharmaa", "Zubin Quox"])]
+    view = spark.createDataFrame(people, "_row_num long, full_name string, pincode string, pan string")
+    monkeypatch.setattr(queries, "view", lambda *_: view)
+    got = {r["screen"]: r["rows"] for r in queries.queries()["screens_run_every"](spark, "").collect()}
+    assert set(got) == set(forensic.SCREENS) and got["name_similarity"] == forensic.name_similarity(view, top_n=None).count() == 1
