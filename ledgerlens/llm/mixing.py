@@ -139,9 +139,12 @@ class Mix:
             "level", F.expr("shiftright(shard, depth - level)").alias("node"), "source").groupBy("level", "node", "source").agg(F.count("*").alias("quota"))
 
     def digest(self) -> DataFrame:
-        """(doc_id, size, source_size, target, taken) of every row."""
-        return self.drawn(self.sized).select(
-            F.col("doc_id").cast("long").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+        """(doc_id, size, source_size, target, taken) of every row; taken counts the copies that the tree deals to a shard."""
+        leaves = self.shards().groupBy(F.col("source").alias("s"), F.col("block").alias("b")).agg(F.collect_list("copy").alias("dealt"))
+        rows = self.drawn(self.sized).join(leaves, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left")
+        copies = F.when(F.col("dealt").isNull(), 0).otherwise(F.size(F.filter("dealt", lambda copy: copy <= F.col("copies"))))
+        return rows.select(
+            F.col("doc_id").cast("long").alias("doc_id"), "size", "source_size", "target", (copies * F.col("size")).alias("taken"))
 
     def mixture(self) -> DataFrame:
         """The drawn rows with the columns of the table, dealt to shards and shuffled in each."""

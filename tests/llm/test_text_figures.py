@@ -156,6 +156,16 @@ def test_mix_fills_behind_a_very_long_document(spark, seed):
     assert max(map(abs, short.values())) <= 104
 
 
+def test_digest_counts_what_the_tree_deals(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 4)
+    docs = spark.createDataFrame([(i, "w " * (5 + i % 7), f"s{i % 2}") for i in range(200)], "doc_id long, text string, source string")
+    plan = mixing.Mix(docs)
+    whole, all_shards = plan.digest().collect(), plan.shards
+    plan.shards = lambda: all_shards().filter("copy <> 1")
+    less = {r["doc_id"]: r["taken"] for r in plan.digest().collect()}
+    assert all(less[r["doc_id"]] == r["taken"] - min(r["size"], r["taken"]) for r in whole) and sum(r["taken"] for r in whole) > 0
+
+
 def test_tokens_equal_the_tokenizer_library(hard_docs, hard_texts, reference_encoding):
     for r in byte_bpe.round_trip(hard_docs, PATH, PATTERN).collect():
         if r["doc_id"] is None:
