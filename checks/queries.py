@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -295,9 +296,17 @@ def _source_queries() -> dict[str, Query]:
         line = F.concat_ws(",", *[F.coalesce(F.col(n), F.lit("")) for n in columns])
         broken = F.when(F.col("_row_num") % 15 == 2, F.concat(line, F.lit(",one,two"))).otherwise(line)
         lines = master.filter("_row_num % 3 = 2").select("_row_num", broken.alias("value"))
-        header = spark.createDataFrame([(-1, ",".join(columns))], lines.schema)
-        # one file, header first
-        header.unionByName(lines).repartition(1).sortWithinPartitions("_row_num").select("value").write.mode("overwrite").text(c)
+        head = ",".join(columns)
+
+        def headed(batches):
+            """A header in front of the lines of every file."""
+            for number, batch in enumerate(batches):
+                if not number:
+                    yield pa.record_batch([pa.array([head], batch.schema.field(0).type)], schema=batch.schema)
+                yield batch
+
+        ordered = lines.repartitionByRange(5, "_row_num").sortWithinPartitions("_row_num").select("value")
+        ordered.mapInArrow(headed, "value string").write.mode("overwrite").text(c)
         return csv_files.consolidate(spark, [a, b, c])
 
     def layout() -> Column:

@@ -138,3 +138,13 @@ def test_every_screen_is_run_and_counted(spark, monkeypatch):
     monkeypatch.setattr(queries, "view", lambda *_: view)
     got = {r["screen"]: r["rows"] for r in queries.queries()["screens_run_every"](spark, "").collect()}
     assert set(got) == set(forensic.SCREENS) and got["name_similarity"] == forensic.name_similarity(view, top_n=None).count() == 1
+
+
+def test_every_layout_is_written_by_several_tasks(spark, monkeypatch):
+    view = spark.range(1, 901).selectExpr("id AS _row_num", "concat('C', id) AS customer_id", "'x' AS lan")
+    monkeypatch.setattr(queries, "view", lambda *_: view)
+    seen = []
+    real = csv_files.consolidate
+    monkeypatch.setattr(csv_files, "consolidate", lambda s, paths: seen.extend(paths) or real(s, paths))
+    assert queries.queries()["consolidate"](spark, "").count() == 840
+    assert [len(spark.read.text(p).inputFiles()) for p in seen] == [5, 5, 5]
