@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import byte_bpe, language_id, mixing, neighbours, quality, simhash, suffix_dedup, token_files, url_lists, warc
+from ledgerlens.llm import byte_bpe, conversation_repair, language_id, mixing, neighbours, quality, simhash, suffix_dedup, token_files, url_lists, warc
 from ledgerlens.llm.common import table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -57,10 +57,14 @@ def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.col(c).cast("string") for c in ("fetched_on", "listed_since")})
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.digests(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_simhash, op2_suffix_dedup, op3_token_counts, op4_mixing, op5_byte_bpe, op6_neighbours, op7_quality, op8_language_id, op9_warc,
-        op10_url_lists)}
+        op10_url_lists, op11_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
