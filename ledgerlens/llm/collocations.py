@@ -296,10 +296,10 @@ WITH pieces AS (
   SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]') AS held FROM documents),
 piece AS (SELECT doc, lang, unnest(held) AS p, generate_subscripts(held, 1) AS part FROM pieces),
 listed AS (SELECT doc, lang, part, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM piece),
-word AS (SELECT doc, lang, part, unnest(ws) AS w, generate_subscripts(ws, 1) AS at FROM listed),
+word AS (SELECT doc, lang, part, unnest(ws) AS w, generate_subscripts(ws, 1) AS spot FROM listed),
 ahead AS (
   SELECT lang, w AS w1, lead(w, 1) OVER s AS w2, lead(w, 2) OVER s AS w3, lead(w, 3) OVER s AS w4 FROM word
-  WINDOW s AS (PARTITION BY doc, part ORDER BY at)),
+  WINDOW s AS (PARTITION BY doc, part ORDER BY spot)),
 f AS (
   SELECT lang, [w1] AS ws, count(*) AS f FROM ahead GROUP BY ALL
   UNION ALL SELECT lang, [w1, w2], count(*) FROM ahead WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import byte_bpe, collocations, conversation_repair, language_id, mixing, neighbours, quality, simhash, suffix_dedup, token_files, url_lists, warc
+from ledgerlens.llm import byte_bpe, collocations, conversation_repair, fingerprints, language_id, mixing, neighbours, quality, simhash, suffix_dedup, token_files, url_lists, warc
 from ledgerlens.llm.common import table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -65,10 +65,14 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_simhash, op2_suffix_dedup, op3_token_counts, op4_mixing, op5_byte_bpe, op6_neighbours, op7_quality, op8_language_id, op9_warc,
-        op10_url_lists, op11_conversation_repair, op12_collocations)}
+        op10_url_lists, op11_conversation_repair, op12_collocations, op13_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
