@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ledgerlens.operators.ordering import number_rows
 from ledgerlens.session import materialize, row_count
 
-SAMPLES, BAND_BITS = 32, 8
+SAMPLES, GROUP, BAND_BITS = 32, 16, 8
 BAND = ("known", "band")
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -72,7 +72,8 @@ def _uniform(bits: Column, shift: int, width: int) -> Column:
 
 def _draw(term: Column, number: int, weights: tuple[Column, ...]) -> list[Column]:
     """ln a of one draw at the natural logarithms of some weights of a term."""
-    one, two = F.xxhash64(term, F.lit(2 * number)), F.xxhash64(term, F.lit(2 * number + 1))
+    one = F.xxhash64(term, F.lit(number))
+    two = F.xxhash64(one)
     r = -F.ln(_uniform(one, 0, 32) * _uniform(one, 32, 32))
     c = F.ln(-F.ln(_uniform(two, 0, 21) * _uniform(two, 21, 21)))
     b = _uniform(two, 42, 22)
@@ -84,12 +85,19 @@ def sampled(texts: DataFrame, keys: tuple[str, ...], columns: tuple[str, str], s
     both = texts.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.col(c).alias("held")) for i, c in enumerate(columns)])).alias("one"))
     words = both.select(*keys, "one.which", F.explode(F.split(F.lower("one.held"), SPACE)).alias("word"))
     counted = words.groupBy(*keys, "word").agg(*[F.count(F.when(F.col("which") == i, 1)).alias(f"n{i}") for i in range(2)])
+    # draws are made GROUP at a time, so that the generated code stays small enough to be compiled well
+    groups, last = divmod(samples, GROUP)
+    sizes = [GROUP] * groups + ([last] if last else [])
     terms = counted.select(
-        *keys, F.xxhash64("word").alias("term"), *[F.when(F.col("word") != "", F.ln(F.col(f"n{i}").cast("double"))).alias(f"w{i}") for i in range(2)])
-    draws = [_draw(F.col("term"), k, (F.col("w0"), F.col("w1"))) for k in range(samples)]
-    least = terms.groupBy(*keys).agg(*[F.min(d[i]).alias(f"m{i}_{k}") for k, d in enumerate(draws) for i in range(2)])
-    return least.select(*keys, *[
-        F.array(*[F.xxhash64(f"m{i}_{k}") for k in range(samples)]).alias(name) for i, name in enumerate(("first", "second"))])
+        *keys, F.explode(F.array(*[F.lit(g) for g in range(len(sizes))])).alias("part"), F.xxhash64("word").alias("word_hash"),
+        *[F.when(F.col("word") != "", F.ln(F.col(f"n{i}").cast("double"))).alias(f"w{i}") for i in range(2)],
+    ).withColumn("term", F.xxhash64("word_hash", "part"))
+    draws = [_draw(F.col("term"), k, (F.col("w0"), F.col("w1"))) for k in range(min(GROUP, samples))]
+    least = terms.groupBy(*keys, "part").agg(*[F.min(d[i]).alias(f"m{i}_{k}") for k, d in enumerate(draws) for i in range(2)])
+    parts = least.select(*keys, "part", *[
+        F.array(*[F.xxhash64(f"m{i}_{k}") for k in range(len(draws))]).alias(name) for i, name in enumerate(("first", "second"))])
+    whole = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("part", "first", "second"))).alias("parts"))  # a few lines a text
+    return whole.select(*keys, *[F.slice(F.flatten(F.col(f"parts.{name}")), 1, samples).alias(name) for name in ("first", "second")])
 
 
 def likeness(a: Column, b: Column) -> Column:
