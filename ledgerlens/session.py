@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,9 +70,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return written
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Keep a frame's partitions on the executors' disks until release() or the end of scratch(); lost ones are worked out again."""
+    df.persist(StorageLevel.DISK_ONLY)
+    if _OWNED.get() is not None:
+        _OWNED.get().append(df)
+    return df
+
+
+def release(df: DataFrame) -> None:
+    """Let go of what hold() keeps."""
+    if df.storageLevel.useDisk:
+        df.unpersist()
+
+
 @contextmanager
 def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Owns the tables that materialize() writes inside and deletes them at the end, but for those that are passed to what it yields.
+    """Owns the tables that materialize() writes and hold() keeps inside and lets go of them at the end, but for those that are passed to what it yields.
 
     Use it where the result is written inside, so that no plan refers to the other tables any more.
     """
@@ -89,8 +104,9 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
         _OWNED.reset(token)
         outer = _OWNED.get()
         for df in owned:
-            if df._written_path not in kept:
+            if getattr(df, "_written_path", None) not in kept or df.storageLevel.useDisk:
                 discard(df)
+                release(df)
             elif outer is not None:
                 outer.append(df)
 
