@@ -15,7 +15,7 @@ from ledgerlens.operators.ordering import number_rows
 from ledgerlens.operators.skew import HOT_ROWS
 from ledgerlens.plans.addresses import AddressBook
 from ledgerlens.plans.duplicates import ADDRESS_RULE, DUPLICATE_RULES, address_findings, duplicate_findings
-from ledgerlens.plans.identity import beneficiary_columns, ucid_columns, unique_customers
+from ledgerlens.plans.identity import beneficiary_columns, single_name, ucid_columns, unique_customers
 from ledgerlens.plans.row_rules import FINDING, PIN_RULES, ROW_RULES, Fields, no_findings, row_findings, with_pin_lookup
 from ledgerlens.session import materialize, scratch
 
@@ -153,6 +153,7 @@ def _run_rules(
     scope: str = "person",
     heavy_rows: int | None = None,
     hot_rows: int = HOT_ROWS,
+    id_by: str = "position",
     *,
     progress: Callable[[str], None],
 ) -> DataFrame:
@@ -175,8 +176,8 @@ def _run_rules(
         addresses = AddressBook(base, heavy_rows, hot_rows)
     if "ucid" in chosen:
         progress("ucid")
-        grouped = materialize(unique_customers(base, salt, addresses, hot_rows), "ucids")  # read twice below
-        table = ucid_columns(table, grouped)
+        grouped = materialize(unique_customers(base, salt, addresses, hot_rows, id_by=id_by), "ucids")  # read twice below
+        table = ucid_columns(table, grouped, single_name(base, salt, id_by))
         parts.append(("ucid", _one(F.col("__ucid_finding"))))
     if "beneficiary_tagging" in chosen:
         table = beneficiary_columns(table, salt)

@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import documents as doc
-from ledgerlens.functions.values import hex_hash, strip, text
+from ledgerlens.functions.values import hex_hash, ref, strip, text
 from ledgerlens.operators.components import connected_components
 from ledgerlens.operators.skew import HOT_ROWS, join_key_stats
 from ledgerlens.plans.addresses import AddressBook
-from ledgerlens.plans.link_keys import PERSON_KINDS, link_table
+from ledgerlens.plans.link_keys import PERSON_KINDS, identity_keys, link_table
 from ledgerlens.plans.row_rules import found, say
 from ledgerlens.session import materialize
 
-# A group's positions, in order, are hashed in blocks of so many. One block's hash is the group's name; the hashes
-# of several blocks are hashed together.
-LISTED_MEMBERS = 50_000
-
-
 def person_edges(
     df: DataFrame, salt: str, addresses: AddressBook | None, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
@@ -54,14 +54,63 @@ def _position(row_num: str = "_row_num") -> Column:
     return (F.col(row_num) - 1).cast("string")
 
 
-def _listed_name() -> Column:
-    """Name of one block of sorted positions."""
-    positions = F.array_sort(F.collect_list(F.col("node") - 1))
-    return hex_hash(F.array_join(positions.cast("array<string>"), ","), 16)
+def row_label(df: DataFrame, salt: str) -> Column:
+    """A row's smallest salted identity key; a row without one has a label of its values, which is larger than any key's.
+
+    Labels don't depend on the order of rows, so names made from them survive a shuffled file.
+    """
+    keys = identity_keys(df, salt)
+    marked = [F.when(keys[k] != "", F.concat(F.lit("0"), hex_hash(F.concat_ws("|", F.lit(salt), F.lit(k), keys[k])))) for k in PERSON_KINDS]
+    values = [F.coalesce(ref(c).cast("string"), F.lit("\x01")) for c in sorted(df.columns) if c not in ("_row_num", "ucid", "ucid_size")]
+    own = F.concat(F.lit("1"), hex_hash(F.concat_ws("|", F.lit(salt), *values)))
+    return F.coalesce(F.least(*marked), own)
+
+
+def single_name(df: DataFrame, salt: str, id_by: str = "position", listed_members: int | None = None) -> Column:
+    """The name of a row that is in no group."""
+    if id_by == "key":
+        return hex_hash(row_label(df, salt), 16)
+    listed = hex_hash(_position(), 16)
+    return listed if listed_members is None else hex_hash(listed, 16)
+
+
+def _position_names(members: DataFrame) -> DataFrame:
+    """(component, ucid): digest of all positions of a group, in order and comma-joined.
+
+    The digest runs over the whole list, so a group is read in order by one task, but never held: a task keeps one digest.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, digest = None, None
+        for batch in batches:
+            component, node = (batch.column(c).to_numpy() for c in ("component", "node"))
+            if not len(node):
+                continue
+            starts = np.flatnonzero(np.append(True, component[1:] != component[:-1]))
+            done = []
+            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(node)]):
+                listed = ",".join(map(str, (node[start:end] - 1).tolist())).encode()
+                if component[start] == last:
+                    digest.update(b"," + listed)
+                    continue
+                if last is not None:
+                    done.append((last, digest.hexdigest()[:16]))
+                last, digest = int(component[start]), hashlib.sha256(listed)
+            if done:
+                yield named(done)
+        if last is not None:
+            yield named([(last, digest.hexdigest()[:16])])
+
+    def named(done) -> pa.RecordBatch:
+        columns = list(zip(*done))
+        return pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string())], ["component", "ucid"])
+
+    ordered = members.select("component", "node").repartition("component").sortWithinPartitions("component", "node")
+    return ordered.mapInArrow(run, "component long, ucid string")
 
 
 def _block_names(members: DataFrame, block: int) -> DataFrame:
-    """(component, ucid) of groups of more than one block.
+    """(component, ucid): digest of the digests of a group's blocks of positions, from one member up.
 
     The place of a member in its group comes from counts per range of positions, so no window holds a whole group.
     """
@@ -70,59 +119,61 @@ def _block_names(members: DataFrame, block: int) -> DataFrame:
     counts = cut.groupBy("component", "range").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     within = Window.partitionBy("component", "range").orderBy("node")
     placed = cut.join(counts, ["component", "range"]).withColumn("place", F.col("before") + F.row_number().over(within) - 1)
-    names = placed.groupBy("component", F.floor(F.col("place") / block).alias("at")).agg(_listed_name().alias("name"))
+    positions = F.array_sort(F.collect_list(F.col("node") - 1))
+    name = hex_hash(F.array_join(positions.cast("array<string>"), ","), 16)
+    names = placed.groupBy("component", F.floor(F.col("place") / block).alias("at")).agg(name.alias("name"))
     in_order = F.array_sort(F.collect_list(F.struct("at", "name")))  # one line per block
     joined = F.array_join(F.transform(in_order, lambda b: b["name"]), ",")
     return names.groupBy("component").agg(hex_hash(joined, 16).alias("ucid"))
 
 
-def _name_groups(members: DataFrame, groups: DataFrame, listed: int, hot_rows: int) -> DataFrame:
-    """Adds ucid where some group has more than one block."""
-    sized = join_key_stats(members, groups, ["component"], "ucid_size", hot_rows)
-    small = sized.filter(F.col("ucid_size") <= listed).groupBy("component").agg(_listed_name().alias("ucid"))
-    large = _block_names(sized.filter(F.col("ucid_size") > listed).select("component", "node"), listed)
-    return groups.join(small.unionByName(large), "component")
-
-
 def unique_customers(
     df: DataFrame,
     salt: str,
     addresses: AddressBook | None = None,
     hot_rows: int = HOT_ROWS,
-    listed_members: int = LISTED_MEMBERS,
+    listed_members: int | None = None,
+    id_by: str = "position",
 ) -> DataFrame:
     """(_row_num, ucid, ucid_size, conflict) for rows in a group of two or more.
 
-    `addresses` adds near-equal addresses to the shared keys. Rows that share nothing
-    are left out; ucid_columns() names them by themselves.
+    `addresses` adds near-equal addresses to the shared keys. Rows that share nothing are left out; ucid_columns() names them
+    by themselves. A group is named by the digest of its positions, whatever its size; with listed_members, by the digest of the digests of blocks of so
+    many positions, which different tasks can work out; with id_by="key", by the smallest label of its rows, which stays the same when
+    rows and files change their order.
     """
+    if id_by not in ("position", "key"):
+        raise ValueError(f"unknown id_by {id_by!r}")
     edges = person_edges(df, salt, addresses, hot_rows)
-    members, largest = connected_components(edges, hot_rows)
+    members, _ = connected_components(edges, hot_rows)
     members = materialize(members, "members")
     kyc = _kyc_fields(df, salt)
-    fields = df.select(F.col("_row_num").alias("node"), *[c.alias(n) for n, c in kyc.items()])
+    facts = [c.alias(n) for n, c in kyc.items()]
+    if id_by == "key":
+        facts.append(row_label(df, salt).alias("label"))
+    fields = df.select(F.col("_row_num").alias("node"), *facts)
     differs = [F.coalesce(F.min(n) != F.max(n), F.lit(False)) for n in kyc]
     conflict = differs[0]
     for d in differs[1:]:
         conflict = conflict | d
-    every_group_listed = largest <= listed_members
-    name = [_listed_name().alias("ucid")] if every_group_listed else []
+    name = [hex_hash(F.min("label"), 16).alias("ucid")] if id_by == "key" else []
     named = (
         fields.join(members, "node")
         .groupBy("component")
         .agg(F.count("*").alias("ucid_size"), conflict.alias("conflict"), *name)
     )
-    if not every_group_listed:
-        named = _name_groups(members, materialize(named, "groups"), listed_members, hot_rows)
+    if not name:
+        names = _position_names(members) if listed_members is None else _block_names(members, listed_members)
+        named = named.join(names, "component")
     return join_key_stats(members, named, ["component"], "ucid_size", hot_rows).select(
         F.col("node").alias("_row_num"), "ucid", F.col("ucid_size").cast("int").alias("ucid_size"), "conflict"
     )
 
 
-def ucid_columns(df: DataFrame, grouped: DataFrame) -> DataFrame:
-    """Adds ucid, ucid_size and the ucid finding; a row outside every group is its own."""
+def ucid_columns(df: DataFrame, grouped: DataFrame, single: Column | None = None) -> DataFrame:
+    """Adds ucid, ucid_size and the ucid finding; a row outside every group is its own, under the name `single`."""
     joined = df.drop("ucid", "ucid_size").join(grouped, "_row_num", "left")
-    ucid = F.coalesce(F.col("ucid"), hex_hash(_position(), 16))
+    ucid = F.coalesce(F.col("ucid"), hex_hash(_position(), 16) if single is None else single)
     said = say(
         "UCID %s has conflicting KYC data (PAN, Aadhaar, Voter ID, email, mobile, state, or pincode)", ucid
     )

@@ -12,7 +12,8 @@ from ledgerlens.functions.values import text
 PERSON_KINDS = ("pan", "aadhaar", "voter_id", "name_dob", "bank_account")
 
 
-def _keys(df: DataFrame, salt: str) -> dict[str, Column]:
+def identity_keys(df: DataFrame, salt: str) -> dict[str, Column]:
+    """Each kind's key of a row; blank where the row has none."""
     return {
         "pan": doc.pan_key(df),
         "aadhaar": doc.aadhaar_hash(df, salt),
@@ -29,7 +30,7 @@ def link_table(df: DataFrame, kinds, salt: str, extra: dict[str, Column] | None
     customer_id keeps NULL apart from '' for the PAN kind only, and PAN falls back to
     the row number when the table has no customer_id column at all.
     """
-    available = _keys(df, salt)
+    available = identity_keys(df, salt)
     if "customer_id" in df.columns:
         pan_id, other_id = F.col("customer_id").cast("string"), text(df, "customer_id")
     else:
