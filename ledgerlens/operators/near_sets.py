@@ -7,8 +7,10 @@ a signature z the pair qualifies exactly when |x| + |y| <= |z| * (1 + t) / t, wh
 depends on the sizes alone: a bucket is summarised per size, never multiplied out, so
 a bucket that holds a third of the table costs one aggregation like any other.
 
-The number of signatures grows with the size of a set; above `SHORT` tokens the sets
-are compared through a prefix-filtered join instead.
+The number of signatures grows with the size of a set. Pairs with a set above `SHORT` tokens meet on parts instead
+(PartEnum; Arasu, Ganti and Kaushik, 2006): tokens are dealt to H + 2 parts by hash, where H is how many tokens the pair may
+differ by, so at least two parts are equal, and every pair of parts is a signature. A bucket's members are first compared with two pivots
+only, which settles a bucket of near lines in linear work; pairs are listed only where that leaves something open.
 """
 
 from __future__ import annotations
@@ -18,9 +20,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.components import connected_components
 from ledgerlens.operators.skew import HOT_ROWS, join_key_stats
+from ledgerlens.session import materialize
 
-SHORT = 26  # up to three deletions, at most 2952 signatures of one line
+SHORT = 19  # up to two deletions, at most 191 signatures of one line
 EPS = 1e-9
 
 
@@ -99,45 +103,96 @@ def _fits(size: Column, other: Column, threshold: float) -> Column:
     return F.col("sig_size") / union >= threshold
 
 
-def long_pairs(sets: DataFrame, threshold: float, min_shared: int, hot_rows: int) -> DataFrame:
-    """Qualifying (gid, other) pairs in which the larger set has more than SHORT tokens.
-
-    Tokens are ordered by how many sets hold them, rarest first; a qualifying pair
-    shares a token among the first |x| - ceil(t|x|) + 1 of both sets.
-    """
+def part_signatures(sets: DataFrame, threshold: float, min_shared: int) -> DataFrame:
+    """(gid, first, low, high, size, sig) of sets that can be in a pair with one above SHORT tokens, for pairs of equal parts."""
     reach = math.floor(SHORT * threshold)
     usable = sets.filter((F.size("tokens") > reach) & (F.size("light") >= min_shared))
-    each = usable.select("gid", F.explode("tokens").alias("token"))
-    usage = each.groupBy("token").agg(F.count("*").alias("held_by"))
     size = F.size("tokens")
-    ordered = (
-        join_key_stats(each, usage, ["token"], "held_by", hot_rows)
-        .groupBy("gid")
-        .agg(F.array_sort(F.collect_list(F.struct("held_by", "token"))).alias("ranked"))  # words of one line
-    )
-    keep = (size - F.ceil(size * threshold - EPS) + 1).cast("int")
-    prefixed = usable.join(ordered, "gid").select(
-        "gid", "tokens", "light", F.slice("ranked", F.lit(1), keep).alias("prefix")
-    )
-    left = prefixed.select("*", F.explode("prefix").alias("p")).filter(F.col("p.held_by") > 1)
-    left = left.select("gid", "tokens", "light", "prefix", F.col("p.token").alias("token"))
-    right = left.select(
-        F.col("gid").alias("other"), F.col("tokens").alias("tokens2"), F.col("light").alias("light2"),
-        F.col("prefix").alias("prefix2"), "token",
-    )
+
+    def parts(other: Column) -> Column:
+        """Parts for a partner of that size: two more than the tokens that the pair may differ by."""
+        return (F.floor((1 - threshold) / (1 + threshold) * (size + other) + EPS) + 2).cast("int")
+
+    counts = F.sequence(parts(F.ceil(size * threshold - EPS)), parts(F.floor(size / threshold + EPS)))
+    dealt = usable.select("gid", "first", "low", "high", size.alias("size"), "tokens", F.explode(counts).alias("m"))
+    held = F.transform(
+        F.sequence(F.lit(0), F.col("m") - 1),
+        lambda i: F.xxhash64(F.array_join(F.filter("tokens", lambda t: F.pmod(F.xxhash64(t), F.col("m")) == i), " ")))
+    dealt = dealt.withColumn("held", held)
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.col("m") - 2), lambda i: F.transform(
+        F.sequence(i + 1, F.col("m") - 1), lambda j: F.xxhash64(F.col("m"), i, j, F.get("held", i), F.get("held", j)))))
+    return dealt.select("gid", "first", "low", "high", "size", F.explode(pairs).alias("sig"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, min_shared: int) -> DataFrame:
+    """The (gid, other) pairs that qualify and hold a set above SHORT tokens."""
+    one = sets.select("gid", "tokens", "light")
+    two = sets.select(F.col("gid").alias("other"), F.col("tokens").alias("tokens2"), F.col("light").alias("light2"))
     shared = F.size(F.array_intersect("tokens", "tokens2"))
-    first_common = F.get(F.array_intersect("prefix", "prefix2"), F.lit(0))["token"]
     return (
-        left.join(right, "token")
-        .filter(F.col("gid") < F.col("other"))
+        pairs.join(one, "gid").join(two, "other")
         .filter(F.greatest(F.size("tokens"), F.size("tokens2")) > SHORT)
-        .filter(first_common == F.col("token"))
         .filter(shared / (F.size("tokens") + F.size("tokens2") - shared) >= threshold)
         .filter(F.size(F.array_intersect("light", "light2")) >= min_shared)
         .select("gid", "other")
     )
 
 
+class LongSets:
+    """Near pairs with a set above SHORT tokens, as far as edges or ranges need them."""
+
+    def __init__(self, sets: DataFrame, threshold: float, min_shared: int, hot_rows: int):
+        self.sets, self.threshold, self.min_shared, self.hot_rows = sets, threshold, min_shared, hot_rows
+        marked = materialize(part_signatures(sets, threshold, min_shared), "part-signatures")
+        pivots = (
+            marked.groupBy("sig")
+            .agg(F.count("*").alias("members"), F.min(F.struct("low", "gid")).alias("p"), F.max(F.struct("high", "gid")).alias("q"))
+            .filter("members > 1")
+        )
+        self.met = materialize(
+            join_key_stats(marked, pivots, ["sig"], "members", hot_rows).select(
+                "sig", "gid", "first", "low", "high", F.col("p.gid").alias("p"), F.col("q.gid").alias("q")),
+            "part-members")
+        ends = F.explode(F.array("p", "q")).alias("other")
+        tried = self.met.select("gid", ends).filter("gid <> other").distinct()
+        self.by_pivot = materialize(_verified(tried, sets, threshold, min_shared), "pivot-pairs")
+
+    def _both_ways(self, pairs: DataFrame) -> DataFrame:
+        return pairs.unionByName(pairs.select(F.col("other").alias("gid"), F.col("gid").alias("other")))
+
+    def edges(self) -> DataFrame:
+        """(a, b) of `first` ids that connect what these pairs connect."""
+        firsts = self.sets.select("gid", "first")
+
+        def named(pairs: DataFrame) -> DataFrame:
+            return (
+                pairs.join(firsts.withColumnRenamed("first", "a"), "gid")
+                .join(firsts.select(F.col("gid").alias("other"), F.col("first").alias("b")), "other").select("a", "b"))
+
+        known = materialize(named(self.by_pivot), "pivot-edges")
+        members, _ = connected_components(known, self.hot_rows)
+        labelled = self.met.join(members.withColumnRenamed("node", "first"), "first", "left").select(
+            "sig", "gid", F.coalesce("component", "first").alias("label"))
+        open_ = labelled.groupBy("sig").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("sig")
+        left = materialize(labelled.join(open_, "sig", "left_semi"), "open-parts")
+        right = left.select("sig", F.col("gid").alias("other"), F.col("label").alias("other_label"))
+        rest = left.join(right, "sig").filter("label <> other_label AND gid < other").select("gid", "other").distinct()
+        return known.unionByName(named(_verified(rest, self.sets, self.threshold, self.min_shared)))
+
+    def ranges(self) -> DataFrame:
+        """(gid, low, high) seen over near sets: enough to tell whether a set sees two customers."""
+        own = self.sets.select(F.col("gid").alias("other"), "low", "high")
+        seen = materialize(self._both_ways(self.by_pivot).join(own, "other").select("gid", "low", "high"), "pivot-ranges")
+        spread = seen.unionByName(self.met.select("gid", "low", "high").distinct()).groupBy("gid").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        single = spread.filter("low = high").select("gid", F.col("low").alias("only"))
+        others = self.met.select("sig", F.col("gid").alias("other"), F.col("low").alias("l"), F.col("high").alias("h"))
+        rest = (
+            self.met.select("sig", "gid").join(single, "gid").join(others, "sig")
+            .filter("l <> only OR h <> only").select("gid", "other").distinct())
+        found = _verified(rest, self.sets, self.threshold, self.min_shared)
+        return seen.unionByName(found.join(own, "other").select("gid", "low", "high"))
+
+
 def has_long_sets(sets: DataFrame) -> bool:
     return not sets.filter(F.size("tokens") > SHORT).isEmpty()
 
@@ -162,14 +217,7 @@ def near_set_edges(
     ).select(F.col("first").alias("a"), F.col("anchor.first").alias("b"))
     if not has_long_sets(sets):
         return short
-    firsts = sets.select("gid", "first")
-    far = (
-        long_pairs(sets, threshold, min_shared, hot_rows)
-        .join(firsts.withColumnRenamed("first", "a"), "gid")
-        .join(firsts.select(F.col("gid").alias("other"), F.col("first").alias("b")), "other")
-        .select("a", "b")
-    )
-    return short.unionByName(far)
+    return short.unionByName(LongSets(sets, threshold, min_shared, hot_rows).edges())
 
 
 def near_set_range(
@@ -192,11 +240,5 @@ def near_set_range(
     own = sets.filter(F.size("light") >= min_shared).select("gid", "low", "high")
     seen = short.unionByName(own)
     if has_long_sets(sets):
-        seen = seen.unionByName(_long_range(sets, threshold, min_shared, hot_rows))
+        seen = seen.unionByName(LongSets(sets, threshold, min_shared, hot_rows).ranges())
     return seen.groupBy("gid").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-
-
-def _long_range(sets: DataFrame, threshold: float, min_shared: int, hot_rows: int) -> DataFrame:
-    pairs = long_pairs(sets, threshold, min_shared, hot_rows)
-    both = pairs.unionByName(pairs.select(F.col("other").alias("gid"), F.col("gid").alias("other")))
-    return both.join(sets.select(F.col("gid").alias("other"), "low", "high"), "other").select("gid", "low", "high")

@@ -9,7 +9,7 @@ from ledgerlens.operators.components import connected_components
 from ledgerlens.operators.skew import join_key_stats
 from ledgerlens.plans import duplicates, engine
 from ledgerlens.plans.addresses import AddressBook
-from ledgerlens.plans.identity import ucid_columns, unique_customers
+from ledgerlens.plans.identity import single_name, ucid_columns, unique_customers
 
 SCHEMA = "_row_num long, customer_id string, full_name string, pan string, mobile string, address_line1 string, state string, lan string"
 
@@ -187,3 +187,64 @@ def test_near_addresses_match_all_pairs(spark, heavy):
         assert {r["_row_num"] for r in book.duplicate_rows().collect()} == wanted
         tied = components_by_hand([(r["a"], r["b"]) for r in book.edges().collect()])
         assert tied == components_by_hand([(i + 1, j + 1) for i, j in pairs])
+
+
+def test_groups_of_any_size_have_one_formula(spark):
+    rows = [(i, f"C{i}", "A", "P", "", "", "KA", f"L{i}") for i in range(1, 3001)] + [(i, "C", "B", f"Q{i // 2}", "", "", "KA", "") for i in range(4000, 4006)]
+    grouped = unique_customers(people(spark, rows), "s", None).collect()
+    mark = lambda text: hashlib.sha256(text.encode()).hexdigest()[:16]
+    assert {r["ucid"] for r in grouped} == {mark(",".join(map(str, range(3000))))} | {mark(f"{i - 1},{i}") for i in (4000, 4002, 4004)}
+
+
+def test_blocks_name_small_groups_by_the_same_formula(spark):
+    df = people(spark, [(1, "C1", "A", "P", "", "", "", ""), (2, "C2", "A", "P", "", "", "", ""), (3, "C3", "B", "Q", "", "", "", "")])
+    grouped = unique_customers(df, "s", None, listed_members=5)
+    got = {r["_row_num"]: r["ucid"] for r in ucid_columns(df, grouped, single_name(df, "s", listed_members=5)).collect()}
+    mark = lambda text: hashlib.sha256(text.encode()).hexdigest()[:16]
+    assert got == {1: mark(mark("0,1")), 2: mark(mark("0,1")), 3: mark(mark("2"))}
+
+
+def test_key_names_survive_another_order(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["", f"C{i}"]), rng.choice(["A", "B", ""]), rng.choice(["", f"P{rng.randrange(30)}"]), "", rng.choice(["", f"12 ROAD{i % 9} MAIN STREET CITY"]),
+             "KA", f"L{i}") for i in range(1, 200)]
+    names = []
+    for order in (rows, rng.sample(rows, len(rows)), rows[::-1]):
+        df = people(spark, [(n, *r[1:]) for n, r in enumerate(order, 1)])
+        got = engine.run_rules(df, "s", rules=["ucid"], id_by="key").collect()
+        names.append({r["lan"]: (r["ucid"], r["ucid_size"]) for r in got})
+    assert names[0] == names[1] == names[2]
+    assert len({n for n, _ in names[0].values()}) == len({r["ucid"] for r in engine.run_rules(people(spark, rows), "s", rules=["ucid"]).collect()})
+    with pytest.raises(ValueError):
+        unique_customers(people(spark, rows), "s", None, id_by="name")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_long_lines_match_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    lines = []
+    for base in range(7):
+        words = [f"word{base % 3}x{i}" for i in range(rng.choice([18, 22, 28, 33, 45]))]
+        for _ in range(14):
+            kept = [w for w in words if rng.random() > 0.07] + [f"extra{rng.randrange(30)}" for _ in range(rng.choice([0, 0, 1, 4]))]
+            lines.append(" ".join(rng.sample(kept, len(kept))))
+    cids = [f"C{rng.randrange(6)}" for _ in lines]
+    df = spark.createDataFrame([(i + 1, cids[i], line) for i, line in enumerate(lines)], "_row_num long, customer_id string, address_line1 string")
+    pairs = [(i, j) for i in range(len(lines)) for j in range(i) if near(lines[i], lines[j])]
+    assert len(pairs) > 50
+    book = AddressBook(df)
+    assert {r["_row_num"] for r in book.duplicate_rows().collect()} == {i + 1 for p in pairs for i in p if cids[p[0]] != cids[p[1]]}
+    assert components_by_hand([(r["a"], r["b"]) for r in book.edges().collect()]) == components_by_hand([(i + 1, j + 1) for i, j in pairs])
+
+
+def test_long_template_lines_are_linear(spark):
+    words, counts = [f"street{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(28)], []
+    for n in (500, 1000, 2000):
+        rows_ = [(i, f"C{i}", "", "", "", "", "KA", f"L{i}") for i in range(1, n + 1)]
+        df = people(spark, rows_).withColumn("address_line1", F.concat(F.lit(" ".join(words) + " plot"), F.col("_row_num").cast("string")))
+        book = AddressBook(df)
+        counts.append(book.edges().count())
+        if n == 500:
+            assert book.duplicate_rows().count() == n
+    print(counts)
+    assert counts[2] < 5 * counts[0] < 50 * 500
