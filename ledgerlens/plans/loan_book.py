@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.values import amount, iso_date, ref
 from ledgerlens.operators.ordering import number_rows, order_statistics, top_k
 from ledgerlens.operators.skew import HOT_ROWS, join_key_stats
+from ledgerlens.operators.sketches import approximate_quantiles
 from ledgerlens.session import materialize
 
 # Exception classes in reading order, and the sampling constants.
@@ -36,9 +37,13 @@ def flag(name: str) -> str:
     return f"_exc_{name}"
 
 
-def iqr_fences(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
-    """Quartiles at the nearest rank, widened by FENCE times their distance."""
-    quartiles = order_statistics(df, columns, {"q1": 0.25, "q3": 0.75}, "nearest")
+def iqr_fences(df: DataFrame, columns: list[str], rank_error: float | None = None) -> dict[str, tuple[float, float]]:
+    """Quartiles at the nearest rank, widened by FENCE times their distance; with rank_error, from sketches of that error."""
+    shares = {"q1": 0.25, "q3": 0.75}
+    if rank_error is None:
+        quartiles = order_statistics(df, columns, shares, "nearest")
+    else:
+        quartiles = approximate_quantiles(df, columns, shares, rank_error)
     fences = {}
     for c in columns:
         q1, q3 = quartiles[c]["q1"] or 0.0, quartiles[c]["q3"] or 0.0
@@ -55,7 +60,9 @@ def repeated_rows(df: DataFrame, columns: dict[str, str], hot_rows: int = HOT_RO
     return hits.groupBy("ROW_ID").agg(*[F.bool_or(F.col("kind") == k).alias(k) for k in columns])
 
 
-def detect_exceptions(df: DataFrame, as_of: datetime.date | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def detect_exceptions(
+    df: DataFrame, as_of: datetime.date | None = None, hot_rows: int = HOT_ROWS, rank_error: float | None = None
+) -> DataFrame:
     """One boolean per class, the names of the set ones joined by ;, and a 0/1 flag.
 
     A rule whose column is absent never fires; NULLs fire only the rules about NULLs.
@@ -104,7 +111,7 @@ def detect_exceptions(df: DataFrame, as_of: datetime.date | None = None, hot_row
         "KYC_ISSUE": kyc.isin("Missing", "Expired", "Pending"),
     }
     measured = [c for c in OUTLIERS.values() if has(c)]
-    fences = iqr_fences(df.select(*[amount(df, c).cast("double").alias(c) for c in measured]), measured) if measured else {}
+    fences = iqr_fences(df.select(*[amount(df, c).cast("double").alias(c) for c in measured]), measured, rank_error) if measured else {}
     for name, c in OUTLIERS.items():
         low, high = fences.get(c, (None, None))
         tests[name] = (number(c) < low) | (number(c) > high) if c in fences else F.lit(False)

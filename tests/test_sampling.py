@@ -92,3 +92,19 @@ def test_audit_sample_of_a_loan_book(spark):
     assert summary["random_sampled"] == 50 - 12
     weights = [r["RECENCY_WEIGHT"] for r in sample.collect()]
     assert all(0.25 <= w <= 1.0 for w in weights)
+
+
+def test_sketches_of_parts_merge(spark):
+    from ledgerlens.operators import sketches
+
+    values = [(i % 7, float((i * 7919) % 10_007)) for i in range(10_007)] + [(1, None)]
+    df = spark.createDataFrame(values, "part int, v double")
+    parts = sketches.quantile_sketches(df.filter("part < 3"), ["v"], 0.01, ("part",)).unionByName(
+        sketches.quantile_sketches(df.filter("part >= 3"), ["v"], 0.01, ("part",)))
+    whole = sketches.merged_sketches(parts).select("values", *[sketches.quantile("sketch", q).alias(f"q{int(100 * q)}") for q in (0.1, 0.5, 0.9)])
+    [row] = whole.collect()
+    assert row["values"] == 10_007
+    for q in (0.1, 0.5, 0.9):
+        assert abs(row[f"q{int(100 * q)}"] / 10_007 - q) < 0.015
+    none = sketches.approximate_quantiles(df.filter("v IS NULL"), ["v"], {"m": 0.5}, 0.01)
+    assert none == {"v": {"m": None}}
