@@ -315,15 +315,6 @@ def _longest_digits(value: Column) -> Column:
     return F.regexp_replace(first, "^0+(?=.)", "")
 
 
-def _successor(digits: Column) -> Column:
-    """The number after this one, both as digits without leading zeros; null stays null."""
-    nines = F.length(F.regexp_extract(digits, "(9*)$", 1))
-    head = F.substr(digits, F.lit(1), F.length(digits) - nines)
-    last = F.coalesce(F.right(head, F.lit(1)).try_cast("int"), F.lit(0)) + 1
-    kept = F.substr(head, F.lit(1), F.greatest(F.length(head) - 1, F.lit(0)))
-    return F.when(digits.isNotNull(), F.concat(kept, last.cast("string"), F.repeat(F.lit("0"), nines)))
-
-
 def sequential_documents(df: DataFrame) -> DataFrame:
     """Runs of three or more document numbers that follow each other by one.
 
@@ -366,41 +357,57 @@ def sequential_documents(df: DataFrame) -> DataFrame:
 STRETCH_DIGITS = 5
 
 
+def _stretch(column: str) -> tuple[Column, Column]:
+    """(stretch, place inside) of digits without leading zeros; a stretch shares all but the last STRETCH_DIGITS digits."""
+    long = F.length(column) > STRETCH_DIGITS
+    head = F.when(long, F.substr(column, F.lit(1), F.length(column) - STRETCH_DIGITS)).otherwise("0")
+    return head.alias("stretch"), F.right(column, F.lit(STRETCH_DIGITS)).cast("int").alias("at")
+
+
 def _consecutive_runs(rows: DataFrame) -> DataFrame:
     """(doc, length, first, last) of the runs in (doc, n, copy, value) rows; n holds digits of any length.
 
-    The number line is cut into stretches that share all but the last STRETCH_DIGITS digits, so a window never
-    holds more than twice 10 ** STRETCH_DIGITS rows. Only runs that touch a stretch border are then chained, stretch
-    to stretch: two lines per stretch at most.
+    The number line is cut into stretches of 10 ** STRETCH_DIGITS numbers. Runs that touch a border of their stretch are summed up in one line
+    each, at most two a stretch, and are joined inside stretches of stretches, and so on, as a tree: no window holds more than
+    twice 10 ** STRETCH_DIGITS lines, however many numbers there are.
     """
-    span, long = 10**STRETCH_DIGITS, F.length("n") > STRETCH_DIGITS
-    head = F.when(long, F.substr("n", F.lit(1), F.length("n") - STRETCH_DIGITS)).otherwise("0")
-    cut = rows.select("doc", "copy", "value", head.alias("stretch"), F.right("n", F.lit(STRETCH_DIGITS)).cast("int").alias("n"))
-    inside = Window.partitionBy("doc", "stretch").orderBy("n", "copy")
-    fresh = F.coalesce(F.lag("n").over(inside) != F.col("n") - 1, F.lit(True)).cast("int")
-    numbered = cut.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(inside))
-    at = F.struct("n", "copy")
+    longest = rows.agg(F.coalesce(F.max(F.length("n")), F.lit(0))).first()[0]
+    inside = Window.partitionBy("doc", "stretch").orderBy("at", "copy")
+    fresh = F.coalesce(F.lag("at").over(inside) != F.col("at") - 1, F.lit(True)).cast("int")
+    numbered = rows.select("doc", "copy", "value", *_stretch("n")).withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(inside))
+    spot = F.struct("at", "copy")
     pieces = numbered.groupBy("doc", "stretch", "run").agg(
-        F.count("*").alias("length"), F.min("n").alias("low"), F.max("n").alias("high"),
-        F.min_by("copy", at).alias("low_copy"), F.min_by("value", at).alias("first"), F.max_by("value", at).alias("last"),
+        F.count("*").alias("length"), F.min("at").alias("low"), F.max("at").alias("high"),
+        F.min_by("copy", spot).alias("low_copy"), F.min_by("value", spot).alias("first"), F.max_by("value", spot).alias("last"),
     ).withColumn("last_run", F.max("run").over(Window.partitionBy("doc", "stretch")) == F.col("run"))
     left = (F.col("low") == 0) & (F.col("low_copy") == 0)
-    right = (F.col("high") == span - 1) & F.col("last_run")
-    pieces = pieces.withColumn("left", left).withColumn("right", right)
-    closed = pieces.filter(~F.col("left") & ~F.col("right")).select("doc", "length", "first", "last")
-
-    place = F.struct(F.length("stretch"), "stretch", "low", "high")
-    along = Window.partitionBy("doc").orderBy(place)
-    goes_on = F.col("left") & F.lag("right").over(along) & (_successor(F.lag("stretch").over(along)) == F.col("stretch"))
-    chained = (
-        pieces.filter(F.col("left") | F.col("right"))
-        .withColumn("fresh", (~F.coalesce(goes_on, F.lit(False))).cast("int"))
-        .withColumn("chain", F.sum("fresh").over(along))
-        .groupBy("doc", "chain")
-        .agg(F.sum("length").alias("length"), F.min_by("first", place).alias("first"), F.max_by("last", place).alias("last"))
-        .drop("chain")
-    )
-    return closed.unionByName(chained)
+    right = (F.col("high") == 10**STRETCH_DIGITS - 1) & F.col("last_run")
+    columns = ("doc", "stretch", "length", "first", "last", "left", "right")
+    current = pieces.withColumn("left", left).withColumn("right", right).select(*columns)
+    finished = None
+    for _ in range(STRETCH_DIGITS, longest, STRETCH_DIGITS):
+        current = materialize(current, "runs")
+        closed = current.filter(~F.col("left") & ~F.col("right"))
+        finished = closed if finished is None else finished.unionByName(closed)
+        current = _joined_runs(current.filter(F.col("left") | F.col("right"))).select(*columns)
+    whole = current if finished is None else finished.unionByName(current)
+    return whole.select("doc", "length", "first", "last")
+
+
+def _joined_runs(pieces: DataFrame) -> DataFrame:
+    """Pieces that go on from stretch to stretch, joined inside the stretches of the next size."""
+    placed = pieces.withColumnRenamed("stretch", "number").select("*", *_stretch("number"), (~F.col("left")).alias("late"))
+    along = Window.partitionBy("doc", "stretch").orderBy("at", "late")  # of the two pieces of a stretch the left one comes first
+    goes_on = F.col("left") & F.lag("right").over(along) & (F.lag("at").over(along) == F.col("at") - 1)
+    chained = placed.withColumn("fresh", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("chain", F.sum("fresh").over(along))
+    spot = F.struct("at", "late")
+    return chained.groupBy("doc", "stretch", "chain").agg(
+        F.sum("length").alias("length"), F.min("at").alias("begin"), F.max("at").alias("end"), F.min_by("left", spot).alias("open_left"),
+        F.max_by("right", spot).alias("open_right"), F.min_by("first", spot).alias("first"), F.max_by("last", spot).alias("last"),
+    ).select(
+        "doc", "stretch", "length", "first", "last", ((F.col("begin") == 0) & F.col("open_left")).alias("left"),
+        ((F.col("end") == 10**STRETCH_DIGITS - 1) & F.col("open_right")).alias("right"))
+
 
 
 def income_benford(df: DataFrame) -> DataFrame:
@@ -507,6 +514,10 @@ SCREENS = {
 }
 
 
-def run_screens(df: DataFrame, keys=None) -> dict[str, ReportResult]:
-    """The chosen screens as lazy plans; one that cannot run becomes a note."""
-    return {k: plan_report(k, SCREENS[k], df) for k in SCREENS if keys is None or k in keys}
+def run_screens(df: DataFrame, keys=None, options: dict[str, dict] | None = None) -> dict[str, ReportResult]:
+    """The chosen screens as lazy plans; one that cannot run becomes a note. `options` holds arguments by screen."""
+    options = options or {}
+    unknown = set(options) - set(SCREENS)
+    if unknown:
+        raise ValueError(f"unknown screens {sorted(unknown)}")
+    return {k: plan_report(k, SCREENS[k], df, **options.get(k, {})) for k in SCREENS if keys is None or k in keys}
