@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import csv
+import io
+import re
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 from hashlib import sha256
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +24,9 @@ SOURCE = "_source_file"
 SOURCE_PATH = "_source_path"
 BLOCK = "_source_block"
 DELIMITERS = ",;|\t"
+SAMPLE_BYTES = 1 << 16
+#: Schemes that Spark and pyarrow name differently.
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}
 
 
 @dataclass(frozen=True)
@@ -45,34 +52,60 @@ def list_files(spark: SparkSession, paths: list[str]) -> list[tuple[str, str]]:
     return list(found.items())
 
 
-def _first_line(spark: SparkSession, path: str) -> str:
-    """The first line of a file, through the file system that Spark uses, decompressed by its extension."""
-    jvm = spark._jvm
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(target)
-    stream = target.getFileSystem(conf).open(target)
-    try:
-        plain = codec.createInputStream(stream) if codec is not None else stream
-        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, "UTF-8")).readLine() or ""
-    finally:
-        stream.close()
+def sniff(sample: str, delimiter: str | None = None) -> Layout:
+    """Headers and delimiter from the beginning of a file.
 
-
-def header_of(spark: SparkSession, path: str, delimiter: str | None = None) -> Layout:
-    """Headers and delimiter from the first line of a file; the commonest known delimiter wins."""
-    text = _first_line(spark, path).lstrip("\ufeff")
-    delimiter = delimiter or max(DELIMITERS, key=text.count)
-    return Layout(tuple(next(csv.reader([text], delimiter=delimiter))) if text else (), delimiter)
+    The delimiter under which most lines have as many fields as the header wins, then the one with more fields; quoted
+    delimiters and line breaks do not count. A sample of one column is comma-separated.
+    """
+    best, layout = (-1.0, 0), Layout((), delimiter or DELIMITERS[0])
+    for mark in [delimiter] if delimiter else DELIMITERS:
+        rows = [r for r in csv.reader(io.StringIO(sample, newline=""), delimiter=mark) if r]
+        if not rows:
+            continue
+        width = len(rows[0])
+        score = (sum(len(r) == width for r in rows) / len(rows) if width > 1 else 0.0, width)
+        if score > best:
+            best, layout = score, Layout(tuple(rows[0]), mark)
+    return layout
+
+
+def _beginning(path: str) -> str:
+    """The first lines of a file, decompressed by its extension."""
+    scheme, rest = path.split(":", 1) if re.match("[a-z][a-z0-9+.-]+:", path) else ("file", path)
+    if scheme == "file":
+        source, place = fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    else:
+        source, place = fs.FileSystem.from_uri(ARROW_SCHEMES.get(scheme, scheme) + ":" + rest)
+    with source.open_input_stream(place, compression="detect") as stream:
+        data = stream.read(SAMPLE_BYTES)
+        cut = len(stream.read(1)) > 0
+    text = data.decode("utf-8", errors="ignore").lstrip("\ufeff")
+    whole = max(text.rfind("\n"), text.rfind("\r"))
+    return text[:whole + 1] if cut and whole > 0 else text
 
 
 def layouts_of(spark: SparkSession, files: list[tuple[str, str]], delimiter: str | None = None) -> dict[Layout, list[str]]:
-    """{layout: files} in first-seen order; files without a header line have no rows and are left out."""
+    """{layout: files} in first-seen order; files without a header line have no rows and are left out.
+
+    One job reads the beginnings of the files; only headers come back.
+    """
+
+    def run(batches):
+        for batch in batches:
+            found = [sniff(_beginning(p), delimiter) for p in batch.column("path").to_pylist()]
+            headers = pa.array([list(f.headers) for f in found], pa.list_(pa.string()))
+            yield pa.record_batch([batch.column("at"), headers, pa.array([f.delimiter for f in found])], ["at", "headers", "delimiter"])
+
+    if not files:
+        return {}
+    listed = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(files)], "at int, path string")
+    tasks = min(len(files), 4 * spark.sparkContext.defaultParallelism)
+    heads = listed.repartition(tasks, "at").mapInArrow(run, "at int, headers array<string>, delimiter string")
     groups: dict[Layout, list[str]] = {}
-    for path, _ in files:
-        layout = header_of(spark, path, delimiter)
-        if layout.headers:
-            groups.setdefault(layout, []).append(path)
+    for row in sorted(heads.collect()):
+        if row["headers"]:
+            groups.setdefault(Layout(tuple(row["headers"]), row["delimiter"]), []).append(files[row["at"]][0])
     return groups
 
 
