@@ -8,9 +8,17 @@ from ledgerlens.plans import engine, exposure, forensic, loan_book, row_rules, s
 
 AS_OF = "DATE '2024-12-31'"
 SALT = "audit-salt"
+LONGER_LINE = "BEHIND THE RAILWAY STATION NEAR BANYAN TREE SECOND CROSS"
+BLOCK_ROWS = 5
 ENGAGEMENT, RUN = "eng", "run"
 
 
+MASTER_COLUMNS = (
+    "customer_id full_name dob gender mobile email pan aadhaar voter_id passport driving_licence address_line1 city district state pincode"
+    " bank_account ifsc lan coapplicant_mobile income branch_code dsa_code onboarding_date"
+).split()
+
+
 def _with(names: list[str], body: str, recursive: bool = False) -> str:
     """Prefix the derived views a query reads."""
     views = ",\n".join(f"{n} AS ({view_sql(n)})" for n in names)
@@ -428,9 +436,8 @@ def _outputs() -> dict[str, str]:
         "exc_long": "SELECT _row_num, customer_id, rule_id, status, exception_code, exception_description FROM long",
         "exc_wide": wide_masked,
         "exception_sinks": (
-            "SELECT coalesce(w._row_num, l._row_num) AS _row_num, w.n AS wide_rows, l.n AS long_rows"
-            " FROM (SELECT _row_num, count(*) AS n FROM wide GROUP BY _row_num) w"
-            " FULL JOIN (SELECT _row_num, count(*) AS n FROM long GROUP BY _row_num) l ON l._row_num = w._row_num"
+            f"SELECT 'wide' AS part, * FROM ({wide_masked}) UNION ALL BY NAME SELECT 'long' AS part, _row_num, customer_id, rule_id, status,"
+            " exception_code, exception_description FROM long"
         ),
         "exc_status": " UNION ALL ".join(
             f"SELECT '{s}' AS status, {status.format(s)} AS count FROM wide" for s in ("OK", "WARN", "ERROR")
@@ -640,10 +647,27 @@ def _identity() -> dict[str, str]:
     q["dup_address"] = _with(
         cm, ADDRESS + f"\nSELECT _row_num, 'WARN' AS status, 'ADDRESS_DUPLICATE' AS code, '{ADDRESS_RULE[3]}' AS \"desc\" FROM ({flagged})"
     )
+    longer = "CASE WHEN address_line1 LIKE 'FLAT%' THEN address_line1 || ' " + LONGER_LINE + "' ELSE address_line1 END"
+    q["dup_address_long"] = _with(
+        cm, ADDRESS.replace("upper(trim(address_line1))", f"upper(trim({longer}))", 1)
+        + f"\nSELECT _row_num, 'WARN' AS status, 'ADDRESS_DUPLICATE' AS code, '{ADDRESS_RULE[3]}' AS \"desc\" FROM ({flagged})"
+    )
     people = _keys(PERSON_KINDS) + ADDRESS + COMPONENTS
     q["ucid"] = _with(
         cm, people + "\nSELECT _row_num, ucid, CAST(n AS INTEGER) AS ucid_size FROM placed JOIN named USING (component)", True
     )
+    spelled = ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(1))" for c in sorted(MASTER_COLUMNS))
+    marks = ", ".join(
+        f"CASE WHEN {KEYS[k]} <> '' THEN '0' || sha256(concat_ws('|', '{SALT}', '{k}', {KEYS[k]})) END" for k in PERSON_KINDS)
+    q["ucid_key"] = _with(cm, people + f"""
+, labelled AS (SELECT component, _row_num, coalesce(least({marks}), '1' || sha256(concat_ws('|', '{SALT}', {spelled}))) AS label FROM placed)
+SELECT _row_num, substr(sha256(min(label) OVER g), 1, 16) AS ucid, CAST(count(*) OVER g AS INTEGER) AS ucid_size FROM labelled
+WINDOW g AS (PARTITION BY component)""", True)
+    q["ucid_blocks"] = _with(cm, people + f"""
+, numbered AS (SELECT component, _row_num, (row_number() OVER (PARTITION BY component ORDER BY _row_num) - 1) // {BLOCK_ROWS} AS b FROM placed),
+blocks AS (SELECT component, b, substr(sha256(string_agg(CAST(_row_num - 1 AS VARCHAR), ',' ORDER BY _row_num)), 1, 16) AS x FROM numbered GROUP BY ALL),
+joined AS (SELECT component, substr(sha256(string_agg(x, ',' ORDER BY b)), 1, 16) AS name FROM blocks GROUP BY component)
+SELECT _row_num, name AS ucid, CAST(n AS INTEGER) AS ucid_size FROM placed JOIN named USING (component) JOIN joined USING (component)""", True)
     q["ucid_kyc"] = _with(
         cm, people + KYC + """
 SELECT _row_num, 'WARN' AS status, 'UCID_KYC_INCONSISTENT' AS code,
@@ -677,6 +701,11 @@ SELECT _row_num, {best(short(pan), short(aad), short(mob))} AS customer_key,
         + SHARED + ", flagged AS (" + SCOPED.format(extra="", flag="ucids > 1").lstrip().removeprefix(",").strip()
         .replace("rows AS (", "WITH rows AS (", 1) + ")"
     )
+    for name, rest in (("person", SCOPED.format(extra="", flag="ucids > 1")),
+                       ("observed", SCOPED.format(extra="AND b.ucid = a.ucid AND b.in_list", flag="NOT any_listed"))):
+        before = scoped_all[:scoped_all.index(KYC)] + _keys(all_kinds, "u.ucid").replace(
+            "FROM customer_master", "FROM (SELECT * FROM placed) c JOIN (SELECT component, ucid FROM named) u USING (component)") + SHARED
+        q[f"dup_{name}_ucid"] = _with(cm, before + rest, True)
     dup_rows = " UNION ALL ".join(
         f"SELECT r._row_num, '{rule}' AS rule_id, status, code, \"desc\" FROM ("
         + _duplicate(rule).format(rows="(SELECT s.* FROM shared s SEMI JOIN flagged f ON f._row_num = s._row_num AND f.kind = s.kind)")
@@ -707,6 +736,51 @@ SELECT cluster_size_band, c AS "Customers in Band", CAST((SELECT sum(c) FROM b)
 # --- Customer and forensic reports ---------------------------------------------------------------
 
 
+def _name_similarity() -> str:
+    """Pairs of profiles of one pincode by the matching-block ratio, whose blocks are found by recursion.
+
+    The longest common part comes first, at its first place in a, then in b; what lies left and right of it is matched in the same way.
+    """
+    letters = "string_split('abcdefghijklmnopqrstuvwxyz ', '')"
+    common = (
+        f"list_sum(list_transform({letters}, lambda c: least(length(x.name) - length(replace(x.name, c, '')),"
+        " length(y.name) - length(replace(y.name, c, '')))))"
+    )
+
+    def best(alo: str, ahi: str, blo: str, bhi: str) -> str:
+        part = f"substr(b, {blo}, {bhi} - {blo})"
+        return (
+            f"list_max(flatten([[{{'k': k, 'i': -i, 'j': {blo} + instr({part}, substr(a, i, k)) - 1}}"
+            f" for i in range({alo}, {ahi} - k + 1) if contains({part}, substr(a, i, k))]"
+            f" for k in range(1, least({ahi} - {alo}, {bhi} - {blo}) + 1)]))"
+        )
+
+    return f"""
+, lines AS (
+ SELECT CASE WHEN trim(coalesce(pincode, '')) = '' THEN '_ALL_' ELSE trim(pincode) END AS block, trim(coalesce(full_name, '')) AS shown,
+  trim(regexp_replace(lower(trim(coalesce(full_name, ''))), '[^a-z]+', ' ', 'g')) AS name, trim(coalesce(pan, '')) AS pan, _row_num FROM customer_master),
+profiles AS (SELECT block, name, shown, pan, count(*) AS n, min(_row_num) AS pid FROM lines WHERE name <> '' GROUP BY ALL),
+names AS (SELECT DISTINCT block, name FROM profiles),
+close AS (
+ SELECT DISTINCT x.name AS a, y.name AS b FROM names x JOIN names y ON x.block = y.block AND x.name <> y.name
+ WHERE 2.0 * {common} / (length(x.name) + length(y.name)) >= 0.92),
+found AS (
+ SELECT a, b, CAST(1 AS BIGINT) AS alo, length(a) + 1 AS ahi, CAST(1 AS BIGINT) AS blo, length(b) + 1 AS bhi,
+  {best("1", "length(a) + 1", "1", "length(b) + 1")} AS m FROM close
+ UNION ALL
+ SELECT a, b, s.alo, s.ahi, s.blo, s.bhi, {best("s.alo", "s.ahi", "s.blo", "s.bhi")} AS m
+ FROM (SELECT a, b, unnest([
+   {{'alo': alo, 'ahi': -m.i, 'blo': blo, 'bhi': m.j}},
+   {{'alo': -m.i + m.k, 'ahi': ahi, 'blo': m.j + m.k, 'bhi': bhi}}]) AS s FROM found WHERE m IS NOT NULL)
+ WHERE s.alo < s.ahi AND s.blo < s.bhi),
+ratios AS (SELECT a, b, 2.0 * sum(m.k) / (length(a) + length(b)) AS ratio FROM found WHERE m IS NOT NULL GROUP BY a, b)
+SELECT x.shown AS "Name A", y.shown AS "Name B", CAST(round(CAST(ratio AS DECIMAL(20,12)), 3) AS DOUBLE) AS "Similarity",
+ CASE WHEN x.block = '_ALL_' THEN '' ELSE x.block END AS "Pincode",
+ CAST(len(list_distinct(list_filter([x.pan, y.pan], lambda p: p <> ''))) AS INTEGER) AS "Distinct PAN", x.n * y.n AS "Row Pairs", 'HIGH' AS "Risk"
+FROM profiles x JOIN profiles y ON x.block = y.block AND x.pid < y.pid JOIN ratios ON a = x.name AND b = y.name
+WHERE ratio >= 0.92 AND NOT (x.pan <> '' AND x.pan = y.pan)"""
+
+
 def _customer() -> dict[str, str]:
     from ledgerlens.plans import customer
     from ledgerlens.plans.duplicates import ADDRESS_RULE, DUPLICATE_RULES
@@ -839,7 +913,8 @@ s AS (SELECT seg, avg(n) AS m, stddev_pop(n) AS sd FROM d GROUP BY seg)
 SELECT seg AS "Segment", day AS "Date", n AS "New Customers", {_round('m', 2)} AS "Segment Mean",
  {_round('m + 3 * sd', 2)} AS "Threshold", 'HIGH' AS "Risk"
 FROM d JOIN s USING (seg) WHERE n > m + 3 * sd AND n >= 3 ORDER BY n DESC, seg, day"""
-    return {f"cm_{k}": _with(["customer_master"], v) for k, v in q.items()}
+    return {f"cm_{k}": _with(["customer_master"], v) for k, v in q.items()} | {
+        "cm_name_similarity": _with(["customer_master"], _name_similarity(), True)}
 
 
 # --- Loan book -----------------------------------------------------------------------------------
@@ -886,10 +961,35 @@ best AS (SELECT *, row_number() OVER (PARTITION BY PRODUCT, LOAN_STATUS, BRANCH
 strata AS (SELECT ROW_ID, 'STRATA_COVERAGE:' || PRODUCT || '|' || LOAN_STATUS || '|' || BRANCH AS SELECTION_REASON FROM best WHERE place = 1),
 pool AS (SELECT ROW_ID, ln((CAST(CAST('0x' || substr(sha256('{loan_book.SEED}:' || CAST(ROW_ID AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) + 1.0)
   / {float(2**52 + 1)!r}) / RECENCY_WEIGHT AS draw FROM clean ANTI JOIN strata USING (ROW_ID))"""
+    classes = (
+        "DUPLICATE_LAN DUPLICATE_CUSTOMER NULL_MANDATORY_FIELD INVALID_SANCTIONED_AMT OUTSTANDING_EXCEEDS_SANCTIONED INVALID_INTEREST_RATE"
+        " INVALID_TENURE FUTURE_LOAN_DATE IMPLAUSIBLY_OLD_DATE CLOSED_WITH_OUTSTANDING STATUS_DPD_MISMATCH KYC_ISSUE OUTLIER_SANCTIONED_AMT"
+        " OUTLIER_OUTSTANDING_AMT OUTLIER_INTEREST_RATE"
+    ).split()
+    # the classes are served in order; each takes its ten newest rows that nobody has taken before
+    served = "".join(
+        f"""
+, before_{i + 1} AS (SELECT * FROM before_{i} UNION ALL SELECT * FROM (
+ SELECT ROW_ID, class FROM p WHERE class = '{n}' AND ROW_ID NOT IN (SELECT ROW_ID FROM before_{i}) ORDER BY place LIMIT 10))"""
+        for i, n in enumerate(classes)
+    )
+    sampled = base + f"""
+, c AS (SELECT ROW_ID, RECENCY_WEIGHT, unnest(string_split(EXCEPTION_FLAGS, ';')) AS class FROM book WHERE EXCEPTION_FLAGS <> ''),
+p AS (SELECT class, ROW_ID, row_number() OVER (PARTITION BY class ORDER BY RECENCY_WEIGHT DESC, ROW_ID) AS place FROM c),
+before_0 AS (SELECT ROW_ID, class FROM p WHERE false){served},
+wanted AS (SELECT greatest(CAST(floor((SELECT count(*) FROM clean) * 0.005) AS BIGINT), 50) - (SELECT count(*) FROM strata) AS k),
+drawn AS (
+ SELECT ROW_ID, 'EXCEPTION:' || class AS SELECTION_REASON FROM before_{len(classes)}
+ UNION ALL SELECT ROW_ID, SELECTION_REASON FROM strata
+ UNION ALL SELECT ROW_ID, 'RANDOM' FROM (SELECT ROW_ID, row_number() OVER (ORDER BY draw DESC, ROW_ID) AS place FROM pool) WHERE place <= (SELECT k FROM wanted))"""
     q = {
         "sample_fences": f"{', ' + fences}\n" + " UNION ALL ".join(
             f"SELECT '{c}' AS measure, lo AS low, hi AS high FROM {name}" for c, name in numeric.items()
         ),
+        "sample_quartiles_by_sketch": "\n" + " UNION ALL ".join(
+            f"SELECT '{c}' AS measure, CAST({share} AS DOUBLE) AS share, count({c}) AS \"values\", true AS within_error FROM loan_book"
+            for c in numeric for share in (0.25, 0.75)
+        ),
         "sample_flags": base + """
 SELECT ROW_ID, EXCEPTION_FLAGS, CAST(CASE WHEN EXCEPTION_FLAGS = '' THEN 0 ELSE 1 END AS TINYINT) AS IS_EXCEPTION FROM book""",
         "sample_weight": base + "\nSELECT ROW_ID, " + _round("RECENCY_WEIGHT", 8) + " AS RECENCY_WEIGHT FROM book",
@@ -899,16 +999,23 @@ SELECT ROW_ID, EXCEPTION_FLAGS, CAST(CASE WHEN EXCEPTION_FLAGS = '' THEN 0 ELSE
 , c AS (SELECT ROW_ID, RECENCY_WEIGHT, unnest(string_split(EXCEPTION_FLAGS, ';')) AS class FROM book WHERE EXCEPTION_FLAGS <> ''),
 p AS (SELECT class, ROW_ID, CAST(row_number() OVER (PARTITION BY class ORDER BY RECENCY_WEIGHT DESC, ROW_ID) AS INTEGER) AS place FROM c)
 SELECT class, ROW_ID, place FROM p WHERE place <= 160""",
+        "sample_book_rows": sampled + """
+SELECT ROW_ID, SELECTION_REASON, EXCEPTION_FLAGS FROM drawn JOIN book USING (ROW_ID)""",
+        "sample_summary": sampled + f"""
+, shared AS ({' UNION ALL '.join(f"SELECT '{n}' AS class, count(*) AS m FROM (SELECT p.ROW_ID FROM p JOIN before_{i} ON before_{i}.ROW_ID = p.ROW_ID WHERE p.class = '{n}')" for i, n in enumerate(classes))})
+SELECT 'found' AS figure, class, count(*) AS n FROM c GROUP BY class
+UNION ALL SELECT 'sampled', c.class, least(10, count(DISTINCT t.ROW_ID) + any_value(m)) FROM (SELECT DISTINCT class FROM c) c JOIN shared USING (class)
+ LEFT JOIN before_{len(classes)} t ON t.class = c.class GROUP BY c.class
+UNION ALL SELECT 'population_total', '', count(*) FROM book
+UNION ALL SELECT 'clean_records', '', count(*) FROM clean
+UNION ALL SELECT 'exceptions_sampled', '', count(*) FROM before_{len(classes)}
+UNION ALL SELECT 'strata_covered', '', count(*) FROM strata
+UNION ALL SELECT 'random_sampled', '', count(*) FROM drawn WHERE SELECTION_REASON = 'RANDOM'
+UNION ALL SELECT 'total_sample_size', '', count(*) FROM drawn""",
     }
     return {k: _with(["loan_book"], v) for k, v in q.items()}
 
 
-MASTER_COLUMNS = (
-    "customer_id full_name dob gender mobile email pan aadhaar voter_id passport driving_licence address_line1 city district state pincode"
-    " bank_account ifsc lan coapplicant_mobile income branch_code dsa_code onboarding_date"
-).split()
-
-
 EXPOSURE_COLUMNS = (
     "loan_id scheme_id scheme_name sbu sub_sbu state loan_status stage dpd_bucket disbursement_date business_date ead outstanding_principal"
     " sanction_amount disbursed_amount collateral_value covered_portion uncovered_portion existing_provision additional_provision total_provision"
@@ -942,8 +1049,6 @@ SELECT row_number() OVER (ORDER BY CAST(pincode AS BIGINT)) AS _row_num, pincode
         "dataset_csv": _with(cm, f"""
 SELECT CAST(_row_num AS VARCHAR) AS _row_num, {', '.join(f"nullif({mask if c == 'aadhaar' else c}, '') AS {c}" for c in columns)},
  CAST((SELECT count(*) FROM customer_master) AS INTEGER) AS saved_rows FROM customer_master"""),
-        "preview": _with(cm, f"""
-SELECT CAST(_row_num AS VARCHAR) AS _row_num, {', '.join(masked if c == 'aadhaar' else c for c in columns)} FROM customer_master WHERE _row_num % 1000 = 1"""),
         "preview_first": _with(cm, f"""
 SELECT CAST(_row_num AS VARCHAR) AS _row_num, {', '.join(masked if c == 'aadhaar' else c for c in columns)} FROM customer_master ORDER BY customer_master._row_num LIMIT 500"""),
         "pin_lookup": _with(["customer_master", "pin_master"], MASTER + """
@@ -951,19 +1056,26 @@ SELECT _row_num, m_state AS state_name, m_district AS district FROM located WHER
     }
 
 
-def _counted(name: str, parts: dict[str, str], extra: str = "") -> str:
-    """Rows of each named text, one line per name."""
-    return " UNION ALL ".join(f"SELECT '{k}' AS {name}{extra}, count(*) AS rows FROM ({sql}) part" for k, sql in parts.items())
+def _stacked(name: str, parts: dict[str, str]) -> str:
+    """The rows of each named text under all their columns."""
+    return " UNION ALL BY NAME ".join(f"SELECT '{k}' AS {name}, part.* FROM ({sql}) part" for k, sql in parts.items())
+
+
+SCREENS = "address_clustering name_similarity email_domain_anomalies sequential_kyc income_benford kyc_by_branch onboarding_velocity".split()
 
 
 def _runners(texts: dict[str, str]) -> dict[str, str]:
     from ledgerlens.plans.duplicates import DUPLICATE_RULES
 
+    reports = _stacked("report", {k: texts[f"ead_{k}"] for k in exposure.REPORTS})
     codes = " ".join(f"WHEN '{kind}' THEN '{code}'" for kind, code, *_ in DUPLICATE_RULES.values())
     keys = _keys([kind for kind, *_ in DUPLICATE_RULES.values()])
     return {
-        "ead_run_all": _counted("report", {k: texts[f"ead_{k}"] for k in exposure.REPORTS}, ", true AS ran"),
-        "screens_run_all": _counted("screen", {k: texts[f"cm_{k}"] for k in forensic.SCREENS if f"cm_{k}" in texts}),
+        "ead_run_all": reports,
+        "ead_report_files": reports,
+        "screens_run_all": _stacked("screen", {k: texts[f"cm_{k}"] for k in SCREENS}),
+        "screens_run_every": " UNION ALL ".join(f"SELECT '{k}' AS screen, count(*) AS rows FROM ({texts[f'cm_{k}']}) part" for k in SCREENS).replace(
+            "n > 2 THEN 'CRITICAL'", "n > 10 THEN 'CRITICAL'").replace("a <> '' AND n > 1", "a <> '' AND n > 5"),
         "duplicate_breakdown": _with(["customer_master"], keys + SHARED + f"""
 SELECT CASE kind {codes} END AS exception_code, count(*) AS count FROM shared JOIN ids USING (kind, key) GROUP BY 1"""),
     }

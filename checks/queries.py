@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.oracle import ENGAGEMENT, RUN, SALT
+from checks.oracle import BLOCK_ROWS, ENGAGEMENT, LONGER_LINE, RUN, SALT
 from checks.views import view
 from ledgerlens.functions.values import rounded
+from ledgerlens.operators import sketches
 from ledgerlens.plans import customer, duplicates, engine, exposure, forensic, identity, loan_book, outputs
 from ledgerlens.plans import row_rules, sampling
 from ledgerlens.plans.addresses import AddressBook
@@ -19,6 +20,7 @@ from ledgerlens.session import materialize, work_dir
 from ledgerlens.sources import csv_files, mapping, pin_master, sinks
 
 AS_OF = datetime.date(2024, 12, 31)
+RANK_ERROR = 0.005
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -30,6 +32,15 @@ def _on(name: str, build: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf: build(view(spark, sf, name))
 
 
+def _stacked(name: str, frames: dict[str, DataFrame]) -> DataFrame:
+    """The rows of several frames under all their columns, told apart by a column of that name."""
+    merged = None
+    for key, frame in frames.items():
+        one = frame.select(F.lit(key).alias(name), "*")
+        merged = one if merged is None else merged.unionByName(one, allowMissingColumns=True)
+    return merged
+
+
 def _exposure_queries() -> dict[str, Query]:
     options = {"disbursement": {"period_from": "1996-04-01", "period_to": "1997-03-31"}}
     q = {f"ead_{k}": _exposure_query(k, **options.get(k, {})) for k in exposure.REPORTS}
@@ -45,16 +56,17 @@ def _exposure_queries() -> dict[str, Query]:
     def run_all(spark, sf):
         """Every report through the runner: its rows, or the note why it has none."""
         results = exposure.run_exposure_reports(view(spark, sf, "exposure"), None, "1996-04-01", "1997-03-31")
-        counted = [
-            r.as_frame(spark).agg(F.count("*").alias("rows")).select(F.lit(k).alias("report"), F.lit(r.df is not None).alias("ran"), "rows")
-            for k, r in results.items()
-        ]
-        merged = counted[0]
-        for frame in counted[1:]:
-            merged = merged.unionByName(frame)
-        return merged
+        return _stacked("report", {k: r.as_frame(spark) for k, r in results.items()})
+
+    def report_files(spark, sf):
+        """Every report written as CSV and read back."""
+        results = exposure.run_exposure_reports(view(spark, sf, "exposure"), None, "1996-04-01", "1997-03-31")
+        paths = sinks.write_reports(results, f"{work_dir(spark)}/reports-{spark.sparkContext.applicationId}")
+        read = {k: spark.read.schema(results[k].df.schema).option("header", True).csv(path) for k, path in paths.items()}
+        return _stacked("report", read)
 
     q["ead_run_all"] = run_all
+    q["ead_report_files"] = report_files
     q["ead_stats"] = _on("exposure", exposure.summary_stats)
     q["ead_months"] = _on("exposure", exposure.snapshot_months)
     q["ead_dates"] = _on("exposure", exposure.snapshot_dates)
@@ -149,6 +161,20 @@ def _with_ucid(master: DataFrame) -> DataFrame:
     return identity.ucid_columns(master, identity.unique_customers(master, SALT, AddressBook(master)))
 
 
+def _ucid_by_key(master: DataFrame) -> DataFrame:
+    """Names by identity key, found with the rows numbered the other way round."""
+    turned = master.withColumn("_row_num", F.lit(10 ** 12) - F.col("_row_num"))
+    grouped = identity.unique_customers(turned, SALT, AddressBook(turned), id_by="key")
+    named = identity.ucid_columns(turned, grouped, identity.single_name(turned, SALT, "key"))
+    return named.select((F.lit(10 ** 12) - F.col("_row_num")).alias("_row_num"), "ucid", "ucid_size")
+
+
+def _ucid_by_blocks(master: DataFrame) -> DataFrame:
+    grouped = identity.unique_customers(master, SALT, AddressBook(master), listed_members=BLOCK_ROWS)
+    named = identity.ucid_columns(master, grouped, identity.single_name(master, SALT, listed_members=BLOCK_ROWS))
+    return named.select("_row_num", "ucid", "ucid_size")
+
+
 def _audit(spark, sf) -> DataFrame:
     return engine.run_rules(
         view(spark, sf, "customer_master"), SALT, pin_master=view(spark, sf, "pin_master"), as_of=AS_OF
@@ -162,7 +188,15 @@ def _identity_queries() -> dict[str, Query]:
     q["dup_address"] = _on(
         "customer_master", lambda m: _finding(duplicates.address_findings(AddressBook(m).duplicate_rows()))
     )
+    line = F.col("address_line1")
+    q["dup_address_long"] = _on("customer_master", lambda m: _finding(duplicates.address_findings(AddressBook(m.withColumn(
+        "address_line1", F.when(line.startswith("FLAT"), F.concat(line, F.lit(f" {LONGER_LINE}"))).otherwise(line))).duplicate_rows())))
     q["ucid"] = _on("customer_master", lambda m: _with_ucid(m).select("_row_num", "ucid", "ucid_size"))
+    q["ucid_key"] = _on("customer_master", _ucid_by_key)
+    q["ucid_blocks"] = _on("customer_master", _ucid_by_blocks)
+    for scope in ("person", "observed"):
+        q[f"dup_{scope}_ucid"] = _on("customer_master", lambda m, scope=scope: duplicates.flagged_rows(
+            _with_ucid(m), [k for k, *_ in duplicates.DUPLICATE_RULES.values()], SALT, scope).select("_row_num", "kind", "key"))
     q["ucid_kyc"] = _on("customer_master", lambda m: _with_ucid(m).filter("__ucid_finding is not null").select(
         "_row_num", "__ucid_finding.status", "__ucid_finding.code", "__ucid_finding.desc"))
     q["beneficiary"] = _on(
@@ -198,20 +232,19 @@ def _customer_queries() -> dict[str, Query]:
 
     q["duplicate_breakdown"] = breakdown
 
-    def counted(results, spark):
-        merged = None
-        for k, r in results.items():
-            one = r.as_frame(spark).agg(F.count("*").alias("rows")).select(F.lit(k).alias("screen"), "rows")
-            merged = one if merged is None else merged.unionByName(one)
-        return merged
-
     def screens(spark, sf):
-        """The screens whose counts have SQL through the runner, counted: all but name_similarity."""
-        return counted(forensic.run_screens(view(spark, sf, "customer_master"), [k for k in forensic.SCREENS if k != "name_similarity"]), spark)
+        """Every screen through the runner, with the one option that the tables need."""
+        results = forensic.run_screens(view(spark, sf, "customer_master"), options={"address_clustering": {"threshold": 1}})
+        return _stacked("screen", {k: r.as_frame(spark) for k, r in results.items()})
 
     def every_screen(spark, sf):
-        """Every screen through the runner, counted; no SQL, as name_similarity has none."""
-        return counted(forensic.run_screens(view(spark, sf, "customer_master")), spark)
+        """Every screen through the runner with its own options, counted."""
+        results = forensic.run_screens(view(spark, sf, "customer_master"))
+        counted = [r.as_frame(spark).agg(F.count("*").alias("rows")).select(F.lit(k).alias("screen"), "rows") for k, r in results.items()]
+        merged = counted[0]
+        for frame in counted[1:]:
+            merged = merged.unionByName(frame)
+        return merged
 
     q["screens_run_all"] = screens
     q["screens_run_every"] = every_screen
@@ -232,13 +265,39 @@ def _book_queries() -> dict[str, Query]:
             [(c, low, high) for c, (low, high) in found.items()], "measure string, low double, high double"
         )
 
+    def quartiles_by_sketch(spark, sf):
+        """Quartiles from sketches kept per branch and merged, and whether their true ranks are within the stated error."""
+        columns = list(loan_book.OUTLIERS.values())
+        book = view(spark, sf, "loan_book")
+        kept = materialize(sketches.quantile_sketches(book, columns, RANK_ERROR, ("BRANCH",)), "branch-sketches")
+        shares = F.explode(F.array(F.lit(0.25), F.lit(0.75))).alias("share")
+        wanted = materialize(sketches.merged_sketches(kept).select("measure", "values", "sketch", shares).select(
+            "measure", "values", "share", F.kll_sketch_get_quantile_double("sketch", "share").alias("value")), "sketched-quartiles")
+        stacked = F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("own")) for c in columns])
+        ranks = book.select(F.inline(stacked)).join(F.broadcast(wanted), "measure").groupBy("measure", "share", "values").agg(
+            F.count_if(F.col("own") < F.col("value")).alias("below"), F.count_if(F.col("own") <= F.col("value")).alias("upto"))
+        slack = RANK_ERROR * F.col("values")
+        inside = (F.col("below") <= F.col("share") * F.col("values") + slack) & (F.col("upto") >= F.col("share") * F.col("values") - slack)
+        return ranks.select("measure", "share", "values", inside.alias("within_error"))
+
     def random(spark, sf):
         clean = _book(spark, sf).filter("IS_EXCEPTION = 0")
         pool = clean.join(loan_book.sample_strata(clean).select("ROW_ID"), "ROW_ID", "left_anti")
         return loan_book.sample_random(pool, 200).select("ROW_ID", "SELECTION_REASON")
 
+    def summary(spark, sf):
+        """The figures behind the sample, one a line."""
+        figures = loan_book.audit_sample(view(spark, sf, "loan_book"), AS_OF)[1]
+        names = "population_total clean_records exceptions_sampled strata_covered random_sampled total_sample_size".split()
+        lines = [(n, "", figures[n]) for n in names]
+        for name, one in figures["per_class"].items():
+            if one["found"]:
+                lines += [("found", name, one["found"]), ("sampled", name, one["sampled"])]
+        return spark.createDataFrame(lines, "figure string, class string, n long")
+
     return {
         "sample_fences": fences,
+        "sample_quartiles_by_sketch": quartiles_by_sketch,
         "sample_flags": lambda s, d: loan_book.detect_exceptions(view(s, d, "loan_book"), AS_OF).select(
             "ROW_ID", "EXCEPTION_FLAGS", "IS_EXCEPTION"),
         "sample_weight": lambda s, d: loan_book.recency_weight(view(s, d, "loan_book"))[0].select(
@@ -247,6 +306,9 @@ def _book_queries() -> dict[str, Query]:
             "ROW_ID", "SELECTION_REASON"),
         "sample_random": random,
         "sample_candidates": lambda s, d: loan_book.class_candidates(_book(s, d)),
+        "sample_book_rows": lambda s, d: loan_book.audit_sample(view(s, d, "loan_book"), AS_OF)[0].select(
+            "ROW_ID", "SELECTION_REASON", "EXCEPTION_FLAGS"),
+        "sample_summary": summary,
         "sample_book": lambda s, d: loan_book.audit_sample(view(s, d, "loan_book"), AS_OF)[0],
     }
 
@@ -352,11 +414,7 @@ def _source_queries() -> dict[str, Query]:
         checked = _checked(spark, sf)
         sinks.write_exceptions(outputs.wide_exceptions(checked), outputs.long_exceptions(checked), path)
         wide, long = (sinks.read_parquet(spark, f"{path}/{part}") for part in ("wide", "long"))
-        counted = [t.groupBy("_row_num").agg(F.count("*").alias(n)) for t, n in ((wide, "wide_rows"), (long, "long_rows"))]
-        return counted[0].join(counted[1], "_row_num", "full")
-
-    def preview(spark, sf):
-        return sinks.preview(view(spark, sf, "customer_master").filter("_row_num % 1000 = 1"), 10_000_000)
+        return _stacked("part", {"wide": wide, "long": long})
 
     def preview_first(spark, sf):
         """The operator's own number of rows, of the whole view."""
@@ -377,7 +435,6 @@ def _source_queries() -> dict[str, Query]:
         "written_parquet": written_parquet,
         "dataset_csv": dataset_csv,
         "exception_sinks": exception_sinks,
-        "preview": preview,
         "preview_first": preview_first,
         "null_counts": null_counts,
         "pin_lookup": pin_lookup,
