@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import pieces
+from ledgerlens.llm.common import lean_stream, pieces
 
 MATRIX_BYTES, REMEMBERED, PIECE_BYTES = 128, 200_000, 1 << 20
 NONE = np.int32(2**31 - 1)
@@ -198,7 +198,7 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch, found in bpe.encode_each(batches, "text"):
             yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return _rows(docs).mapInArrow(lean_stream(run), "doc_id long, ids array<int>")
 
 
 def decoded(rows: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -210,7 +210,7 @@ def decoded(rows: DataFrame, path: str, pattern: str) -> DataFrame:
             found = [bpe.decode(ids or []) for ids in batch.column("ids").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "text"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text binary")
+    return rows.select("doc_id", "ids").mapInArrow(lean_stream(run), "doc_id long, text binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -225,7 +225,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                  pa.array([hashlib.sha256(bpe.decode(ids)).hexdigest() for ids in found], pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _rows(docs).mapInArrow(lean_stream(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _rows(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import as_bytes
+from ledgerlens.llm.common import as_bytes, lean_stream
 from ledgerlens.llm.phrase_trie import Trie, digits_for
 from ledgerlens.operators.ordering import number_rows
 from ledgerlens.session import materialize, row_count
@@ -93,7 +93,7 @@ def chunked(docs: DataFrame) -> DataFrame:
         yield from flushed()
 
     rows = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), as_bytes("text").alias("text"))
-    return rows.mapInArrow(run, "lang string, words array<string>, counts array<long>, codes binary")
+    return rows.mapInArrow(lean_stream(run), "lang string, words array<string>, counts array<long>, codes binary")
 
 
 def _recoded(chunks: DataFrame, words: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def _scanned(text: DataFrame, tries: DataFrame, blocks: int, schema: str, work:
             trie = Trie.unpacked(sent.value)
             yield from work(trie, first, (_numbers(c.as_py()) for batch in batches for c in batch.column("codes")))
 
-        part = text.mapInArrow(run, schema)
+        part = text.mapInArrow(lean_stream(run), schema)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -48,3 +49,39 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             held += size
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def give_back() -> None:
+    """Return freed memory to the system. Python workers outlive their tasks, so what one task needed would else stay with the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(work: Callable) -> Callable:
+    """A function of one group, or of two that belong together, that gives memory back when it is done."""
+
+    def one(held: pa.Table) -> pa.Table:
+        try:
+            return work(held)
+        finally:
+            give_back()
+
+    def two(held: pa.Table, found: pa.Table) -> pa.Table:
+        try:
+            return work(held, found)
+        finally:
+            give_back()
+
+    return one if work.__code__.co_argcount == 1 else two
+
+
+def lean_stream(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """The same for a function over a partition's batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        give_back()
+
+    return run

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import WHITE_SPACE, as_bytes
+from ledgerlens.llm.common import WHITE_SPACE, as_bytes, lean_stream
 from ledgerlens.session import materialize
 
 MIN_WORDS, MAX_REPEAT_PCT, THRESHOLD = 50, 50, 0.5
@@ -66,7 +66,7 @@ def measured(docs: DataFrame) -> DataFrame:
                 ["doc_id", "text_hash", *[c.split()[0] for c in STATS.split(", ")]])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(as_bytes("text")).alias("text_hash"), as_bytes("text").alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, text_hash long, {STATS}")
+    return rows.mapInArrow(lean_stream(run), f"doc_id long, text_hash long, {STATS}")
 
 
 def _vote(good: Column, bad: Column) -> Column:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import as_bytes
+from ledgerlens.llm.common import as_bytes, lean_stream
 from ledgerlens.operators.components import connected_components
 from ledgerlens.session import materialize
 
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     text = as_bytes("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return rows.mapInArrow(lean_stream(run), "doc_id long, text_hash long, fp long")
 
 
 def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
