@@ -2,12 +2,13 @@
 
 write(): every task writes one archive of gzip members, one per record, into the shared folder and returns each record's file, offset and length. A
 file is named by a fresh id, so what a lost or repeated task has left is never referred to. Of records with equal payloads, the one with the
-smallest page_id is a response and the others are revisits of it; payloads meet by digest, the html is not shuffled.
+smallest page_id is a response and the others are revisits of it; payloads meet by digest; the html is
+shuffled only where the list of shared payloads is too long to be broadcast.
 
 build_index(): captures are sorted by reversed-host URL key and page_id over range partitions (so a key with very many captures spans several), and packed to
 compressed blocks of BLOCK_LINES lines. The sparse directory is the blocks' first and last keys.
 lookup() bisects the range partitions' bounds (one line per partition), then the directory of a partition, unpacks the blocks that can hold a key, and makes range reads of
-the records. read_all() makes the range reads of all captures.
+the records. read_all() makes the range reads of all captures. archived() looks all urls up; a range partition has about SPAN_LINES captures, so a search holds no more.
 
 Defined cases: a null html is an empty payload; a null url has the empty key and no target URI in its record; a null page_id is a response unless a record with
 an id has its payload; rows that repeat the smallest page_id are responses all; control characters in a url are percent-encoded; an empty table gives empty results.
@@ -21,7 +22,6 @@ import hashlib
 import re
 import uuid
 import zlib
-from functools import lru_cache
 
 import pyarrow as pa
 from pyarrow import fs
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import parts_for
 from ledgerlens.session import materialize, row_count, work_dir
 
-BLOCK_LINES, ARCHIVE_BYTES, READ_BATCH, READ_BLOCKS = 2048, 1 << 28, 256, 8
+BLOCK_LINES, ARCHIVE_BYTES, READ_BATCH, READ_BLOCKS, SPAN_LINES = 2048, 1 << 28, 256, 8, 1 << 17
 CAPTURE = "url_key string, page_id long, file string, offset long, length long"
 PAGE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 _URL = re.compile(r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::\d*)?([^#]*)")
@@ -142,7 +142,8 @@ def build_index(captures: DataFrame) -> DataFrame:
         if held:
             yield block(held)
 
-    ordered = captures.repartitionByRange("url_key", "page_id").sortWithinPartitions("url_key", "page_id")
+    spans = parts_for(row_count(captures) or captures.count(), SPAN_LINES, captures.sparkSession.sparkContext.defaultParallelism)
+    ordered = captures.repartitionByRange(spans, "url_key", "page_id").sortWithinPartitions("url_key", "page_id")
     return materialize(ordered.select(*columns).mapInArrow(pack, "span string, block int, first_key string, last_key string, lines binary"), "capture-index")
 
 
@@ -152,26 +153,29 @@ def _entries(lines: bytes):
         yield key, int(page_id) if page_id else None, file, int(offset), int(length)
 
 
-@lru_cache(maxsize=64)
-def _opened(file: str):
-    system, path = _filesystem(file)
-    return system.open_input_file(path)
-
-
-def fetched(file: str, offset: int, length: int) -> bytes:
-    """Range read of one record."""
-    archive = _opened(file)
+def fetched(archive, offset: int, length: int) -> bytes:
+    """Range read of one record from an open archive."""
     archive.seek(offset)
     return zlib.decompress(archive.read(length), wbits=31)
 
 
 def _pages(entries):
-    rows = []
-    for _, _, file, offset, length in entries:
-        rows.append(parsed(fetched(file, offset, length)))
-        if len(rows) == READ_BATCH:
-            yield _page_batch(rows)
-            rows = []
+    """The records of entries that are sorted by file, one archive open at a time."""
+    rows, current, archive = [], None, None
+    try:
+        for _, _, file, offset, length in entries:
+            if file != current:
+                if archive is not None:
+                    archive.close()
+                system, path = _filesystem(file)
+                current, archive = file, system.open_input_file(path)
+            rows.append(parsed(fetched(archive, offset, length)))
+            if len(rows) == READ_BATCH:
+                yield _page_batch(rows)
+                rows = []
+    finally:
+        if archive is not None:
+            archive.close()
     if rows:
         yield _page_batch(rows)
 
@@ -231,5 +235,5 @@ def archive_folder(spark) -> str:
 
 
 def archived(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write archives and their index, then read every record back."""
-    return read_all(build_index(write(pages, archive_folder(pages.sparkSession), min_bytes)))
+    """Write archives and their index, then look every url up in it and read the records of its captures back."""
+    return lookup(build_index(write(pages, archive_folder(pages.sparkSession), min_bytes)), pages)
