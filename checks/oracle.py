@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from checks import fixed_values as fixed
 from checks.views import view_sql
-from ledgerlens.functions import severity as sev
-from ledgerlens.plans import engine, exposure, forensic, loan_book, row_rules, sampling
+from ledgerlens.plans import engine, exposure, row_rules, sampling
 
 AS_OF = "DATE '2024-12-31'"
 SALT = "audit-salt"
@@ -46,8 +46,8 @@ def _distinct(column: str) -> str:
 
 # --- Exposure reports ----------------------------------------------------------------------------
 
-HIGH = "regexp_matches(lower(coalesce({0}, '')), '" + exposure.HIGH_DPD + "')"
-CLOSED = "regexp_matches(lower(coalesce({0}, '')), '" + exposure.CLOSED + "')"
+HIGH = "regexp_matches(lower(coalesce({0}, '')), '" + fixed.HIGH_DPD + "')"
+CLOSED = "regexp_matches(lower(coalesce({0}, '')), '" + fixed.CLOSED + "')"
 LATEST = "(SELECT * FROM exposure WHERE business_date = (SELECT max(business_date) FROM exposure))"
 
 
@@ -118,10 +118,10 @@ def _exposure() -> dict[str, str]:
         " ead outstanding_principal sanction_amount disbursed_amount collateral_value covered_portion"
         " uncovered_portion existing_provision additional_provision total_provision written_off FVTPL ucid"
     ).split()
-    dims = [d for d in exposure.PIVOT_DIMENSIONS if d in columns]
+    dims = [d for d in fixed.PIVOT_DIMENSIONS if d in columns]
     measures = {
         t: "count(loan_id)" if c == "loan_id" else _sum(c)
-        for c, t in exposure.PIVOT_MEASURES.items() if c in columns
+        for c, t in fixed.PIVOT_MEASURES.items() if c in columns
     }
     q["pivot"] = _grouped("exposure", {d: d for d in dims}, measures)
     ratio = _round("CAST(additional_provision AS DOUBLE) / CAST(existing_provision AS DOUBLE)", 4)
@@ -136,7 +136,7 @@ SELECT loan_id AS "Loan ID", stage AS "Stage", dpd_bucket AS "DPD Bucket", ead A
     q["negative_check"] = " UNION ALL ".join(
         f"""SELECT '{c}' AS "Column", count(*) AS "Total Rows", count(*) FILTER ({c} < 0) AS "Negative Count",
  count(*) FILTER ({c} IS NULL) AS "Null Count", count(*) FILTER ({c} < 0) > 0 AS "Has Issue" FROM exposure"""
-        for c in exposure.SIGNED_COLUMNS if c in columns
+        for c in fixed.SIGNED_COLUMNS if c in columns
     )
     q["stage_mismatch"] = f"""
 SELECT loan_id AS "Loan ID", stage AS "Stage", dpd_bucket AS "DPD Bucket", loan_status AS "Loan Status", ead AS "EAD"
@@ -159,7 +159,7 @@ FROM (SELECT loan_id, {ead} AS e, {loans} AS n FROM exposure GROUP BY loan_id) O
 SELECT '{a}' AS "{title}", p AS "Amount", {_pct('p', 'w')} AS "Percent" FROM s
 UNION ALL SELECT '{b}', w - p, {_round('100.0 - ' + _pct('p', 'w', 10), 2)} FROM s
 UNION ALL SELECT '{c}', w, CAST(100 AS DOUBLE) FROM s"""
-    q["data_quality_ead"] = _fill("exposure", [c for c in exposure.QUALITY_COLUMNS if c in columns])
+    q["data_quality_ead"] = _fill("exposure", [c for c in fixed.QUALITY_COLUMNS if c in columns])
     q["stats"] = f"""
 SELECT {loans} AS total_loans, {ead} AS total_ead, {prov} AS total_provision,
  {_pct(prov, ead)} AS coverage_pct FROM exposure"""
@@ -252,7 +252,7 @@ def _rules() -> dict[str, list[tuple[str, str, str, str]]]:
         "pan_format": [
             (f"{pan} <> '' AND NOT regexp_matches({pan}, '^[A-Z]{{5}}[0-9]{{4}}[A-Z]$')", "ERROR",
              "PAN_INVALID_FORMAT", f"'PAN ''' || {pan} || ''' does not match AAAAA9999A pattern'"),
-            (f"{pan} <> '' AND instr('{row_rules.PAN_ENTITIES}', substr({pan}, 4, 1)) = 0", "ERROR",
+            (f"{pan} <> '' AND instr('{fixed.PAN_ENTITIES}', substr({pan}, 4, 1)) = 0", "ERROR",
              "PAN_INVALID_ENTITY_CHAR",
              f"'PAN ''' || {pan} || ''' has unrecognised entity type character ''' || substr({pan}, 4, 1) || ''''"),
         ],
@@ -276,7 +276,7 @@ def _rules() -> dict[str, list[tuple[str, str, str, str]]]:
             (f"{licence} <> '' AND NOT regexp_matches({licence}, '^[A-Z]{{2}}[0-9]{{7,}}$')", "ERROR",
              "DL_INVALID_FORMAT",
              f"'DL ''' || {licence} || ''' does not match expected pattern (SSRRYYYYNNNNNNN)'"),
-            (f"{licence} <> '' AND substr({licence}, 1, 2) NOT IN ({listed(row_rules.LICENCE_STATES)})", "ERROR",
+            (f"{licence} <> '' AND substr({licence}, 1, 2) NOT IN ({listed(fixed.LICENCE_STATES)})", "ERROR",
              "DL_INVALID_STATE_CODE",
              f"'DL ''' || {licence} || ''' has unrecognised state code ''' || substr({licence}, 1, 2) || ''''"),
         ],
@@ -304,7 +304,7 @@ def _rules() -> dict[str, list[tuple[str, str, str, str]]]:
             (f"{account} <> '' AND ({digits} < 9 OR {digits} > 18)", "ERROR", "BANK_ACCOUNT_INVALID_LENGTH",
              f"'Bank account ''' || {account} || ''' has ' || {digits} || ' digits (valid range: 9-18)'")],
         "email_company_generic_domain": [
-            (f"({domain}) IN ({listed(row_rules.FREE_EMAIL_DOMAINS)})", "WARN", "EMAIL_COMPANY_GENERIC_DOMAIN",
+            (f"({domain}) IN ({listed(fixed.FREE_EMAIL_DOMAINS)})", "WARN", "EMAIL_COMPANY_GENERIC_DOMAIN",
              f"'Company email uses generic domain ''' || ({domain}) || ''' (consider business domain)'")],
         "pincode_exists": [
             (f"{pin} <> '' AND NOT regexp_matches({pin}, '^[0-9]{{6}}$')", "ERROR", "PIN_INVALID_FORMAT",
@@ -373,14 +373,14 @@ wide AS (
 
 def _severity_case(code: str) -> str:
     whens = " ".join(
-        f"WHEN {code} IN ({', '.join(repr(c) for c in sev.SEVERITY_CODES[s].split())}) THEN {i}"
-        for i, s in enumerate(sev.SEVERITIES[:3])
+        f"WHEN {code} IN ({', '.join(repr(c) for c in fixed.SEVERITY_CODES[s].split())}) THEN {i}"
+        for i, s in enumerate(fixed.SEVERITIES[:3])
     )
     return f"CASE {whens} ELSE 3 END"
 
 
 def _named(rank: str) -> str:
-    return "CASE " + rank + " " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(sev.SEVERITIES)) + " END"
+    return "CASE " + rank + " " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(fixed.SEVERITIES)) + " END"
 
 
 STRATA = (
@@ -394,9 +394,9 @@ def _sample_size(pop: str, exc: str) -> str:
     rate = f"(CASE WHEN {pop} > 0 THEN CAST({exc} AS DOUBLE) / {pop} ELSE 0 END)"
     rows = []
     low_pop = None
-    for largest, sizes in sampling.SAMPLE_SIZES:
+    for largest, sizes in fixed.SAMPLE_SIZES:
         low = 0.0
-        for limit, size in zip(sampling.DEVIATION_BANDS, sizes):
+        for limit, size in zip(fixed.DEVIATION_BANDS, sizes):
             band = f"{rate} >= {low} AND {rate} < {limit}"
             inside = "" if largest is None else f" AND {pop} <= {largest}"
             above = "" if low_pop is None else f" AND {pop} > {low_pop}"
@@ -411,8 +411,8 @@ def _sample_size(pop: str, exc: str) -> str:
 def _outputs() -> dict[str, str]:
     base = LONG.format(long=_long_rows()) + WIDE
     views = ["customer_master", "pin_master"]
-    labels = " ".join(f"WHEN '{c}' THEN '{t}'" for c, t in sev.MISSING_LABELS.items())
-    codes = ", ".join(f"'{c}'" for c in sev.MISSING_LABELS)
+    labels = " ".join(f"WHEN '{c}' THEN '{t}'" for c, t in fixed.MISSING_LABELS.items())
+    codes = ", ".join(f"'{c}'" for c in fixed.MISSING_LABELS)
     rules = [r for r in engine.RULE_ORDER if r in _rules()]
     described, category = engine.describe_rules(), engine.category_of()
 
@@ -421,7 +421,7 @@ def _outputs() -> dict[str, str]:
 
     procedures = ", ".join(
         f"({i + 1}, {lit(r)}, {lit(described[r])}, {lit(engine.CATEGORIES[category[r]][0])},"
-        f" {', '.join(lit(x) for x in sev.CATEGORY_AUDIT[category[r]])})"
+        f" {', '.join(lit(x) for x in fixed.CATEGORY_AUDIT[category[r]])})"
         for i, r in enumerate(rules)
     )
     fields = (
@@ -485,14 +485,14 @@ FROM g WINDOW w AS (ORDER BY findings DESC ROWS UNBOUNDED PRECEDING)""",
         ),
         "sample_severity": " UNION ALL ".join(
             f"""SELECT '{s}' AS stratum, count(*) FILTER (stratum = '{s}') AS count,
- {_pct(f"count(*) FILTER (stratum = '{s}')", 'count(*)', 4)} AS percentage FROM strata""" for s in sev.STRATA
+ {_pct(f"count(*) FILTER (stratum = '{s}')", 'count(*)', 4)} AS percentage FROM strata""" for s in fixed.STRATA
         ),
         "sample_sizes": f"""
 , s AS (SELECT branch_code, count(*) AS population, count(*) FILTER (overall_status <> 'OK') AS exceptions FROM wide GROUP BY 1)
 SELECT *, {_sample_size('population', 'exceptions')} AS sample_size FROM s""",
     }
     seed = sampling.sample_seed(ENGAGEMENT, RUN)
-    order = "CASE stratum " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(sev.STRATA)) + " END"
+    order = "CASE stratum " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(fixed.STRATA)) + " END"
     picks = f"""
 , facts AS (SELECT count(*) AS n, count(*) FILTER (overall_status <> 'OK') AS x FROM wide),
 sized AS (SELECT n, {_sample_size('n', 'x')} AS size FROM facts),
@@ -782,7 +782,6 @@ WHERE ratio >= 0.92 AND NOT (x.pan <> '' AND x.pan = y.pan)"""
 
 
 def _customer() -> dict[str, str]:
-    from ledgerlens.plans import customer
     from ledgerlens.plans.duplicates import ADDRESS_RULE, DUPLICATE_RULES
 
     columns = (
@@ -808,7 +807,7 @@ SELECT state, district, {_distinct('customer_id')} AS "Customer Count" FROM cust
         "kyc_completeness": " UNION ALL ".join(
             f"""SELECT '{c.replace('_', ' ').title()}' AS "Field", count(*) FILTER (length({c}) > 0) AS "Present",
  count(*) - count(*) FILTER (length({c}) > 0) AS "Missing", {_pct(f'count(*) FILTER (length({c}) > 0)', 'count(*)')} AS "Percent Present"
-FROM customer_master""" for c in customer.KYC_FIELDS
+FROM customer_master""" for c in fixed.KYC_FIELDS
         ),
         "demographic_distribution": f"""
 SELECT CASE WHEN a < 26 THEN '18-25' WHEN a < 36 THEN '26-35' WHEN a < 51 THEN '36-50' WHEN a < 66 THEN '51-65' ELSE '65+' END AS age_bucket,
@@ -861,7 +860,7 @@ SELECT a AS "Address (normalized)", n AS "Distinct Customers", l AS "Loan Accoun
  CASE WHEN n > 2 THEN 'CRITICAL' ELSE 'HIGH' END AS "Risk" FROM (
  SELECT {address} AS a, count(DISTINCT nullif(trim(customer_id), '')) AS n, count(DISTINCT nullif(trim(lan), '')) AS l
  FROM customer_master GROUP BY 1) WHERE a <> '' AND n > 1"""
-    thrown = ", ".join(f"'{d}'" for d in forensic.DISPOSABLE_DOMAINS)
+    thrown = ", ".join(f"'{d}'" for d in fixed.DISPOSABLE_DOMAINS)
     q["email_domain_anomalies"] = f"""
 SELECT d AS "Email Domain", n AS "Distinct Customers",
  CASE WHEN x AND n > 10 THEN 'Disposable + Shared' WHEN x THEN 'Disposable Domain' ELSE 'Shared Domain' END AS "Anomaly Type",
@@ -871,7 +870,7 @@ SELECT d AS "Email Domain", n AS "Distinct Customers",
  FROM customer_master WHERE contains(email, '@') GROUP BY ALL) WHERE d <> '' AND (x OR n > 10)"""
     documents = " UNION ALL ".join(
         f"SELECT '{t}' AS doc, _row_num, upper(trim({c})) AS v FROM customer_master WHERE trim(coalesce({c}, '')) <> ''"
-        for c, t in forensic.DOCUMENTS.items()
+        for c, t in fixed.DOCUMENTS.items()
     )
     q["sequential_kyc"] = f"""
 , runs AS (SELECT *, regexp_extract_all(v, '[0-9]{{3,}}') AS found FROM ({documents})),
@@ -885,7 +884,7 @@ SELECT doc AS "Document Type", len AS "Sequence Length",
  CASE WHEN doc = 'Aadhaar' THEN 'XXXXXXXX' || right(f, 4) ELSE f END AS "First Value",
  CASE WHEN doc = 'Aadhaar' THEN 'XXXXXXXX' || right(l, 4) ELSE l END AS "Last Value",
  CASE WHEN len >= 5 THEN 'CRITICAL' ELSE 'HIGH' END AS "Risk" FROM ends"""
-    shares = ", ".join(f"({d + 1}, CAST({s} AS DOUBLE))" for d, s in enumerate(forensic.BENFORD_SHARES))
+    shares = ", ".join(f"({d + 1}, CAST({s} AS DOUBLE))" for d, s in enumerate(fixed.BENFORD_SHARES))
     q["income_benford"] = f"""
 , d AS (SELECT CAST(regexp_extract(regexp_replace(income, '[^0-9]', '', 'g'), '^0*([1-9])', 1) AS INTEGER) AS digit
  FROM customer_master WHERE regexp_matches(income, '[1-9]')),
@@ -894,9 +893,9 @@ c AS (SELECT e.digit, share, count(d.digit) AS n FROM e LEFT JOIN d USING (digit
 t AS (SELECT CAST(sum(n) AS BIGINT) AS n, sum(abs(CAST(n AS DOUBLE) / (SELECT sum(n) FROM c) - share)) / 9 AS mad FROM c)
 SELECT CAST(digit AS VARCHAR) AS "Digit", {_round('CAST(100.0 AS DOUBLE) * c.n / t.n', 2)} AS "Observed %",
  {_round('share * 100', 2)} AS "Expected %", c.n AS "Count" FROM c, t
-UNION ALL SELECT 'MAD', {_round('mad', 5)}, CAST({forensic.BENFORD_ACCEPTABLE} AS DOUBLE), n FROM t
-UNION ALL SELECT CASE WHEN mad <= {forensic.BENFORD_CLOSE} THEN 'Close conformity' WHEN mad <= {forensic.BENFORD_ACCEPTABLE}
- THEN 'Acceptable conformity' WHEN mad <= {forensic.BENFORD_MARGINAL} THEN 'Marginally acceptable'
+UNION ALL SELECT 'MAD', {_round('mad', 5)}, CAST({fixed.BENFORD_ACCEPTABLE} AS DOUBLE), n FROM t
+UNION ALL SELECT CASE WHEN mad <= {fixed.BENFORD_CLOSE} THEN 'Close conformity' WHEN mad <= {fixed.BENFORD_ACCEPTABLE}
+ THEN 'Acceptable conformity' WHEN mad <= {fixed.BENFORD_MARGINAL} THEN 'Marginally acceptable'
  ELSE 'NON-CONFORMITY (investigate)' END, NULL, NULL, NULL FROM t"""
     blanks = " + ".join(
         f"CASE WHEN trim(coalesce({c}, '')) = '' THEN 1 ELSE 0 END" for c in ("pan", "aadhaar", "mobile", "address_line1", "pincode")
@@ -921,7 +920,7 @@ FROM d JOIN s USING (seg) WHERE n > m + 3 * sd AND n >= 3 ORDER BY n DESC, seg,
 
 
 def _book() -> dict[str, str]:
-    numeric = {c: f"fence_{c}" for c in loan_book.OUTLIERS.values()}
+    numeric = {c: f"fence_{c}" for c in fixed.OUTLIERS.values()}
     fences = ", ".join(
         f"""{name} AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM (
  SELECT max(CASE WHEN rn = CAST(floor(0.25 * (n - 1) + 0.5) AS BIGINT) THEN v END) AS q1,
@@ -947,9 +946,9 @@ def _book() -> dict[str, str]:
         "CLOSED_WITH_OUTSTANDING": "LOAN_STATUS = 'Closed' AND OUTSTANDING_AMT > 0",
         "STATUS_DPD_MISMATCH": "LOAN_STATUS IN ('NPA', 'Written-off') AND DPD = 0",
         "KYC_ISSUE": "KYC_STATUS IN ('Missing', 'Expired', 'Pending')",
-        **{name: outside(c) for name, c in loan_book.OUTLIERS.items()},
+        **{name: outside(c) for name, c in fixed.OUTLIERS.items()},
     }
-    flags = ", ".join(f"CASE WHEN {tests[n]} THEN '{n}' END" for n in loan_book.CLASSES)
+    flags = ", ".join(f"CASE WHEN {tests[n]} THEN '{n}' END" for n in fixed.CLASSES)
     day = "(CAST(LOAN_DATE AS DATE) - DATE '1970-01-01')"
     base = f"""
 , {fences},
@@ -959,7 +958,7 @@ book AS (SELECT b.*, 0.25 + 0.75 * (CAST({day} - lo AS DOUBLE) / CAST(hi - lo AS
 clean AS (SELECT * FROM book WHERE EXCEPTION_FLAGS = ''),
 best AS (SELECT *, row_number() OVER (PARTITION BY PRODUCT, LOAN_STATUS, BRANCH ORDER BY RECENCY_WEIGHT DESC, ROW_ID) AS place FROM clean),
 strata AS (SELECT ROW_ID, 'STRATA_COVERAGE:' || PRODUCT || '|' || LOAN_STATUS || '|' || BRANCH AS SELECTION_REASON FROM best WHERE place = 1),
-pool AS (SELECT ROW_ID, ln((CAST(CAST('0x' || substr(sha256('{loan_book.SEED}:' || CAST(ROW_ID AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) + 1.0)
+pool AS (SELECT ROW_ID, ln((CAST(CAST('0x' || substr(sha256('{fixed.SEED}:' || CAST(ROW_ID AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) + 1.0)
   / {float(2**52 + 1)!r}) / RECENCY_WEIGHT AS draw FROM clean ANTI JOIN strata USING (ROW_ID))"""
     classes = (
         "DUPLICATE_LAN DUPLICATE_CUSTOMER NULL_MANDATORY_FIELD INVALID_SANCTIONED_AMT OUTSTANDING_EXCEEDS_SANCTIONED INVALID_INTEREST_RATE"
@@ -1032,6 +1031,10 @@ def _sources() -> dict[str, str]:
     return {
         "ingest_roundtrip": _with(cm, f"""
 SELECT row_number() OVER (ORDER BY _row_num) AS _row_num, {texts} FROM customer_master"""),
+        "ingest_multi_line": _with(cm, """
+SELECT row_number() OVER (ORDER BY _row_num) AS _row_num, nullif(customer_id, '') AS customer_id, nullif(full_name, '') AS full_name, nullif(lan, '') AS lan,
+ CASE WHEN _row_num % 3 = 0 THEN address_line1 || chr(10) || 'floor "' || _row_num || '"' || chr(10) || chr(10) || 'rear' ELSE nullif(address_line1, '') END
+  AS address_line1, nullif(city, '') AS city FROM customer_master"""),
         "normalize_ead": _with(["exposure"], "SELECT " + ", ".join(
             f"CAST({c} AS DOUBLE) AS {c}" if c in EXPOSURE_NUMBERS else c for c in EXPOSURE_COLUMNS) + " FROM exposure"),
         "consolidate": _with(cm, f"""
@@ -1076,6 +1079,7 @@ def _runners(texts: dict[str, str]) -> dict[str, str]:
         "screens_run_all": _stacked("screen", {k: texts[f"cm_{k}"] for k in SCREENS}),
         "screens_run_every": " UNION ALL ".join(f"SELECT '{k}' AS screen, count(*) AS rows FROM ({texts[f'cm_{k}']}) part" for k in SCREENS).replace(
             "n > 2 THEN 'CRITICAL'", "n > 10 THEN 'CRITICAL'").replace("a <> '' AND n > 1", "a <> '' AND n > 5"),
+        "cm_geographic_merged": texts["cm_geographic_distribution"],
         "duplicate_breakdown": _with(["customer_master"], keys + SHARED + f"""
 SELECT CASE kind {codes} END AS exception_code, count(*) AS count FROM shared JOIN ids USING (kind, key) GROUP BY 1"""),
     }

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from checks.oracle import BLOCK_ROWS, ENGAGEMENT, LONGER_LINE, RUN, SALT
 from checks.views import view
 from ledgerlens.functions.values import rounded
-from ledgerlens.operators import sketches
+from ledgerlens.operators import bitmaps, sketches
 from ledgerlens.plans import customer, duplicates, engine, exposure, forensic, identity, loan_book, outputs
 from ledgerlens.plans import row_rules, sampling
 from ledgerlens.plans.addresses import AddressBook
@@ -246,6 +246,16 @@ def _customer_queries() -> dict[str, Query]:
             merged = merged.unionByName(frame)
         return merged
 
+    def merged_months(spark, sf):
+        """Customers by place, from bitmaps added year by year."""
+        placed = view(spark, sf, "customer_master").filter(F.col("state").isNotNull())
+        year = F.substring("onboarding_date", 1, 4)
+        counts = bitmaps.DistinctCounts("customer_id", ("state", "district"))
+        for y in sorted(r[0] for r in placed.select(year.alias("y")).distinct().collect()):  # a few years
+            counts.add(placed.filter(year == y))
+        return counts.counts("Customer Count")
+
+    q["cm_geographic_merged"] = merged_months
     q["screens_run_all"] = screens
     q["screens_run_every"] = every_screen
     return q
@@ -270,9 +280,8 @@ def _book_queries() -> dict[str, Query]:
         columns = list(loan_book.OUTLIERS.values())
         book = view(spark, sf, "loan_book")
         kept = materialize(sketches.quantile_sketches(book, columns, RANK_ERROR, ("BRANCH",)), "branch-sketches")
-        shares = F.explode(F.array(F.lit(0.25), F.lit(0.75))).alias("share")
-        wanted = materialize(sketches.merged_sketches(kept).select("measure", "values", "sketch", shares).select(
-            "measure", "values", "share", F.kll_sketch_get_quantile_double("sketch", "share").alias("value")), "sketched-quartiles")
+        both = F.array(*[F.struct(F.lit(q).alias("share"), sketches.quantile("sketch", q).alias("value")) for q in (0.25, 0.75)])
+        wanted = materialize(sketches.merged_sketches(kept).select("measure", "values", F.inline(both)), "sketched-quartiles")
         stacked = F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("own")) for c in columns])
         ranks = book.select(F.inline(stacked)).join(F.broadcast(wanted), "measure").groupBy("measure", "share", "values").agg(
             F.count_if(F.col("own") < F.col("value")).alias("below"), F.count_if(F.col("own") <= F.col("value")).alias("upto"))
@@ -381,6 +390,20 @@ def _source_queries() -> dict[str, Query]:
     def consolidate_rejects(spark, sf):
         return layouts(spark, sf).rejected.select(layout(), "_raw", "_reject_reason")
 
+    def ingest_multi_line(spark, sf):
+        """Quoted line breaks and quotes in a column, in files of many splits."""
+        path = folder(spark, "multi-line")
+        broken = F.when(F.col("_row_num") % 3 == 0, F.concat("address_line1", F.lit('\nfloor "'), F.col("_row_num").cast("string"), F.lit('"\n\nrear')))
+        lines = view(spark, sf, "customer_master").select(
+            "_row_num", "customer_id", "full_name", "lan", F.coalesce(broken, "address_line1").alias("address_line1"), "city")
+        spread(lines, path, escape='"')
+        before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+        try:
+            return materialize(csv_files.ingest_csv(spark, path, "customer_master", multi_line=True).accepted, "ingested")
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
     def null_counts(spark, sf):
         facts = mapping.validate(view(spark, sf, "customer_master"), "customer_master")
         return spark.createDataFrame(list(facts.nulls.items()), "column string, nulls long")
@@ -428,6 +451,7 @@ def _source_queries() -> dict[str, Query]:
 
     return {
         "ingest_roundtrip": ingest_roundtrip,
+        "ingest_multi_line": ingest_multi_line,
         "normalize_ead": normalize_ead,
         "consolidate": consolidate,
         "consolidate_rejects": consolidate_rejects,

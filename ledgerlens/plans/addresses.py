@@ -25,7 +25,7 @@ class AddressBook:
     def __init__(self, df: DataFrame, heavy_rows: int | None = None, hot_rows: int = HOT_ROWS):
         self.hot_rows = hot_rows
         words = df.select("_row_num", text(df, "customer_id").alias("cid"), address_tokens(df).alias("tokens"))
-        gid = F.sha2(F.array_join("tokens", " "), 256)
+        gid = F.unhex(F.md5(F.array_join("tokens", " ")))  # 16 bytes
         self.rows = materialize(words.filter(F.col("tokens").isNotNull()).withColumn("gid", gid), "addresses")
         sets = self.rows.groupBy("gid").agg(
             F.any_value("tokens").alias("tokens"),

@@ -28,6 +28,7 @@ from ledgerlens.functions.values import (
 )
 from ledgerlens.operators.ordering import order_statistics
 from ledgerlens.plans.report import NotAvailable, ReportResult, asc, desc, plan_report, require
+from ledgerlens.session import materialize
 
 # --- Fixed values: names and patterns that reports and their readers agree on -------------------
 
@@ -101,22 +102,28 @@ def is_closed(status: Column) -> Column:
     return F.coalesce(F.lower(status.cast("string")).rlike(CLOSED), F.lit(False))
 
 
-def last_snapshot(df: DataFrame) -> DataFrame:
-    """Rows of the latest business_date; the frame itself when there is no usable date.
+def in_last_snapshot(df: DataFrame) -> Column | None:
+    """Whether a row is of the latest business_date; None when there is no usable date.
 
     The texts (or the date) that mean the latest day are found first, by a small job over that one column, so what
     is left is a plain IN that prunes partitions and reaches the scan. One day has few spellings.
     """
     if "business_date" not in df.columns:
-        return df
+        return None
     raw = ref("business_date")
     seen = df.select(raw.alias("raw")).filter("raw IS NOT NULL").distinct()
     dated = isinstance(df.schema["business_date"].dataType, T.DateType)
     days = seen.groupBy((F.col("raw") if dated else iso_date(seen, "raw")).alias("day")).agg(F.collect_set("raw").alias("texts"), F.max("raw").alias("last"))
     latest = days.agg(F.max_by(F.struct("day", "texts"), "day").alias("dated"), F.max("last").alias("last")).first()
     if latest["dated"] is not None and latest["dated"]["day"] is not None:
-        return df.filter(raw.isin(*latest["dated"]["texts"]))
-    return df if latest["last"] is None else df.filter(raw == latest["last"])
+        return raw.isin(*latest["dated"]["texts"])
+    return None if latest["last"] is None else raw == latest["last"]
+
+
+def last_snapshot(df: DataFrame) -> DataFrame:
+    """Rows of the latest business_date; the frame itself when there is no usable date."""
+    inside = in_last_snapshot(df)
+    return df if inside is None else df.filter(inside)
 
 
 @dataclass
@@ -214,15 +221,26 @@ def _ordered(result: DataFrame, order, keys) -> DataFrame:
     return result.orderBy(*[(desc if way == "desc" else asc)(n)[0] for n, way in named])
 
 
-def grouped_report(df: DataFrame, key: str, latest: Callable[[DataFrame], DataFrame] = last_snapshot) -> DataFrame:
-    """A report that is one group-by; `latest` gives the rows of the last snapshot."""
+def _keys_of(df: DataFrame, key: str) -> dict[str, str]:
+    """The group keys of a report that the frame has, with their titles."""
     spec = GROUPINGS[key]
     require(df, *spec.needs)
     keys = {k: t for k, t in spec.keys.items() if k in df.columns}
     if len(keys) < spec.min_keys:
         raise NotAvailable(f"{' / '.join(spec.keys)} columns not available")
+    return keys
+
+
+def grouped_report(df: DataFrame, key: str, latest: Callable[[DataFrame], DataFrame] = last_snapshot) -> DataFrame:
+    """A report that is one group-by; `latest` gives the rows of the last snapshot."""
+    spec, keys = GROUPINGS[key], _keys_of(df, key)
     source = latest(df) if spec.latest_only else df
-    result = _summarise(source, keys, spec.measures, "Loan Count")
+    return _finished(_summarise(source, keys, spec.measures, "Loan Count"), key, keys)
+
+
+def _finished(result: DataFrame, key: str, keys: dict[str, str]) -> DataFrame:
+    """The sums of a report with what is worked out from them, in order."""
+    spec = GROUPINGS[key]
     if spec.coverage and set(spec.coverage[:2]) <= set(result.columns):
         part, whole, title = spec.coverage
         result = result.withColumn(title, percent(ref(part), ref(whole)))
@@ -232,6 +250,57 @@ def grouped_report(df: DataFrame, key: str, latest: Callable[[DataFrame], DataFr
     return _ordered(result, spec.order, keys.values())
 
 
+class SharedSums:
+    """All group-by reports from one pass over the book.
+
+    Every row is expanded to one line per report that it counts in, with that report's keys alone filled in; the lines are
+    summed before they are shuffled, and the sums, a table of the size of the reports, are written once. Reports over the same keys and rows share
+    their lines.
+    """
+
+    def __init__(self, df: DataFrame, reports: list[str]):
+        self.df = df
+        self.sets: dict[tuple, int] = {}
+        for key in reports:
+            try:
+                keys = _keys_of(df, key)
+            except NotAvailable:
+                continue
+            self.sets.setdefault((GROUPINGS[key].latest_only, tuple(keys)), len(self.sets))
+        if not self.sets:
+            return
+        columns = list(dict.fromkeys(k for _, keys in self.sets for k in keys))
+        kinds = {f.name: f.dataType for f in df.schema.fields}
+
+        def line(number: int, keys: tuple[str, ...]) -> Column:
+            held = [(ref(c) if c in keys else F.lit(None).cast(kinds[c])).alias(f"k{i}") for i, c in enumerate(columns)]
+            return F.struct(F.lit(number).alias("set"), *held)
+
+        every = [line(n, keys) for (latest, keys), n in self.sets.items() if not latest]
+        newest = [line(n, keys) for (latest, keys), n in self.sets.items() if latest]
+        inside = in_last_snapshot(df) if newest else None
+        if inside is None:
+            lines = F.array(*every, *newest)
+        elif every:
+            lines = F.when(inside, F.array(*every, *newest)).otherwise(F.array(*every))
+        else:
+            lines = F.when(inside, F.array(*newest))
+        sources = [s for s in dict.fromkeys(s for s, _ in MEASURES.values()) if s in df.columns]
+        sums = [(F.count(ref(s)) if s == "loan_id" else total(df, s)).alias(f"m{i}") for i, s in enumerate(sources)]
+        rows = df.select(*[ref(s) for s in sources], F.explode(lines).alias("line")).select(*[ref(s) for s in sources], "line.*")
+        names = ["set", *[f"k{i}" for i in range(len(columns))]]
+        self.written = materialize(rows.groupBy(*names).agg(*sums, F.count("*").alias("rows")), "exposure-sums")
+        self.key_at, self.sum_at = {c: f"k{i}" for i, c in enumerate(columns)}, {s: f"m{i}" for i, s in enumerate(sources)}
+
+    def report(self, key: str) -> DataFrame:
+        spec, keys = GROUPINGS[key], _keys_of(self.df, key)
+        number = self.sets[spec.latest_only, tuple(keys)]
+        measures = [F.col(self.sum_at[MEASURES[m][0]]).alias(m) for m in spec.measures if MEASURES[m][0] in self.sum_at]
+        held = [F.col(self.key_at[k]).alias(t) for k, t in keys.items()]
+        own = self.written.filter(F.col("set") == number).select(*held, *(measures or [F.col("rows").alias("Loan Count")]))
+        return _finished(own, key, keys)
+
+
 # --- Reports that are more than one group-by -----------------------------------------------------
 
 
@@ -462,15 +531,14 @@ def run_exposure_reports(
     period_from: str | None = None,
     period_to: str | None = None,
 ) -> dict[str, ReportResult]:
-    """All selected reports as lazy plans over one frame, whose last snapshot is found once."""
+    """All selected reports over one frame: the group-by ones from one pass that is made here, the others as lazy plans."""
     chosen = [k for k in REPORTS if keys is None or k in keys]
     results = {}
-    latest = cache(lambda: last_snapshot(df))
+    sums = cache(lambda: SharedSums(df, [k for k in chosen if k in GROUPINGS]))
     for key in chosen:
         options = {"period_from": period_from, "period_to": period_to} if key == "disbursement" else {}
-        if key in GROUPINGS:
-            options = {"latest": lambda _: latest()}
-        results[key] = plan_report(key, lambda frame, key=key, **o: report(frame, key, **o), df, **options)
+        build = (lambda frame, key=key: sums().report(key)) if key in GROUPINGS else (lambda frame, key=key, **o: report(frame, key, **o))
+        results[key] = plan_report(key, build, df, **options)
     return results
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 from hashlib import sha256
@@ -23,6 +24,7 @@ CORRUPT = "_corrupt_record"
 SOURCE = "_source_file"
 SOURCE_PATH = "_source_path"
 BLOCK = "_source_block"
+SEQ = "_source_seq"
 DELIMITERS = ",;|\t"
 SAMPLE_BYTES = 1 << 16
 #: Schemes that Spark and pyarrow name differently.
@@ -109,14 +111,95 @@ def layouts_of(spark: SparkSession, files: list[tuple[str, str]], delimiter: str
     return groups
 
 
+HEAD, WHOLE, TAIL = range(3)
+
+
+def _records(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(SOURCE, SOURCE_PATH, BLOCK, SEQ, value): the records of CSV files whose quoted fields may hold line breaks.
+
+    Files are split like any text. A split begins inside quotes when the quotes of the splits before it in the file
+    are odd in number, which one count per split and a running sum tell. Each split then joins its own lines to records; only the
+    record that crosses a border travels, its parts being put together in order. A record is held whole, so a quote that is never
+    closed makes one record of the rest of its file.
+    """
+    lines = spark.read.text(files).select(
+        F.col("_metadata.file_name").alias(SOURCE), F.col("_metadata.file_path").alias(SOURCE_PATH), F.col("_metadata.file_block_start").alias(BLOCK),
+        F.monotonically_increasing_id().alias("at"), "value",
+        ((F.length("value") - F.length(F.translate("value", '"', ""))) % 2).alias("odd"))
+    before = Window.partitionBy(SOURCE_PATH).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)  # one line per split
+    splits = lines.groupBy(SOURCE_PATH, BLOCK).agg(F.sum("odd").alias("odd"))
+    inside = splits.withColumn("open", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2).filter("open = 1").select(SOURCE_PATH, BLOCK, "open")
+    placed = lines.join(inside, [SOURCE_PATH, BLOCK], "left").withColumn("open", F.coalesce("open", F.lit(0)).cast("int"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, pending, kind, open_, seq, out = None, [], HEAD, 0, 0, []
+
+        def close(kind):
+            nonlocal pending, seq
+            if pending:
+                out.append((*split, seq, kind, "\n".join(pending)))
+                seq += kind != HEAD
+                pending = []
+
+        for batch in batches:
+            for name, path, block, value, odd, start in zip(*[batch.column(c).to_pylist() for c in (SOURCE, SOURCE_PATH, BLOCK, "value", "odd", "open")]):
+                if (name, path, block) != split:
+                    close(TAIL if kind != HEAD and open_ else kind)
+                    split, open_, seq, kind = (name, path, block), start, 0, HEAD
+                if not open_:  # a record begins
+                    close(kind)
+                    kind = WHOLE
+                pending.append(value)
+                open_ = (open_ + odd) % 2
+            if out:
+                yield rows(out)
+                out = []
+        if split is not None:
+            close(TAIL if kind != HEAD and open_ else kind)
+        if out:
+            yield rows(out)
+
+    def rows(out) -> pa.RecordBatch:
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int8(), pa.string()]
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [SOURCE, SOURCE_PATH, BLOCK, SEQ, "kind", "value"])
+
+    schema = f"{SOURCE} string, {SOURCE_PATH} string, {BLOCK} long, {SEQ} long, kind byte, value string"
+    ordered = placed.sortWithinPartitions(SOURCE_PATH, BLOCK, "at")  # a join may have dealt the lines anew
+    parts = materialize(ordered.mapInArrow(run, schema), "csv-records")
+    along = Window.partitionBy(SOURCE_PATH).orderBy(BLOCK, "kind")  # at most two parts per split
+    crossing = parts.filter(F.col("kind") != WHOLE).withColumn("chain", F.sum((F.col("kind") == TAIL).cast("int")).over(along))
+    first = F.min_by(F.struct(SOURCE, BLOCK, SEQ), F.struct(BLOCK, "kind")).alias("first")
+    texts = F.array_sort(F.collect_list(F.struct(BLOCK, "kind", "value")))
+    joined = crossing.groupBy(SOURCE_PATH, "chain").agg(first, F.array_join(F.transform(texts, lambda t: t["value"]), "\n").alias("value"))
+    columns = (SOURCE, SOURCE_PATH, BLOCK, SEQ, "value")
+    joined = joined.select(f"first.{SOURCE}", SOURCE_PATH, f"first.{BLOCK}", f"first.{SEQ}", "value")
+    return parts.filter(F.col("kind") == WHOLE).select(*columns).unionByName(joined.select(*columns))
+
+
+def _read_multi_line(spark: SparkSession, layout: Layout, files: list[str]) -> CsvData:
+    """Files of one layout whose quoted fields may hold line breaks, read by as many tasks as other files."""
+    fields = [T.StructField(h, T.StringType()) for h in (*layout.headers, CORRUPT)]
+    options = {"sep": layout.delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "multiLine": "true"}
+    body = _records(spark, files).filter(~((F.col(BLOCK) == 0) & (F.col(SEQ) == 0)) & (F.trim("value") != ""))
+    parsed = body.withColumn("row", F.from_csv("value", T.StructType(fields).toDDL(), options))
+    corrupt = F.col("row")[CORRUPT]
+    accepted = parsed.filter(corrupt.isNull()).select(*[F.col("row")[h].alias(h) for h in layout.headers], SOURCE, SOURCE_PATH, BLOCK, SEQ)
+    rejected = parsed.filter(corrupt.isNotNull()).select(
+        F.lit("row does not fit the header").alias("_reject_reason"), corrupt.alias("_raw"),
+        F.to_json(F.struct(*[F.col("row")[h].alias(h) for h in layout.headers])).alias("_parsed"), SOURCE, SOURCE_PATH)
+    return CsvData(accepted, rejected)
+
+
 def _read_layout(spark: SparkSession, layout: Layout, files: list[str], multi_line: bool) -> CsvData:
     """Files of one layout: rows that fit the header, with their place, and the others."""
+    if multi_line:
+        return _read_multi_line(spark, layout, files)
     fields = [T.StructField(h, T.StringType()) for h in (*layout.headers, CORRUPT)]
     raw = (
         spark.read.schema(T.StructType(fields))
         .option("header", True).option("sep", layout.delimiter).option("quote", '"').option("escape", '"')
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-        .option("multiLine", multi_line).option("columnPruning", False)
+        .option("columnPruning", False)
         .csv(files)
         .withColumns({SOURCE: F.col("_metadata.file_name"), SOURCE_PATH: F.col("_metadata.file_path"), BLOCK: F.col("_metadata.file_block_start")})
     )
@@ -152,28 +235,38 @@ def read_csv(
 
     Every file is read by its own header and delimiter, files of one layout together; columns meet
     by name, and a column that a file lacks is NULL there. Nothing is inferred, so long account numbers keep
-    every digit. Files stay splittable; multi_line reads quoted line breaks as well, at the price of one task per file.
+    every digit. Files stay splittable; multi_line reads quoted line breaks as well, for one more pass over the files.
     """
     files = list_files(spark, [paths] if isinstance(paths, str) else list(paths))
     data = _read(spark, files, multi_line, delimiter)
-    return CsvData(data.accepted.drop(BLOCK), data.rejected)
+    return CsvData(data.accepted.drop(BLOCK, SEQ), data.rejected)
 
 
 def number_in_file_order(rows: DataFrame, files: list[tuple[str, str]], name: str = "_row_num") -> DataFrame:
     """Consecutive numbers over the files in their order and the lines in theirs, however Spark packs the splits.
 
     Rows have SOURCE_PATH and BLOCK (the start of their split). They are written once; a split's rows are read in
-    order by one task, so counting the splits before turns the place in a split into a number, without a sort.
+    order by one task, so counting the splits before turns the place in a split into a number, without a sort. Rows that
+    have their place in the split in SEQ are numbered by it, in windows of one split.
     """
+    if SEQ in rows.columns:
+        inside = Window.partitionBy(SOURCE_PATH, BLOCK).orderBy(SEQ)
+        rows = rows.withColumn("__at", F.row_number().over(inside).cast("long")).drop(SEQ)
+        return _numbered(materialize(rows, "parsed"), rows.columns, files, name)
     stored = materialize(rows.withColumn("__at", F.monotonically_increasing_id()), "parsed")
+    return _numbered(stored, rows.columns, files, name)
+
+
+def _numbered(stored: DataFrame, columns: list[str], files: list[tuple[str, str]], name: str) -> DataFrame:
+    """Rows with their place __at within a split, numbered over all splits of all files."""
     splits = stored.groupBy(SOURCE_PATH, BLOCK).agg(F.count("*").alias("size"), F.min("__at").alias("__first"))
-    order = rows.sparkSession.createDataFrame([(p, i) for i, (_, p) in enumerate(files)], f"{SOURCE_PATH} string, __file int")
+    order = stored.sparkSession.createDataFrame([(p, i) for i, (_, p) in enumerate(files)], f"{SOURCE_PATH} string, __file int")
     before = Window.orderBy("__file", BLOCK).rowsBetween(Window.unboundedPreceding, -1)  # one line per split
     starts = splits.join(order, SOURCE_PATH).select(
         SOURCE_PATH, BLOCK, "__first", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("__before"))
     numbered = stored.join(starts, [SOURCE_PATH, BLOCK])
     position = (F.col("__before") + F.col("__at") - F.col("__first") + 1).cast("long")
-    return numbered.select(position.alias(name), *[ref(c) for c in rows.columns if c != BLOCK])
+    return numbered.select(position.alias(name), *[ref(c) for c in columns if c not in (BLOCK, "__at")])
 
 
 def ingest_csv(

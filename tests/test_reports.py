@@ -225,3 +225,37 @@ def test_last_snapshot_prunes(spark, book, tmp_path):
     sinks.write_parquet(book, flat)
     plan = exposure.report(spark.read.parquet(flat), "product_stage_dpd")._jdf.queryExecution().executedPlan().toString()
     assert "business_date" in plan.split("PushedFilters: [")[1].split("ReadSchema")[0]
+
+
+def test_distinct_counts_merge_by_part(spark):
+    from ledgerlens.operators.bitmaps import DistinctCounts
+
+    rng = random.Random(8)
+    rows = [(m, rng.choice(["A", "B", None]), rng.choice([None, *[f"c{i}" for i in range(70)]])) for m in range(4) for _ in range(60)]
+    df = spark.createDataFrame(rows, "month int, state string, customer string")
+    counts = DistinctCounts("customer", ("state",))
+    for m in range(4):
+        counts.add(df.filter(f"month = {m}"))
+    for chosen in (None, [0], [1, 3]):
+        got = {r["state"]: r["n"] for r in counts.counts("n", chosen).collect()}
+        wanted = {}
+        for m, state, customer in rows:
+            if chosen is None or m in chosen:
+                wanted.setdefault(state, set()).add(customer)
+        assert got == {k: len(v) for k, v in wanted.items()}
+    seen = [r["value"] for d in counts.dictionaries for r in d.collect()]
+    assert len(seen) == len(set(seen))
+
+
+def test_group_reports_share_one_pass(spark, book):
+    results = exposure.run_exposure_reports(book)
+    able = [k for k in exposure.GROUPINGS if results[k].df is not None]
+    assert len(able) > 5 and results["ucid_lan"].note == "ucid column not available"
+    for key in able:
+        alone = exposure.report(book, key)
+        assert sorted(map(tuple, results[key].df.collect()), key=str) == sorted(map(tuple, alone.collect()), key=str), key
+        assert results[key].df.dtypes == alone.dtypes
+    read = {f for k in able for f in results[k].df.inputFiles()}
+    assert all("exposure-sums" in f for f in read) and len({f.rsplit("/", 2)[1] for f in read}) == 1
+    lacking = exposure.run_exposure_reports(book.drop("stage", "business_date"), ["stage_summary", "product_ead"])
+    assert lacking["stage_summary"].df is None and lacking["product_ead"].df.count() == 3

@@ -1,3 +1,7 @@
+import csv
+import io
+import random
+
 import pytest
 
 from checks import queries
@@ -148,3 +152,51 @@ def test_every_layout_is_written_by_several_tasks(spark, monkeypatch):
     monkeypatch.setattr(csv_files, "consolidate", lambda s, paths: seen.extend(paths) or real(s, paths))
     assert queries.queries()["consolidate"](spark, "").count() == 840
     assert [len(spark.read.text(p).inputFiles()) for p in seen] == [5, 5, 5]
+
+
+def test_sniffing_respects_quotes():
+    assert csv_files.sniff('"a;b;c;d",x\n"1;2",3\n') == csv_files.Layout(("a;b;c;d", "x"), ",")
+    assert csv_files.sniff('name\n"Pune, India; near"\n') == csv_files.Layout(("name",), ",")
+    assert csv_files.sniff("a|b|c\n1|2,5|3\n4|5,5|6\n") == csv_files.Layout(("a", "b", "c"), "|")
+    assert csv_files.sniff('"x\ny";z\n1;2\n') == csv_files.Layout(("x\ny", "z"), ";")
+    assert csv_files.sniff("") == csv_files.Layout((), ",")
+    assert csv_files.sniff("a;b\n", ",") == csv_files.Layout(("a;b",), ",")
+
+
+def test_many_files_are_read_by_their_headers(spark, tmp_path):
+    import gzip
+
+    for i in range(300):
+        write(tmp_path / f"f{i:04d}.csv", f"id;name\n{i};n{i}\n" if i % 3 else f"name,id\nn{i},{i}\n")
+    (tmp_path / "z.csv.gz").write_bytes(gzip.compress(b"id|name\n300|n300\n"))
+    write(tmp_path / "empty.csv", "")
+    data = csv_files.read_csv(spark, str(tmp_path))
+    assert {(r["id"], r["name"]) for r in data.accepted.collect()} == {(str(i), f"n{i}") for i in range(301)}
+    assert data.rejected.count() == 0
+
+
+@pytest.mark.parametrize("split", ["200b", "1000b", "128m"])
+def test_quoted_line_breaks_across_splits(spark, tmp_path, split):
+    rng, rows = random.Random(6), []
+    for i in range(400):
+        note = rng.choice(["plain", "two\nlines", 'a "quoted" word', "many\n\n\nbreaks, and\n\"more\"\n", "x" * 150 + "\n" + "y" * 150, "", "\n"])
+        rows.append((str(i), note, f"L{i}"))
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerows([("customer_id", "address_line1", "lan"), *rows])
+    text = out.getvalue() + "\n   \nbroken,row\n"
+    path = write(tmp_path / "a.csv", text)
+    with open(path, "ab") as f:
+        f.write(b'last,"open\nquote')
+    second = write(tmp_path / "b.csv", 'customer_id,address_line1,lan\nB1,"x\ny",LB\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        data = csv_files.ingest_csv(spark, [path, second], "customer_master", multi_line=True)
+        got = sorted((r["_row_num"], r["customer_id"], r["address_line1"] or "", r["lan"]) for r in data.accepted.collect())
+        rejected = sorted(r["_raw"] for r in data.rejected.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == [(i + 1, *r) for i, r in enumerate([*rows, ("B1", "x\ny", "LB")])]
+    assert rejected == ["broken,row", 'last,"open\nquote']
