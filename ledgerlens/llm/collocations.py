@@ -301,24 +301,25 @@ ahead AS (
   SELECT lang, w AS w1, lead(w, 1) OVER s AS w2, lead(w, 2) OVER s AS w3, lead(w, 3) OVER s AS w4 FROM word
   WINDOW s AS (PARTITION BY doc, part ORDER BY spot)),
 f AS (
-  SELECT lang, [w1] AS ws, count(*) AS f FROM ahead GROUP BY ALL
-  UNION ALL SELECT lang, [w1, w2], count(*) FROM ahead WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
-  UNION ALL SELECT lang, [w1, w2, w3], count(*) FROM ahead WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
-  UNION ALL SELECT lang, [w1, w2, w3, w4], count(*) FROM ahead WHERE w4 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30),
-total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE len(ws) = 1 GROUP BY lang),
-cand AS (SELECT lang, ws, f AS a FROM f WHERE len(ws) > 1),
-cut AS (SELECT lang, ws, a, unnest(range(1, len(ws))) AS k FROM cand),
+  SELECT lang, 1 AS m, w1 AS p, count(*) AS f FROM ahead GROUP BY ALL
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM ahead WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM ahead WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+  UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, count(*) FROM ahead WHERE w4 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+cand AS (SELECT lang, m, p, string_split(p, ' ') AS ws, f AS a FROM f WHERE m > 1),
+cut AS (SELECT lang, p, ws, a, unnest(range(1, m)) AS k FROM cand),
+sides AS (SELECT *, array_to_string(ws[1:k], ' ') AS x, array_to_string(ws[k + 1:], ' ') AS y FROM cut),
 scored AS (
-  SELECT c.lang, c.ws, c.a, c.k, x.f AS l, y.f AS r, CAST(2000000 * CAST(c.a AS HUGEINT) // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
-  FROM cut c JOIN f x ON x.lang = c.lang AND x.ws = c.ws[1:c.k] JOIN f y ON y.lang = c.lang AND y.ws = c.ws[c.k + 1:]),
-best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+  SELECT s.lang, s.p, s.a, s.k, l.f AS l, r.f AS r, CAST(2000000 * CAST(s.a AS HUGEINT) // (CAST(l.f AS HUGEINT) + r.f) AS BIGINT) AS score
+  FROM sides s JOIN f l ON l.lang = s.lang AND l.p = s.x JOIN f r ON r.lang = s.lang AND r.p = s.y),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
 inside AS (
-  SELECT lang, f, ws[s:s + n - 1] AS sub
-  FROM (SELECT lang, f, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM (SELECT lang, f, ws, unnest(range(2, len(ws))) AS n FROM f WHERE len(ws) > 2))),
+  SELECT lang, a AS f, array_to_string(ws[s:s + n - 1], ' ') AS sub
+  FROM (SELECT lang, a, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM (SELECT lang, a, ws, unnest(range(2, m)) AS n FROM cand WHERE m > 2))),
 around AS (SELECT lang, sub, max(f) AS f FROM inside GROUP BY ALL),
 free AS (
-  SELECT b.lang, array_to_string(b.ws, ' ') AS phrase, b.a, b.l, b.r, b.score
-  FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.sub = b.ws WHERE o.f IS NULL OR 100 * CAST(o.f AS HUGEINT) < 80 * CAST(b.a AS HUGEINT)),
+  SELECT b.lang, b.p AS phrase, b.a, b.l, b.r, b.score
+  FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.sub = b.p WHERE o.f IS NULL OR 100 * CAST(o.f AS HUGEINT) < 80 * CAST(b.a AS HUGEINT)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM free)
 SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score FROM ranked r JOIN total t ON t.lang = r.lang WHERE r.rank <= 2000
 """
