@@ -79,8 +79,8 @@ class _Room:
         least = BYTES
         while least > 1:
             least //= 2
-            lower = least if least > 1 else 2
-            todo = np.flatnonzero((sizes >= lower) & (sizes < 2 * least))
+            lower, upper = max(least, 2), BYTES + 1 if 2 * least == BYTES else 2 * least
+            todo = np.flatnonzero((sizes >= lower) & (sizes < upper))
             misses = 0
             while len(todo):
                 size = sizes[todo]

@@ -83,6 +83,27 @@ def test_trie_finds_what_it_holds(n, largest, length):
     assert len(trie.base) < 12 * n * length * digits_for(largest) + 2000
 
 
+@pytest.mark.parametrize("length", [1, 2])
+def test_full_nodes(length):
+    """Every byte below a node, as with vocabularies of more than 256 words."""
+    numbers = np.arange(1, 2001)
+    sequences = np.stack([np.roll(numbers, i) for i in range(length)], axis=1)
+    trie = Trie.build(sequences, digits_for(2000))
+    at, state = trie.walk(sequences.ravel())
+    assert set(range(0, length * 2000, length)) <= set(at.tolist()) and len(set(trie.leaf.tolist())) == 2000
+    own = at % length == 0
+    assert (trie.number[state[own]] == at[own] // length).all()
+
+
+def test_large_vocabulary_equals_counting(spark):
+    rng = random.Random(12)
+    words = [f"v{i}" for i in range(900)]
+    rows = [("en", " ".join(rng.choice(words) if rng.random() < 0.5 else "red green blue" for _ in range(4000))) for _ in range(12)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = sorted(map(tuple, co.collocations(docs, 4).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()))
+    assert got == _brute(rows, 4, 4, 80, 2000) and len(got) > 500
+
+
 def test_nothing_frequent(spark, no_docs):
     assert co.collocations(no_docs).count() == 0
     rare = spark.createDataFrame([(1, "only once here", "en")], "doc_id long, text string, lang string")
