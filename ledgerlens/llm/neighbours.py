@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import parts_for
 from ledgerlens.session import materialize
 
-BLOCK, QUERY_BLOCK, CONFIDENCE, PLANES, SEED = 4096, 4096, 1.5, 6, 6
+BLOCK, QUERY_BLOCK, CONFIDENCE, PLANES, SEED = 4096, 4096, 2.0, 6, 6
 
 
 @lru_cache(maxsize=4)

@@ -56,7 +56,7 @@ def test_codes_choose_few_vectors():
                       "factors": factor.tobytes(), "mean": x.mean(axis=0).tobytes(), "vectors": x.tobytes()})
         estimate, error = neighbours.estimates(lines[-1], vectors[:50])
         off = np.abs(estimate - vectors[:50] @ x.T) > error
-        assert off.mean() < 0.2
+        assert off.mean() < 0.1
     names, queries = np.arange(100), vectors[:100]
     found = {}
     for line in lines:
@@ -70,7 +70,7 @@ def test_codes_choose_few_vectors():
     exact = queries @ vectors.T
     exact[names, names] = -np.inf
     hits = sum(len({i for _, i in sorted(found[n])[:20]} & set(np.argsort(-exact[n])[:20])) for n in names)
-    assert share < 0.1 and hits / 2000 > 0.95, (share, hits)
+    assert share < 0.15 and hits / 2000 > 0.98, (share, hits)
 
 
 @pytest.fixture(scope="module")
