@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ledgerlens.functions.values import distinct_with_null, iso_date, ref, rounded, strip, text, unpivot
 from ledgerlens.plans.report import NotAvailable, ReportResult, asc, desc, plan_report, require
 from ledgerlens.plans.row_rules import email_domain
-from ledgerlens.session import materialize
+from ledgerlens.session import materialize, row_count
 
 # Throw-away mail domains.
 DISPOSABLE_DOMAINS = (
@@ -81,14 +81,17 @@ def _name_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz "
+
+
 def _common_letters(a: Column, b: Column) -> Column:
-    """Upper bound of matching characters: shared letters counted with multiplicity."""
-    total = F.lit(0)
-    for letter in "abcdefghijklmnopqrstuvwxyz ":
-        in_a = F.length(a) - F.length(F.translate(a, letter, ""))
-        in_b = F.length(b) - F.length(F.translate(b, letter, ""))
-        total = total + F.least(in_a, in_b)
-    return total
+    """Upper bound of matching characters: shared letters counted with multiplicity, in one loop to keep plans small."""
+
+    def held(name: Column, letter: Column) -> Column:
+        return F.length(name) - F.length(F.replace(name, letter, F.lit("")))
+
+    letters = F.array(*[F.lit(c) for c in LETTERS])
+    return F.aggregate(letters, F.lit(0), lambda total, c: total + F.least(held(a, c), held(b, c)))
 
 
 def _edits(length_sum: Column, threshold: float) -> Column:
@@ -114,13 +117,18 @@ def _without(text: Column, deletions: int) -> Column:
     return F.array_distinct(F.transform(one, lambda x: x["t"]))
 
 
+def _name_sizes(profiles: DataFrame) -> DataFrame:
+    """The lengths that names have."""
+    return profiles.select(F.length("name").alias("size")).distinct()
+
+
 def close_name_pairs(profiles: DataFrame, threshold: float) -> DataFrame:
     """Pairs of names that may differ by up to CLOSE_EDITS insertions and deletions and can reach the ratio.
 
     The matched characters of a pair are left when each name loses its unmatched ones, so names meet on what is left after up to
     CLOSE_EDITS deletions. Only pairs that are that near meet: a first name that half of a block bears makes no pairs.
     """
-    size = F.length("name")
+    size = F.col("size")
 
     def lost(shorter_by: int) -> Column:
         """Characters that a name can lose to a partner that is so much shorter."""
@@ -129,12 +137,14 @@ def close_name_pairs(profiles: DataFrame, threshold: float) -> DataFrame:
 
     budget = F.least(F.greatest(*[lost(k) for k in range(CLOSE_EDITS + 1)]), size - 1)
     none = F.array().cast("array<string>")
-    levels = [F.when(budget >= d, _without(F.col("name"), d)).otherwise(none) for d in range(CLOSE_EDITS + 1)]
+    levels = [F.when(F.col("budget") >= d, _without(F.col("name"), d)).otherwise(none) for d in range(CLOSE_EDITS + 1)]
     # two names of a pair cannot both be too long for their common budget
-    usable = profiles.filter(_edits(2 * F.ceil(size * (threshold / (2 - threshold)) - 1e-9), threshold) <= CLOSE_EDITS)
-    rests = usable.select("block", "pid", "name", F.explode(F.flatten(F.array(*levels))).alias("rest"))
+    usable = _edits(2 * F.ceil(size * (threshold / (2 - threshold)) - 1e-9), threshold) <= CLOSE_EDITS
+    budgets = materialize(_name_sizes(profiles).filter(usable).select("size", budget.alias("budget")), "name-budgets")
+    sized = profiles.withColumn("size", F.length("name")).join(F.broadcast(budgets), "size")  # one line per length
+    rests = sized.select("block", "pid", "name", F.explode(F.flatten(F.array(*levels))).alias("rest"))
     held = rests.groupBy("block", "rest").count().filter("count > 1").select("block", "rest")
-    met = rests.join(held, ["block", "rest"])  # most are met by nobody
+    met = materialize(rests.join(held, ["block", "rest"]), "name-rests")  # most are met by nobody
     other = met.select("block", "rest", F.col("pid").alias("b"), F.col("name").alias("name_b"))
     both = F.length("name") + F.length("name_b")
     unmatched = both - 2 * F.length("rest")
@@ -151,57 +161,46 @@ def name_pair_candidates(profiles: DataFrame, threshold: float) -> DataFrame:
     A ratio of t leaves at most D = (1 - t) * (|a| + |b|) unmatched characters. The
     shorter name is cut into D + 1 pieces, of which at least one appears unchanged in the
     longer name, shifted by at most D places. Names meet on equal pieces of equal place.
+    What depends on lengths alone is worked out per length and written, so plans over names stay small.
     """
-    size = F.length("name")
+    size = F.col("size")
+    sizes = _name_sizes(profiles)
     # longest partner and so the largest budget of each name as the shorter one
     reach = F.floor(size * ((2 - threshold) / threshold) + 1e-9).cast("int")
 
-    def pieces(short_length: Column, budget: Column) -> Column:
-        return F.least(budget + 1, short_length)
+    def start(i: Column, n: Column, length: Column) -> Column:
+        return F.floor(i * length / n).cast("int")
 
+    def cut(lengths: DataFrame) -> DataFrame:
+        """One line per piece of the shorter length len_a, with its place and width."""
+        pieces = F.least(F.col("budget") + 1, F.col("len_a"))
+        each = lengths.filter(F.col("budget") > CLOSE_EDITS).withColumn("n", pieces)
+        each = each.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("piece"))
+        ends = start(F.col("piece") + 1, F.col("n"), F.col("len_a"))
+        return each.withColumn("begin", start(F.col("piece"), F.col("n"), F.col("len_a"))).withColumn("width", ends - F.col("begin")).drop("n")
+
+    # the longer side, once per possible shorter length and piece
+    least = F.greatest(F.ceil(size * (threshold / (2 - threshold)) - 1e-9).cast("int"), F.lit(1))
+    longer = sizes.select("size", F.explode(F.sequence(least, size)).alias("len_a"))
+    shapes = cut(longer.withColumn("budget", _edits(F.col("len_a") + size, threshold))).select(
+        "size", "len_a", "budget", "piece", "width", F.greatest(F.col("begin") - F.col("budget"), F.lit(0)).alias("first_at"),
+        F.least(F.col("begin") + F.col("budget"), size - F.col("width")).alias("last_at"))
+    shapes = materialize(shapes.filter("last_at >= first_at"), "name-shapes")
+    close = close_name_pairs(profiles, threshold)
+    if not row_count(shapes):  # no two names of these lengths may differ by more
+        return close
     # the shorter side, once per possible budget
     budgets = F.array_distinct(
         F.transform(F.sequence(size, F.greatest(reach, size)), lambda other: _edits(size + other, threshold))
     )
-    short = profiles.select(
-        "block", F.col("pid").alias("a"), F.col("name").alias("name_a"), F.explode(budgets).alias("budget")
-    ).filter(F.col("budget") > CLOSE_EDITS)
-    short_size = F.length("name_a")
-    count = pieces(short_size, F.col("budget"))
-
-    def start(i: Column, n: Column, length: Column) -> Column:
-        return F.floor(i * length / n).cast("int")
-
-    cut = F.transform(
-        F.sequence(F.lit(0), count - 1),
-        lambda i: F.struct(
-            i.cast("int").alias("piece"),
-            F.substr("name_a", start(i, count, short_size) + 1,
-                     start(i + 1, count, short_size) - start(i, count, short_size)).alias("text"),
-        ),
-    )
-    indexed = short.select("block", "a", "name_a", "budget", short_size.alias("len_a"), F.inline(cut))
-
-    # the longer side, once per possible shorter length, piece and shift
-    least = F.ceil(size * (threshold / (2 - threshold)) - 1e-9).cast("int")
-    probe = profiles.select(
-        "block", F.col("pid").alias("b"), F.col("name").alias("name_b"),
-        F.explode(F.sequence(F.greatest(least, F.lit(1)), size)).alias("len_a"),
-    ).withColumn("budget", _edits(F.col("len_a") + F.length("name_b"), threshold)).filter(F.col("budget") > CLOSE_EDITS)
-    n = pieces(F.col("len_a"), F.col("budget"))
-    probe = probe.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("piece"), n.alias("n"))
-    begin = start(F.col("piece"), F.col("n"), F.col("len_a"))
-    width = start(F.col("piece") + 1, F.col("n"), F.col("len_a")) - begin
-    probe = probe.select("*", begin.alias("begin"), width.alias("width"))
-    last = F.length("name_b") - F.col("width")
-    first_at = F.greatest(F.col("begin") - F.col("budget"), F.lit(0))
-    last_at = F.least(F.col("begin") + F.col("budget"), last)
-    probe = probe.filter(last_at >= first_at).select(
-        "block", "b", "name_b", "len_a", "budget", "piece",
-        F.explode(F.array_distinct(F.transform(
-            F.sequence(first_at, last_at), lambda p: F.substr("name_b", p + 1, F.col("width"))
-        ))).alias("text"),
-    )
+    cuts = materialize(cut(sizes.select(size.alias("len_a"), F.explode(budgets).alias("budget"))), "name-cuts")
+    indexed = profiles.withColumn("len_a", F.length("name")).join(cuts, "len_a").select(
+        "block", F.col("pid").alias("a"), F.col("name").alias("name_a"), "budget", "len_a", "piece",
+        F.substr("name", F.col("begin") + 1, F.col("width")).alias("text"))
+    places = F.transform(F.sequence("first_at", "last_at"), lambda p: F.substr("name", p + 1, F.col("width")))
+    probe = profiles.withColumn("size", F.length("name")).join(shapes, "size").select(
+        "block", F.col("pid").alias("b"), F.col("name").alias("name_b"), "len_a", "budget", "piece",
+        F.explode(F.array_distinct(places)).alias("text"))
     met = indexed.join(probe, ["block", "len_a", "budget", "piece", "text"]).filter(F.col("a") != F.col("b"))
     low, high = F.least("a", "b"), F.greatest("a", "b")
     ahead = F.col("a") < F.col("b")
@@ -210,7 +209,7 @@ def name_pair_candidates(profiles: DataFrame, threshold: float) -> DataFrame:
         F.when(ahead, F.col("name_a")).otherwise(F.col("name_b")).alias("name_a"),
         F.when(ahead, F.col("name_b")).otherwise(F.col("name_a")).alias("name_b"),
     ).filter(F.col("name_a") != F.col("name_b"))
-    return far.unionByName(close_name_pairs(profiles, threshold))
+    return far.unionByName(close)
 
 
 def name_similarity(
@@ -240,7 +239,7 @@ def name_similarity(
         "name-profiles",
     )
     # names are compared once however many spellings and PANs share them
-    names = profiles.groupBy("block", "name").agg(F.min("pid").alias("pid"))
+    names = materialize(profiles.groupBy("block", "name").agg(F.min("pid").alias("pid")), "names")
     # one exchange serves both the removal of repeats and an even spread of the scoring
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     candidates = name_pair_candidates(names, threshold).repartition(tasks, "a", "b").dropDuplicates(["a", "b"])

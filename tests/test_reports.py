@@ -208,6 +208,14 @@ def test_template_names_make_few_candidates(spark):
     assert counts[2] < 1000
 
 
+def test_similar_names_have_a_small_plan(spark, capsys):
+    rows_ = [(i, "", "rajesh kumar" + " of the long name" * (i % 4)) for i in range(8)]
+    names = spark.createDataFrame(rows_, "pid long, block string, name string")
+    capsys.readouterr()
+    forensic.name_pair_candidates(names, 0.92).explain(True)
+    assert len(capsys.readouterr().out) < 40_000
+
+
 def test_document_runs_of_any_length(spark):
     base = int("9" * 38 + "99997")
     values = [str(base + i) for i in range(7)] + [f"X{100 + i:05d}" for i in (0, 1, 2, 5)] + ["0099999", "0100000", "0100001"]
