@@ -22,6 +22,7 @@ SAMPLE_SIZES = (
     (500_000, (195, 125, 80, 60)),
     (None, (195, 125, 80, 60)),
 )
+DRAW_DIGITS = 4  # hexadecimal digits of a draw by which draws are counted
 MOST_TABLED = max(max(sizes) for _, sizes in SAMPLE_SIZES)
 
 
@@ -76,9 +77,9 @@ def sample_seed(engagement: str, run: str) -> int:
 def select_sample(wide: DataFrame, engagement: str, run: str) -> DataFrame:
     """A reproducible sample, proportional to the strata and at least one row from each.
 
-    Rows are ranked inside their stratum by a hash of the seed and the row number. The
-    tabled sizes bound every allocation except the square-root fallback, and the rank
-    filter runs before the shuffle, so a stratum is never gathered.
+    Rows are ranked inside their stratum by a hash of the seed and the row number. Draws are
+    counted by their first digits before, and only the rows up to the digits in which a
+    stratum's allocation ends are ranked, so a stratum is never gathered, whatever its allocation.
     """
     strata = with_stratum(wide)
     counts = strata.agg(
@@ -102,10 +103,16 @@ def select_sample(wide: DataFrame, engagement: str, run: str) -> DataFrame:
     first_code = F.get(F.split("exception_codes", r"\|"), F.lit(0))
     coded = F.trim("exception_codes") != ""
     rank = F.array_position(F.array(*[F.lit(s) for s in STRATA]), F.col("stratum"))
+    drawn = strata.select("_row_num", "exception_codes", "stratum", draw.alias("draw"))
+    head = F.substring("draw", 1, DRAW_DIGITS)
+    upto = F.sum("count").over(Window.partitionBy("stratum").orderBy("head"))  # one line per head
+    ends = (
+        drawn.groupBy("stratum", head.alias("head")).count().withColumn("before", upto - F.col("count"))
+        .filter(F.col("before") < allowed).groupBy("stratum").agg(F.max("head").alias("last_head"))
+    )
     picked = (
-        strata.select("_row_num", "exception_codes", "stratum", draw.alias("draw"))
+        drawn.join(F.broadcast(ends), "stratum").filter(head <= F.col("last_head"))
         .withColumn("place", place)
-        .filter(F.col("place") <= max(quota.values(), default=0))
         .filter(F.col("place") <= allowed)
         .select(
             "_row_num", "exception_codes",

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -108,3 +109,22 @@ def test_sketches_of_parts_merge(spark):
         assert abs(row[f"q{int(100 * q)}"] / 10_007 - q) < 0.015
     none = sketches.approximate_quantiles(df.filter("v IS NULL"), ["v"], {"m": 0.5}, 0.01)
     assert none == {"v": {"m": None}}
+
+
+def test_large_allocations_rank_only_the_rows_near_their_end(spark, monkeypatch, capsys):
+    monkeypatch.setattr(sampling, "DRAW_DIGITS", 2)
+    wide = spark.range(1, 40_001).select(
+        F.col("id").alias("_row_num"), F.when(F.col("id") % 3 == 0, "OK").otherwise("ERROR").alias("overall_status"),
+        F.when(F.col("id") % 3 == 0, "").otherwise("PAN_INVALID").alias("exception_codes"))
+    picked = sampling.select_sample(wide, "e", "r")
+    got = {s: {r["_row_num"] for r in picked.filter(F.col("criticality") == s).collect()} for s in {r[0] for r in picked.select("criticality").distinct().collect()}}
+    seed = sampling.sample_seed("e", "r")
+    draws = {i: hashlib.sha256(f"{seed}:{i}".encode()).hexdigest() for i in range(1, 40_001)}
+    clean = [i for i in draws if i % 3 == 0]
+    others = [i for i in draws if i % 3]
+    [bad] = set(got) - {"OK"}
+    for rows, name in ((clean, "OK"), (others, bad)):
+        assert got[name] == set(sorted(rows, key=draws.get)[: int(200 * (len(rows) / 40_000))])
+    capsys.readouterr()
+    picked.explain(True)
+    assert "last_head" in capsys.readouterr().out.split("row_number(")[-1]
