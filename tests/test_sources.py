@@ -6,6 +6,7 @@ import pytest
 
 from checks import queries
 from ledgerlens.plans import exposure, forensic
+from ledgerlens.session import work_dir
 from ledgerlens.sources import csv_files, mapping, pin_master, sinks
 from ledgerlens.sources.schemas import REPORT_TYPES, struct_type
 
@@ -200,3 +201,25 @@ def test_quoted_line_breaks_across_splits(spark, tmp_path, split):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert got == [(i + 1, *r) for i, r in enumerate([*rows, ("B1", "x\ny", "LB")])]
     assert rejected == ["broken,row", 'last,"open\nquote']
+
+
+def _checked_view(spark, name):
+    from checks import views
+
+    key = (spark.sparkContext.applicationId, "/root/testdata/sf0.001", name)
+    views._WRITTEN.pop(key, None)
+    return views.view(spark, key[1], name), lambda: views._WRITTEN.pop(key, None)
+
+
+def test_views_are_dealt_into_parts_by_size(spark):
+    small = {"autoBroadcastJoinThreshold": "-1", "adaptive.advisoryPartitionSizeInBytes": "32k", "adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(f"spark.sql.{k}") for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        book, forget = _checked_view(spark, "exposure")
+        assert len(book.inputFiles()) > 2 * spark.sparkContext.defaultParallelism
+        forget()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(f"spark.sql.{k}", v)
