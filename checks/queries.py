@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import math
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -16,11 +17,12 @@ from ledgerlens.operators import bitmaps, sketches
 from ledgerlens.plans import customer, duplicates, engine, exposure, forensic, identity, loan_book, outputs
 from ledgerlens.plans import row_rules, sampling
 from ledgerlens.plans.addresses import AddressBook
-from ledgerlens.session import materialize, work_dir
+from ledgerlens.session import materialize, row_count, work_dir
 from ledgerlens.sources import csv_files, mapping, pin_master, sinks
 
 AS_OF = datetime.date(2024, 12, 31)
 RANK_ERROR = 0.005
+FILE_ROWS = 250_000
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -336,16 +338,21 @@ def _source_queries() -> dict[str, Query]:
     def export(df: DataFrame, path: str) -> None:
         df.write.mode("overwrite").option("header", True).csv(path)
 
-    def spread(df: DataFrame, path: str, **options) -> None:
+    def files_of(master: DataFrame) -> int:
+        """Five files, or more where they would hold over FILE_ROWS rows of the master."""
+        return max(5, math.ceil((row_count(master) or master.count()) / FILE_ROWS))
+
+    def spread(df: DataFrame, path: str, files: int = 5, **options) -> None:
         """Several files whose names follow the order of the rows."""
-        df.repartitionByRange(5, "_row_num").sortWithinPartitions("_row_num").drop("_row_num").write.mode("overwrite").options(
+        df.repartitionByRange(files, "_row_num").sortWithinPartitions("_row_num").drop("_row_num").write.mode("overwrite").options(
             header=True, **options).csv(path)
 
     def ingest_roundtrip(spark, sf):
         """All columns and the numbers, which follow the files whatever their splits."""
         path = folder(spark, "ingest")
         names = {"customer_id": "Cust_ID", "full_name": "Borrower_Name", "bank_account": "Account_No", "lan": "Loan_Account_No"}
-        spread(view(spark, sf, "customer_master").withColumnsRenamed(names), path)
+        master = view(spark, sf, "customer_master")
+        spread(master.withColumnsRenamed(names), path, files_of(master))
         before = spark.conf.get("spark.sql.files.maxPartitionBytes")
         spark.conf.set("spark.sql.files.maxPartitionBytes", "400k")  # many splits a file, packed by size
         try:
@@ -366,8 +373,9 @@ def _source_queries() -> dict[str, Query]:
         master = view(spark, sf, "customer_master")
         columns = [c for c in master.columns if c != "_row_num"]
         a, b, c = (folder(spark, f"layout-{x}") for x in "abc")
-        spread(master.filter("_row_num % 3 = 0"), a)
-        spread(master.filter("_row_num % 3 = 1").select("_row_num", *reversed(columns)), b, sep=";")
+        files = files_of(master)
+        spread(master.filter("_row_num % 3 = 0"), a, files)
+        spread(master.filter("_row_num % 3 = 1").select("_row_num", *reversed(columns)), b, files, sep=";")
         line = F.concat_ws(",", *[F.coalesce(F.col(n), F.lit("")) for n in columns])
         broken = F.when(F.col("_row_num") % 15 == 2, F.concat(line, F.lit(",one,two"))).otherwise(line)
         lines = master.filter("_row_num % 3 = 2").select("_row_num", broken.alias("value"))
@@ -380,7 +388,7 @@ def _source_queries() -> dict[str, Query]:
                     yield pa.record_batch([pa.array([head], batch.schema.field(0).type)], schema=batch.schema)
                 yield batch
 
-        ordered = lines.repartitionByRange(5, "_row_num").sortWithinPartitions("_row_num").select("value")
+        ordered = lines.repartitionByRange(files, "_row_num").sortWithinPartitions("_row_num").select("value")
         ordered.mapInArrow(headed, "value string").write.mode("overwrite").text(c)
         return csv_files.consolidate(spark, [a, b, c])
 
@@ -398,9 +406,10 @@ def _source_queries() -> dict[str, Query]:
         """Quoted line breaks and quotes in a column, in files of many splits."""
         path = folder(spark, "multi-line")
         broken = F.when(F.col("_row_num") % 3 == 0, F.concat("address_line1", F.lit('\nfloor "'), F.col("_row_num").cast("string"), F.lit('"\n\nrear')))
-        lines = view(spark, sf, "customer_master").select(
+        master = view(spark, sf, "customer_master")
+        lines = master.select(
             "_row_num", "customer_id", "full_name", "lan", F.coalesce(broken, "address_line1").alias("address_line1"), "city")
-        spread(lines, path, escape='"')
+        spread(lines, path, files_of(master), escape='"')
         before = spark.conf.get("spark.sql.files.maxPartitionBytes")
         spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
         try:

@@ -7,6 +7,7 @@ import pytest
 from checks import queries
 from ledgerlens.plans import exposure, forensic
 from ledgerlens.session import work_dir
+from ledgerlens.session import work_dir
 from ledgerlens.sources import csv_files, mapping, pin_master, sinks
 from ledgerlens.sources.schemas import REPORT_TYPES, struct_type
 
@@ -223,3 +224,12 @@ def test_views_are_dealt_into_parts_by_size(spark):
     finally:
         for k, v in kept.items():
             spark.conf.set(f"spark.sql.{k}", v)
+
+
+def test_more_rows_make_more_files(spark, monkeypatch):
+    monkeypatch.setattr(queries, "FILE_ROWS", 100)
+    got = queries.queries()["ingest_roundtrip"](spark, "/root/testdata/sf0.001")
+    rows = got.count()
+    assert got.select("_row_num").distinct().count() == rows == got.agg({"_row_num": "max"}).first()[0]
+    folder = f"{work_dir(spark)}/extracts-{spark.sparkContext.applicationId}/ingest"
+    assert len(spark.read.text(folder).inputFiles()) == -(-rows // 100)
