@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.documents import address_tokens
@@ -14,6 +14,11 @@ from ledgerlens.session import materialize, row_count
 THRESHOLD, MIN_SHARED, MIN_LENGTH = 0.85, 3, 4
 
 
+def address_id(df: DataFrame) -> Column:
+    """16 bytes that stand for the words of an address, NULL where there are none."""
+    return F.unhex(F.md5(F.array_join(address_tokens(df), " ")))
+
+
 class AddressBook:
     """The token sets behind the addresses of a table, written once for all uses.
 
@@ -24,9 +29,8 @@ class AddressBook:
 
     def __init__(self, df: DataFrame, heavy_rows: int | None = None, hot_rows: int = HOT_ROWS):
         self.hot_rows = hot_rows
-        words = df.select("_row_num", text(df, "customer_id").alias("cid"), address_tokens(df).alias("tokens"))
-        gid = F.unhex(F.md5(F.array_join("tokens", " ")))  # 16 bytes
-        self.rows = materialize(words.filter(F.col("tokens").isNotNull()).withColumn("gid", gid), "addresses")
+        words = df.select("_row_num", text(df, "customer_id").alias("cid"), address_tokens(df).alias("tokens"), address_id(df).alias("gid"))
+        self.rows = materialize(words.filter(F.col("tokens").isNotNull()), "addresses")
         sets = self.rows.groupBy("gid").agg(
             F.any_value("tokens").alias("tokens"),
             F.count("*").alias("rows"),
@@ -37,13 +41,17 @@ class AddressBook:
         self.sets = materialize(light_tokens(sets, MIN_LENGTH, heavy_rows, hot_rows), "address-sets")
         self.signatures = materialize(signatures(self.sets, THRESHOLD, MIN_SHARED), "signatures")
 
-    def edges(self) -> DataFrame:
-        """(a, b) row pairs that tie together all rows with equal or near-equal addresses."""
+    def edges(self, rows: DataFrame | None = None) -> DataFrame:
+        """(a, b) row pairs that tie together all rows with equal or near-equal addresses.
+
+        `rows` (_row_num, gid, ...) stands for the table where it is enough to tie these, as the first row of each profile.
+        """
+        rows = self.rows if rows is None else rows
         enough = (F.col("rows") > 1) & (F.size("light") >= MIN_SHARED)
         repeated = self.sets.filter(enough).select("gid", "rows", "first")
-        size = row_count(self.rows)
+        size = row_count(rows)
         same = (
-            join_key_stats(self.rows.select("_row_num", "gid"), repeated, ["gid"], "rows", self.hot_rows, size)
+            join_key_stats(rows.select("_row_num", "gid"), repeated, ["gid"], "rows", self.hot_rows, size)
             .filter(F.col("_row_num") != F.col("first"))
             .select(F.col("_row_num").alias("a"), F.col("first").alias("b"))
         )

@@ -14,16 +14,51 @@ from ledgerlens.functions import documents as doc
 from ledgerlens.functions.values import hex_hash, ref, strip, text
 from ledgerlens.operators.components import connected_components
 from ledgerlens.operators.skew import HOT_ROWS, join_key_stats
-from ledgerlens.plans.addresses import AddressBook
-from ledgerlens.plans.link_keys import PERSON_KINDS, identity_keys, link_table
+from ledgerlens.plans.addresses import AddressBook, address_id
+from ledgerlens.plans.link_keys import PERSON_KINDS, identity_keys
 from ledgerlens.plans.row_rules import found, say
-from ledgerlens.session import materialize
+from ledgerlens.session import materialize, row_count
 
-def person_edges(
-    df: DataFrame, salt: str, addresses: AddressBook | None, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """(a, b): each row tied to the first row with the same key, never all pairs of a key."""
-    keys = materialize(link_table(df, PERSON_KINDS, salt).select("_row_num", "kind", "key"), "keys")
+def _bytes_of(c: Column) -> Column:
+    """A value with its length in front, so that joined values can't be mistaken for others."""
+    return F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+
+
+def _carried(df: DataFrame, salt: str, addresses: AddressBook | None, id_by: str) -> dict[str, Column]:
+    """All that a row's group, its conflicts and its group's name depend on; blank is NULL. Hashes are held as bytes."""
+    keys = {k: F.nullif(c, F.lit("")) for k, c in identity_keys(df, salt).items() if k in PERSON_KINDS}
+    keyless = F.coalesce(*keys.values()).isNull()
+    carried = {**keys, "aadhaar": F.unhex(keys["aadhaar"]), **{n: c for n, c in _kyc_fields(df, salt).items() if n not in keys}}
+    if addresses is not None:
+        carried["gid"] = address_id(df)
+    carried["own"] = F.when(keyless, F.col("_row_num"))  # a row without keys is tied to no other by being equal
+    if id_by == "key":
+        carried["label"] = F.when(keyless, row_label(df, salt))
+    return carried
+
+
+def _profile_id(columns: dict[str, Column]) -> Column:
+    texts = [F.hex(c) if n in ("aadhaar", "gid") else c.cast("string") for n, c in columns.items()]
+    return F.unhex(F.md5(F.concat(*[_bytes_of(t) for t in texts])))  # 16 bytes
+
+
+def row_profiles(df: DataFrame, salt: str, addresses: AddressBook | None, id_by: str = "position") -> tuple[DataFrame, DataFrame]:
+    """(profiles, rows): rows alike in keys, KYC fields and address are one profile, named by its first row.
+
+    profiles: (profile, _row_num, rows, carried fields...), one line each and written; rows: (_row_num, profile).
+    What follows on keys, addresses and conflicts reads a person's rows once, not once for each loan.
+    """
+    carried = _carried(df, salt, addresses, id_by)
+    held = df.select("_row_num", *[c.alias(n) for n, c in carried.items()]).groupBy(*carried)
+    first = held.agg(F.min("_row_num").alias("_row_num"), F.count("*").alias("rows"))
+    profiles = first.select(_profile_id({n: F.col(n) for n in carried}).alias("profile"), "*")
+    return materialize(profiles, "profiles"), df.select("_row_num", _profile_id(carried).alias("profile"))
+
+
+def person_edges(profiles: DataFrame, addresses: AddressBook | None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(a, b): each profile tied to the first one with the same key, never all pairs of a key."""
+    held = [F.struct(F.lit(k).alias("kind"), (F.hex(k) if k == "aadhaar" else F.col(k)).alias("key")) for k in PERSON_KINDS]
+    keys = materialize(profiles.select("_row_num", F.inline(F.array(*held))).filter("key IS NOT NULL"), "keys")
     shared = (
         keys.groupBy("kind", "key")
         .agg(F.count("*").alias("rows"), F.min("_row_num").alias("first"))
@@ -34,7 +69,10 @@ def person_edges(
         .filter(F.col("_row_num") != F.col("first"))
         .select(F.col("_row_num").alias("a"), F.col("first").alias("b"))
     )
-    return by_key if addresses is None else by_key.unionByName(addresses.edges())
+    return by_key if addresses is None else by_key.unionByName(addresses.edges(profiles))
+
+
+KYC_FIELDS = ("pan", "aadhaar", "voter_id", "email", "mobile", "state", "pincode")
 
 
 def _kyc_fields(df: DataFrame, salt: str) -> dict[str, Column]:
@@ -54,16 +92,20 @@ def _position(row_num: str = "_row_num") -> Column:
     return (F.col(row_num) - 1).cast("string")
 
 
+def key_label(keys: dict[str, Column], salt: str) -> Column:
+    """The smallest salted identity key, NULL where there is none."""
+    return F.least(*[F.when(keys[k] != "", F.concat(F.lit("0"), hex_hash(F.concat_ws("|", F.lit(salt), F.lit(k), keys[k])))) for k in PERSON_KINDS])
+
+
 def row_label(df: DataFrame, salt: str) -> Column:
     """A row's smallest salted identity key; a row without one has a label of its values, which is larger than any key's.
 
     Labels don't depend on the order of rows, so names made from them survive a shuffled file.
     """
     keys = identity_keys(df, salt)
-    marked = [F.when(keys[k] != "", F.concat(F.lit("0"), hex_hash(F.concat_ws("|", F.lit(salt), F.lit(k), keys[k])))) for k in PERSON_KINDS]
     values = [F.coalesce(ref(c).cast("string"), F.lit("\x01")) for c in sorted(df.columns) if c not in ("_row_num", "ucid", "ucid_size")]
     own = F.concat(F.lit("1"), hex_hash(F.concat_ws("|", F.lit(salt), *values)))
-    return F.coalesce(F.least(*marked), own)
+    return F.coalesce(key_label(keys, salt), own)
 
 
 def single_name(df: DataFrame, salt: str, id_by: str = "position", listed_members: int | None = None) -> Column:
@@ -144,24 +186,23 @@ def unique_customers(
     """
     if id_by not in ("position", "key"):
         raise ValueError(f"unknown id_by {id_by!r}")
-    edges = person_edges(df, salt, addresses, hot_rows)
-    members, _ = connected_components(edges, hot_rows)
-    members = materialize(members, "members")
-    kyc = _kyc_fields(df, salt)
-    facts = [c.alias(n) for n, c in kyc.items()]
-    if id_by == "key":
-        facts.append(row_label(df, salt).alias("label"))
-    fields = df.select(F.col("_row_num").alias("node"), *facts)
-    differs = [F.coalesce(F.min(n) != F.max(n), F.lit(False)) for n in kyc]
+    profiles, rows = row_profiles(df, salt, addresses, id_by)
+    edges = person_edges(profiles, addresses, hot_rows)
+    linked, _ = connected_components(edges, hot_rows)
+    # the first row of a set of equal addresses is the first of its profile, so all nodes are first rows of profiles
+    placed = profiles.join(linked.withColumnRenamed("node", "_row_num"), "_row_num", "left").filter("component IS NOT NULL OR rows > 1")
+    placed = materialize(placed.withColumn("component", F.coalesce("component", "_row_num")), "placed-profiles")
+    members = join_key_stats(rows, placed.select("profile", "component", "rows"), ["profile"], "rows", hot_rows, row_count(df))
+    members = materialize(members.select(F.col("_row_num").alias("node"), "component"), "members")
+    differs = [F.coalesce(F.min(n) != F.max(n), F.lit(False)) for n in KYC_FIELDS]
     conflict = differs[0]
     for d in differs[1:]:
         conflict = conflict | d
-    name = [hex_hash(F.min("label"), 16).alias("ucid")] if id_by == "key" else []
-    named = (
-        fields.join(members, "node")
-        .groupBy("component")
-        .agg(F.count("*").alias("ucid_size"), conflict.alias("conflict"), *name)
-    )
+    name = []
+    if id_by == "key":
+        placed = placed.withColumn("label", F.coalesce(key_label({k: F.lower(F.hex(k)) if k == "aadhaar" else F.col(k) for k in PERSON_KINDS}, salt), "label"))
+        name = [hex_hash(F.min("label"), 16).alias("ucid")]
+    named = placed.groupBy("component").agg(F.sum("rows").alias("ucid_size"), conflict.alias("conflict"), *name)
     if not name:
         names = _position_names(members) if listed_members is None else _block_names(members, listed_members)
         named = named.join(names, "component")

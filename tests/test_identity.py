@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators.components import connected_components
 from ledgerlens.operators.skew import join_key_stats
-from ledgerlens.plans import duplicates, engine
+from ledgerlens.plans import duplicates, engine, identity
 from ledgerlens.plans.addresses import AddressBook
 from ledgerlens.plans.identity import single_name, ucid_columns, unique_customers
+from ledgerlens.session import row_count
 
 SCHEMA = "_row_num long, customer_id string, full_name string, pan string, mobile string, address_line1 string, state string, lan string"
 
@@ -248,3 +249,21 @@ def test_long_template_lines_are_linear(spark):
             assert book.duplicate_rows().count() == n
     print(counts)
     assert counts[2] < 5 * counts[0] < 50 * 500
+
+
+def test_equal_rows_are_grouped_as_one_profile(spark, monkeypatch):
+    """A customer's loans send one line a key; rows without keys stay apart however equal they are, unless an address ties them."""
+    written = {}
+    kept = identity.materialize
+    monkeypatch.setattr(identity, "materialize", lambda df, label: written.setdefault(label, kept(df, label)))
+    line = "ROSE VILLA LONG LANE"
+    rows = [(i + 1, f"C{i}", "", f"ABCPK{i % 4:04d}A", "", None, "goa", f"L{i}") for i in range(400)]
+    rows += [(401 + i, "", "", "", "", None, "goa", "") for i in range(5)]
+    rows += [(411 + i, "", "", "", "", line, "goa" if i else "assam", "") for i in range(5)]
+    df = people(spark, rows)
+    got = {r["_row_num"]: (r["ucid"], r["ucid_size"], r["conflict"]) for r in unique_customers(df, "s", AddressBook(df)).collect()}
+    assert row_count(written["keys"]) == 4
+    for first in (0, 1, 2, 3):
+        name = hashlib.sha256(",".join(str(n) for n in range(first, 400, 4)).encode()).hexdigest()[:16]
+        assert {got.pop(n + 1) for n in range(first, 400, 4)} == {(name, 100, False)}
+    assert set(got) == set(range(411, 416)) and {(size, conflict) for _, size, conflict in got.values()} == {(5, True)}
