@@ -6,8 +6,7 @@ import pytest
 
 from checks import queries
 from ledgerlens.plans import exposure, forensic
-from ledgerlens.session import work_dir
-from ledgerlens.session import work_dir
+from ledgerlens.session import materialize, work_dir
 from ledgerlens.sources import csv_files, mapping, pin_master, sinks
 from ledgerlens.sources.schemas import REPORT_TYPES, struct_type
 
@@ -233,3 +232,9 @@ def test_more_rows_make_more_files(spark, monkeypatch):
     assert got.select("_row_num").distinct().count() == rows == got.agg({"_row_num": "max"}).first()[0]
     folder = f"{work_dir(spark)}/extracts-{spark.sparkContext.applicationId}/ingest"
     assert len(spark.read.text(folder).inputFiles()) == -(-rows // 100)
+
+
+def test_intermediate_tables_are_packed(spark):
+    wide = spark.range(200_000).selectExpr("concat('C', lpad(cast(id as string), 8, '0')) AS id", "concat('CUSTOMER ', cast(id % 97 * 7919 as string)) AS name")
+    files = materialize(wide.coalesce(1), "packed").inputFiles()
+    assert [f.endswith(".zstd.parquet") for f in files] == [True]
