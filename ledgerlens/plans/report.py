@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PythonException, QueryExecutionException, UnknownException
 from pyspark.sql import DataFrame
 
+# What Spark raises when a job is lost (memory, executors, Python workers), in contrast to columns or values that a report can't use.
+JOB_FAILURES = (Py4JError, PythonException, QueryExecutionException, UnknownException, MemoryError)
+
 
 class NotAvailable(Exception):
     """A report cannot run on these columns; the message says what is missing."""
@@ -32,11 +37,13 @@ class ReportResult:
 
 
 def plan_report(key: str, build: Callable[..., DataFrame], df: DataFrame, **options) -> ReportResult:
-    """Build one lazy report; a failure stays with that report and becomes its note."""
+    """Build one lazy report; a failure stays with that report and becomes its note, but a lost job is raised, as it says nothing about the report."""
     try:
         return ReportResult(key, build(df, **options))
     except NotAvailable as reason:
         return ReportResult(key, None, str(reason))
+    except JOB_FAILURES:
+        raise
     except Exception as error:  # a broken report must not take the others down
         return ReportResult(key, None, f"Error: {error}")
 

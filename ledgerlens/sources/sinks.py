@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.documents import mask_sensitive
 from ledgerlens.functions.values import ref
-from ledgerlens.plans.report import ReportResult
+from ledgerlens.plans.report import JOB_FAILURES, ReportResult
 
 FILES_PER_FOLDER = 16
 
@@ -50,7 +50,7 @@ def write_reports(results: dict[str, ReportResult], folder: str) -> dict[str, st
     """One CSV folder per report that has rows; returns {key: path}.
 
     Reports are small by nature except row listings, which keep their partitions. A
-    report that fails while running is noted and the rest go on.
+    report that fails while running is noted and the rest go on; a lost job is raised.
     """
     paths = {}
     for key, result in results.items():
@@ -62,6 +62,8 @@ def write_reports(results: dict[str, ReportResult], folder: str) -> dict[str, st
                 continue
             write_csv(result.df, f"{folder}/{key}")
             paths[key] = f"{folder}/{key}"
+        except JOB_FAILURES:
+            raise
         except Exception as error:
             result.note = f"Error: {error}"
     return paths
