@@ -3,14 +3,16 @@
 Texts are cut into words once and written as number sequences in which 0 stands for a piece's end and for every word below `least`:
 no frequent phrase has such a word. Then, for phrases of 2, 3 and more words:
 
-1. Sieve. Every position where a frequent phrase of one word less is followed by a frequent word adds to one of 2 ** 32 hashed sums (Park, Chen and
-   Yu, 1995), partial sums per task first. A phrase in a sum below `least` is below it itself.
+1. Sieve. Every position where a frequent phrase of one word less is followed by a frequent word adds to a hashed sum (Park, Chen and
+   Yu, 1995), partial sums per task first. There are at least twice as many sums as words in the corpus, up to 2 ** 32. A phrase in a sum below `least` is below it itself.
 2. Candidates are the different phrases in the sums that are left; so their first part and last word are frequent, and none that is frequent is missing.
+   A bitmap of these sums, folded to at most 2 ** FILTER_BITS bits, is broadcast, so that tasks send few others; the exact sums decide where the phrases meet.
 3. Count. Candidates are numbered and packed into tries of BLOCK phrases. A trie is broadcast, numpy moves the states of all positions of a chunk
    of text along it at once, accepting states are counted by bincount, and the counts of the chunks are summed.
 
 A trie holds at most BLOCK phrases and so has bounded size; more phrases make more tries, and each is met with every chunk. The driver packs nothing:
-tries are built in tasks and pass through it one at a time. Cuts, scores and nested phrases are joins of the counted tables.
+tries are built in tasks and pass through it one at a time. Sums, phrases and counts travel packed, one line for each task and slab of numbers,
+and a slab is added up by one task. Cuts, scores and nested phrases are joins of the counted tables.
 
 Defined cases: a null text is empty; a null language is `und`; ties are decided as stated in collocations(); repeated rows count each; a null
 or repeated doc_id changes nothing; an empty table, or one without frequent words, gives an empty result. Other columns are ignored.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +30,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import as_bytes, lean_stream
+from ledgerlens.llm.common import as_bytes, lean, lean_stream
 from ledgerlens.llm.phrase_trie import Trie, digits_for
 from ledgerlens.operators.ordering import number_rows
 from ledgerlens.session import materialize, row_count
 
 CHUNK_BYTES, SLICE_BYTES, BLOCK, FLUSH = 4 << 20, 1 << 20, 1 << 19, 1 << 22
+#: Slabs of sums, bits of the broadcast filter, and numbers in a slab of counts.
+SLAB_BITS, FILTER_BITS, COUNT_BITS = 8, 27, 16
+SLABS = "slab long, blob binary"
 #: A-Z to lower case and all ends of pieces to a full stop.
 _PREPARED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz.........")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -56,6 +62,46 @@ def _numbers(blob: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<i8")
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, which packs well: the lowest byte of all, the next of all, up to the last that any needs."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _packed(rising: np.ndarray, other: np.ndarray) -> bytes:
+    """Two columns of numbers, the first of which never falls and is kept as steps."""
+    held = len(other).to_bytes(8, "little") + _planes(np.diff(rising, prepend=0)) + _planes(other)
+    return zstandard.ZstdCompressor(level=1).compress(held)
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    n, at, columns = int(raw[:8].view("<u8")[0]), 8, []
+    for _ in range(2):
+        width = int(raw[at])
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :width] = raw[at + 1:at + 1 + width * n].reshape(width, n).T
+        columns.append(wide.view("<i8").ravel())
+        at += 1 + width * n
+    return np.cumsum(columns[0]), columns[1]
+
+
+def _dealt(slab: np.ndarray, rising: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
+    """One packed line per slab of two columns that are sorted by slab."""
+    starts = np.flatnonzero(np.append(True, slab[1:] != slab[:-1])) if len(slab) else np.zeros(0, np.int64)
+    blobs = [_packed(rising[a:b], other[a:b]) for a, b in zip(starts, np.append(starts[1:], len(slab)))]
+    return pa.record_batch([pa.array(slab[starts].astype(np.int64)), pa.array(blobs, pa.binary())], ["slab", "blob"])
+
+
+def _added(held: pa.Table, size: int, kind: type) -> np.ndarray:
+    """The sums of a slab's packed (place, n) lines."""
+    total = np.zeros(size, kind)
+    for blob in held.column("blob"):
+        place, n = _unpacked(blob.as_py())
+        total[place] += n.astype(kind)
+    return total
+
+
 def chunked(docs: DataFrame) -> DataFrame:
     """(lang, words, counts, codes): texts of one language in chunks; code i > 0 is the chunk's i-th word, 0 ends a piece."""
 
@@ -154,49 +200,108 @@ def _follow(trie: Trie, first: int, codes: np.ndarray) -> tuple[np.ndarray, np.n
     return first + trie.number[state[known]].astype(np.int64), following[known]
 
 
-def _sum_of(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Which of the 2 ** 32 sums a phrase adds to."""
-    mixed = (prefix.astype(np.uint64) * MIX) ^ word.astype(np.uint64)
-    mixed ^= mixed >> np.uint64(29)
-    return (mixed * MIX >> np.uint64(32)).astype(np.uint32).astype(np.int64)
+class Sums:
+    """Hashed sums of pairs (phrase number, next word), dealt to slabs; those of at least `least` are rich."""
 
+    def __init__(self, positions: int, least: int):
+        self.bits, self.least = min(32, max(2 * SLAB_BITS, (2 * positions).bit_length())), least
+        self.low = self.bits - SLAB_BITS
+        self.fold = min(self.low, FILTER_BITS - SLAB_BITS)
 
-def _sieve(trie: Trie, first: int, texts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
+    def of(self, prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Which sum a phrase adds to."""
+        mixed = (prefix.astype(np.uint64) * MIX) ^ word.astype(np.uint64)
+        mixed ^= mixed >> np.uint64(29)
+        return (mixed * MIX >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def flushed():
-        sums, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.record_batch([pa.array(sums), pa.array(n.astype(np.int64))], ["sum_id", "n"])
+    def partial(self, trie: Trie, first: int, texts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """What the phrases in some texts add to the sums."""
+        held, size = [], 0
 
-    for codes in texts:
-        held.append(_sum_of(*_follow(trie, first, codes)))
-        size += len(held[-1])
-        if size >= FLUSH:
+        def flushed():
+            sums, n = np.unique(np.concatenate(held), return_counts=True)
+            return _dealt(sums >> self.low, sums & ((1 << self.low) - 1), np.minimum(n, self.least))  # more than enough is enough
+
+        for codes in texts:
+            held.append(self.of(*_follow(trie, first, codes)))
+            size += len(held[-1])
+            if size >= FLUSH:
+                yield flushed()
+                held, size = [], 0
+        if held:
             yield flushed()
-            held, size = [], 0
-    if held:
-        yield flushed()
 
+    def rich(self, partial: DataFrame) -> DataFrame:
+        """(slab, rich, folded): a bitmap of the rich sums of every slab that has some, and the same folded for the filter."""
 
-def _different(trie: Trie, first: int, texts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
+        def run(held: pa.Table) -> pa.Table:
+            rich = _added(held, 1 << self.low, np.int32) >= self.least
+            bits = [zstandard.ZstdCompressor(level=1).compress(np.packbits(b).tobytes()) for b in (rich, rich.reshape(-1, 1 << self.fold).any(axis=0))]
+            line = pa.table({"slab": held.column("slab").slice(0, 1), "rich": pa.array(bits[:1], pa.binary()), "folded": pa.array(bits[1:], pa.binary())})
+            return line if rich.any() else line.slice(0, 0)
 
-    def flushed():
-        pairs = np.unique(np.concatenate(held, axis=1), axis=1) if len(held) > 1 else held[0]
-        return pa.record_batch([pa.array(_sum_of(*pairs)), pa.array(pairs[0]), pa.array(pairs[1])], ["sum_id", "prefix", "word"])
+        return partial.groupBy("slab").applyInArrow(lean(run), "slab long, rich binary, folded binary")
 
-    for codes in texts:
-        prefix, word = _follow(trie, first, codes)
-        order = np.lexsort((word, prefix))
-        pair = np.stack([prefix[order], word[order]])
-        fresh = np.append(True, (pair[:, 1:] != pair[:, :-1]).any(axis=0)) if pair.shape[1] else np.zeros(0, bool)
-        held.append(pair[:, fresh])
-        size += held[-1].shape[1]
-        if size >= FLUSH:
+    def filter(self, rich: DataFrame) -> bytes:
+        """The folded bitmaps of all slabs, at most 2 ** FILTER_BITS bits."""
+        size = 1 << self.fold - 3
+        out = bytearray(size << SLAB_BITS)
+        for row in rich.select("slab", "folded").collect():
+            out[row["slab"] * size:(row["slab"] + 1) * size] = zstandard.ZstdDecompressor().decompress(bytes(row["folded"]))
+        return bytes(out)
+
+    def different(self, sent, trie: Trie, first: int, texts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """The different pairs in some texts that pass the filter."""
+        passing, held, size = np.frombuffer(sent.value, np.uint8), [], 0
+
+        def flushed():
+            pairs = np.unique(np.concatenate(held))
+            prefix, word = _apart(pairs)
+            slab = self.of(prefix, word) >> self.low
+            order = np.argsort(slab, kind="stable")
+            return _dealt(slab[order], prefix[order], word[order])
+
+        for codes in texts:
+            prefix, word = _follow(trie, first, codes)
+            sums = self.of(prefix, word)
+            at = (sums >> self.low << self.fold) | (sums & ((1 << self.fold) - 1))
+            inside = (passing[at >> 3] << (at & 7).astype(np.uint8) & 128) > 0
+            held.append(np.unique(_together(prefix[inside], word[inside])))
+            size += len(held[-1])
+            if size >= FLUSH:
+                yield flushed()
+                held, size = [], 0
+        if held:
             yield flushed()
-            held, size = [], 0
-    if held:
-        yield flushed()
+
+    def candidates(self, different: DataFrame, rich: DataFrame) -> DataFrame:
+        """(prefix, word): every different pair of a rich sum once."""
+
+        def run(held: pa.Table, found: pa.Table) -> pa.Table:
+            pairs, waiting, size = np.zeros(0, np.uint64), [], 0
+            for blob in held.column("blob") if found.num_rows else []:
+                waiting.append(_together(*_unpacked(blob.as_py())))
+                size += len(waiting[-1])
+                if size >= FLUSH:
+                    pairs, waiting, size = np.unique(np.concatenate([pairs, *waiting])), [], 0
+            prefix, word = _apart(np.unique(np.concatenate([pairs, *waiting])))
+            if len(prefix):
+                bits = np.frombuffer(zstandard.ZstdDecompressor().decompress(found.column("rich")[0].as_py()), np.uint8)
+                inside = np.unpackbits(bits)[self.of(prefix, word) & ((1 << self.low) - 1)] > 0
+                prefix, word = prefix[inside], word[inside]
+            return pa.table({"prefix": pa.array(prefix), "word": pa.array(word)})
+
+        both = different.groupBy("slab").cogroup(rich.select("slab", "rich").groupBy("slab"))
+        return both.applyInArrow(lean(run), "prefix long, word long")
+
+
+def _together(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Pairs as single numbers; both parts are below 2 ** 32."""
+    return prefix.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64)
+
+
+def _apart(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def _counted(trie: Trie, first: int, texts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +310,19 @@ def _counted(trie: Trie, first: int, texts: Iterator[np.ndarray]) -> Iterator[pa
         total += np.bincount(trie.walk(codes)[1], minlength=len(total))
     counts = total[trie.leaf]
     own = np.flatnonzero(counts)
-    yield pa.record_batch([pa.array(first + own), pa.array(counts[own])], ["id", "n"])
+    ids = first + own
+    yield _dealt(ids >> COUNT_BITS, ids & ((1 << COUNT_BITS) - 1), counts[own])
+
+
+def _frequent(counts: DataFrame, least: int) -> DataFrame:
+    """(id, f) of the phrases that occur `least` times or more."""
+
+    def run(held: pa.Table) -> pa.Table:
+        total = _added(held, 1 << COUNT_BITS, np.int64)
+        own = np.flatnonzero(total >= least)
+        return pa.table({"id": pa.array((held.column("slab")[0].as_py() << COUNT_BITS) + own), "f": pa.array(total[own])})
+
+    return counts.groupBy("slab").applyInArrow(lean(run), "id long, f long")
 
 
 class Phrases:
@@ -224,21 +341,20 @@ class Phrases:
             return
         text = materialize(_recoded(chunks, self.words), "phrase-text")
         digits = digits_for(found)
+        sums = Sums(self.totals.agg(F.sum("n")).first()[0], least)
         for length in range(2, longest + 1):
             known = self.levels[length - 1]
             tries = materialize(_tries(known, length - 1, digits), "phrase-tries")
             blocks = row_count(tries)
-            sums = _scanned(text, tries, blocks, "sum_id long, n long", _sieve)
-            rich = materialize(sums.groupBy("sum_id").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("sum_id"), "phrase-sieve")
+            rich = materialize(sums.rich(_scanned(text, tries, blocks, SLABS, sums.partial)), "phrase-sieve")
             if not row_count(rich):
                 break
-            pairs = _scanned(text, tries, blocks, "sum_id long, prefix long, word long", _different)
-            pairs = pairs.join(rich, "sum_id", "left_semi").select("prefix", "word").distinct()
+            sent = text.sparkSession.sparkContext.broadcast(sums.filter(rich))
+            pairs = sums.candidates(_scanned(text, tries, blocks, SLABS, partial(sums.different, sent)), rich)
             longer = pairs.join(known.select(F.col("id").alias("prefix"), "words"), "prefix")
             candidates = materialize(number_rows(longer.select(F.concat("words", F.array("word")).alias("words")), "id", start=0), "phrase-candidates")
             tries = materialize(_tries(candidates, length, digits), "phrase-tries")
-            counts = _scanned(text, tries, row_count(tries), "id long, n long", _counted)
-            frequent = counts.groupBy("id").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+            frequent = _frequent(_scanned(text, tries, row_count(tries), SLABS, _counted), least)
             self.levels[length] = materialize(
                 number_rows(candidates.join(frequent, "id").select("words", "f"), "id", start=0), "frequent-phrases")
             if not row_count(self.levels[length]):

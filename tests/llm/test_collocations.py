@@ -110,3 +110,26 @@ def test_nothing_frequent(spark, no_docs):
     assert co.collocations(rare).count() == 0
     single = spark.createDataFrame([(1, "a. " * 50, "en")], "doc_id long, text string, lang string")
     assert co.collocations(single).count() == 0
+
+
+def test_sums_and_pairs_travel_packed():
+    """One line a slab for each flush, few bytes a pair; the sums of the slabs and the pairs of rich sums are exact."""
+    rng = np.random.default_rng(8)
+    words = np.minimum(rng.geometric(0.01, 200_000), 900)
+    trie = Trie.build(np.arange(1, 901)[:, None], digits_for(900))
+    sums = co.Sums(len(words), 30)
+    prefix, word = words[:-1] - 1, words[1:]
+    wanted = Counter(sums.of(prefix, word).tolist())
+    got = Counter()
+    lines = list(sums.partial(trie, 0, iter([words])))
+    assert sum(b.num_rows for b in lines) <= 1 << co.SLAB_BITS
+    for batch in lines:
+        for slab, blob in zip(batch.column("slab").to_pylist(), batch.column("blob").to_pylist()):
+            low, n = co._unpacked(blob)
+            got.update(dict(zip(((slab << sums.low) + low).tolist(), n.tolist())))
+    assert got == {s: min(n, 30) for s, n in wanted.items()}
+    assert sum(b.nbytes for b in lines) < 4 * len(wanted)
+    large = np.sort(rng.integers(0, 1 << 40, 1000))
+    for column, back in zip((large, large[::-1]), co._unpacked(co._packed(large, large[::-1]))):
+        assert (column == back).all()
+    assert [len(c) for c in co._unpacked(co._packed(large[:0], large[:0]))] == [0, 0]
