@@ -6,12 +6,13 @@ with its code. Search: for a query q, <q, x> = <q, mean> + length * <q, residual
 is rounded to PLANES bits a dimension, so that inner product is a weighted sum of population counts of the code and one bit plane of the query at a time.
 The estimate's error has a standard deviation of about |q| * sqrt((1 - f * f) / (f * f)) / sqrt(dimensions - 1), a bound is CONFIDENCE times that.
 
-Two passes choose what is reranked by the exact inner product in double precision: the first reranks each block's k best estimates, and the k-th best exact score of
-a query over all blocks is its floor; the second reranks the vectors whose upper bound reaches the floor. Vectors that belong to the k nearest
-are lost only where an estimate is off by more than its bound, so recall is a little below 1 (README has figures).
+Passes over more and more blocks choose what is reranked by the exact inner product in double precision. The first reranks the k best estimates of one block; the k-th
+best exact score that a query has so far is its floor. Every further pass reads about three times the blocks read before, reranks the vectors whose upper bound reaches the
+floor and sends those on whose exact score reaches it: about 3 * k for each query, so what is sent grows with the queries and the logarithm of the rows, not with queries times blocks.
+A block is scanned once, the first one twice. Vectors that belong to the k nearest are lost only where an estimate is off by more than its bound, so recall is a little below 1 (README has figures).
 
 A stated query set is searched against all rows, in blocks: every pair of a query block and an index block is one group of bounded size,
-only the k best per query and block leave it, and a window merges them.
+at most the k best per query and block leave it, and a window merges them after each pass.
 
 Defined cases: a vector that is null, empty, zero or holds null or non-finite components takes no part, nor does a null id; vectors are compared with those
 of the same number of dimensions; of rows that repeat an id one takes part (the smallest array); equal scores go to the smaller id; fewer than k
@@ -24,7 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import parts_for
@@ -114,7 +115,7 @@ def estimates(line: dict, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def scan(line: dict, query_ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray | None = None):
     """(query id, vector ids, scores): up to k vectors of one block for each query.
 
-    Without floors, the k best estimates; with them, the k best of the vectors whose upper bound reaches the query's floor.
+    Without floors, the k best estimates; with them, the k best of the vectors whose upper bound and then exact score reach the query's floor.
     """
     ids, vectors = np.frombuffer(line["ids"], "<i8"), np.frombuffer(line["vectors"], "<f8").reshape(-1, line["dimensions"])
     for at in range(0, len(queries), 64):
@@ -128,20 +129,31 @@ def scan(line: dict, query_ids: np.ndarray, queries: np.ndarray, k: int, floors:
                 rows = np.flatnonzero(estimate[i] + error[i] >= floors[at + i])
             rows = rows[estimate[i][rows] > -np.inf]  # not the query itself
             score = (vectors[rows] * q[i]).sum(axis=1)  # each row by itself, so equal vectors score alike
+            if floors is not None:
+                rows, score = rows[score >= floors[at + i]], score[score >= floors[at + i]]
             best = np.lexsort((ids[rows], -score))[:k]
             yield names[i], ids[rows[best]], score[best]
 
 
+def passes(blocks: int) -> list[tuple[int, int]]:
+    """(first block, end) of every pass. The first has no floors to go by, so its block is scanned again with the next three."""
+    out, end = [(0, 1)], 0
+    while end < blocks:
+        out.append((end, min(blocks, max(4, 4 * end))))
+        end = out[-1][1]
+    return out
+
+
 def nearest(vectors: DataFrame, every: int, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of every row whose id is divisible by `every`."""
     rows = materialize(usable(vectors), "vectors")
     count, asked = rows.agg(F.count("*"), F.count_if(F.col("id") % every == 0)).first()
     blocks, query_blocks = parts_for(count, BLOCK), parts_for(asked, QUERY_BLOCK)
     index = materialize(build(rows, count), "vector-index")
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = index.withColumn("query_block", numbers(query_blocks))
     queries = rows.filter(F.col("id") % every == 0).withColumn("query_block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)).cast("int"))
-    right = queries.withColumn("block", numbers(blocks))
+
+    def numbers(low: int, end: int) -> Column:
+        return F.explode(F.sequence(F.lit(low), F.lit(end - 1)))
 
     def search(lines: pa.Table, asked: pa.Table) -> pa.Table:
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
@@ -158,9 +170,13 @@ def nearest(vectors: DataFrame, every: int, k: int) -> DataFrame:
     def merged(found: DataFrame) -> DataFrame:
         return found.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k)
 
-    first = materialize(merged(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, schema)), "first-neighbours")
-    floors = first.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
-    again = queries.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))).withColumn("block", numbers(blocks))
-    second = left.groupBy(*keys).cogroup(again.groupBy(*keys)).applyInArrow(search, schema)
-    both = first.drop("rank").unionByName(second).distinct()
-    return merged(both).select("query_id", "rank", "vec_id", "score")
+    best = None
+    for low, end in passes(blocks):
+        asked = queries
+        if best is not None:
+            floors = best.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+            asked = queries.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        left = index.filter(F.col("block").between(low, end - 1)).withColumn("query_block", numbers(0, query_blocks))
+        found = left.groupBy(*keys).cogroup(asked.withColumn("block", numbers(low, end)).groupBy(*keys)).applyInArrow(search, schema)
+        best = materialize(merged(found if best is None else best.drop("rank").unionByName(found).distinct()), "best-neighbours")
+    return best.select("query_id", "rank", "vec_id", "score")

@@ -73,6 +73,36 @@ def test_codes_choose_few_vectors():
     assert share < 0.15 and hits / 2000 > 0.98, (share, hits)
 
 
+def test_passes_send_few_rows():
+    """Rows that leave the scans grow with the queries, not with queries times blocks; two full passes sent 2 * k for each block before."""
+    for blocks in (1, 2, 3, 4, 5, 13, 64, 200):
+        first, *others = neighbours.passes(blocks)
+        assert first == (0, 1) and [b for low, end in others for b in range(low, end)] == list(range(blocks))
+    rng = np.random.default_rng(3)
+    vectors, blocks, k = rng.standard_normal((9600, 32)), 48, 10
+    lines = []
+    for block in range(blocks):
+        ids = np.arange(block, len(vectors), blocks)
+        x = vectors[ids]
+        residual = (x - x.mean(axis=0)) @ neighbours.rotation(32)
+        length = np.linalg.norm(residual, axis=1)
+        lines.append({"dimensions": 32, "ids": ids.astype("<i8").tobytes(), "codes": neighbours._words(residual > 0).tobytes(), "lengths": length.tobytes(),
+                      "factors": (np.abs(residual).sum(axis=1) / np.sqrt(32) / length).tobytes(), "mean": x.mean(axis=0).tobytes(), "vectors": x.tobytes()})
+    names, queries = np.arange(40), vectors[:40]
+    found, floors, sent = {n: set() for n in names}, None, 0
+    for low, end in neighbours.passes(blocks):
+        for line in lines[low:end]:
+            for name, ids, scores in neighbours.scan(line, names, queries, k, floors):
+                assert floors is None or (scores >= floors[name]).all()
+                found[name].update(zip(-scores, ids))
+                sent += len(ids)
+        floors = np.array([-sorted(found[n])[k - 1][0] for n in names])
+    exact = queries @ vectors.T
+    exact[names, names] = -np.inf
+    hits = sum(len({i for _, i in sorted(found[n])[:k]} & set(np.argsort(-exact[n])[:k])) for n in names)
+    assert hits >= 0.98 * k * len(names) and sent < 20 * k * len(names)  # 2 * 48 * k * 40 before
+
+
 @pytest.fixture(scope="module")
 def pages(spark):
     rows = [(i, f"https://www.host{i % 7}.example.org/a{i % 3}/p{i}?q=1#top", f"<p>page {i % 40 if i % 2 else i}</p>\r\n\r\nWARC/1.1\r\n", 1) for i in range(300)]
