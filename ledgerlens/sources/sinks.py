@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.documents import mask_sensitive
 from ledgerlens.functions.values import ref
 from ledgerlens.plans.report import JOB_FAILURES, ReportResult
+from ledgerlens.session import remove
 
 FILES_PER_FOLDER = 16
 
@@ -57,11 +58,13 @@ def write_reports(results: dict[str, ReportResult], folder: str) -> dict[str, st
         if result.df is None:
             continue
         try:
-            if result.df.isEmpty():
+            seen = Observation()  # counted while writing, so a report is worked out once
+            write_csv(result.df.observe(seen, F.count(F.lit(1)).alias("rows")), f"{folder}/{key}")
+            if seen.get["rows"]:
+                paths[key] = f"{folder}/{key}"
+            else:
+                remove(result.df.sparkSession, f"{folder}/{key}")
                 result.note = "No rows found"
-                continue
-            write_csv(result.df, f"{folder}/{key}")
-            paths[key] = f"{folder}/{key}"
         except JOB_FAILURES:
             raise
         except Exception as error:

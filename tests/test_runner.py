@@ -31,3 +31,18 @@ def test_unusable_columns_are_a_note(spark, monkeypatch):
     monkeypatch.setitem(forensic.SCREENS, "income_benford", lambda df: df.select("absent"))
     notes = {k: r.note for k, r in forensic.run_screens(spark.range(3), ["name_similarity", "income_benford"]).items()}
     assert notes["name_similarity"] == "full_name column not available" and notes["income_benford"].startswith("Error: ")
+
+
+def test_report_is_worked_out_once(spark, tmp_path):
+    """A report was run to see whether it is empty, and again to be written."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        runs.add(1)
+        yield from batches
+
+    frame = spark.range(0, 3, 1, 1).mapInArrow(counted, "id long")
+    results = {"held": ReportResult("held", frame), "none": ReportResult("none", spark.range(0))}
+    assert sinks.write_reports(results, str(tmp_path)) == {"held": f"{tmp_path}/held"}
+    assert runs.value == 1 and results["none"].note == "No rows found" and not (tmp_path / "none").exists()
+    assert spark.read.option("header", True).csv(f"{tmp_path}/held").count() == 3
