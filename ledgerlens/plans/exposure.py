@@ -405,23 +405,23 @@ def stage_mismatch(df: DataFrame) -> DataFrame:
 
 def portfolio_concentration(df: DataFrame, top_n: int = 10) -> DataFrame:
     require(df, "loan_id", "ead")
-    largest = (
-        df.groupBy("loan_id")
-        .agg(total(df, "ead").alias("Total EAD"), F.count("loan_id").alias("Loan Count"))
-        .orderBy(*desc("Total EAD"), *asc("loan_id"))
-        .limit(top_n)
-    )
+    return _largest(df.groupBy("loan_id").agg(total(df, "ead").alias("Total EAD"), F.count("loan_id").alias("Loan Count")), top_n)
+
+
+def _largest(loans: DataFrame, top_n: int = 10) -> DataFrame:
+    largest = loans.orderBy(*desc("Total EAD"), *asc("loan_id")).limit(top_n)
     place = Window.orderBy(*desc("Total EAD"), *asc("loan_id"))  # over top_n rows
     return largest.select(F.row_number().over(place).alias("Rank"), "loan_id", "Total EAD", "Loan Count")
 
 
-def _distribution(df: DataFrame, key: str) -> DataFrame:
+def _distribution(df: DataFrame, key: str, loans: Column | None = None) -> DataFrame:
+    """Distinct loans (or `loans`, a column of the key that gives them) and exposure by a key."""
     require(df, key, "loan_id", "ead")
-    return (
-        df.groupBy(key)
-        .agg(distinct_with_null(F.col("loan_id")).alias("Loan Count"), total(df, "ead").alias("Total EAD"))
-        .orderBy(*desc("Total EAD"), *asc(key))
-    )
+    count = distinct_with_null(F.col("loan_id")) if loans is None else F.count(F.lit(1))
+    sums = df.groupBy(key).agg(count.alias("Loan Count"), total(df, "ead").alias("Total EAD"))
+    if loans is not None:
+        sums = sums.withColumn("Loan Count", loans)
+    return sums.orderBy(*desc("Total EAD"), *asc(key))
 
 
 def stage_distribution(df: DataFrame) -> DataFrame:
@@ -436,6 +436,52 @@ def writeoff_recovery(df: DataFrame) -> DataFrame:
     return _distribution(df, "written_off")
 
 
+LOAN_KEYS = {"stage_distribution": "stage", "dpd_risk_distribution": "dpd_bucket", "writeoff_recovery": "written_off"}
+
+
+class SharedLoans:
+    """The reports on single loans from one line a loan: its sums, and a bit for every value of a key that it occurs with.
+
+    A loan then travels once instead of once for every report. Bits fit one number, so a key with too many values for what is left
+    of it (or of a type that has no plain literal) keeps the report's own plan.
+    """
+
+    BITS = 62
+
+    def __init__(self, df: DataFrame, reports: list[str]):
+        self.df, self.counts = df, {}
+        require(df, "loan_id", "ead")
+        bits: dict[str, list] = {}
+        for key in (LOAN_KEYS[r] for r in reports if r in LOAN_KEYS):
+            if key not in df.columns or not isinstance(df.schema[key].dataType, (T.StringType, T.IntegralType, T.BooleanType, T.DateType)):
+                continue
+            free = self.BITS - sum(map(len, bits.values()))
+            values = [r[0] for r in df.select(ref(key)).distinct().limit(free + 1).collect()]
+            if len(values) <= free:
+                bits[key] = values
+        place = {(k, v): 1 << i for i, (k, v) in enumerate((k, v) for k, values in bits.items() for v in values)}
+        mask = F.lit(0).cast("long")
+        for (key, value), bit in place.items():
+            mask = mask.bitwiseOR(F.when(ref(key).eqNullSafe(F.lit(value)), F.lit(bit).cast("long")).otherwise(F.lit(0).cast("long")))
+        sums = [total(df, "ead").alias("Total EAD"), F.count("loan_id").alias("Loan Count"), F.bit_or(mask).alias("held")]
+        self.loans = materialize(df.groupBy("loan_id").agg(*sums), "loans")
+        if place:
+            found = self.loans.agg(*[F.count_if(F.col("held").bitwiseAND(F.lit(bit)) != 0).alias(f"n{i}") for i, bit in enumerate(place.values())]).first()
+            for (key, value), n in zip(place, found):
+                self.counts.setdefault(key, []).append((value, n))
+
+    def report(self, key: str) -> DataFrame:
+        if key == "portfolio_concentration":
+            return _largest(self.loans)
+        by = LOAN_KEYS[key]
+        if by not in self.counts:
+            return _distribution(self.df, by)
+        loans = F.lit(0).cast("long")
+        for value, n in self.counts[by]:
+            loans = F.when(ref(by).eqNullSafe(F.lit(value)), F.lit(n).cast("long")).otherwise(loans)
+        return _distribution(self.df, by, loans)
+
+
 def _part_of_whole(df, part, whole, title, labels, order) -> DataFrame:
     """Three lines: the part, the rest and the whole, with their percentages."""
     require(df, part, whole)
@@ -531,13 +577,20 @@ def run_exposure_reports(
     period_from: str | None = None,
     period_to: str | None = None,
 ) -> dict[str, ReportResult]:
-    """All selected reports over one frame: the group-by ones from one pass that is made here, the others as lazy plans."""
+    """All selected reports over one frame: the group-by ones and those on single loans from one pass each that is made here, the others as lazy plans."""
     chosen = [k for k in REPORTS if keys is None or k in keys]
     results = {}
     sums = cache(lambda: SharedSums(df, [k for k in chosen if k in GROUPINGS]))
+    on_loans = [k for k in chosen if k in LOAN_KEYS or k == "portfolio_concentration"]
+    loans = cache(lambda: SharedLoans(df, on_loans))
     for key in chosen:
         options = {"period_from": period_from, "period_to": period_to} if key == "disbursement" else {}
-        build = (lambda frame, key=key: sums().report(key)) if key in GROUPINGS else (lambda frame, key=key, **o: report(frame, key, **o))
+        if key in GROUPINGS:
+            build = lambda frame, key=key: sums().report(key)
+        elif key in on_loans and len(on_loans) > 1 and {"loan_id", "ead", LOAN_KEYS.get(key, "ead")} <= set(df.columns):
+            build = lambda frame, key=key: loans().report(key)
+        else:
+            build = lambda frame, key=key, **o: report(frame, key, **o)
         results[key] = plan_report(key, build, df, **options)
     return results
 

@@ -5,6 +5,7 @@ from difflib import SequenceMatcher
 
 import pytest
 
+from checks import views
 from ledgerlens.plans import customer, exposure, forensic
 from ledgerlens.plans.report import NotAvailable
 from ledgerlens.sources import sinks
@@ -267,3 +268,34 @@ def test_group_reports_share_one_pass(spark, book):
     assert all("exposure-sums" in f for f in read) and len({f.rsplit("/", 2)[1] for f in read}) == 1
     lacking = exposure.run_exposure_reports(book.drop("stage", "business_date"), ["stage_summary", "product_ead"])
     assert lacking["stage_summary"].df is None and lacking["product_ead"].df.count() == 3
+
+
+def test_loan_reports_share_one_line_a_loan(spark, book):
+    more = spark.createDataFrame([(None, "1", "npa", "7"), (None, None, "npa", "1"), ("L1", "2", "0-30", "300"), ("L9", "1", "0-30", None)],
+                                 "loan_id string, stage string, dpd_bucket string, ead string")
+    both = book.unionByName(more, allowMissingColumns=True).selectExpr("*", "stage = '1' AS written_off")
+    shared = [*exposure.LOAN_KEYS, "portfolio_concentration"]
+    results = exposure.run_exposure_reports(both)
+    for key in shared:
+        own = exposure.report(both, key)
+        assert rows(results[key].df) == rows(own) and results[key].df.dtypes == own.dtypes, key
+        assert "/loans-" in str(results[key].df.inputFiles()) or "distinct" not in results[key].df._jdf.queryExecution().optimizedPlan().toString(), key
+    lacking = exposure.run_exposure_reports(both.drop("stage"), shared)
+    assert lacking["stage_distribution"].note and lacking["dpd_risk_distribution"].df.count() == 4
+
+
+def test_keys_of_many_values_keep_their_own_count(spark):
+    book = spark.range(300).selectExpr("concat('L', id % 100) AS loan_id", "cast(id % 90 AS string) AS stage", "cast(id % 7 AS string) AS dpd_bucket", "1.5D AS ead")
+    results = exposure.run_exposure_reports(book, [*exposure.LOAN_KEYS, "portfolio_concentration"])
+    for key in ("stage_distribution", "dpd_risk_distribution", "portfolio_concentration"):
+        assert rows(results[key].df) == rows(exposure.report(book, key)), key
+
+
+@pytest.mark.parametrize("name, key, derived", [("exposure", "l_orderkey", "loan_id"), ("customer_master", "o_custkey", "full_name"), ("loan_book", "o_custkey", "LOAN_DATE")])
+def test_views_deal_given_rows_not_derived_ones(spark, monkeypatch, name, key, derived):
+    plans = []
+    monkeypatch.setattr(views, "materialize", lambda df, label: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    monkeypatch.setattr(views, "_WRITTEN", {})
+    views.view(spark, "/root/testdata/sf0.001", name)
+    above, below = plans[0].split("RebalancePartitions", 1)
+    assert key in below.splitlines()[0] and derived in above and derived not in below
