@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.session import materialize
@@ -114,6 +116,13 @@ VIEWS = {
 }
 # the table that has a view's rows and the key by which it is dealt: that of its join with the next largest table, which then needs no deal of its own
 DEALT = {"customer_master": ("orders", "o_custkey"), "exposure": ("lineitem", "l_orderkey"), "loan_book": ("orders", "o_custkey")}
+# Tables that a view's rows meet before they are dealt. Where they are too large to be broadcast, parts then cost the lines one deal and customers
+# the orders one; in the order of the text the much longer and more lines would be dealt once more for each of them.
+MET = {"exposure": {
+    "lineitem": ("{lineitem} JOIN {part} ON p_partkey = l_partkey", ["part"]),
+    "orders": ("{orders} JOIN ({customer} JOIN {nation} ON n_nationkey = c_nationkey) ON c_custkey = o_custkey", ["customer", "nation"]),
+}}
+ROW_BYTES = 64  # of a dealt row, roughly
 TABLES = ("region", "nation", "customer", "part", "orders", "lineitem")
 
 
@@ -130,14 +139,32 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _WRITTEN:
-        tables = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
-        if name in DEALT:
-            table, by = DEALT[name]
-            tables[table] = f"(SELECT /*+ REBALANCE({by}) */ * FROM {tables[table]})"
-        _WRITTEN[key] = materialize(spark.sql(VIEWS[name].format(**tables)), name)
+        _WRITTEN[key] = materialize(spark.sql(VIEWS[name].format(**_sources(spark, sf_dir, name))), name)
     return _WRITTEN[key]
 
 
+def _sources(spark: SparkSession, sf_dir: str, name: str) -> dict[str, str]:
+    """What stands for each table in the text of a view."""
+    given = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
+    tables = dict(given)
+    for table, (joined, others) in MET.get(name, {}).items():
+        tables[table] = f"(SELECT * FROM {joined.format(**given)})"
+        for other in others:
+            tables[other] = "(SELECT 1 AS met)"  # its columns are there by now, so the text's own condition holds for every row
+    if name in DEALT:
+        table, by = DEALT[name]
+        tables[table] = f"(SELECT /*+ REBALANCE({_parts(spark, given[table])}, {by}) */ * FROM {tables[table]})"
+    return tables
+
+
+def _parts(spark: SparkSession, table: str) -> int:
+    """Parts for a table's rows: joins behind the deal keep their number, so it grows with the table (small ones are put together as they run)."""
+    rows = spark.sql(f"SELECT count(*) FROM {table}").first()[0]
+    number, unit = re.match(r"(\d+)\s*([kmgt]?)", spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes").lower()).groups()
+    size = int(number) << 10 * " kmgt".index(unit or " ")
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows * ROW_BYTES // size))
+
+
 def view_sql(name: str) -> str:
     """The same text over tables that are already registered by name."""
     return VIEWS[name].format(**{t: t for t in TABLES})

@@ -299,3 +299,24 @@ def test_views_deal_given_rows_not_derived_ones(spark, monkeypatch, name, key, d
     views.view(spark, "/root/testdata/sf0.001", name)
     above, below = plans[0].split("RebalancePartitions", 1)
     assert key in below.splitlines()[0] and derived in above and derived not in below
+
+
+def test_exposure_lines_are_dealt_once_for_parts_and_once_for_orders(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(views, "materialize", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    monkeypatch.setattr(views, "_WRITTEN", {})
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        views.view(spark, "/root/testdata/sf0.001", "exposure")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines = plans[0].splitlines()
+    at = next(i for i, line in enumerate(lines) if "FileScan" in line and "l_orderkey" in line)
+    depth, over = len(lines[at]), []
+    for line in reversed(lines[:at + 1]):  # the nodes above the scan
+        inset = len(line) - len(line.lstrip(" :+-"))
+        if inset < depth:
+            depth = inset
+            over.append(line)
+    assert [line.split("(")[1].split("#")[0] for line in over if "Exchange hashpartitioning" in line] == ["l_partkey", "l_orderkey"]
