@@ -301,6 +301,22 @@ def test_views_deal_given_rows_not_derived_ones(spark, monkeypatch, name, key, d
     assert key in below.splitlines()[0] and derived in above and derived not in below
 
 
+def test_pivot_sends_one_number_for_all_dimensions(spark):
+    book = spark.range(2000).selectExpr(
+        "CASE WHEN id % 7 = 0 THEN NULL WHEN id % 7 = 1 THEN '' ELSE concat('sché', id % 13) END AS state", "CASE WHEN id % 5 > 0 THEN concat('Z', id % 11) END AS stage",
+        "CAST(id % 3 AS STRING) AS sbu", "CAST(id AS DECIMAL(18,2)) / 4 AS ead", "CASE WHEN id % 9 > 0 THEN concat('L', id) END AS loan_id")
+    pivot = exposure.pivot(book)
+    dims = ["state", "sbu", "stage"]
+    plain = book.groupBy(*dims).agg({"ead": "sum", "loan_id": "count"}).selectExpr(*dims, "CAST(`sum(ead)` AS DOUBLE)", "`count(loan_id)`")
+    assert rows(pivot) == rows(plain.orderBy(*[f"`{d}`" for d in dims])) and len(rows(pivot)) > 400
+    found = [r[:3] for r in map(tuple, pivot.collect())]
+    assert found == sorted(found, key=lambda r: [(v is not None, v) for v in r])
+    assert "hashpartitioning(__code" in pivot._jdf.queryExecution().executedPlan().toString()
+    mixed = exposure.pivot(book.withColumn("sbu", book.sbu.cast("int")))  # a key that is no text keeps the plain plan
+    assert [tuple(r) for r in mixed.selectExpr("state", "CAST(sbu AS STRING)", "stage", "`Sum(EAD)`", "`Count(AGREEMENTID_R)`").collect()] == [tuple(r) for r in pivot.collect()]
+    assert exposure.pivot(book.limit(0)).collect() == []
+
+
 def test_exposure_lines_are_dealt_once_for_parts_and_once_for_orders(spark, monkeypatch):
     plans = []
     monkeypatch.setattr(views, "materialize", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
