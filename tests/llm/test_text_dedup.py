@@ -136,6 +136,28 @@ def test_common_strings_only_move_anchors(hard_texts):
         assert ((anchor >= last) & (anchor <= first + sl.REACH)).all()
 
 
+def test_partitions_of_a_batch_cost_little(monkeypatch):
+    rng = np.random.default_rng(1)
+    n, calls = 4000, []
+    left, right = rng.integers(0, sl.REACH + 1, n), rng.integers(sl.SPAN, sl.SPAN + 1, n)
+    matrix = rng.integers(1, 250, (n, sl.WIDTH), dtype=np.uint8) * sl.inside(left, right)
+    row, start = np.sort(rng.integers(0, 300, n)), rng.integers(0, 9000, n)
+    unique = np.unique
+    monkeypatch.setattr(suffix_dedup.np, "unique", lambda *a, **k: calls.append(1) or unique(*a, **k))
+    out = {"part": [], "batch": [], "covered": [], "blob": []}
+    part = rng.integers(0, 900, n).astype(np.int32)
+    suffix_dedup._collapse(out, 7, part, row, start, left, right, matrix, row + 10_000)
+    monkeypatch.undo()
+    assert len(calls) < 5 and len(out["blob"]) == len(unique(part))  # what is not a plain slice is done once for all partitions
+    got = []
+    for p, blob in zip(out["part"], out["blob"]):
+        users, first, index, at, l, r, text = suffix_dedup._unpacked(blob, "u4", "i8", "u4", "u4", "u1", "u1", "u1")
+        cuts = np.cumsum(l.astype(int) + r)[:-1]
+        got += [(p, u, f, a, x, y, t.tobytes()) for u, f, a, x, y, t in zip(users[index], first[index], at, l, r, np.split(text, cuts))]
+    want = [(p, w, w + 10_000, a, x, y, m[sl.REACH - x:sl.REACH + y].tobytes()) for p, w, a, x, y, m in zip(part, row, start, left, right, matrix)]
+    assert sorted(got) == sorted(want)
+
+
 def test_levels_grow_geometrically():
     rng = np.random.default_rng(0)
     family = sl.Family()
