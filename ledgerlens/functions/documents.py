@@ -44,7 +44,7 @@ def name_dob_key(df: DataFrame) -> Column:
 def address_tokens(df: DataFrame) -> Column:
     """Sorted distinct upper-case words of the first address line."""
     line = F.upper(strip(text(df, "address_line1")))
-    return F.when(line != "", F.array_sort(F.array_distinct(F.split(line, r"\s+"))))
+    return F.when(line != "", F.sort_array(F.array_distinct(F.split(line, r"\s+"))))
 
 
 def _checksum_tables() -> tuple[list[int], list[int]]:

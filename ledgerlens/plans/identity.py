@@ -39,7 +39,8 @@ def _carried(df: DataFrame, salt: str, addresses: AddressBook | None, id_by: str
 
 def _profile_id(columns: dict[str, Column]) -> Column:
     texts = [F.hex(c) if n in ("aadhaar", "gid") else c.cast("string") for n, c in columns.items()]
-    return F.unhex(F.md5(F.concat(*[_bytes_of(t) for t in texts])))  # 16 bytes
+    # 16 bytes; never NULL, and said so, else a join on it would work it all out a second time to look for NULLs
+    return F.coalesce(F.unhex(F.md5(F.concat(*[_bytes_of(t) for t in texts]))), F.lit(b""))
 
 
 def row_profiles(df: DataFrame, salt: str, addresses: AddressBook | None, id_by: str = "position") -> tuple[DataFrame, DataFrame]:
@@ -52,7 +53,8 @@ def row_profiles(df: DataFrame, salt: str, addresses: AddressBook | None, id_by:
     held = df.select("_row_num", *[c.alias(n) for n, c in carried.items()]).groupBy(*carried)
     first = held.agg(F.min("_row_num").alias("_row_num"), F.count("*").alias("rows"))
     profiles = first.select(_profile_id({n: F.col(n) for n in carried}).alias("profile"), "*")
-    return materialize(profiles, "profiles"), df.select("_row_num", _profile_id(carried).alias("profile"))
+    staged = df.select("_row_num", *[c.alias(f"__{n}") for n, c in carried.items()])  # each form is worked out once a row
+    return materialize(profiles, "profiles"), staged.select("_row_num", _profile_id({n: F.col(f"__{n}") for n in carried}).alias("profile"))
 
 
 def person_edges(profiles: DataFrame, addresses: AddressBook | None, hot_rows: int = HOT_ROWS) -> DataFrame:

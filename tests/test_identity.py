@@ -267,3 +267,23 @@ def test_equal_rows_are_grouped_as_one_profile(spark, monkeypatch):
         name = hashlib.sha256(",".join(str(n) for n in range(first, 400, 4)).encode()).hexdigest()[:16]
         assert {got.pop(n + 1) for n in range(first, 400, 4)} == {(name, 100, False)}
     assert set(got) == set(range(411, 416)) and {(size, conflict) for _, size, conflict in got.values()} == {(5, True)}
+
+
+def test_forms_of_a_row_are_worked_out_once(spark, tmp_path):
+    from checks import views
+    from ledgerlens import session
+
+    master = views.view(spark, "/root/testdata/sf0.001", "customer_master")
+    profiles, rows = identity.row_profiles(master, "salt", AddressBook(master))
+    assert not rows.schema["profile"].nullable  # else every join on it works the whole profile out again to look for NULLs
+    plan = rows.join(profiles, "profile")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and plan.count("md5(cast(concat(") == 1
+    assert rows.select("profile").distinct().count() == profiles.count() == rows.join(profiles.select("profile"), "profile").select("profile").distinct().count()
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    seen = []
+    with session._short_methods(spark):
+        seen.append(int(spark.conf.get(key)))
+    with pytest.raises(ZeroDivisionError), session._short_methods(spark):
+        1 / 0
+    assert seen == [8000] and spark.conf.get(key) == before
